@@ -20,7 +20,8 @@ from verdigris.llm.encode import TOKENIZERS, VOCABULARY, token_counts
 from verdigris.operators.joins import checked_join
 from verdigris.session import stored
 
-BLOCKS = 1024
+#: Texts of a source per block, about, and most blocks per source.
+PER_BLOCK, MAX_BLOCKS = 1000, 16_384
 
 
 def tempered(target: dict[str, float], tokens: dict[str, int], a: float) -> dict[str, float]:
@@ -97,20 +98,21 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, targ
     spark = documents.sparkSession
     sized = stored(sized if sized is not None else sized_texts(documents, targets, tokenizers), "sized")
     target, repeats = _limits(targets)
-    have = {r["source"]: r["t"] for r in sized.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}  # one row per source of the mix
+    stats = sized.groupBy("source").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).collect()  # one row per source of the mix
+    have, blocks = {r["source"]: r["t"] for r in stats}, {r["source"]: max(1, min(MAX_BLOCKS, r["n"] // PER_BLOCK)) for r in stats}
     weights, a, size = choose_weights(target, have, repeats, total, target_entropy)
     plan = []
     for k, w in weights.items():
         budget = min(int(w * size + 1e-6), have[k] * repeats[k])
-        plan.append((k, budget // have[k], budget % have[k]))
-    cut = F.broadcast(spark.createDataFrame(plan, "source string, whole long, rest long"))
+        plan.append((k, budget // have[k], budget % have[k], blocks[k]))
+    cut = F.broadcast(spark.createDataFrame(plan, "source string, whole long, rest long, blocks int"))
     uses = sized.join(cut, "source")
     full = uses.filter("whole > 0").withColumn("repetition", F.explode(F.sequence(F.lit(0), (F.col("whole") - 1).cast("int")))).select("source", "doc_id", "repetition", "tokens")
     # the last, partial repetition
-    part = uses.filter("rest > 0").withColumn("repetition", F.col("whole").cast("int")).withColumn("h", F.xxhash64(F.lit(seed), "repetition", "doc_id")).withColumn("block", F.pmod(F.shiftright("h", 20), F.lit(BLOCKS)).cast("int"))
+    part = uses.filter("rest > 0").withColumn("repetition", F.col("whole").cast("int")).withColumn("h", F.xxhash64(F.lit(seed), "repetition", "doc_id")).withColumn("block", F.pmod(F.shiftright("h", 20), F.col("blocks")).cast("int"))
     per = part.groupBy("source", "block").agg(F.sum("tokens").alias("t"))
     w = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("before", F.coalesce(F.sum("t").over(w), F.lit(0))).drop("t")  # BLOCKS rows per source
+    per = per.withColumn("before", F.coalesce(F.sum("t").over(w), F.lit(0))).drop("t")  # MAX_BLOCKS rows per source at most
     part = part.join(F.broadcast(per), ["source", "block"]).filter("before < rest")
     last = per.join(cut, "source").filter("before < rest").groupBy("source").agg(F.max("block").alias("last"))
     part = part.join(F.broadcast(last), "source")
