@@ -1 +1 @@
-"""See README.md for what lives here."""
+"""DataFrame operators; see README.md for the map from names to modules."""
