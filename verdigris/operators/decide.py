@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdigris.functions.once import once
 from verdigris.functions.prob import argmax_last, asum, confidence, gap, half_up, r4, r6, softmax
 from verdigris.operators.questions import ABOVE, ABSTAIN, BELOW
 
@@ -96,7 +97,7 @@ def decide(units: DataFrame, temps: DataFrame | None = None, base: float = 1.0,
     if temps is not None:
         units = units.join(F.broadcast(temps.select("bucket", F.col("temperature").alias("_t"))), "bucket", "left")
         t = temperature(t, F.col("_t"))
-    u = units.withColumn("p", softmax(F.col("logits"), t))
+    u = once(units, p=softmax(F.col("logits"), t))
     one = u.filter("sub_idx is null").select("req_id", "q_pos", "q_name", "qtype", decode(F.col("qtype"), F.col("slots"), F.col("p")).alias("answer"))
     many = u.filter("sub_idx is not null")
     if expand == "probes":

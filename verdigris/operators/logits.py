@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdigris.functions.once import once
+
 
 class LogitSource(Protocol):
     def attach(self, units: DataFrame) -> DataFrame:
@@ -38,7 +40,7 @@ class HashLogits:
     """A deterministic stand-in for a model, for tests of everything above it: its answers mean nothing."""
 
     def attach(self, units: DataFrame) -> DataFrame:
-        return units.withColumn("logits", F.transform("slots", lambda s: hash_logit(F.col("prompt"), s["letter"])))
+        return once(units, logits=F.transform("slots", lambda s: hash_logit(F.col("prompt"), s["letter"])))
 
 
 class ArrowLogits:

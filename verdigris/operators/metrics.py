@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from verdigris.functions.once import once
 from verdigris.functions.prob import argmax_first, argmax_last, asum, brier, ece_bin, expected_level, half_up, kl_floor, mcnemar, r4, squared, total_variation
 from verdigris.operators.questions import ABOVE, ABSTAIN, BELOW
 
@@ -72,7 +73,8 @@ def drift(a: Column, b: Column) -> Column:
 def auto_variants(cases: DataFrame) -> DataFrame:
     """Cases (case_id, state, question) with their stability probes: kind is base, option_reversal, criterion_wrapper or
     irrelevant_context; state and question are changed accordingly. Question objects keep the order of their keys."""
-    m = F.from_json("question", "map<string,string>")
+    cases = once(cases, _m=F.from_json("question", "map<string,string>"))
+    m = F.col("_m")
     c = m["criteria"]
     keyed = F.transform(F.reverse(F.map_entries(F.from_json(c, "map<string,string>"))), lambda e: F.concat(F.to_json(F.array(e["key"])).substr(F.lit(2), F.length(F.to_json(F.array(e["key"]))) - 2), F.lit(": "), F.to_json(F.array(e["value"])).substr(F.lit(2), F.length(F.to_json(F.array(e["value"]))) - 2)))
     listed = F.transform(F.reverse(F.from_json(c, "array<string>")), lambda v: F.to_json(F.array(v)).substr(F.lit(2), F.length(F.to_json(F.array(v))) - 2))
@@ -98,7 +100,7 @@ def _quoted(s: Column) -> Column:
 
 def _with_field(question: str, field: str, raw: Column) -> Column:
     """The question with one field replaced, the others as they are, in their order."""
-    fields = F.map_entries(F.from_json(question, "map<string,string>"))
+    fields = F.map_entries("_m")
     plain = F.array(*map(F.lit, ("min", "max", "step", "granularity", "allow_abstain", "criteria")))
     text = lambda e: F.when(e["key"] == field, raw).when(e["value"].isNull(), F.lit("null")).when(F.array_contains(plain, e["key"]), e["value"]).otherwise(_quoted(e["value"]))
     return F.concat(F.lit("{"), F.array_join(F.transform(fields, lambda e: F.concat(_quoted(e["key"]), F.lit(": "), text(e))), ", "), F.lit("}"))
@@ -115,8 +117,9 @@ def with_distribution(scored: DataFrame) -> DataFrame:
     Needs q, expect, answer."""
     probs = F.col("answer.probabilities")
     p = F.transform(probs, lambda e: e["p"])
-    d = scored.withColumn("y", target_index(probs, target_key(F.col("q"), F.col("expect"), probs))).withColumn("p", p)
-    return d.withColumn("top", F.when(F.col("y").isNotNull(), argmax_last(F.col("p")))).withColumn("hit", F.col("top") == F.col("y"))
+    d = once(scored, _key=target_key(F.col("q"), F.col("expect"), probs))
+    d = once(d, y=target_index(probs, F.col("_key")), p=p).drop("_key")
+    return once(d, top=F.when(F.col("y").isNotNull(), argmax_last(F.col("p")))).withColumn("hit", F.col("top") == F.col("y"))
 
 
 def ece(rows: DataFrame, by: list[str], conf: str = "conf", ok: str = "ok", bins: int = 10) -> DataFrame:
@@ -129,8 +132,7 @@ def report(scored: DataFrame) -> DataFrame:
     """One row for all cases and one per question type: cases, scored, accuracy, balanced accuracy (over positions),
     Brier, ECE, mean confidence. Needs q, expect, answer. Accuracy is over rows that can be judged, the others over rows
     with a target; per-bin and per-class partial sums are what is shuffled."""
-    d = with_distribution(scored).withColumn("ok", judge(F.col("expect"), F.col("answer"))).withColumn("qtype", F.col("q.qtype"))
-    d = d.withColumn("conf", F.when(F.col("y").isNotNull(), F.array_max("p"))).withColumn("b", F.when(F.col("y").isNotNull(), brier(F.col("p"), F.col("y"))))
+    d = once(with_distribution(scored), ok=judge(F.col("expect"), F.col("answer")), conf=F.when(F.col("y").isNotNull(), F.array_max("p")), b=F.when(F.col("y").isNotNull(), brier(F.col("p"), F.col("y")))).withColumn("qtype", F.col("q.qtype"))
     d = d.select("qtype", "ok", "y", "hit", "conf", "b", F.col("answer.confidence").alias("confidence")).withColumn("qtype", F.explode(F.array(F.lit("all"), F.col("qtype"))))
     main = d.groupBy("qtype").agg(
         F.count("*").alias("cases"), F.count("ok").alias("scored"), r4(F.coalesce(F.avg(F.col("ok").cast("double")), F.lit(0.0))).alias("accuracy"),
@@ -174,7 +176,7 @@ def gold_decisions(cases: DataFrame) -> DataFrame:
     one = cases.filter("gold is not null and id is not null").withColumn("_r", F.row_number().over(last)).filter("_r = 1")
     g = F.from_json("gold", "map<string,struct<type:string,label:string,probabilities:map<string,double>,score:double>>")
     qs = F.from_json("questions", "map<string,struct<type:string,criteria:string>>")
-    rows = one.select("id", "workflow", "split", F.explode(g).alias("question", "g"), qs.alias("qs"))
+    rows = once(one, qs=qs).select("id", "workflow", "split", F.explode(g).alias("question", "g"), "qs")
     q = F.col("qs")[F.col("question")]
     crit = q["criteria"]
     labels = (
@@ -183,15 +185,16 @@ def gold_decisions(cases: DataFrame) -> DataFrame:
         .when(crit.startswith("{"), F.transform(F.map_entries(F.from_json(crit, "map<string,string>")), lambda e: e["key"]))
         .otherwise(F.from_json(crit, "array<string>"))
     )
-    d = rows.select("id", "workflow", "split", "question", q["type"].alias("qtype"), labels.alias("labels"), F.col("g.probabilities").alias("gp"), F.col("g.label").alias("gold_label"), F.col("g.score").alias("gold_score"))
+    d = once(rows, labels=labels).select("id", "workflow", "split", "question", q["type"].alias("qtype"), "labels", F.col("g.probabilities").alias("gp"), F.col("g.label").alias("gold_label"), F.col("g.score").alias("gold_score"))
     return d.withColumn("gold", F.transform("labels", lambda k: F.coalesce(F.element_at("gp", k), F.lit(0.0)))).drop("gp")
 
 
 def decisions(rows: DataFrame) -> DataFrame:
     """Per decision (gold, pred aligned with labels): correct, soft, peak, kl, tv, brier, mae (score types)."""
     best = argmax_first(F.col("pred"))
-    d = rows.withColumn("guess", F.get("labels", best))
-    return d.withColumn("correct", (F.col("guess") == F.col("gold_label")).cast("double")).withColumn("soft", F.get("gold", best)).withColumn("peak", F.array_max("pred")).withColumn("kl", kl_floor(F.col("gold"), F.col("pred"))).withColumn("tv", total_variation(F.col("gold"), F.col("pred"))).withColumn("brier", squared(F.col("gold"), F.col("pred"))).withColumn("mae", F.when((F.col("qtype") == "score") & F.col("gold_score").isNotNull(), F.abs(expected_level(F.col("pred")) - F.col("gold_score"))))
+    d = once(rows, _best=best)
+    d = d.withColumn("guess", F.get("labels", F.col("_best"))).withColumn("soft", F.get("gold", F.col("_best"))).drop("_best")
+    return d.withColumn("correct", (F.col("guess") == F.col("gold_label")).cast("double")).withColumn("peak", F.array_max("pred")).withColumn("kl", kl_floor(F.col("gold"), F.col("pred"))).withColumn("tv", total_variation(F.col("gold"), F.col("pred"))).withColumn("brier", squared(F.col("gold"), F.col("pred"))).withColumn("mae", F.when((F.col("qtype") == "score") & F.col("gold_score").isNotNull(), F.abs(expected_level(F.col("pred")) - F.col("gold_score"))))
 
 
 _MEANS = ("correct", "soft", "peak", "kl", "tv", "brier", "mae")
@@ -205,7 +208,7 @@ def summary(dec: DataFrame, sets: list[list[str]]) -> DataFrame:
     d = dec.select(*_MEANS, *((keys.alias("_k"),) if cols else ()))
     d = d.select(*_MEANS, *(F.col(f"_k.{c}").alias(c) for c in cols))
     bins = d.groupBy(*cols, ece_bin(F.col("peak")).alias("_b")).agg(F.count("*").alias("n"), *(F.sum(m).alias(m) for m in _MEANS), F.count("mae").alias("_m"), F.sum(F.when(F.col("mae") <= 1, 1).otherwise(0)).alias("_w"))
-    return bins.groupBy(*cols).agg(F.sum("n").alias("n"), *((F.sum(m) / F.sum("n")).alias(m) for m in _MEANS if m != "mae"), (F.sum("mae") / F.sum("_m")).alias("mae"), (F.sum("_w") / F.sum("_m")).alias("within_1"), (F.sum(F.abs(F.col("correct") - F.col("peak"))) / F.sum("n")).alias("ece"))
+    return bins.groupBy(*cols).agg(F.sum("n").alias("n"), *((F.sum(m) / F.sum("n")).alias(m) for m in _MEANS if m != "mae"), F.try_divide(F.sum("mae"), F.sum("_m")).alias("mae"), F.try_divide(F.sum("_w"), F.sum("_m")).alias("within_1"), (F.sum(F.abs(F.col("correct") - F.col("peak"))) / F.sum("n")).alias("ece"))
 
 
 def macro_f1(dec: DataFrame) -> DataFrame:

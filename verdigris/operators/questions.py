@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdigris.functions.once import once
+
 MAX_SLOTS, MAX_OPTIONS, MAX_QUESTIONS, LONG_STATE_BYTES = 26, 256, 64, 2000
 TYPES = ("boolean", "noul", "choice", "score", "numeric")
 FIELDS = ("type", "instructions", "criteria", "min", "max", "step", "granularity", "allow_abstain")
@@ -235,7 +237,7 @@ def compile_units(rows: DataFrame, expand: str = "probes", layout: str = "auto")
 
     q = F.col("q")
     per = Window.partitionBy("req_id")
-    base = rows.withColumn("q", parse_question(F.col("question"))).withColumn("big", expansion(q))
+    base = once(rows, q=parse_question(F.col("question"))).withColumn("big", expansion(q))
     if expand == "probes":
         count = F.when(F.col("big"), F.size(q["criteria"])).otherwise(1)
     else:
@@ -255,6 +257,6 @@ def compile_units(rows: DataFrame, expand: str = "probes", layout: str = "auto")
     else:
         stem = F.when(q["instructions"] == "", "Choose the best option.").otherwise(q["instructions"])
         many = F.transform(pages(q), lambda pg, i: F.struct(i.alias("sub_idx"), none.cast("string").alias("key"), sub("choice", F.concat(stem, F.lit("\nThese candidates are a subset — pick the best among them.")), pg, "map").alias("u")))
-    units = base.select("*", F.explode(F.when(F.col("big"), many).otherwise(whole)).alias("x")).withColumn("slots", slots(F.col("x.u")))
+    units = once(base.select("*", F.explode(F.when(F.col("big"), many).otherwise(whole)).alias("x")), slots=slots(F.col("x.u")))
     bucket = F.when(F.col("x.u.qtype") == "noul", "boolean").otherwise(F.col("x.u.qtype"))
     return units.select("req_id", "q_pos", "q_name", F.col("x.sub_idx").alias("sub_idx"), F.col("q.qtype").alias("qtype"), bucket.alias("bucket"), F.col("x.key").alias("key"), F.col("q.allow_abstain").alias("allow_abstain"), "slots", "layout", user_message(F.col("state"), F.col("x.u"), F.col("slots"), F.col("layout"), F.col("_preamble")).alias("prompt"))

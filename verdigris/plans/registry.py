@@ -6,16 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verdigris.plans import drift
+from verdigris.plans import decide, drift, prepare, retrieval
+
+
+def _parts() -> list:
+    return [decide.R, retrieval.R, prepare.R]
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return drift.p6_found(spark, d)
+    return decide.flagship_report(spark, d)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return drift.queries()
+    out = drift.queries()
+    for r in _parts():
+        out |= r.queries
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return drift.oracle_sql()
+    out = drift.oracle_sql()
+    for r in _parts():
+        out |= r.sql
+    return out

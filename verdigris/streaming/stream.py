@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from verdigris.operators.decide import decode
 from verdigris.operators.logits import LogitSource, memoised
 from verdigris.operators.questions import parse_question, slots, user_message
+from verdigris.functions.once import once
 from verdigris.functions.prob import softmax
 
 
@@ -16,15 +17,15 @@ def units_of(states: DataFrame, questions: DataFrame) -> DataFrame:
     """Every state (state_id, state, ...) with every question (q_name, question) of a fixed set, which is broadcast; one unit
     each. Stateless, so it works on batches and streams alike."""
     q = questions.select("q_name", parse_question(F.col("question")).alias("q"))
-    u = states.crossJoin(F.broadcast(q)).withColumn("slots", slots(F.col("q")))
+    u = once(states.crossJoin(F.broadcast(q)), slots=slots(F.col("q")))
     none = F.array().cast("array<string>")
-    return u.withColumn("prompt", user_message(F.col("state"), F.col("q"), F.col("slots"), F.lit("question_first"), none))
+    return once(u, prompt=user_message(F.col("state"), F.col("q"), F.col("slots"), F.lit("question_first"), none))
 
 
 def decide_stream(states: DataFrame, questions: DataFrame, source: LogitSource, t: float = 1.0) -> DataFrame:
     """Answers per state and question; the source must be stateless (a column, an expression, a hash)."""
-    scored = source.attach(units_of(states, questions))
-    answer = decode(F.col("q.qtype"), F.col("slots"), softmax(F.col("logits"), t))
+    scored = once(source.attach(units_of(states, questions)), p=softmax(F.col("logits"), t))
+    answer = decode(F.col("q.qtype"), F.col("slots"), F.col("p"))
     return scored.select(*states.columns, "q_name", F.col("q.qtype").alias("qtype"), answer.alias("answer"))
 
 
