@@ -38,6 +38,10 @@ def field_terms(docs: DataFrame, analyse=terms_udf) -> DataFrame:
     return docs.select("doc", *(analyse(F.coalesce(f, F.lit(""))).alias(f"t_{f}") for f in WEIGHTS))
 
 
+def _tagged(field: str) -> Column:
+    return F.transform(f"t_{field}", lambda x: F.struct(x.alias("term"), F.lit(field).alias("field")))
+
+
 def build_index(docs: DataFrame, analyse=terms_udf, keep=lambda df: df) -> Index:
     """Index of documents (doc, path, symbol, body). keep() may store the analysed table, which is read twice: for the
     lengths and for the postings. Term counts are partial sums per task; a term that is in every document is one row per
@@ -46,7 +50,7 @@ def build_index(docs: DataFrame, analyse=terms_udf, keep=lambda df: df) -> Index
     n = F.size
     lens = t.select(*(n(f"t_{f}").alias(f) for f in WEIGHTS)).agg(*(F.avg(f).alias(f) for f in WEIGHTS), F.count("*").alias("docs")).first()
     total = lens["docs"]
-    each = t.select("doc", *(n(f"t_{f}").alias(f"len_{f}") for f in WEIGHTS), F.explode(F.concat(*(F.transform(f"t_{f}", lambda x, f=f: F.struct(x.alias("term"), F.lit(f).alias("field"))) for f in WEIGHTS))).alias("e"))
+    each = t.select("doc", *(n(f"t_{f}").alias(f"len_{f}") for f in WEIGHTS), F.explode(F.concat(*map(_tagged, WEIGHTS))).alias("e"))
     tf = each.groupBy("doc", F.col("e.term").alias("term")).agg(*(F.least(F.lit(MOST_TF), F.sum((F.col("e.field") == f).cast("int"))).alias(f"tf_{f}") for f in WEIGHTS), *(F.first(f"len_{f}").alias(f"len_{f}") for f in WEIGHTS))
     rel = {f: F.col(f"len_{f}") / F.lit(float(lens[f])) if lens[f] else F.lit(0.0) for f in WEIGHTS}
     weight = sum((F.col(f"tf_{f}") * (WEIGHTS[f] / (1 - B[f] + B[f] * rel[f])) for f in WEIGHTS), F.lit(0.0))

@@ -114,7 +114,7 @@ def txt_12_kinds(spark: SparkSession, d: str) -> DataFrame:
     return p.select("path", chunks.is_prose(F.col("path")).alias("prose"), chunks.is_doc(F.col("path")).alias("doc"))
 
 
-@add("SELECT chunk_id AS doc FROM corpus WHERE regexp_matches(text, '^.*retry queue', 'im')")
+@add("SELECT chunk_id AS doc FROM corpus WHERE regexp_matches(text, '(?mi)^.*retry queue')")
 def txt_18_grep(spark: SparkSession, d: str) -> DataFrame:
     return corpus(spark, d).filter(tx.smart_match(F.col("body"), "^.*retry queue")).select("doc")
 
@@ -160,15 +160,14 @@ def lex_14_search(spark: SparkSession, d: str) -> DataFrame:
     return s.select("query_id", "doc", r6(F.col("score")).alias("score"))
 
 
-@add("""WITH a AS (SELECT l_orderkey, l_linenumber AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS r1, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_linenumber) AS r2 FROM lineitem)
-SELECT l_orderkey, doc, round((1.0::DOUBLE / (60 + r1) + 1.0::DOUBLE / (60 + r2)) * 1e9) / 1e9 AS score FROM a""")
+@add("""WITH a AS (SELECT c_nationkey, c_custkey AS doc, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS r1, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_name, c_custkey) AS r2 FROM customer)
+SELECT c_nationkey, doc, round((1.0::DOUBLE / (60 + r1) + 1.0::DOUBLE / (60 + r2)) * 1e9) / 1e9 AS score FROM a""")
 def lex_15_rrf(spark: SparkSession, d: str) -> DataFrame:
-    """Two rankings of each order's lines fused."""
-    li = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("doc"), "l_extendedprice", "l_quantity")
-    w = lambda *o: F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*o))
-    a = li.withColumn("ranking", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("r1", w(F.lit(0))).drop("r1")
-    a = li.select("l_orderkey", "doc", F.lit(1).alias("ranking"), w(F.desc("l_extendedprice"), "doc").alias("rank")).unionByName(li.select("l_orderkey", "doc", F.lit(2).alias("ranking"), w("l_quantity", "doc").alias("rank")))
-    return lexical.rrf(a, by=["l_orderkey"]).select("l_orderkey", "doc", (F.round(F.col("score") * 1e9) / 1e9).alias("score"))
+    """Two rankings of each nation's customers fused."""
+    c = table(spark, d, "customer").select("c_nationkey", F.col("c_custkey").alias("doc"), "c_acctbal", "c_name")
+    w = lambda *o: F.row_number().over(Window.partitionBy("c_nationkey").orderBy(*o, "doc"))
+    a = c.select("c_nationkey", "doc", F.lit(1).alias("ranking"), w(F.desc("c_acctbal")).alias("rank")).unionByName(c.select("c_nationkey", "doc", F.lit(2).alias("ranking"), w("c_name").alias("rank")))
+    return lexical.rrf(a, by=["c_nationkey"]).select("c_nationkey", "doc", (F.round(F.col("score") * 1e9) / 1e9).alias("score"))
 
 
 @add("SELECT path, min(chunk_id) AS doc, length(string_agg(coalesce(text, ''), chr(10))) AS chars FROM corpus GROUP BY path")
@@ -261,7 +260,7 @@ def tre_13_syntax(spark: SparkSession, d: str) -> DataFrame:
     return p.select("path", descend.syntax_column(F.col("path")).alias("syntax"))
 
 
-@add("SELECT path, array_to_string(list(symbol ORDER BY at), '|') AS symbols FROM (SELECT path, symbol, min(chunk_id) AS at FROM corpus WHERE symbol IS NOT NULL GROUP BY path, symbol) GROUP BY path")
+@add("SELECT path, array_to_string(list(symbol ORDER BY first), '|') AS symbols FROM (SELECT path, symbol, min(chunk_id) AS first FROM corpus WHERE symbol IS NOT NULL GROUP BY path, symbol) GROUP BY path")
 def tre_14_symbols(spark: SparkSession, d: str) -> DataFrame:
     s = corpus(spark, d).filter("symbol is not null").groupBy("path", "symbol").agg(F.min("doc").alias("at"))
     return s.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "symbol"))), lambda x: x["symbol"]), "|").alias("symbols"))
