@@ -16,3 +16,8 @@ def once(df: DataFrame, **cols: Column) -> DataFrame:
     names = [c for c in df.columns if c not in cols]
     x = F.explode(F.array(F.struct(*(c.alias(k) for k, c in cols.items()))))
     return df.select(*names, x.alias("_once")).select(*names, *(F.col(f"_once.{k}").alias(k) for k in cols))
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once: inside a lambda an outer expression is evaluated for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from verdigris.functions.once import let
+
 
 
 
@@ -13,11 +15,16 @@ def asum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
+def scaled(a: Column) -> Column:
+    """a divided by its sum."""
+    return let(asum(a), lambda s: F.transform(a, lambda x: x / s))
+
+
 def softmax(logits: Column, t: Column | float = 1.0) -> Column:
     """exp((l - max) / T), normalised."""
     t = t if isinstance(t, Column) else F.lit(float(t))
-    e = F.transform(logits, lambda x: F.exp((x - F.array_max(logits)) / t))
-    return F.transform(e, lambda x: x / asum(e))
+    e = let(F.array_max(logits), lambda m: F.transform(logits, lambda x: F.exp((x - m) / t)))
+    return let(e, scaled)
 
 
 def half_up(x: Column, digits: int) -> Column:
@@ -58,13 +65,13 @@ def gap(p: Column) -> Column:
 
 def normalise(p: Column) -> Column:
     """L1-normalised; null when the sum isn't positive."""
-    return F.when(asum(p) > 0, F.transform(p, lambda x: x / asum(p)))
+    return let(asum(p), lambda s: F.when(s > 0, F.transform(p, lambda x: x / s)))
 
 
 def powered(p: Column, t: Column) -> Column:
     """p^(1/T), renormalised unless all is 0."""
     q = F.transform(p, lambda x: F.pow(x, 1.0 / t))
-    return F.when(asum(q) > 0, F.transform(q, lambda x: x / asum(q))).otherwise(q)
+    return let(q, lambda v: let(asum(v), lambda s: F.when(s > 0, F.transform(v, lambda x: x / s)).otherwise(v)))
 
 
 def nll(p: Column, y: Column) -> Column:
@@ -79,16 +86,14 @@ def brier(p: Column, y: Column) -> Column:
 
 def cross_entropy(logits: Column, target: Column) -> Column:
     """-sum t log softmax(l)."""
-    m = F.array_max(logits)
-    z = m + F.log(asum(F.transform(logits, lambda x: F.exp(x - m))))
-    return -asum(F.zip_with(logits, target, lambda x, t: t * (x - z)))
+    z = let(F.array_max(logits), lambda m: m + F.log(asum(F.transform(logits, lambda x: F.exp(x - m)))))
+    return let(z, lambda v: -asum(F.zip_with(logits, target, lambda x, t: t * (x - v))))
 
 
 def kl_floor(g: Column, p: Column, floor: float = 1e-6) -> Column:
     """KL(g || p), p being floored and renormalised; terms with g = 0 are 0."""
     c = F.transform(p, lambda x: F.greatest(x, F.lit(floor)))
-    z = asum(c)
-    return asum(F.zip_with(g, c, lambda a, b: F.when(a > 0, a * F.log(a / (b / z))).otherwise(F.lit(0.0))))
+    return let(c, lambda v: let(asum(v), lambda z: asum(F.zip_with(g, v, lambda a, b: F.when(a > 0, a * F.log(a / (b / z))).otherwise(F.lit(0.0))))))
 
 
 def total_variation(g: Column, p: Column) -> Column:

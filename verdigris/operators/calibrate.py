@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -116,31 +119,35 @@ def calibrated(samples: DataFrame, temps: DataFrame, by: list[str]) -> DataFrame
     return j.withColumn("conf", F.get("q", top)).withColumn("ok", top == F.col("y")).drop("q", "temperature")
 
 
-def _poisson(u: Column) -> Column:
-    """Poisson(1) draws from uniform numbers."""
-    out, cdf, p = F.lit(0), 0.0, math.exp(-1)
-    for k in range(12):
-        cdf += p
-        out = F.when(u > cdf, F.lit(k + 1)).otherwise(out)
-        p /= k + 1
-    return out
-
-
-def bootstrap_ece(rows: DataFrame, group: str = "case_id", resamples: int = RESAMPLES, seed: int = 17, batch: int = 50) -> DataFrame:
+def bootstrap_ece(rows: DataFrame, group: str = "case_id", resamples: int = RESAMPLES, seed: int = 17) -> DataFrame:
     """(lo, hi): 95 % interval of the ECE of (group, conf, ok) under resampling of whole groups. Rows are first reduced to
-    sums per group and bin; a resample weights each group by a Poisson draw from a hash of (seed, resample, group). All
-    resamples of a batch share one row per group, as array columns, so rows aren't multiplied by the resamples."""
-    cells = rows.groupBy(group, F.least(F.lit(9), F.floor(F.col("conf") * 10)).alias("b")).agg(F.sum(F.col("ok").cast("double") - F.col("conf")).alias("d"), F.count("*").alias("n"))
-    out: list[float] = []
-    uniform = lambda i: (F.pmod(F.xxhash64(F.lit(seed), i, F.col(group)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    cells = stored(cells, "cells")
-    for at in range(0, resamples, batch):
-        ws = [_poisson(uniform(F.lit(i))) for i in range(at, min(at + batch, resamples))]
-        sums = cells.groupBy("b").agg(*(x for i, w in enumerate(ws) for x in (F.sum(F.col("d") * w).alias(f"d{i}"), F.sum(F.col("n") * w).alias(f"n{i}")))).collect()
-        for i in range(len(ws)):
-            n = sum(r[f"n{i}"] for r in sums)
-            out.append(sum(abs(r[f"d{i}"]) for r in sums) / n if n else 0.0)
-    out.sort()
+    sums per group and bin; a resample weights each group by a Poisson(1) draw from a hash of (seed, resample, group), so
+    draws need no order and no gathering. Each task adds its groups up to one row per resample and bin."""
+    cells = rows.groupBy(group, F.least(F.lit(9), F.floor(F.col("conf") * 10)).cast("int").alias("b")).agg(F.sum(F.col("ok").cast("double") - F.col("conf")).alias("d"), F.count("*").alias("n"))
+
+    def draw(batches):
+        cdf = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(13)])
+        d, n = np.zeros((resamples, 10)), np.zeros((resamples, 10))
+        salt = (np.arange(resamples, dtype=np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+        for batch in batches:
+            h, b, dd, nn = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            for at in range(0, len(h), 4096):
+                part = slice(at, at + 4096)
+                x = h[part].astype(np.int64).view(np.uint64)[None, :] ^ salt[:, None]
+                for m, r in ((0xBF58476D1CE4E5B9, 30), (0x94D049BB133111EB, 27)):
+                    x = (x ^ (x >> np.uint64(r))) * np.uint64(m)
+                w = np.searchsorted(cdf, (x >> np.uint64(11)) / float(1 << 53)).astype(float)
+                for k in range(10):
+                    at_k = b[part] == k
+                    if at_k.any():
+                        d[:, k] += w[:, at_k] @ dd[part][at_k]
+                        n[:, k] += w[:, at_k] @ nn[part][at_k]
+        i = np.repeat(np.arange(resamples), 10)
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(np.tile(np.arange(10), resamples), pa.int32()), pa.array(d.ravel()), pa.array(n.ravel())], names=["i", "b", "d", "n"])
+
+    sums = cells.select(F.xxhash64(group).alias("h"), "b", "d", F.col("n").cast("double").alias("n")).mapInArrow(draw, "i int, b int, d double, n double")
+    per = sums.groupBy("i", "b").agg(F.sum("d").alias("d"), F.sum("n").alias("n")).groupBy("i").agg(F.sum(F.abs("d")).alias("d"), F.sum("n").alias("n"))
+    out = sorted(r["d"] / r["n"] if r["n"] else 0.0 for r in per.collect())  # one number per resample
     pair = (out[len(out) // 40], out[min(len(out) * 39 // 40, len(out) - 1)]) if out else (0.0, 0.0)
     return rows.sparkSession.createDataFrame([pair], "lo double, hi double")
 

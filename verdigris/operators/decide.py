@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.functions.once import once
+from verdigris.functions.once import let, once
 from verdigris.functions.prob import argmax_last, asum, confidence, gap, half_up, r4, r6, softmax
 from verdigris.operators.questions import ABOVE, ABSTAIN, BELOW
 
@@ -71,7 +71,7 @@ def _folded(keys: Column, share: Column, best: Column, state: Column) -> Column:
 
 
 def _share(p: Column) -> Column:
-    return F.when(asum(p) > 0, F.transform(p, lambda x: x / asum(p))).otherwise(F.transform(p, lambda x: 1.0 / F.size(p)))
+    return let(asum(p), lambda s: F.when(s > 0, F.transform(p, lambda x: x / s)).otherwise(F.transform(p, lambda x: 1.0 / F.size(p))))
 
 
 def merge_scored(keys: Column, p: Column, allow_abstain: Column) -> Column:

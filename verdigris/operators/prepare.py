@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from verdigris.functions.once import let, once
 from verdigris.functions.prob import asum
 from verdigris.functions.text import norm_text, shingles
 from verdigris.operators.drift import soft_labels
@@ -61,13 +62,13 @@ def case_errors(q: Column, expect: Column, state: Column, id_: Column) -> Column
 
 
 def minhash(sh: Column, n: int = BANDS * BAND) -> Column:
-    """n minima of hashes of the shingles: one 64-bit hash per shingle, mixed with each index by multiply and shift."""
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.array_min(F.transform(sh, lambda s: F.xxhash64(i, s))))
+    """n minima of hashes of the shingles: one 64-bit hash per shingle and index."""
+    return let(sh, lambda v: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.array_min(F.transform(v, lambda s: F.xxhash64(i, s)))))
 
 
 def bands(sig: Column) -> Column:
     """(band, hash) of a signature."""
-    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(b, F.slice(sig, b * BAND + 1, BAND)).alias("h")))
+    return let(sig, lambda v: F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(b, F.slice(v, b * BAND + 1, BAND)).alias("h"))))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -156,9 +157,11 @@ def contaminated(cases: DataFrame, evals: DataFrame, ascii_only: bool = False) -
 
     e_in_c = within(e, "eval_id", c, "id").filter((F.char_length("big") < 60) | (F.char_length("small") >= 30)).select("id", "eval_id")
     c_in_e = within(c, "id", e, "eval_id").select("id", "eval_id")
-    # texts of one or two words have no inner word: they are looked for one by one, the evaluation side being broadcast
-    few = F.broadcast(e.withColumnRenamed("t", "te"))
-    short = c.withColumnRenamed("t", "tc").join(few, (F.size(F.split("te", " ")) <= 2) & F.contains(F.col("tc"), F.col("te")) & ((F.char_length("tc") < 60) | (F.char_length("te") >= 30)) | (F.size(F.split("tc", " ")) <= 2) & F.contains(F.col("te"), F.col("tc"))).select("id", "eval_id")
+    # texts of one or two words have no inner word: these few are looked for one by one, the evaluation side being broadcast
+    brief = F.size(F.split("t", " ")) <= 2
+    short_e = c.withColumnRenamed("t", "tc").join(F.broadcast(e.filter(brief).withColumnRenamed("t", "te")), F.contains(F.col("tc"), F.col("te")) & ((F.char_length("tc") < 60) | (F.char_length("te") >= 30))).select("id", "eval_id")
+    short_c = c.filter(brief).withColumnRenamed("t", "tc").join(F.broadcast(e.withColumnRenamed("t", "te")), F.contains(F.col("te"), F.col("tc"))).select("id", "eval_id")
+    short = short_e.union(short_c)
     return near.union(e_in_c).union(c_in_e).union(short).distinct()
 
 
@@ -235,7 +238,7 @@ def soft_map(q: Column, soft: Column) -> Column:
 def project(sl: Column, dist: Column) -> Column:
     """Weights of a distribution per slot."""
     at = F.transform(dist, lambda x: F.struct(slot_index(sl, x["key"]).alias("i"), x["p"].alias("p")))
-    return F.transform(sl, lambda s, i: asum(F.transform(F.filter(at, lambda x: x["i"] == i), lambda x: x["p"])))
+    return let(at, lambda v: F.transform(sl, lambda s, i: asum(F.transform(F.filter(v, lambda x: x["i"] == i), lambda x: x["p"]))))
 
 
 def smoothed_gold(sl: Column, gi: Column, qtype: Column, eps: float = SMOOTHING) -> Column:
@@ -251,22 +254,23 @@ def smoothed_gold(sl: Column, gi: Column, qtype: Column, eps: float = SMOOTHING)
     return F.when(gold["special"], special).when(qtype.isin("score", "numeric"), ordinal).otherwise(flat)
 
 
-def build_target(q: Column, e: Column, soft: Column, eps: float = SMOOTHING) -> Column:
-    """Struct (gold, source, unmatched, target): human votes where there are any with a maximum below .99, mass beyond .05
-    that fits no slot going to the gold; else the smoothed gold; null target without either."""
-    sl, gi = slots(q), gold_index(q, e, slots(q))
+def with_target(cases: DataFrame, eps: float = SMOOTHING) -> DataFrame:
+    """Cases (q, e, slots, soft) with gold (slot of the verified label), target_source, unmatched and target: human votes
+    where there are any with a maximum below .99, mass beyond .05 that fits no slot going to the gold; else the smoothed
+    gold; null target without either."""
     alias = lambda k: F.when(F.lower(k) == "true", "yes").when(F.lower(k) == "false", "no").otherwise(k)
-    d = soft_map(q, soft)
-    d = F.when(q["qtype"].isin("boolean", "noul"), F.transform(d, lambda x: F.struct(alias(x["key"]).alias("key"), x["p"].alias("p")))).otherwise(d)
-    use = F.array_max(F.transform(d, lambda x: x["p"])) < 0.99
-    vec = project(sl, d)
-    total = asum(vec)
-    unmatched = asum(F.transform(d, lambda x: x["p"])) - total
-    norm = F.when(total > 0, F.transform(vec, lambda x: x / total)).otherwise(vec)
-    fixed = F.transform(norm, lambda x, i: x + F.when(i == gi, unmatched).otherwise(0.0))
-    softened = F.when((unmatched > 0.05) & gi.isNotNull(), F.transform(fixed, lambda x: x / asum(fixed))).otherwise(norm)
-    gold = F.when(gi.isNotNull(), smoothed_gold(sl, gi, q["qtype"], eps))
-    return F.struct(gi.alias("gold"), F.when(use, "soft").when(gi.isNotNull(), "gold").alias("source"), F.when(use, unmatched).otherwise(0.0).alias("unmatched"), F.when(use, softened).otherwise(gold).alias("target"))
+    c = once(cases, gold=gold_index(F.col("q"), F.col("e"), F.col("slots")), _d=soft_map(F.col("q"), F.col("soft")))
+    yes_no = F.col("q.qtype").isin("boolean", "noul")
+    c = once(c, _d=F.when(yes_no, F.transform("_d", lambda x: F.struct(alias(x["key"]).alias("key"), x["p"].alias("p")))).otherwise(F.col("_d")))
+    c = once(c, _v=project(F.col("slots"), F.col("_d")), _use=F.coalesce(F.array_max(F.transform("_d", lambda x: x["p"])) < 0.99, F.lit(False)), _all=asum(F.transform("_d", lambda x: x["p"])))
+    c = once(c, _t=asum(F.col("_v")))
+    c = once(c, _n=F.when(F.col("_t") > 0, F.transform("_v", lambda x: x / F.col("_t"))).otherwise(F.col("_v")), unmatched=F.when(F.col("_use"), F.col("_all") - F.col("_t")).otherwise(0.0))
+    fixed = F.transform("_n", lambda x, i: x + F.when(i == F.col("gold"), F.col("unmatched")).otherwise(0.0))
+    c = once(c, _f=F.when((F.col("unmatched") > 0.05) & F.col("gold").isNotNull(), fixed).otherwise(F.col("_n")))
+    c = once(c, _s=asum(F.col("_f")), _g=F.when(F.col("gold").isNotNull(), smoothed_gold(F.col("slots"), F.col("gold"), F.col("q.qtype"), eps)))
+    soft = F.when((F.col("unmatched") > 0.05) & (F.col("_s") > 0), F.transform("_f", lambda x: x / F.col("_s"))).otherwise(F.col("_f"))
+    c = once(c, target=F.when(F.col("_use"), soft).otherwise(F.col("_g")), target_source=F.when(F.col("_use"), "soft").when(F.col("gold").isNotNull(), "gold"))
+    return c.drop("_d", "_v", "_use", "_all", "_t", "_n", "_f", "_s", "_g")
 
 
 def merge_target(anchor_key: Column, anchor_mass: Column, dist: Column) -> Column:

@@ -159,8 +159,8 @@ def prp_13_p_yes(spark: SparkSession, d: str) -> DataFrame:
 
 @add()
 def prp_20_targets(spark: SparkSession, d: str) -> DataFrame:
-    c = once(cases(spark, d), t=prepare.build_target(F.col("q"), F.col("e"), F.col("soft")))
-    return c.select("record_no", "t.gold", "t.source", r6(F.col("t.unmatched")).alias("unmatched"), F.array_join(F.transform("t.target", lambda x: F.format_number(x, 4)), ",").alias("target"))
+    c = prepare.with_target(cases(spark, d))
+    return c.select("record_no", "gold", "target_source", r6(F.col("unmatched")).alias("unmatched"), F.array_join(F.transform("target", lambda x: F.format_number(x, 4)), ",").alias("target"))
 
 
 @add(f"""WITH {CASES_SQL}, g AS (SELECT record_no, qtype, c, ej->>'choice' AS ch, (ej->>'boolean')::BOOLEAN AS bo, (ej->>'level')::INT AS lv, ej->>'status' AS s FROM t2 WHERE qtype IN ('boolean', 'noul', 'choice', 'score') AND NOT ab),
