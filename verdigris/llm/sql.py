@@ -26,4 +26,13 @@ terms AS (SELECT chunk_id, unnest(regexp_extract_all(lower(coalesce(path, '') ||
 tf AS (SELECT chunk_id, term, count(*) AS tf FROM terms GROUP BY chunk_id, term),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
 SELECT chunk_id, term FROM tf JOIN df USING (term) WHERE tf >= 3 AND df BETWEEN 2 AND 5""",
+    "p4_found": r"""
+WITH tv AS (SELECT id, state FROM typed_decisions WHERE split = 'test' AND state IS NOT NULL AND id IS NOT NULL),
+va AS (SELECT id, state AS v FROM tv WHERE NOT json_valid(state) OR json_type(CASE WHEN json_valid(state) THEN state END) NOT IN ('OBJECT', 'ARRAY', 'VARCHAR')
+  UNION ALL SELECT tv.id, j.atom->>'$' FROM (SELECT * FROM tv WHERE json_valid(state)) tv, json_tree(tv.state) j WHERE j.type = 'VARCHAR' AND json_type(tv.state) IN ('OBJECT', 'ARRAY', 'VARCHAR')),
+cw AS (SELECT id, regexp_extract_all(lower(v), '[\p{L}\p{N}]+') AS w FROM va),
+cg AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM cw WHERE len(w) >= 12),
+dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM dw WHERE len(w) >= 12)
+SELECT DISTINCT doc_id, id AS case_id FROM dg JOIN cg USING (g)""",
 }
