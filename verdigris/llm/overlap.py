@@ -181,9 +181,10 @@ def sparse_suffixes(classes: DataFrame, counts: np.ndarray | None) -> DataFrame:
         for b in batches:
             rows, ns, hs, at = [], [], [], []
             for i, n, h, _ in hashes(b):
-                if n < ONE_IN:  # nothing may differ: only equal texts, which are one class already
+                k = (ONE_IN * n // (ONE_IN - 1)) // ONE_IN  # words that may differ from the longest text it can pair with
+                if not k:  # only equal texts, which are one class already
                     continue
-                want = Q * ((n + n // (ONE_IN - 1) + 1) // ONE_IN) + 1
+                want = Q * k + 1
                 order = np.lexsort((h[:, 0], rarity[(h[:, 0] % np.uint64(COUNTERS)).astype(np.int64)]))[:want]
                 rows.extend([i] * len(order))
                 ns.extend([n] * len(order))

@@ -90,7 +90,7 @@ def split_text(text: str, max_chars: int = MAX_CHARS, max_lines: int = MAX_LINES
         if text[at - 1] == "\n" and overlap_lines:
             last = t.line(at - 1)
             for keep in range(overlap_lines, 0, -1):
-                s = t.starts[max(0, last - keep + 1)]
+                s = max(start, t.starts[max(0, last - keep + 1)])
                 if at - s <= max_chars - 2 * overlap_chars and keep < max_lines:
                     tail = s
                     break
