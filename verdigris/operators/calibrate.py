@@ -157,14 +157,14 @@ def fit(samples: DataFrame, resamples: int = RESAMPLES) -> tuple[DataFrame, Data
     and out-of-fold with intervals and whether they are apart. Folds are by case; a fold with fewer than two other samples is
     left out; pooled over buckets."""
     s = stored(samples.select("case_id", "bucket", "p", "y").withColumn("fold", fold_udf("case_id")), "samples")
-    temps = fit_temperatures(s, ["bucket"])
+    # fitted on all (held = -1) and, for each fold, on the others: one loop for all of them
+    held = F.array_union(F.array(F.lit(-1)), F.filter(F.sequence(F.lit(0), F.lit(FOLDS - 1)), lambda f: f != F.col("fold")))
+    each = stored(s.withColumn("held", F.explode(held)).drop("fold"), "folds")
+    fits = fit_temperatures(each, ["bucket", "held"], least=2)
+    temps = fits.filter("held = -1").withColumn("temperature", F.when(F.col("n") >= MIN_SAMPLES, F.col("temperature")).otherwise(1.0)).drop("held")
     after = calibrated(s, temps, ["bucket"])
-    ones = temps.withColumn("temperature", F.lit(1.0))
-    before = calibrated(s, ones, ["bucket"])
-    # for each fold: fitted on the others
-    others = s.withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1)))).filter("held <> fold").drop("fold")
-    oof_t = fit_temperatures(others, ["bucket", "held"], least=2).filter("n >= 2").withColumnRenamed("held", "fold")
-    oof = calibrated(s, oof_t, ["bucket", "fold"])
+    before = calibrated(s, temps.withColumn("temperature", F.lit(1.0)), ["bucket"])
+    oof = calibrated(s, fits.filter("held >= 0 and n >= 2").withColumnRenamed("held", "fold"), ["bucket", "fold"])
     used = after if oof.isEmpty() else oof
     cols = ["case_id", "conf", "ok"]
     ci_b, ci_o = bootstrap_ece(before.select(*cols), resamples=resamples).first(), bootstrap_ece(used.select(*cols), resamples=resamples).first()

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdigris.session import spread
+
 MAX_FILE_BYTES, MAX_LINES, MAX_CHARS, SNIFF, MINIFIED, MIN_SECTION = 1 << 20, 60, 1600, 8192, 1000, 5
 # Extensions of prose, and of further documents that are no code (fixed values).
 PROSE = ("md", "markdown", "mdx", "rst", "adoc", "txt", "org")
@@ -239,4 +241,4 @@ def split_files(files: DataFrame, path: str = "path", text: str = "text") -> Dat
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()))], names=["path", "start", "end", "symbol", "text"])
 
-    return files.select(path, text).mapInArrow(run, CHUNK)
+    return spread(files.select(path, text)).mapInArrow(run, CHUNK)

@@ -7,14 +7,18 @@ never travel, only the postings of the queries' terms.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from verdigris.functions.text import terms_udf
+from verdigris.functions.text import terms, terms_udf
 from verdigris.operators.chunks import is_doc
+from verdigris.session import spread
 
 WEIGHTS = {"path": 2.0, "symbol": 3.0, "body": 1.0}
 B = {"path": 0.5, "symbol": 0.5, "body": 0.75}
@@ -33,32 +37,73 @@ def simple_terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def field_terms(docs: DataFrame, analyse=terms_udf) -> DataFrame:
-    """(doc, t_path, t_symbol, t_body): analysed fields of (doc, path, symbol, body)."""
-    return docs.select("doc", *(analyse(F.coalesce(f, F.lit(""))).alias(f"t_{f}") for f in WEIGHTS))
+def term_counts(docs: DataFrame, analyse=terms_udf) -> DataFrame:
+    """(doc, path, term, tf_path, tf_symbol, tf_body) of documents (doc, path, symbol, body).
+
+    With the full analyser a document's terms are counted where they are found, in the Python worker, so what comes back is
+    one row per document and term; other analysers are column expressions and are counted by an aggregation.
+    """
+    if analyse is not terms_udf:
+        t = docs.select("doc", "path", *(analyse(F.coalesce(f, F.lit(""))).alias(f"t_{f}") for f in WEIGHTS))
+        each = t.select("doc", "path", F.explode(F.concat(*map(_tagged, WEIGHTS))).alias("e"))
+        return each.groupBy("doc", "path", F.col("e.term").alias("term")).agg(*(F.sum((F.col("e.field") == f).cast("int")).alias(f"tf_{f}") for f in WEIGHTS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row: list[int] = []
+            term: list[str] = []
+            tf: list[list[int]] = [[], [], []]
+            for i, fields in enumerate(zip(*(b.column(c).to_pylist() for c in WEIGHTS))):
+                counts: dict[str, list[int]] = {}
+                for f, text in enumerate(fields):
+                    for t in terms(text):
+                        c = counts.get(t)
+                        if c is None:
+                            c = counts[t] = [0, 0, 0]
+                        c[f] += 1
+                row.extend([i] * len(counts))
+                term.extend(counts)
+                for f in range(3):
+                    tf[f].extend(c[f] for c in counts.values())
+            take = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc").take(take), b.column("path").take(take), pa.array(term, pa.string()), *(pa.array(x, pa.int64()) for x in tf)], names=["doc", "path", "term", *(f"tf_{f}" for f in WEIGHTS)])
+
+    d = docs.select(F.col("doc").cast("long").alias("doc"), *WEIGHTS)
+    return spread(d).mapInArrow(run, "doc long, path string, term string, tf_path long, tf_symbol long, tf_body long")
 
 
 def _tagged(field: str) -> Column:
     return F.transform(f"t_{field}", lambda x: F.struct(x.alias("term"), F.lit(field).alias("field")))
 
 
-def build_index(docs: DataFrame, analyse=terms_udf, keep=lambda df: df) -> Index:
-    """Index of documents (doc, path, symbol, body). keep() may store the analysed table, which is read twice: for the
-    lengths and for the postings. Term counts are partial sums per task; a term that is in every document is one row per
-    document here and only a count in the frequencies."""
-    t = keep(field_terms(docs, analyse))
-    n = F.size
-    lens = t.select(*(n(f"t_{f}").alias(f) for f in WEIGHTS)).agg(*(F.avg(f).alias(f) for f in WEIGHTS), F.count("*").alias("docs")).first()
-    total = lens["docs"]
-    each = t.select("doc", *(n(f"t_{f}").alias(f"len_{f}") for f in WEIGHTS), F.explode(F.concat(*map(_tagged, WEIGHTS))).alias("e"))
-    tf = each.groupBy("doc", F.col("e.term").alias("term")).agg(*(F.least(F.lit(MOST_TF), F.sum((F.col("e.field") == f).cast("int"))).alias(f"tf_{f}") for f in WEIGHTS), *(F.first(f"len_{f}").alias(f"len_{f}") for f in WEIGHTS))
-    rel = {f: F.col(f"len_{f}") / F.lit(float(lens[f])) if lens[f] else F.lit(0.0) for f in WEIGHTS}
-    weight = sum((F.col(f"tf_{f}") * (WEIGHTS[f] / (1 - B[f] + B[f] * rel[f])) for f in WEIGHTS), F.lit(0.0))
-    postings = keep(tf.select("term", "doc", *(f"tf_{f}" for f in WEIGHTS), weight.alias("weight")))
-    freq = postings.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log1p((F.lit(float(total)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+def index_of(counts: DataFrame, total: int) -> Index:
+    """Index of term counts (doc, term, tf per field) of `total` documents. Lengths are sums of counts, so fields are analysed
+    once; a document's counts lie in one place, and partial sums leave one row of it to shuffle."""
+    tfs = [f"tf_{f}" for f in WEIGHTS]
+    lens = counts.groupBy("doc").agg(*(F.sum(c).alias(f"len_{c}") for c in tfs))
+    sums = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in tfs)).first()
+    mean = {f: sums[f"tf_{f}"] / total if total else 0.0 for f in WEIGHTS}
+    rel = {f: F.col(f"len_tf_{f}") / F.lit(float(mean[f])) if mean[f] else F.lit(0.0) for f in WEIGHTS}
+    weight = sum((F.least(F.lit(MOST_TF), F.col(f"tf_{f}")) * (WEIGHTS[f] / (1 - B[f] + B[f] * rel[f])) for f in WEIGHTS), F.lit(0.0))
+    postings = counts.join(lens, "doc").select("term", "doc", *(F.least(F.lit(MOST_TF), F.col(c)).alias(c) for c in tfs), weight.alias("weight"))
+    freq = counts.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log1p((F.lit(float(total)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     return Index(postings, freq, total)
 
 
+def build_index(docs: DataFrame, analyse=terms_udf, keep=lambda df: df) -> Index:
+    """Index of documents (doc, path, symbol, body). keep() may store the counts, which are read several times."""
+    return index_of(keep(term_counts(docs, analyse)), docs.count())
+
+
+def file_counts(counts: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Term counts of whole files from those of their chunks: symbols and bodies add up, the path counts once. A file is named
+    by its smallest doc. No run of word characters crosses the line end between chunks, so this is what analysing the joined
+    texts would give."""
+    first = chunks.groupBy("path").agg(F.min("doc").alias("file"))
+    per = counts.groupBy("path", "term").agg(F.max("tf_path").alias("tf_path"), F.sum("tf_symbol").alias("tf_symbol"), F.sum("tf_body").alias("tf_body"))
+    return per.join(first, "path").select(F.col("file").alias("doc"), "path", "term", "tf_path", "tf_symbol", "tf_body")
+
+
 def search(index: Index, queries: DataFrame, k: int | None = None, analyse=terms_udf) -> DataFrame:
     """(query_id, doc, score, rank) of the documents that share a term with a query (query_id, query): the sum over distinct
     query terms of idf tf* / (k1 + tf*), best first, the smaller doc on ties; at most k per query."""
@@ -99,8 +144,10 @@ def recall(chunks: DataFrame, queries: DataFrame, candidates: int = 64, analyse=
     """(query_id, doc, path, position): candidates of each query. Chunks ranked by their own score are fused with files
     ranked by theirs, each opened into its chunks by their own score; then code and documents alternate. candidates = 0
     keeps all, the chunks that no ranking holds in order at the end."""
-    by_chunk = search(build_index(chunks, analyse, keep), queries, analyse=analyse)
-    files = search(build_index(keep(file_documents(chunks)), analyse, keep), queries, analyse=analyse)
+    counts = keep(term_counts(chunks, analyse))
+    by_chunk = keep(search(index_of(counts, chunks.count()), queries, analyse=analyse))
+    of_files = keep(file_counts(counts, chunks))
+    files = search(index_of(of_files, chunks.select("path").distinct().count()), queries, analyse=analyse)
     where = chunks.select("doc", "path")
     of_file = where.groupBy("path").agg(F.min("doc").alias("file"))
     ranked = files.select("query_id", F.col("doc").alias("file"), F.col("rank").alias("file_rank")).join(of_file, "file").join(where, "path")

@@ -47,13 +47,12 @@ class ArrowLogits:
     """A caller's batch function from prompts and slot counts to logits. Batches come sorted by prompt, so a model can
     reuse the prefix that neighbours share."""
 
-    def __init__(self, score: Callable[[list[str], list[int]], list[list[float]]], dedupe: bool = True):
-        self.score, self.dedupe = score, dedupe
+    def __init__(self, score: Callable[[list[str], list[int]], list[list[float]]]):
+        self.score = score
 
     def attach(self, units: DataFrame) -> DataFrame:
         score = self.score
-        asked = units.select(F.col("prompt").alias("_p"), F.size("slots").alias("_n"))
-        asked = asked.distinct() if self.dedupe else asked
+        asked = units.select(F.col("prompt").alias("_p"), F.size("slots").alias("_n")).distinct()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -67,11 +66,13 @@ class ArrowLogits:
 def memoised(source: LogitSource, units: DataFrame, memo: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(units with logits, new memo rows): prompts found in memo (key, logits) aren't scored again; key is a digest of
     the prompt."""
-    keyed = units.withColumn("key", F.sha2("prompt", 256))
-    hits = keyed.join(memo.select("key", "logits"), "key")
-    fresh = source.attach(keyed.join(memo.select("key"), "key", "left_anti"))
-    cols = [*units.columns, "key", "logits"]
-    return hits.select(*cols).unionByName(fresh.select(*cols)), fresh.select("key", "logits").dropDuplicates(["key"])
+    keyed = units.withColumn("_memo", F.sha2("prompt", 256))
+    known = memo.select(F.col("key").alias("_memo"), "logits")
+    hits = keyed.join(known, "_memo")
+    fresh = source.attach(keyed.join(known.select("_memo"), "_memo", "left_anti"))
+    cols = [*units.columns, "logits"]
+    new = fresh.select(F.col("_memo").alias("key"), "logits").dropDuplicates(["key"])
+    return hits.select(*cols).unionByName(fresh.select(*cols)), new
 
 
 def read_row(tokens: DataFrame, letters: DataFrame) -> DataFrame:

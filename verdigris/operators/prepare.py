@@ -12,7 +12,7 @@ from verdigris.functions.text import norm_text, shingles
 from verdigris.operators.drift import soft_labels
 from verdigris.operators.metrics import parse_expect
 from verdigris.operators.questions import ABOVE, ABSTAIN, BELOW, MAX_SLOTS, anchors, float_text, parse_question, slots
-from verdigris.session import stored
+from verdigris.session import spread, stored
 
 BANDS, BAND, JACCARD, CONTAMINATED, SMOOTHING = 16, 4, 0.8, 0.5, 0.10
 MAX_EVALS = 50_000
@@ -98,7 +98,7 @@ def near_duplicates(df: DataFrame, id_: str, text: str, threshold: float = JACCA
     """(id, keep, links): every row with the smallest id of its class of near-duplicates and the number of different texts
     it is directly linked to. Texts equal after normalisation are one; different ones are linked by a Jaccard similarity of
     5-word shingles at or above the threshold, and classes are connected components. Null and empty texts stand alone."""
-    base = df.select(F.col(id_).cast("long").alias("id"), norm_text(F.coalesce(F.col(text), F.lit("")), ascii_only).alias("norm"))
+    base = spread(df).select(F.col(id_).cast("long").alias("id"), norm_text(F.coalesce(F.col(text), F.lit("")), ascii_only).alias("norm"))
     base = base.withColumn("h", F.when(F.col("norm") != "", F.sha2("norm", 256)))
     firsts = stored(base.filter("h is not null").groupBy("h").agg(F.min("id").alias("rep"), F.first("norm").alias("norm")), "texts")
     edges = stored(similar_pairs(firsts, threshold), "links")

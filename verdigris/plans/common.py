@@ -12,7 +12,7 @@ from verdigris.functions.prob import softmax
 from verdigris.operators.decide import decode
 from verdigris.operators.metrics import parse_expect
 from verdigris.operators.questions import parse_question, slots
-from verdigris.session import table
+from verdigris.session import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,7 +45,7 @@ HASHED_SQL = "(('0x' || substr(md5({0}), 1, 8))::BIGINT::DOUBLE / 4294967296.0::
 
 def cases(spark: SparkSession, d: str) -> DataFrame:
     """Cases with parsed question and expectation: record_no, state, q, e, slots."""
-    c = table(spark, d, "convert_hf").select("record_no", "id", "source", "state", "question", "expect", "soft", "requires_abstain")
+    c = spread(table(spark, d, "convert_hf")).select("record_no", "id", "source", "state", "question", "expect", "soft", "requires_abstain")
     c = once(c, q=parse_question(F.col("question")), e=parse_expect(F.col("expect"))).filter("q is not null")
     return once(c, slots=slots(F.col("q")))
 

@@ -12,7 +12,7 @@ from verdigris.functions.text import norm_text, shingles
 from verdigris.operators import prepare
 from verdigris.operators.logits import HashLogits
 from verdigris.plans.common import CASES_SQL, Registry, cases
-from verdigris.session import stored, table
+from verdigris.session import spread, stored, table
 from verdigris.sources import readers
 from verdigris.streaming import stream
 
@@ -110,7 +110,7 @@ def prp_01_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
 @add()
 def prp_03_signatures(spark: SparkSession, d: str) -> DataFrame:
     """Band hashes of the documents' minhash signatures."""
-    t = once(table(spark, d, "documents").filter("text is not null").select("doc_id", norm_text(F.col("text")).alias("t")), sh=shingles(F.col("t"))).filter(F.size("sh") > 0)
+    t = once(spread(table(spark, d, "documents")).filter("text is not null").select("doc_id", norm_text(F.col("text")).alias("t")), sh=shingles(F.col("t"))).filter(F.size("sh") > 0)
     t = once(t, sig=prepare.minhash(F.col("sh")))
     return t.select("doc_id", F.explode(prepare.bands(F.col("sig"))).alias("b")).select("doc_id", "b.band", "b.h")
 

@@ -11,7 +11,7 @@ from verdigris.functions import text as tx
 from verdigris.functions.prob import r6
 from verdigris.operators import chunks, descend, lexical, search
 from verdigris.plans.common import HASHED_SQL, Registry, hashed
-from verdigris.session import stored, table
+from verdigris.session import spread, stored, table
 
 R = Registry()
 add = R.add
@@ -251,7 +251,7 @@ def tre_10_scrub(spark: SparkSession, d: str) -> DataFrame:
         out = [descend.scrub(p, t or "") for p, t in zip(path, text)]
         return pd.DataFrame({"words": ["\n".join(t for t, _ in x) for x in out], "comment_lines": [sum(not c for _, c in x) for x in out]})
 
-    return corpus(spark, d).withColumn("s", run("path", "body")).select("doc", "s.words", "s.comment_lines")
+    return spread(corpus(spark, d)).withColumn("s", run("path", "body")).select("doc", "s.words", "s.comment_lines")
 
 
 @add("SELECT path, CASE WHEN lower(regexp_extract(path, '\\.([^./]+)$', 1)) = 'py' THEN 'python' WHEN lower(regexp_extract(path, '\\.([^./]+)$', 1)) IN ('sh', 'bash', 'zsh', 'yml', 'yaml', 'toml', 'rb', 'mk', 'ini', 'cfg', 'conf') OR regexp_extract(path, '([^/]*)$', 1) IN ('Makefile', 'Dockerfile') THEN 'hash' WHEN lower(regexp_extract(path, '\\.([^./]+)$', 1)) = 'rs' THEN 'rust' ELSE 'slash' END AS syntax FROM (SELECT DISTINCT path FROM corpus)")

@@ -50,5 +50,13 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan whose few files would keep most cores idle, dealt to all of them; for steps that cost far more than moving
+    their rows. Scans with enough splits are left as they are, so at scale nothing is moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if 2 * splits < cores else df
+
+
 def repo_root() -> str:
     return os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -7,12 +7,13 @@ import os
 import re
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from verdigris.functions.prob import normalise
-from verdigris.operators.chunks import readable_text, split_files
+from verdigris.operators.chunks import MAX_FILE_BYTES, readable_text, split_files
 from verdigris.operators.prepare import license_ok
 
 CASE = "id string, state string, question string, expect string, variants string, requires_abstain boolean, layout string, expand string, source string, license string, soft string, chain string, teacher string, target string"
@@ -139,9 +140,26 @@ def read_tree(spark: SparkSession, root: str, globs: Iterable[str] = (), skip: D
     if not paths:
         return spark.createDataFrame([], "path string, text string")
     base = root.rstrip("/") + "/"
-    files = spark.read.format("binaryFile").load([base + p for p in paths])
-    rel = F.substring_index(F.col("path"), base, -1)
-    out = files.select(rel.alias("path"), readable_text(F.col("content")).alias("text")).filter("text is not null")
+    hidden = [p for p in paths if any(x[0] in "._" for x in p.split("/"))]
+    plain = [p for p in paths if p not in set(hidden)]
+    parts = []
+    if plain:
+        files = spark.read.format("binaryFile").load([base + p for p in plain])
+        parts.append(files.select(F.substring_index(F.col("path"), base, -1).alias("path"), "content"))
+    if hidden:  # Spark's own listing passes over names that start with a dot or an underscore
+        names = spark.createDataFrame([(p,) for p in hidden], "path string")
+
+        def read(batches):
+            for b in batches:
+                got = []
+                for p in b.column("path").to_pylist():
+                    with open(base + p, "rb") as f:
+                        got.append(f.read(MAX_FILE_BYTES + 1))
+                yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(got, pa.binary())], names=["path", "content"])
+
+        parts.append(names.mapInArrow(read, "path string, content binary"))
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    out = out.select("path", readable_text(F.col("content")).alias("text")).filter("text is not null")
     return out if skip is None else out.join(skip.select("path"), "path", "left_anti")
 
 
