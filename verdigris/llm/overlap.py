@@ -235,9 +235,12 @@ def near_classes(classes: DataFrame) -> DataFrame:
     k = F.floor(longest / ONE_IN)
     pairs = t.join(e, "h3").filter((F.col("t_cls") != F.col("e_cls")) & (F.abs(F.col("t_n") - F.col("e_n")) <= k) & (F.abs(F.col("t_pos") - F.col("e_pos")) <= k))
     span = F.when(F.col("t24") == F.col("e24"), 24).when(F.col("t12") == F.col("e12"), 12).when(F.col("t6") == F.col("e6"), 6).otherwise(3)
-    # merged into coverage: a span reaches from its start as far as the levels agree
-    spans = pairs.groupBy("t_cls", "e_cls").agg(F.max("e_n").alias("n"), F.sum(F.least(span, F.lit(6))).alias("covered"))
-    cand = stored(spans.select("t_cls", "e_cls", F.least(F.lit(1.0), F.col("covered") / F.col("n")).alias("coverage")), "candidates")
+    # the spans of a pair, merged: each reaches from its start as far as the levels agree
+    spans = pairs.groupBy("t_cls", "e_cls").agg(F.max("e_n").alias("n"), F.sort_array(F.collect_list(F.struct(F.col("e_pos").alias("at"), span.alias("len")))).alias("spans"))
+    start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("sum"))
+    reach = lambda s, x: F.greatest(s["end"], x["at"] + x["len"])
+    merged = F.aggregate("spans", start, lambda s, x: F.struct(reach(s, x).alias("end"), (s["sum"] + reach(s, x) - F.greatest(s["end"], F.least(x["at"], reach(s, x)))).alias("sum")))["sum"]
+    cand = stored(spans.select("t_cls", "e_cls", F.least(F.lit(1.0), merged / F.col("n")).alias("coverage")), "candidates")
     text = classes.select("cls", "words")
     both = cand.join(text.toDF("t_cls", "t_words"), "t_cls").join(text.toDF("e_cls", "e_words"), "e_cls")
 
