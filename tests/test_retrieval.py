@@ -282,3 +282,42 @@ def test_stream_memo(spark, tmp_path):
         stream.decide_with_memo(s, plans._questions(spark), HashLogits(), memo, out, str(tmp_path / "c")).awaitTermination(120)
     assert spark.read.parquet(out).count() == 8 and spark.read.parquet(memo).count() == 6
 
+
+
+def test_sql_registration(spark):
+    from verdigris.functions.register import register
+
+    register(spark)
+    assert spark.sql("select terms('parseJSON now') t").first()["t"] == ["pars", "json", "parsejson", "now"]
+    r = spark.sql("select c.symbol from values ('a.rs', 'fn one() {}') f(path, text), lateral split_chunks(f.path, f.text) c").first()
+    assert r["symbol"] == "one"
+
+
+def test_http_logits(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from verdigris.operators.logits import HttpLogits
+
+    class Handler(BaseHTTPRequestHandler):
+        failed = 0
+
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            if len(body["prompts"]) > 2:  # too large for this server
+                self.send_error(503)
+                return
+            out = json.dumps({"logits": [[float(len(p))] * n for p, n in zip(body["prompts"], body["slots"])]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(out)
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    units = spark.createDataFrame([("a" * i, [1] * 2) for i in range(1, 8)], "prompt string, slots array<int>").coalesce(1)
+    got = {r["prompt"]: r["logits"] for r in HttpLogits(f"http://127.0.0.1:{server.server_port}/").attach(units).collect()}
+    server.shutdown()
+    assert got == {"a" * i: [float(i)] * 2 for i in range(1, 8)}

@@ -6,6 +6,8 @@ are scored and joined back, which pays off whenever the scorer costs more than a
 
 from __future__ import annotations
 
+import json
+import urllib.request
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -63,6 +65,31 @@ class ArrowLogits:
         return units.join(scored, (F.col("prompt") == F.col("_p")) & (F.size("slots") == F.col("_n")), "left").drop("_p", "_n")
 
 
+class HttpLogits(ArrowLogits):
+    """Logits from a server: each batch of prompts is one POST of {"prompts": [...], "slots": [...]}, answered by
+    {"logits": [[...], ...]}. A failing request is tried again, then in halves; what fails alone fails the task, which Spark
+    retries."""
+
+    def __init__(self, url: str, timeout: float = 60.0, size: int = 64, tries: int = 2):
+        def post(prompts: list[str], sizes: list[int]) -> list[list[float]]:
+            body = json.dumps({"prompts": prompts, "slots": sizes}).encode()
+            for k in range(tries):
+                try:
+                    req = urllib.request.Request(url, body, {"Content-Type": "application/json"})
+                    with urllib.request.urlopen(req, timeout=timeout) as r:
+                        return json.load(r)["logits"]
+                except OSError:
+                    if k + 1 == tries and len(prompts) == 1:
+                        raise
+            half = len(prompts) // 2
+            return post(prompts[:half], sizes[:half]) + post(prompts[half:], sizes[half:])
+
+        def score(prompts: list[str], sizes: list[int]) -> list[list[float]]:
+            return [x for i in range(0, len(prompts), size) for x in post(prompts[i : i + size], sizes[i : i + size])]
+
+        super().__init__(score)
+
+
 def memoised(source: LogitSource, units: DataFrame, memo: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(units with logits, new memo rows): prompts found in memo (key, logits) aren't scored again; key is a digest of
     the prompt."""

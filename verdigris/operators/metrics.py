@@ -273,3 +273,71 @@ def parity(a: DataFrame, b: DataFrame) -> DataFrame:
     j = a.select("id", F.col("p").alias("x")).join(b.select("id", F.col("p").alias("y")), "id", "full")
     k = j.withColumn("kl", F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), kl_floor(F.col("x"), F.col("y"), 1e-9))).withColumn("same", (argmax_first(F.col("x")) == argmax_first(F.col("y"))).cast("double"))
     return k.agg(F.count("kl").alias("n"), F.sum((F.col("x").isNull() | F.col("y").isNull()).cast("int")).alias("unmatched"), F.avg("same").alias("argmax_agreement"), F.avg("kl").alias("kl_mean"), F.expr("percentile_disc(0.95) within group (order by kl)").alias("kl_p95"), F.max("kl").alias("kl_max"))
+
+
+def abstained(a: Column) -> Column:
+    """Whether an answer abstains, by its status or by its choice."""
+    return F.coalesce((a["status"] == "abstained") | (a["choice"] == ABSTAIN), F.lit(False))
+
+
+def paired_report(base: DataFrame, tuned: DataFrame, resamples: int = 1000, seed: int = 17) -> DataFrame:
+    """One row for two runs over the same cases (id, ok, abstained, ms): accuracies, delta with a 95 % interval over resampled
+    cases, exact McNemar p, abstention rates, upper-median latencies. A resample weights each case by a hashed Poisson draw;
+    every task adds its cases up to one row per resample."""
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    j = base.select("id", F.col("ok").alias("x"), F.col("abstained").alias("ax"), F.col("ms").alias("mx")).join(tuned.select("id", F.col("ok").alias("y"), F.col("abstained").alias("ay"), F.col("ms").alias("my")), "id")
+    cdf = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(13)])
+
+    def draw(batches):
+        total = np.zeros((2, resamples))
+        salt = (np.arange(resamples, dtype=np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+        for b in batches:
+            h, d = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for at in range(0, len(h), 4096):
+                x = h[at : at + 4096].view(np.uint64)[None, :] ^ salt[:, None]
+                for m, r in ((0xBF58476D1CE4E5B9, 30), (0x94D049BB133111EB, 27)):
+                    x = (x ^ (x >> np.uint64(r))) * np.uint64(m)
+                w = np.searchsorted(cdf, (x >> np.uint64(11)) / float(1 << 53)).astype(float)
+                total[0] += w @ d[at : at + 4096]
+                total[1] += w.sum(1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples), pa.int32()), pa.array(total[0]), pa.array(total[1])], names=["i", "d", "n"])
+
+    diff = j.select(F.xxhash64("id").alias("h"), (F.col("y").cast("double") - F.col("x").cast("double")).alias("d")).filter("d is not null")
+    means = sorted(r["d"] / r["n"] if r["n"] else 0.0 for r in diff.mapInArrow(draw, "i int, d double, n double").groupBy("i").agg(F.sum("d").alias("d"), F.sum("n").alias("n")).collect())
+    lo, hi = (means[len(means) // 40], means[min(len(means) - 1, len(means) * 39 // 40)]) if means else (0.0, 0.0)
+    mid = lambda c: F.expr(f"percentile_disc(0.5) within group (order by {c} desc)")  # noqa: E731  the upper median
+    p = paired(base.select("id", "ok"), tuned.select("id", "ok"), ["id"])
+    extra = j.agg(F.avg(F.col("ax").cast("double")).alias("abstain_base"), F.avg(F.col("ay").cast("double")).alias("abstain_tuned"), mid("mx").alias("ms_base"), mid("my").alias("ms_tuned"))
+    return p.crossJoin(extra).withColumn("delta_lo", F.lit(lo)).withColumn("delta_hi", F.lit(hi))
+
+
+def answer_brief(a: Column) -> Column:
+    return F.struct(a["status"].alias("status"), pick(a).alias("pick"), a["confidence"].alias("confidence"))
+
+
+def case_units(variants: DataFrame) -> DataFrame:
+    """How many decisions each case stands for, itself and its variants."""
+    return variants.groupBy("case_id").agg(F.count("*").alias("units"))
+
+
+def distribution(labels: Column, probs: Column) -> Column:
+    """A wire answer's probabilities on the label keys, in their order; a key that is missing is an error."""
+    p = lambda k: F.get(F.filter(probs, lambda e: e["key"] == k), F.lit(0))["p"]
+    return F.transform(labels, lambda k: F.coalesce(p(k), F.raise_error(F.concat(F.lit("no probability for "), k)).cast("double")))
+
+
+def committed_accuracy(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Training-time figures per group of (ok, conf, ce, abstained, gold_abstains): accuracy, 15-bin ECE, mean cross-entropy,
+    share of answers that abstain though they shouldn't."""
+    e = ece(rows, by, "conf", "ok", 15)
+    m = rows.groupBy(*by).agg(F.avg(F.col("ok").cast("double")).alias("accuracy"), F.avg("ce").alias("ce"), F.avg((F.col("abstained") & ~F.col("gold_abstains")).cast("double")).alias("abstained_wrongly"))
+    return m.join(e, by) if by else m.crossJoin(e)
+
+
+def format_report(rep: DataFrame) -> DataFrame:
+    """The report as lines of text."""
+    return rep.select("qtype", F.format_string("%-8s n=%d scored=%d acc=%.4f bal=%.4f brier=%.4f ece=%.4f conf=%.4f", "qtype", "cases", "scored", "accuracy", "balanced_accuracy", "brier", "ece", "mean_confidence").alias("line"))

@@ -378,4 +378,52 @@ def preflight(splits: DataFrame) -> DataFrame:
     return n.crossJoin(g)
 
 
+def vote_slots(sl: Column, votes: Column) -> Column:
+    """Slots of teachers' labels."""
+    return F.transform(votes, lambda v: slot_index(sl, v))
+
+
+def contested(gold: Column, votes: Column) -> Column:
+    """Whether any teacher's slot differs from the verified one."""
+    return F.exists(votes, lambda v: ~v.eqNullSafe(gold))
+
+
+def rekey_levels(dist: Column, q: Column) -> Column:
+    """A distribution keyed by level index, keyed by the levels' texts."""
+    return F.transform(dist, lambda x: F.struct(F.coalesce(F.get(q["criteria"], x["key"].try_cast("int"))["text"], x["key"]).alias("key"), x["p"].alias("p")))
+
+
+def anchor_values(q: Column) -> Column:
+    """Values of a numeric question's anchors."""
+    n = anchors(q)
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: q["min"] + (q["max"] - q["min"]) * i / (n - 1))
+
+
+def label_anchor(q: Column, e: Column) -> Column:
+    """(key, mass) that a verified label fixes in a teacher's distribution: .9 on the label, .7 on a numeric anchor."""
+    return F.struct(expected_key(q, e).alias("key"), F.when(q["qtype"] == "numeric", 0.7).otherwise(0.9).alias("mass"))
+
+
+def teacher_probs(dist: Column, p_yes: Column) -> Column:
+    """A teacher's probabilities as (key, p), from a distribution or from a yes share."""
+    pair = F.array(F.struct(F.lit("yes").alias("key"), p_yes.alias("p")), F.struct(F.lit("no").alias("key"), (1.0 - p_yes).alias("p")))
+    return F.coalesce(dist, F.when(p_yes.isNotNull(), pair))
+
+
+def export_rows(cases: DataFrame, prompts: DataFrame, drop_ids: DataFrame | None = None, drop_sources: tuple[str, ...] = (), per_source: int = 0, eps: float = SMOOTHING) -> DataFrame:
+    """Training rows: cases (id, source, q, e, slots, soft) without dropped ids and sources (prefixes), capped per source, joined
+    with their prompts (id, prompt), with targets; verdict tells rows without prompt or target from the ones to write."""
+    c = cases
+    if drop_ids is not None:
+        c = c.join(drop_ids.select("id").distinct(), "id", "left_anti")
+    for s in drop_sources:
+        c = c.filter(F.col("source").isNull() | ~F.col("source").startswith(s))
+    if per_source:
+        c = cap_per_source(c, per_source, order="id")
+    t = with_target(c, eps).join(prompts.select("id", "prompt"), "id", "left")
+    verdict = F.when(F.col("prompt").isNull(), "noprompt").when(F.col("target").isNull(), "nogold").otherwise("ok")
+    letter = F.get("slots", F.col("gold"))["letter"]
+    return t.select("id", "source", "prompt", "target", letter.alias("gold_letter"), "target_source", "unmatched", verdict.alias("verdict"))
+
+
 __all__ = [n for n in dir() if not n.startswith("_")] + ["soft_labels"]

@@ -260,3 +260,35 @@ def compile_units(rows: DataFrame, expand: str = "probes", layout: str = "auto")
     units = once(base.select("*", F.explode(F.when(F.col("big"), many).otherwise(whole)).alias("x")), slots=slots(F.col("x.u")))
     bucket = F.when(F.col("x.u.qtype") == "noul", "boolean").otherwise(F.col("x.u.qtype"))
     return units.select("req_id", "q_pos", "q_name", F.col("x.sub_idx").alias("sub_idx"), F.col("q.qtype").alias("qtype"), bucket.alias("bucket"), F.col("x.key").alias("key"), F.col("q.allow_abstain").alias("allow_abstain"), "slots", "layout", user_message(F.col("state"), F.col("x.u"), F.col("slots"), F.col("layout"), F.col("_preamble")).alias("prompt"))
+
+
+def case_request(cases: DataFrame, layout: str | None = None, no_abstain: bool = False) -> DataFrame:
+    """Cases (case_id, state, question, layout, expand) to requests of one question each: a given layout outranks a case's pin,
+    which outranks auto; no_abstain takes the abstain option away. A pin that can't be read is an error."""
+    q = F.col("question")
+    if no_abstain:
+        q = F.when(F.get_json_object(q, "$.allow_abstain") == "true", F.regexp_replace(q, r'("allow_abstain"\s*:\s*)true', "$1false")).otherwise(q)
+    lay = pinned(F.col("layout"), ("auto", "state_first", "question_first", "header", "catalog"), layout, "auto")
+    return cases.select(F.col("case_id").alias("req_id"), "state", F.lit(0).alias("q_pos"), F.lit("q").alias("q_name"), q.alias("question"), lay.alias("layout"), pinned(F.col("expand"), ("probes", "pages"), None, "probes").alias("expand"))
+
+
+def display_name(name: Column) -> Column:
+    """A unit's name without the tag of its part."""
+    return F.substring_index(name, "\u001f", 1)
+
+
+def render_state(state: Column, kind: str = "json") -> Column:
+    """The state's text in a prompt: as it is, or as TOON."""
+    from verdigris.functions.toon import toon_udf
+
+    return toon_udf(state) if kind == "toon" else state
+
+
+def state_tokens(state: Column) -> Column:
+    """Size of a state in words and signs; a stand-in for a model's tokens."""
+    return F.size(F.regexp_extract_all(state, F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"), F.lit(0)))
+
+
+def check_search(top: int, threshold: float) -> None:
+    if top < 1 or not 0 <= threshold <= 1:
+        raise ValueError("top must be at least 1 and threshold within 0..1")

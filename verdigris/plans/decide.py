@@ -497,3 +497,35 @@ def evl_05_drift(spark: SparkSession, d: str) -> DataFrame:
 @add("SELECT l_orderkey, l_linenumber, round(" + HASHED_SQL.format("l_orderkey || ':' || l_linenumber") + " * 1e6) / 1e6 AS logit FROM lineitem")
 def dec_14_hash_logits(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", r6(hashed(F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))).alias("logit"))
+
+
+def _runs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The cases judged on two different stand-ins."""
+    a = answered(spark, d)
+    ok = metrics.judge(F.col("e"), F.col("answer"))
+    one = a.select(F.col("record_no").alias("id"), ok.alias("ok"), metrics.abstained(F.col("answer")).alias("abstained"), (F.col("record_no") % 97).cast("double").alias("ms"))
+    two = one.withColumn("ok", (F.col("id") % 3 == 0) | F.col("ok")).withColumn("ms", F.col("ms") + 1)
+    return one, two
+
+
+@add()
+def evl_26_paired_report(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.paired_report(*_runs(spark, d))
+
+
+@add(f"WITH {JUDGED_SQL} SELECT count(*) AS n, round(avg(CASE WHEN ok THEN 1.0 ELSE 0 END) * 1e6) / 1e6 AS acc_a, round(avg(CASE WHEN ok OR record_no % 3 = 0 THEN 1.0 ELSE 0 END) * 1e6) / 1e6 AS acc_b, sum(CASE WHEN NOT ok AND record_no % 3 = 0 THEN 1 ELSE 0 END)::BIGINT AS only_b FROM jd")
+def join_09_paired_runs(spark: SparkSession, d: str) -> DataFrame:
+    p = metrics.paired(*_runs(spark, d), ["id"])
+    return p.select("n", r6(F.col("acc_a")).alias("acc_a"), r6(F.col("acc_b")).alias("acc_b"), "only_b")
+
+
+@add(f"WITH {_UNI} SELECT 'uniform' AS baseline, count(*) AS n, round(avg(correct) * 1e4) / 1e4 AS accuracy, round(avg(kl) * 1e4) / 1e4 AS kl, round(avg(tv) * 1e4) / 1e4 AS tv, round(avg(brier) * 1e4) / 1e4 AS brier FROM dd")
+def evl_21_uniform(spark: SparkSession, d: str) -> DataFrame:
+    x = metrics.decisions(metrics.uniform(_gold(spark, d).filter("split = 'test'")))
+    return x.agg(F.count("*").alias("n"), *(r4(F.avg(c)).alias(n) for c, n in (("correct", "accuracy"), ("kl", "kl"), ("tv", "tv"), ("brier", "brier")))).select(F.lit("uniform").alias("baseline"), "*")
+
+
+@add(f"WITH {CASES_SQL} SELECT record_no, len(regexp_extract_all(state, '[\\p{{L}}\\p{{N}}]+|[^\\s\\p{{L}}\\p{{N}}]'))::INT AS tokens FROM t2 WHERE state IS NOT NULL AND regexp_full_match(state, '[\\x20-\\x7e\\n]*')")
+def dec_15_state_tokens(spark: SparkSession, d: str) -> DataFrame:
+    c = cases(spark, d).filter(F.col("state").rlike(r"^[\x20-\x7e\n]*\z"))
+    return c.select("record_no", questions.state_tokens(F.col("state")).alias("tokens"))

@@ -301,3 +301,14 @@ def stm_05_quality(spark: SparkSession, d: str) -> DataFrame:
 @add()
 def stm_05_sessions(spark: SparkSession, d: str) -> DataFrame:
     return stream.session_monitor(table(spark, d, "events")).select("user_id", F.col("session_window.start").alias("start"), "n", r6(F.col("mean_value")).alias("mean_value"))
+
+
+@add()
+def prp_24_export(spark: SparkSession, d: str) -> DataFrame:
+    """Training rows with prompts and targets: the drop list is the held-out split, sources are capped."""
+    from verdigris.operators.questions import user_message
+
+    c = cases(spark, d).filter("id is not null and state is not null")
+    prompts = c.select("id", user_message(F.col("state"), F.col("q"), F.col("slots"), F.lit("state_first"), F.array().cast("array<string>")).alias("prompt")).dropDuplicates(["id"])
+    drop = hf(spark, d).filter("split = 'holdout' and id is not null").select("id")
+    return prepare.export_rows(c, prompts, drop, ("gen/",), 200).groupBy("verdict", "target_source").agg(F.count("*").alias("n"))

@@ -364,3 +364,15 @@ def snk_09_paths(spark: SparkSession, d: str) -> DataFrame:
 @add()
 def snk_07_document(spark: SparkSession, d: str) -> DataFrame:
     return search.hits_document(search.pick(_read(spark, d), 10, 0.9), corpus(spark, d))
+
+
+@add()
+def rnk_07_search(spark: SparkSession, d: str) -> DataFrame:
+    """Searches from question to shown hits on stand-in scores."""
+    return search.search(stored(corpus(spark, d), "chunks"), asked(spark), lambda x: _score(x, "query_id", "text"), wave=32)
+
+
+@add()
+def rnk_13_eval(spark: SparkSession, d: str) -> DataFrame:
+    cases = asked(spark).withColumn("kind", F.when(F.col("query_id") % 2 == 0, "concept").otherwise("lexical"))
+    return search.run_eval(stored(corpus(spark, d), "chunks"), cases, _anchors(spark, d), lambda x: _score(x, "query_id", "text"))[1]

@@ -287,3 +287,8 @@ def assemble_cases(nodes: DataFrame, catalog: DataFrame) -> DataFrame:
     joined, and its questions in order."""
     j = nodes.join(F.broadcast(catalog), "question_no")
     return j.groupBy("case_id").agg(F.array_join(F.sort_array(F.collect_set("doc")), "\n\n").alias("state"), F.transform(F.sort_array(F.collect_set(F.struct("question_no", "qid"))), lambda x: x["qid"]).alias("questions"))
+
+
+def model_dimension(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFrame:
+    """(name, repo, file) of the models that a caller knows; a dimension for reports."""
+    return spark.createDataFrame(rows, MODEL_COLUMNS)
