@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.operators.joins import checked_join
-from verdigris.session import stored
+from verdigris.session import spread, stored
 
 TERM = re.compile("[a-z]{3,}")
 WINDOW = 4  # a term is linked to the WINDOW - 1 terms before and after it
@@ -122,7 +122,7 @@ def distinctive_terms(df: DataFrame, min_tf: int = 1, min_df: int = 1, max_df: i
     terms are reported, all statistics are of the whole table. The frequencies of common terms (a bounded number, which
     is counted) are broadcast; those of the rest are joined by shuffle, where no key is hot any more.
     """
-    recs = records(df)
+    recs = records(spread(df))
     n = recs.select("chunk_id").count()
     freq = document_frequency(recs, max_df).filter(F.col("df") >= min_df)
     rows = term_degrees(recs, min_tf, max_df, window)

@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verdigris.session import spread
+
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.json"
 #: How the vocabulary's texts are cut into words before any merge (fixed value, part of the tokenizer).
@@ -196,7 +198,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizers: s
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bpe.encode_batch(b.column(1).to_pylist()), pa.list_(pa.int32()))], names=[key, "ids"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return spread(df.select(F.col(key), F.col(text).cast("string"))).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
 def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizers: str = TOKENIZERS, name: str = VOCABULARY) -> DataFrame:
@@ -210,4 +212,4 @@ def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", tokeniz
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bpe.count_batch(b.column(1).to_pylist()), pa.int64())], names=[key, "tokens"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, tokens long")
+    return spread(df.select(F.col(key), F.col(text).cast("string"))).mapInArrow(run, f"`{key}` {kind}, tokens long")
