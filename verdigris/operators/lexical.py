@@ -10,13 +10,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from verdigris.functions.text import terms, terms_udf
+from verdigris.functions.text import run_terms, terms, terms_udf, word_runs
 from verdigris.operators.chunks import is_doc
 from verdigris.session import spread
 
@@ -172,11 +174,16 @@ def union_candidates(lexical: DataFrame, tree: DataFrame, most: int = TREE_CHUNK
     return alternate(both.withColumnRenamed("position", "rank"), F.col("t"), ["query_id"]).select("query_id", "doc", "position")
 
 
-def matching_words(line: Column, query: Column) -> Column:
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def matching_words(line: pd.Series, query: pd.Series) -> pd.Series:
     """Words of a line that share a term with the query."""
-    words = F.regexp_extract_all(line, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    qt = terms_udf(query)
-    return F.filter(words, lambda w: F.arrays_overlap(F.split(F.lower(w), "_"), qt) | F.array_contains(qt, F.lower(w)))
+    wanted: dict[str, set[str]] = {}
+    out = []
+    for text, q in zip(line, query):
+        if q not in wanted:
+            wanted[q] = set(terms(q))
+        out.append([w for w in word_runs(text) if not wanted[q].isdisjoint(run_terms(w))])
+    return pd.Series(out)
 
 
 def best_window(lines: DataFrame, n: int, by: list[str], order: str = "line", marks: str = "marks") -> DataFrame:
