@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from verdigris.session import stored
 
 #: A side is broadcast only if it was counted and has at most this many rows (of a few numbers or a short string each).
 BROADCAST_ROWS = 200_000
@@ -27,3 +30,16 @@ def checked_join(big: DataFrame, small: DataFrame, on: list[str], how: str, limi
     both sides are shuffled (and AQE splits skewed partitions)."""
     few = small.limit(limit + 1).count() <= limit
     return big.join(F.broadcast(small) if few else small.hint("shuffle_hash") if how == "left_anti" else small, on, how)
+
+
+def running(df: DataFrame, order: list[str], value: str | None = None, name: str = "before") -> DataFrame:
+    """df with the sum of `value` (rows if None) over all rows that come earlier in the order, as bigint `name`; the order
+    must be total. No task sees more than its range: rows are range-partitioned and written once, the totals of the ranges
+    (one row each) are added up, and within a range a window goes on from there."""
+    one = F.lit(1) if value is None else F.col(value)
+    placed = stored(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    per = placed.groupBy("_range").agg(F.sum(one).alias("_t"))
+    offsets = per.withColumn("_o", F.coalesce(F.sum("_t").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_t")
+    w = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.join(F.broadcast(offsets), "_range")
+    return out.withColumn(name, (F.col("_o") + F.coalesce(F.sum(one).over(w), F.lit(0))).cast("long")).drop("_range", "_o")

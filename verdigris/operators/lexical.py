@@ -136,7 +136,8 @@ def alternate(ranked: DataFrame, second: Column, by: list[str], order: str = "ra
 
 
 def file_documents(chunks: DataFrame) -> DataFrame:
-    """One document per path: symbols and texts of its chunks (doc, path, symbol, body) joined in order."""
+    """One document per path: symbols and texts of its chunks (doc, path, symbol, body) joined in order. A file's text comes
+    together in one row, so this is for files of bounded size; indexes of files are built by file_counts instead."""
     parts = F.sort_array(F.collect_list(F.struct("doc", F.coalesce("symbol", F.lit("")).alias("s"), F.coalesce("body", F.lit("")).alias("b"))))
     g = chunks.groupBy("path").agg(F.min("doc").alias("doc"), parts.alias("p"))
     return g.select("doc", "path", F.array_join(F.transform("p", lambda x: x["s"]), " ").alias("symbol"), F.array_join(F.transform("p", lambda x: x["b"]), "\n").alias("body"))

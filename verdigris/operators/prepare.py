@@ -10,6 +10,7 @@ from verdigris.functions.once import let, once
 from verdigris.functions.prob import asum
 from verdigris.functions.text import norm_text, shingles
 from verdigris.operators.drift import soft_labels
+from verdigris.operators.joins import running
 from verdigris.operators.metrics import parse_expect
 from verdigris.operators.questions import ABOVE, ABSTAIN, BELOW, MAX_SLOTS, anchors, float_text, parse_question, slots
 from verdigris.session import spread, stored
@@ -336,7 +337,7 @@ def stratified_splits(rows: DataFrame, share: float = 0.05, floor: int = 10, fro
             if have >= quota:
                 continue
             free = mine.join(assigned.select("group_key"), "group_key", "left_anti").withColumn("h", F.xxhash64("group_key", F.lit(seed), F.lit(fold)))
-            run = free.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("h", "group_key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+            run = running(free, ["h", "group_key"], "n")
             new = run.filter(F.col("before") < quota - have).select("group_key", F.lit(fold).alias("fold"))
             assigned = stored(assigned.unionByName(new), "assigned")
     return base.join(assigned, "group_key", "left").select("group_key", F.coalesce("fold", F.lit("train")).alias("fold"))
@@ -363,7 +364,7 @@ def permuted(rows: DataFrame, n: int, seed: int = 17) -> DataFrame:
 
 def length_batches(rows: DataFrame, size: int, length: str, order: str) -> DataFrame:
     """Batches of rows of similar length: adds batch."""
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(length, order)) - 1) / size))
+    return running(rows, [length, order], name="_at").withColumn("batch", F.floor(F.col("_at") / size)).drop("_at")
 
 
 def encode_targets(target: Column) -> Column:

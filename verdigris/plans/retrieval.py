@@ -170,9 +170,12 @@ def lex_15_rrf(spark: SparkSession, d: str) -> DataFrame:
     return lexical.rrf(a, by=["c_nationkey"]).select("c_nationkey", "doc", (F.round(F.col("score") * 1e9) / 1e9).alias("score"))
 
 
-@add("SELECT path, min(chunk_id) AS doc, length(string_agg(coalesce(text, ''), chr(10))) AS chars FROM corpus GROUP BY path")
+@add(f"WITH {_Q}, {_INDEX}, fi AS (SELECT path, min(chunk_id) AS f FROM corpus GROUP BY path), fc AS (SELECT c.path, term, max(p) AS p, sum(s) AS s, sum(b) AS b FROM po JOIN corpus c ON c.chunk_id = po.doc GROUP BY c.path, term) SELECT fi.f AS doc, count(*) AS terms, sum(p)::BIGINT AS tf_path, sum(s)::BIGINT AS tf_symbol, sum(b)::BIGINT AS tf_body FROM fc JOIN fi USING (path) GROUP BY fi.f")
 def lex_16_files(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.file_documents(corpus(spark, d)).select("path", "doc", F.char_length("body").alias("chars"))
+    """The index of whole files, from the counts of their chunks."""
+    c = corpus(spark, d)
+    f = lexical.file_counts(stored(lexical.term_counts(c, lexical.simple_terms), "counts"), c)
+    return f.groupBy("doc").agg(F.count("*").alias("terms"), *(F.sum(f"tf_{x}").alias(f"tf_{x}") for x in lexical.WEIGHTS))
 
 
 @add()
