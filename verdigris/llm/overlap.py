@@ -105,12 +105,6 @@ def normalised(df: DataFrame, train: str = "train") -> DataFrame:
     return rows.mapInArrow(run, "record_no long, source string, split string, text_key binary, question binary, words string").withColumn("side", F.col("split") == train)
 
 
-def word_codes(text: str) -> np.ndarray:
-    """64-bit numbers of the words of a text."""
-    ws = text.split(" ") if text else []
-    return np.array([hash_word(w) for w in ws], np.uint64)
-
-
 _memo: dict[str, int] = {}
 
 
@@ -123,81 +117,84 @@ def hash_word(w: str) -> int:
     return h
 
 
-def prefix_hashes(codes: np.ndarray, seed: np.uint64) -> np.ndarray:
-    """Hashes of the first 3, 6, 12 and 24 words of each suffix of 3 or more words, by doubling: the hash of 2m words is
-    that of two hashes of m words, m apart. Where a text ends earlier the hash is of what is there."""
-    n = len(codes) - Q + 1
-    if n <= 0:
-        return np.empty((0, len(LEVELS)), np.uint64)
-    h = np.full(n, seed, np.uint64)
+def suffixes(questions: list[bytes], texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, pos, words of the row, hashes) of the suffixes of three or more words of all texts, row by row.
+
+    The hashes are of the first 3, 6, 12 and 24 words, by doubling: that of 2m words is that of two hashes of m words, m
+    apart; where a text ends earlier it is of what is there. The text's question goes into all of them, so suffixes of
+    different questions never meet. The n-th repetition of a beginning within a text gets a hash of its own, so the
+    beginnings of a text are a set. All texts are handled at once.
+    """
+    split = [t.split(" ") if t else [] for t in texts]
+    lens = np.fromiter(map(len, split), np.int64, len(split))
+    code = np.fromiter((hash_word(w) for ws in split for w in ws), np.uint64, int(lens.sum()))
+    seed = np.array([int.from_bytes(q[:8], "little") for q in questions], np.uint64)
+    count = np.maximum(lens - Q + 1, 0)
+    row = np.repeat(np.arange(len(texts)), count)
+    first = np.cumsum(count) - count
+    pos = np.arange(len(row)) - first[row]
+    at = (np.cumsum(lens) - lens)[row] + pos
+    h = seed[row]
     for i in range(Q):
-        h = (h ^ codes[i : i + n]) * BASE
+        h = (h ^ code[at + i]) * BASE
         h ^= h >> np.uint64(29)
-    out = [h]
+    out, begin = [h], h
     for m in LEVELS[:-1]:
-        nxt = np.zeros(n, np.uint64)
-        nxt[: max(0, n - m)] = h[m:]
+        inside = pos + m < count[row]
+        nxt = np.zeros(len(h), np.uint64)
+        nxt[inside] = h[np.flatnonzero(inside) + m]
         h = (h * BASE) ^ nxt
         h = (h ^ (h >> np.uint64(31))) * BASE
         out.append(h)
-    return np.stack(out, 1)
-
-
-def _distinct(h: np.ndarray) -> np.ndarray:
-    """The n-th occurrence of a hash in a text gets a hash of its own, so a text's prefixes are a set."""
-    order = np.argsort(h, kind="stable")
-    s = h[order]
-    first = np.concatenate(([True], s[1:] != s[:-1])) if len(s) else np.empty(0, bool)
-    rank = np.arange(len(s)) - np.maximum.accumulate(np.where(first, np.arange(len(s)), 0))
-    out = h.copy()
-    out[order] = s + rank.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
-    return out
+    order = np.lexsort((pos, begin, row))
+    r, b = row[order], begin[order]
+    new = np.concatenate(([True], (r[1:] != r[:-1]) | (b[1:] != b[:-1]))) if len(r) else np.empty(0, bool)
+    nth = np.arange(len(r)) - np.maximum.accumulate(np.where(new, np.arange(len(r)), 0))
+    out[0] = begin.copy()
+    out[0][order] = b + nth.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
+    return row, pos, lens, np.stack(out, 1) if len(row) else np.empty((0, len(LEVELS)), np.uint64)
 
 
 def sparse_suffixes(classes: DataFrame, counts: np.ndarray | None) -> DataFrame:
     """Kept suffixes of (cls, question, words, in_train, in_eval): h3, h6, h12, h24, pos, n of the 3k+1 rarest; with
-    counts = None the counters of all prefixes instead, as (slot, n)."""
-    spark = classes.sparkSession
-    shared = None if counts is None else spark.sparkContext.broadcast(counts)
-
-    def hashes(b: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        for i, (q, text) in enumerate(zip(b.column("question").to_pylist(), b.column("words").to_pylist())):
-            codes = word_codes(text)
-            h = prefix_hashes(codes, np.uint64(int.from_bytes(q[:8], "little")))
-            if len(h):
-                h[:, 0] = _distinct(h[:, 0])
-            yield i, len(codes), h, codes
+    counts = None the counters of all beginnings instead, as (slot, n)."""
+    shared = None if counts is None else classes.sparkSession.sparkContext.broadcast(counts)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 2000):
+                yield b.slice(i, 2000)
+
+    def of(b: pa.RecordBatch):
+        row, pos, lens, h = suffixes(b.column("question").to_pylist(), b.column("words").to_pylist())
+        return row, pos, lens, h, (h[:, 0] % np.uint64(COUNTERS)).astype(np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
-        for b in batches:
-            for _, _, h, _ in hashes(b):
-                np.add.at(total, (h[:, 0] % np.uint64(COUNTERS)).astype(np.int64), 1)
+        for b in parts(batches):
+            total += np.bincount(of(b)[4], minlength=COUNTERS)
         slot = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(total[slot], pa.int64())], names=["slot", "n"])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = shared.value
-        for b in batches:
-            rows, ns, hs, at = [], [], [], []
-            for i, n, h, _ in hashes(b):
-                k = (ONE_IN * n // (ONE_IN - 1)) // ONE_IN  # words that may differ from the longest text it can pair with
-                if not k:  # only equal texts, which are one class already
-                    continue
-                want = Q * k + 1
-                order = np.lexsort((h[:, 0], rarity[(h[:, 0] % np.uint64(COUNTERS)).astype(np.int64)]))[:want]
-                rows.extend([i] * len(order))
-                ns.extend([n] * len(order))
-                hs.append(h[order])
-                at.append(order)
-            h = np.concatenate(hs).view(np.int64) if hs else np.empty((0, len(LEVELS)), np.int64)
-            take = pa.array(rows, pa.int64())
-            pos = np.concatenate(at).astype(np.int32) if at else np.empty(0, np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("cls").take(take), b.column("in_train").take(take), b.column("in_eval").take(take), *(pa.array(np.ascontiguousarray(h[:, k])) for k in range(len(LEVELS))), pa.array(pos), pa.array(ns, pa.int32())], names=["cls", "in_train", "in_eval", "h3", "h6", "h12", "h24", "pos", "n"])
+        for b in parts(batches):
+            row, pos, lens, h, slot = of(b)
+            order = np.lexsort((h[:, 0], rarity[slot], row))
+            # k: words that may differ from the longest text a row can pair with; without any, only equal texts match,
+            # which are one class already
+            k = (ONE_IN * lens // (ONE_IN - 1)) // ONE_IN
+            want = np.where(k > 0, Q * k + 1, 0)
+            start = np.searchsorted(row, np.arange(len(lens)))
+            order = order[np.arange(len(row)) - start[row] < want[row]]
+            g, r = h[order].view(np.int64), row[order]
+            take = pa.array(r)
+            levels = [pa.array(np.ascontiguousarray(g[:, 0])), *(pa.array(g[:, i].astype(np.int32)) for i in range(1, len(LEVELS)))]
+            yield pa.RecordBatch.from_arrays([b.column("cls").take(take), b.column("in_train").take(take), b.column("in_eval").take(take), *levels, pa.array(pos[order].astype(np.int32)), pa.array(lens[r].astype(np.int32))], names=["cls", "in_train", "in_eval", "h3", "h6", "h12", "h24", "pos", "n"])
 
     if counts is None:
         return classes.select("question", "words").mapInArrow(count, "slot int, n long")
-    return classes.select("cls", "in_train", "in_eval", "question", "words").mapInArrow(keep, "cls long, in_train boolean, in_eval boolean, h3 long, h6 long, h12 long, h24 long, pos int, n int")
+    return classes.select("cls", "in_train", "in_eval", "question", "words").mapInArrow(keep, "cls long, in_train boolean, in_eval boolean, h3 long, h6 int, h12 int, h24 int, pos int, n int")
 
 
 def word_distance(a: list[str], b: list[str], most: int) -> int:
