@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 
 from verdigris.functions.text import run_terms, terms, terms_udf, word_runs
 from verdigris.operators.chunks import is_doc
+from verdigris.operators.joins import BROADCAST_ROWS
 from verdigris.session import spread
 
 WEIGHTS = {"path": 2.0, "symbol": 3.0, "body": 1.0}
@@ -27,12 +28,37 @@ B = {"path": 0.5, "symbol": 0.5, "body": 0.75}
 K1, RRF_K, TREE_CHUNKS, MOST_TF = 1.2, 60.0, 24, 65535
 
 
+_TF = tuple(f"tf_{f}" for f in WEIGHTS)
+
+
 @dataclass
 class Index:
-    postings: DataFrame  # term, doc, tf_path, tf_symbol, tf_body, weight (tf*)
-    frequencies: DataFrame  # term, df, idf
+    """Term counts (doc, term, tf per field), the documents' lengths (doc, len per field), the fields' mean lengths and the
+    number of documents. Weights and frequencies follow from these, of all terms or of a query's only."""
+
+    counts: DataFrame
+    lens: DataFrame
+    mean: dict[str, float]
     docs: int
 
+    def weighted(self, counts: DataFrame) -> DataFrame:
+        """counts with weight, the length-normalised and field-weighted frequency tf*."""
+        rel = {f: F.col(f"len_{f}") / F.lit(float(self.mean[f])) if self.mean[f] else F.lit(0.0) for f in WEIGHTS}
+        weight = sum((F.least(F.lit(MOST_TF), F.col(f"tf_{f}")) * (WEIGHTS[f] / (1 - B[f] + B[f] * rel[f])) for f in WEIGHTS), F.lit(0.0))
+        return counts.join(self.lens, "doc").select("term", "doc", *(F.least(F.lit(MOST_TF), F.col(c)).alias(c) for c in _TF), weight.alias("weight"))
+
+    def rarity(self, counts: DataFrame) -> DataFrame:
+        """(term, df, idf) of the terms in counts."""
+        return counts.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log1p((F.lit(float(self.docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+
+    @property
+    def postings(self) -> DataFrame:
+        return self.weighted(self.counts)
+
+    @property
+    def frequencies(self) -> DataFrame:
+        return self.rarity(self.counts)
+
 
 def simple_terms(text: Column) -> Column:
     """Words in lower case, for callers that want no stemming; stays in the JVM."""
@@ -79,17 +105,11 @@ def _tagged(field: str) -> Column:
 
 
 def index_of(counts: DataFrame, total: int) -> Index:
-    """Index of term counts (doc, term, tf per field) of `total` documents. Lengths are sums of counts, so fields are analysed
-    once; a document's counts lie in one place, and partial sums leave one row of it to shuffle."""
-    tfs = [f"tf_{f}" for f in WEIGHTS]
-    lens = counts.groupBy("doc").agg(*(F.sum(c).alias(f"len_{c}") for c in tfs))
-    sums = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in tfs)).first()
-    mean = {f: sums[f"tf_{f}"] / total if total else 0.0 for f in WEIGHTS}
-    rel = {f: F.col(f"len_tf_{f}") / F.lit(float(mean[f])) if mean[f] else F.lit(0.0) for f in WEIGHTS}
-    weight = sum((F.least(F.lit(MOST_TF), F.col(f"tf_{f}")) * (WEIGHTS[f] / (1 - B[f] + B[f] * rel[f])) for f in WEIGHTS), F.lit(0.0))
-    postings = counts.join(lens, "doc").select("term", "doc", *(F.least(F.lit(MOST_TF), F.col(c)).alias(c) for c in tfs), weight.alias("weight"))
-    freq = counts.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log1p((F.lit(float(total)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    return Index(postings, freq, total)
+    """Index of term counts of `total` documents. Lengths are sums of counts, so fields are analysed once; a document's counts
+    lie in one place, and partial sums leave one row of it to shuffle."""
+    lens = counts.groupBy("doc").agg(*(F.sum(f"tf_{f}").alias(f"len_{f}") for f in WEIGHTS))
+    sums = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _TF)).first()
+    return Index(counts, lens, {f: sums[f"tf_{f}"] / total if total else 0.0 for f in WEIGHTS}, total)
 
 
 def build_index(docs: DataFrame, analyse=terms_udf, keep=lambda df: df) -> Index:
@@ -110,7 +130,11 @@ def search(index: Index, queries: DataFrame, k: int | None = None, analyse=terms
     """(query_id, doc, score, rank) of the documents that share a term with a query (query_id, query): the sum over distinct
     query terms of idf tf* / (k1 + tf*), best first, the smaller doc on ties; at most k per query."""
     q = queries.select("query_id", F.explode(F.array_distinct(analyse("query"))).alias("term"))
-    hit = q.join(index.frequencies.select("term", "idf"), "term").join(index.postings.select("term", "doc", "weight"), "term")
+    # only the terms asked for are weighted; so many terms as queries have at most are counted before they are broadcast
+    asked = q.select("term").distinct()
+    few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    held = index.counts.join(F.broadcast(asked) if few else asked, "term", "left_semi")
+    hit = q.join(index.rarity(held).select("term", "idf"), "term").join(index.weighted(held).select("term", "doc", "weight"), "term")
     scored = hit.groupBy("query_id", "doc").agg(F.sum(F.col("idf") * F.col("weight") / (K1 + F.col("weight"))).alias("score")).filter("score > 0")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc")
     out = scored.withColumn("rank", F.row_number().over(w))
