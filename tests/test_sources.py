@@ -125,7 +125,13 @@ def test_teacher_expressions(spark):
     n = questions.parse_question(F.lit('{"type": "numeric", "min": 0, "max": 10, "granularity": 3}'))
     assert one(spark, prepare.anchor_values(n)) == [0.0, 5.0, 10.0]
     e = metrics.parse_expect(F.lit('{"value": 5}'))
-    assert tuple(one(spark, prepare.label_anchor(n, e))) == ("5", 0.7)
+    assert tuple(one(spark, prepare.label_anchor(n, e))) == ("5", 0.75)
+    for x, want in (('{"value": 11}', ("__above__", 0.75)), ('{"status": "out_of_bounds"}', (None, 0.0)), ('{"status": "abstained"}', ("__abstain__", 0.85)), ('{"value": 2.5}', ("0", 0.75))):
+        assert tuple(one(spark, prepare.label_anchor(n, metrics.parse_expect(F.lit(x))))) == want
+    assert tuple(one(spark, prepare.label_anchor(q, metrics.parse_expect(F.lit('{"level": 1}'))))) == ("mid", 0.75)
+    assert one(spark, prepare.merge_target(F.lit("9"), F.lit(0.7), d)) == one(spark, d)
+    lic = {x: one(spark, prepare.license_ok(F.lit(x))) for x in ("MIT", "cc-by-4.0 (mirror: mit)", "other (research use)", "cc-by-nc-4.0", "unspecified")}
+    assert list(lic.values()) == [True, True, False, False, True]
     assert [x["p"] for x in one(spark, prepare.teacher_probs(F.lit(None).cast("array<struct<key:string,p:double>>"), F.lit(0.25)))] == [0.25, 0.75]
     sl = questions.slots(questions.parse_question(F.lit('{"type": "boolean"}')))
     votes = prepare.vote_slots(sl, F.array(F.lit("yes"), F.lit("No"), F.lit("maybe")))

@@ -17,18 +17,21 @@ from verdigris.session import spread, stored
 
 BANDS, BAND, JACCARD, CONTAMINATED, SMOOTHING = 16, 4, 0.8, 0.5, 0.10
 MAX_EVALS = 50_000
-# What a license may not contain, and what may stand before its first bracket (fixed values).
-DENIED = ("nc", "noncommercial", "non-commercial", "unknown", "unspecified", "research", "proprietary", "gpl")
-PERMISSIVE = ("mit", "apache-2.0", "cc0-1.0", "cc-by-4.0", "cc-by-sa-4.0", "cc-by-3.0", "cc-by-sa-3.0", "bsd", "bsd-3-clause", "odc-by", "pddl", "public domain")
+# Licenses that allow use, what their text may not contain, and the uses that are left out (fixed values).
+PERMISSIVE = "cc0-1.0 cc-by-4.0 cc-by-3.0 cc-by-2.5 cc-by-sa-4.0 cc-by-sa-3.0 apache-2.0 mit odc-by pddl bsd gpl-3.0 lgpl-3.0 unlicense unspecified other unknown".split()
+DENIED = ("non-commercial", "noncommercial", "non commercial", "research use", "research only", "research purposes", "academic")
+DROPPED_USES = ("non-commercial",)
 NONE_OF_ABOVE = ("none of the above", "nessuna delle precedenti", "none of these", "all of the above", "tutte le precedenti")
 
 
-def license_ok(lic: Column) -> Column:
-    """Whether a license allows use: nothing denied in it, and its part before a bracket is a permissive one."""
-    low = F.lower(F.trim(lic))
-    head = F.trim(F.split(low, r"\(")[0])
-    denied = low.rlike(r"(^|[^a-z])(" + "|".join(DENIED) + r")([^a-z]|$)")
-    return F.coalesce(~denied & head.isin(*PERMISSIVE), F.lit(False))
+def license_ok(lic: Column, use: Column | None = None) -> Column:
+    """Whether a license allows use: nothing denied in its text, a permissive name before its first bracket, and no dropped
+    use. Null licenses don't."""
+    low = F.lower(lic)
+    denied = low.rlike("|".join(DENIED))
+    if use is not None:
+        denied = denied | F.coalesce(F.lower(use).isin(*DROPPED_USES), F.lit(False))
+    return F.coalesce(~denied & F.trim(F.split(low, r"\(")[0]).isin(*PERMISSIVE), F.lit(False))
 
 
 def case_errors(q: Column, expect: Column, state: Column, id_: Column) -> Column:
@@ -99,7 +102,7 @@ def near_duplicates(df: DataFrame, id_: str, text: str, threshold: float = JACCA
     """(id, keep, links): every row with the smallest id of its class of near-duplicates and the number of different texts
     it is directly linked to. Texts equal after normalisation are one; different ones are linked by a Jaccard similarity of
     5-word shingles at or above the threshold, and classes are connected components. Null and empty texts stand alone."""
-    base = spread(df).select(F.col(id_).cast("long").alias("id"), norm_text(F.coalesce(F.col(text), F.lit("")), ascii_only).alias("norm"))
+    base = spread(df.select(id_, text)).select(F.col(id_).cast("long").alias("id"), norm_text(F.coalesce(F.col(text), F.lit("")), ascii_only).alias("norm"))
     base = base.withColumn("h", F.when(F.col("norm") != "", F.sha2("norm", 256)))
     firsts = stored(base.filter("h is not null").groupBy("h").agg(F.min("id").alias("rep"), F.first("norm").alias("norm")), "texts")
     edges = stored(similar_pairs(firsts, threshold), "links")
@@ -275,9 +278,20 @@ def with_target(cases: DataFrame, eps: float = SMOOTHING) -> DataFrame:
 
 
 def merge_target(anchor_key: Column, anchor_mass: Column, dist: Column) -> Column:
-    """A teacher's distribution (key, p) with fixed mass on the anchor and the rest scaled to what is left."""
+    """A teacher's distribution (key, p) with a fixed mass on the verified label and the rest scaled to what is left; as it is
+    where the label isn't among its keys, all on the label where nothing else has mass."""
     other = asum(F.transform(F.filter(dist, lambda x: x["key"] != anchor_key), lambda x: x["p"]))
-    return F.transform(dist, lambda x: F.struct(x["key"].alias("key"), F.when(x["key"] == anchor_key, anchor_mass).when(other > 0, x["p"] / other * (1 - anchor_mass)).otherwise(0.0).alias("p")))
+    known = F.coalesce(F.exists(dist, lambda x: x["key"] == anchor_key), F.lit(False))
+    merged = let(other, lambda o: F.transform(dist, lambda x: F.struct(x["key"].alias("key"), F.when(x["key"] == anchor_key, anchor_mass).otherwise(x["p"] / o * (1 - anchor_mass)).alias("p"))))
+    alone = F.array(F.struct(anchor_key.alias("key"), F.lit(1.0).alias("p")))
+    return F.when(~known, dist).when(other <= 0, alone).otherwise(merged)
+
+
+def teacher_label(q: Column, a: Column) -> Column:
+    """The label a teacher's answer stands for: abstention, the likelier of yes and no, the choice, the level's text, else the
+    key with the largest probability, the first on ties."""
+    t = q["qtype"]
+    return F.when(a["status"] == "abstained", ABSTAIN).when(t == "choice", a["choice"]).when(t == "score", F.get(q["criteria"], a["level"])["text"]).otherwise(teacher_argmax(a["probabilities"]))
 
 
 def teacher_argmax(dist: Column) -> Column:
@@ -401,8 +415,16 @@ def anchor_values(q: Column) -> Column:
 
 
 def label_anchor(q: Column, e: Column) -> Column:
-    """(key, mass) that a verified label fixes in a teacher's distribution: .9 on the label, .7 on a numeric anchor."""
-    return F.struct(expected_key(q, e).alias("key"), F.when(q["qtype"] == "numeric", 0.7).otherwise(0.9).alias("mass"))
+    """(key, mass) that a verified label fixes in a teacher's distribution: .85 on abstention, .8 on an option or on yes or no,
+    .75 on a level's text, a bound or the nearest anchor; no key and 0 where the side of a bound isn't known."""
+    t, v = q["qtype"], e["value"]
+    level = F.get(q["criteria"], F.when(e["level"] >= 0, e["level"]))["text"]
+    outside = (e["status"] == "out_of_bounds") | (v < q["min"]) | (v > q["max"])
+    nearest = float_text(F.array_min(F.transform(anchor_values(q), lambda x, i: F.struct(F.abs(x - v).alias("d"), i.alias("i"), x.alias("x"))))["x"])
+    numeric = F.when(v.isNull(), F.lit(None)).when(F.coalesce(outside, F.lit(False)), F.when(v < q["min"], BELOW).otherwise(ABOVE)).otherwise(nearest)
+    key = F.when(e["status"] == "abstained", ABSTAIN).when(t == "choice", e["choice"]).when(t.isin("boolean", "noul"), F.when(e["boolean"], "yes").otherwise("no")).when(t == "score", level).when(t == "numeric", numeric)
+    mass = F.when(e["status"] == "abstained", 0.85).when(t.isin("choice", "boolean", "noul"), 0.8).when(key.isNotNull(), 0.75).otherwise(0.0)
+    return F.struct(key.alias("key"), mass.alias("mass"))
 
 
 def teacher_probs(dist: Column, p_yes: Column) -> Column:

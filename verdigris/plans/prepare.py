@@ -24,7 +24,10 @@ def hf(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "convert_hf")
 
 
-@add(r"SELECT license, count(*) AS n FROM convert_hf WHERE NOT regexp_matches(lower(trim(license)), '(^|[^a-z])(nc|noncommercial|non-commercial|unknown|unspecified|research|proprietary|gpl)([^a-z]|$)') AND trim(string_split(lower(trim(license)), '(')[1]) IN ('mit', 'apache-2.0', 'cc0-1.0', 'cc-by-4.0', 'cc-by-sa-4.0', 'cc-by-3.0', 'cc-by-sa-3.0', 'bsd', 'bsd-3-clause', 'odc-by', 'pddl', 'public domain') GROUP BY license")
+_LICENSES = ", ".join(f"'{x}'" for x in prepare.PERMISSIVE)
+
+
+@add(f"SELECT license, count(*) AS n FROM convert_hf WHERE NOT regexp_matches(lower(license), '{'|'.join(prepare.DENIED)}') AND trim(string_split(lower(license), '(')[1]) IN ({_LICENSES}) GROUP BY license")
 def sch_13_license(spark: SparkSession, d: str) -> DataFrame:
     return hf(spark, d).filter(prepare.license_ok(F.col("license"))).groupBy("license").agg(F.count("*").alias("n"))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -31,11 +33,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it in spark.checkpoint.dir; only where that is unset (tests,
-    one machine) a temporary folder is made and remembered in the session."""
+    """The folder all executors share, as the session names it in spark.checkpoint.dir. Only where that is unset and all work
+    is done in one process (tests, one machine) a temporary folder is made, remembered in the session and removed at exit;
+    on a cluster it is an error."""
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.verdigris.shared.dir", None)
     if not got:
-        got = "file://" + tempfile.mkdtemp(prefix="verdigris-shared-")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="verdigris-shared-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        got = "file://" + path
         spark.conf.set("spark.verdigris.shared.dir", got)
     return got.rstrip("/")
 
