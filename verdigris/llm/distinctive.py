@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.operators.joins import checked_join
+from verdigris.operators.joins import checked_join, salted_join
 from verdigris.session import spread, stored
 
 TERM = re.compile("[a-z]{3,}")
@@ -61,9 +61,9 @@ def records(df: DataFrame) -> DataFrame:
     """One row per record: rows alike in path, start_line and text (nulls being alike) are one, named by the smallest
     chunk_id. Texts aren't moved for this: copies are found by their digests, and the few that aren't the smallest are
     taken out."""
-    keys = df.select("chunk_id", "path", "start_line", F.sha2(F.col("text").cast("binary"), 256).alias("d"))
-    groups = keys.groupBy("path", "start_line", "d").agg(F.min("chunk_id").alias("keep"), F.count("*").alias("n")).filter("n > 1")
-    again = keys.alias("k").join(groups.alias("g"), F.col("k.path").eqNullSafe(F.col("g.path")) & F.col("k.start_line").eqNullSafe(F.col("g.start_line")) & F.col("k.d").eqNullSafe(F.col("g.d"))).filter("k.chunk_id > g.keep")
+    keys = df.select("chunk_id", F.struct("path", "start_line", F.sha2(F.col("text").cast("binary"), 256).alias("digest")).alias("_key"))
+    groups = keys.groupBy("_key").agg(F.min("chunk_id").alias("keep"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    again = salted_join(keys, groups, "_key", F.col("chunk_id")).filter("chunk_id > keep")
     copies = stored(again.select("chunk_id"), "copies")
     return checked_join(df.select("chunk_id", "path", "symbol", "text"), copies, ["chunk_id"], "left_anti")
 

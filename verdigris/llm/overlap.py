@@ -273,7 +273,7 @@ def cross_split_pairs(df: DataFrame, train: str = "train") -> DataFrame:
     member = stored(member.drop("text_key"), "member")
     t = member.filter("side").select(F.col("cls").alias("t_cls"), F.col("record_no").alias("t_no"))
     e = member.filter("not side").select(F.col("cls").alias("e_cls"), F.col("record_no").alias("e_no"), "split", "source")
-    out = links.join(t, "t_cls").join(e, "e_cls")
+    out = salted_join(t, links, "t_cls", F.col("t_no")).join(e, "e_cls")
     return out.select(F.least("t_no", "e_no").alias("record_lo"), F.greatest("t_no", "e_no").alias("record_hi"), "split", "source", "distance", "coverage")
 
 
