@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from verdigris.functions.once import once
 from verdigris.functions.prob import argmax_first, argmax_last, asum, brier, ece_bin, expected_level, half_up, kl_floor, mcnemar, r4, squared, total_variation
 from verdigris.operators.questions import ABOVE, ABSTAIN, BELOW
+from verdigris.session import stored
 
 SCORE_TOLERANCE = 0.34
 NOTE = "Unrelated note: a paperclip factory in another city changed its logo last Tuesday. It has no bearing on the matter at hand."
@@ -131,14 +132,21 @@ def ece(rows: DataFrame, by: list[str], conf: str = "conf", ok: str = "ok", bins
 def report(scored: DataFrame) -> DataFrame:
     """One row for all cases and one per question type: cases, scored, accuracy, balanced accuracy (over positions),
     Brier, ECE, mean confidence. Needs q, expect, answer. Accuracy is over rows that can be judged, the others over rows
-    with a target; per-bin and per-class partial sums are what is shuffled."""
+    with a target. The cases are gone over once: all figures follow from sums per type, class and bin."""
     d = once(with_distribution(scored), ok=judge(F.col("expect"), F.col("answer")), conf=F.when(F.col("y").isNotNull(), F.array_max("p")), b=F.when(F.col("y").isNotNull(), brier(F.col("p"), F.col("y")))).withColumn("qtype", F.col("q.qtype"))
-    d = d.select("qtype", "ok", "y", "hit", "conf", "b", F.col("answer.confidence").alias("confidence")).withColumn("qtype", F.explode(F.array(F.lit("all"), F.col("qtype"))))
-    main = d.groupBy("qtype").agg(
-        F.count("*").alias("cases"), F.count("ok").alias("scored"), r4(F.coalesce(F.avg(F.col("ok").cast("double")), F.lit(0.0))).alias("accuracy"),
-        r4(F.avg("b")).alias("brier"), r4(F.coalesce(F.avg(F.when(F.col("ok").isNotNull(), F.col("confidence"))), F.lit(0.0))).alias("mean_confidence"))
-    recall = d.filter("y is not null").groupBy("qtype", "y").agg(F.avg(F.col("hit").cast("double")).alias("r")).groupBy("qtype").agg(r4(F.avg("r")).alias("balanced_accuracy"))
-    e = ece(d.filter("y is not null"), ["qtype"], "conf", "hit").select("qtype", r4(F.col("ece")).alias("ece"))
+    d = d.select(F.explode(F.array(F.lit("all"), F.col("qtype"))).alias("qtype"), "ok", "y", "hit", "conf", "b", F.col("answer.confidence").alias("confidence"))
+    ok, hit = F.col("ok").cast("double"), F.col("hit").cast("double")
+    cells = d.groupBy("qtype", "y", ece_bin(F.col("conf")).alias("bin")).agg(
+        F.count("*").alias("n"), F.count("ok").alias("scored"), F.sum(ok).alias("ok"), F.sum(F.when(F.col("ok").isNotNull(), F.col("confidence"))).alias("confidence"),
+        F.sum("b").alias("b"), F.sum(hit).alias("hit"), F.sum("conf").alias("conf"))
+    cells = stored(cells, "report")  # at most types x options x bins rows
+    dist = F.col("y").isNotNull()
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    main = cells.groupBy("qtype").agg(
+        F.sum("n").alias("cases"), F.sum("scored").alias("scored"), r4(F.coalesce(F.try_divide(total("ok"), F.sum("scored")), F.lit(0.0))).alias("accuracy"),
+        r4(F.try_divide(F.sum(F.when(dist, F.col("b"))), F.sum(F.when(dist, F.col("n"))))).alias("brier"), r4(F.coalesce(F.try_divide(total("confidence"), F.sum("scored")), F.lit(0.0))).alias("mean_confidence"))
+    recall = cells.filter(dist).groupBy("qtype", "y").agg((F.sum("hit") / F.sum("n")).alias("r")).groupBy("qtype").agg(r4(F.avg("r")).alias("balanced_accuracy"))
+    e = cells.filter(dist).groupBy("qtype", "bin").agg(F.sum("n").alias("n"), F.abs(F.sum("hit") - F.sum("conf")).alias("d")).groupBy("qtype").agg(r4(F.sum("d") / F.sum("n")).alias("ece"))
     return main.join(recall, "qtype", "left").join(e, "qtype", "left")
 
 
