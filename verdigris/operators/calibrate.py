@@ -39,7 +39,7 @@ def fnv128(data: bytes) -> str:
     return f"{h:032x}"
 
 
-def fold_of(id_: str, salt: str = "snap-fold/", folds: int = FOLDS) -> int:
+def fold_of(id_: str, salt: str = "case-fold/", folds: int = FOLDS) -> int:
     """Fold of a case: the same for all its rows, whatever their order."""
     return fnv64((salt + id_).encode()) % folds
 

@@ -12,6 +12,7 @@ from verdigris.operators.questions import ABOVE, ABSTAIN, BELOW
 from verdigris.session import stored
 
 SCORE_TOLERANCE = 0.34
+# Texts of the stability probes (fixed values).
 NOTE = "Unrelated note: a paperclip factory in another city changed its logo last Tuesday. It has no bearing on the matter at hand."
 WRAPPER = "Using only the supplied evidence, decide: "
 

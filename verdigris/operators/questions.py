@@ -14,6 +14,7 @@ from verdigris.functions.once import once
 MAX_SLOTS, MAX_OPTIONS, MAX_QUESTIONS, LONG_STATE_BYTES = 26, 256, 64, 2000
 TYPES = ("boolean", "noul", "choice", "score", "numeric")
 FIELDS = ("type", "instructions", "criteria", "min", "max", "step", "granularity", "allow_abstain")
+# Keys and texts of special options (fixed values).
 ABSTAIN, BELOW, ABOVE = "__abstain__", "__below__", "__above__"
 ABSTAIN_LABEL = "None of the above / insufficient information in the state"
 
@@ -153,6 +154,7 @@ def range_line(q: Column) -> Column:
     return F.concat(F.lit("Pick the closest value in range ["), float_text(q["min"]), F.lit(", "), float_text(q["max"]), F.lit("], or below/above the range."))
 
 
+# Fixed lines of a message (fixed values).
 REPLY = ("", "Reply with one letter only.")
 PREAMBLE = "You will be asked each of these questions about the state below, one at a time. Read the state with all of them in mind."
 CATALOG = "You will be asked each of these questions about the state below, one at a time, by number. Read the state with all of them in mind."
