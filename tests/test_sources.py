@@ -141,3 +141,11 @@ def test_teacher_expressions(spark):
 def test_softmax_is_shift_invariant(spark):
     a = one(spark, softmax(F.array(F.lit(1000.0), F.lit(1001.0))))
     assert a == pytest.approx(one(spark, softmax(F.array(F.lit(0.0), F.lit(1.0))))) and sum(a) == pytest.approx(1)
+
+
+def test_workers_find_the_package(spark):
+    from verdigris.session import importable, repo_root
+
+    importable(spark)
+    importable(spark)
+    assert spark.sparkContext.environment["PYTHONPATH"].split(":").count(repo_root()) == 1

@@ -27,8 +27,17 @@ def get_session(master: str = "local[*]", partitions: int = 8, **conf: str) -> S
     return b.getOrCreate()
 
 
+def importable(spark: SparkSession) -> None:
+    """Python workers find this package wherever the driver was started from, if it lies at the same place there."""
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if repo_root() not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([repo_root(), *paths])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, a parquet file or a folder of parts."""
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -53,6 +62,7 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     and a lost executor costs nothing but the running tasks. Unlike a checkpoint the table is compressed, columnar and
     carries the statistics from which the planner picks join strategies."""
     spark = df.sparkSession
+    importable(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -61,6 +71,7 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """A scan whose few files would keep most cores idle, dealt to all of them; for steps that cost far more than moving
     their rows. Scans with enough splits are left as they are, so at scale nothing is moved."""
+    importable(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     splits = df._jdf.queryExecution().toRdd().getNumPartitions()
     return df.repartition(cores) if 2 * splits < cores else df
