@@ -249,6 +249,34 @@ def test_consistent_table(spark):
     assert json.loads(t[1]["extra"]) == {"lic": "mit"} and json.loads(t[2]["extra"])["lic"] == "x"
 
 
+def test_consistent_table_follows_soft_renames(spark):
+    import datetime as dt
+
+    lines = [
+        ["{\"id\": \"1\", \"soft\": {\"p_yes\": 0.25}}"],
+        ["{\"id\": \"2\", \"soft\": {\"odds\": 0.229}}", "{\"id\": \"3\", \"soft\": {\"odds\": 0.229, \"rater\": \"r1\"}}"],
+        ["{\"id\": \"4\", \"soft\": {\"chance\": 0.5, \"rater\": \"r1\", \"window\": {\"x\": 1}}}", "{\"id\": \"5\", \"soft\": {\"chance\": null, \"window\": {\"x\": 1}}}"],
+    ]
+    rows = [(10 * f + i, "f", f"f{f}", dt.datetime(2025, 1, f + 1), i, p) for f, ps in enumerate(lines) for i, p in enumerate(ps)]
+    r = raw(spark, rows)
+    t = {x["id"]: x for x in drift.consistent_table(r, drift.drift_report(r)).collect()}
+    assert t["2"]["soft_labels"] == t["3"]["soft_labels"] == '{"no": 0.771, "yes": 0.229}' and json.loads(t["3"]["soft"]) == {"p_yes": 0.229, "rater": "r1"}
+    assert t["4"]["soft_labels"] == '{"no": 0.5, "yes": 0.5}' and json.loads(t["4"]["soft"])["p_yes"] == 0.5 and t["5"]["soft_labels"] is None
+
+
+def test_soft_labels_read_the_named_field():
+    assert drift.soft_labels({"option_probs": "0.585", "count_raters": 0.77, "agreement": 0.594}) is None
+    assert drift.soft_labels({"agreement": [0.4, 0.6], "probs": [0.3, 0.7]}) == {"0": 0.3, "1": 0.7}
+    assert drift.soft_labels({"levels": 0.4, "window": {"a": 0.5, "b": 0.5}}) is None and drift.soft_labels({"agreement": 0.6, "n": 0.4}) is None
+    assert drift.soft_labels({"p": 0.25, "rater": "x"}) == drift.soft_labels({"distribution": 0.25}) == drift.soft_labels({"yes": 0.25, "n": 9}) == {"yes": 0.25, "no": 0.75}
+    assert drift.soft_labels('{"a": 0.3, "b": 0.7001}') == {"a": 0.3, "b": 0.7001} and drift.soft_labels({}) is None
+
+
+def test_two_fields_of_one_first_name_both_stay():
+    assert drift.under_first_names({"options": 1, "probs": 2}, {"probs": "options"}) == {"options": 2, "options_": 1}
+    assert drift.under_first_names({"options": 1, "probs": None}, {"probs": "options"}) == {"options": 1}
+
+
 def test_flooding_prefers_like_names():
     s = drift.flood({"licence": 16, "note": 16}, {"license": 16, "votes": 16}, ["licence", "note"], ["license", "votes"])
     assert s[("licence", "license")] > s[("licence", "votes")] and drift.select_renames({"licence": 16, "note": 16}, {"license": 16, "votes": 16}, s) == {}

@@ -183,42 +183,75 @@ def canonical_names(changes: DataFrame) -> DataFrame:
     return changes.filter("change_kind = 'renamed'").select("feed", "written_at", "file_name", "old_field", "new_field")
 
 
-def soft_labels(value: object) -> dict[str, float] | None:
-    """The label distribution of a soft value of any of its shapes: a map of labels, lists by position, p_yes, yes and
-    no, one number, a JSON text of any of these. None if there is none."""
-    if isinstance(value, str):
-        try:
-            value = json.loads(value)
-        except (ValueError, RecursionError):
-            return None
-        if isinstance(value, str):
-            return None
-    if isinstance(value, bool) or value is None:
+# The soft fields that hold a distribution, with the names they are known by; all others only describe it.
+POSITIONS = ("options", "probs", "option_probs", "levels", "level_probs", "level_share")
+SHARES = ("p_yes", "yes_share", "p")
+EITHER = ("distribution", "dist", "label_dist")
+DESCRIBING = {"n", "count_raters", "agreement", "rater", "rater_id", "judge", "contested", "window", "by_voice"}
+
+
+def _parsed(value: object) -> object:
+    """The value of a JSON text, else the value itself; None if it can't be read."""
+    if not isinstance(value, str):
+        return value
+    try:
+        return json.loads(value)
+    except (ValueError, RecursionError):
         return None
+
+
+def _values(value: object, share: bool) -> dict[str, float] | None:
+    """Labels from what one field holds: a list by position, a map of labels and, if share, the share of yes."""
+    value = _parsed(value)
     num = _number(value)
     if num is not None:
-        return {"yes": num, "no": 1.0 - num} if 0 <= num <= 1 else None
+        return {"yes": num, "no": 1.0 - num} if share and 0 <= num <= 1 else None
     if isinstance(value, list):
-        ns = [_number(x) for x in value]
-        return {str(i): n for i, n in enumerate(ns)} if ns and all(n is not None for n in ns) else None
-    if isinstance(value, dict):
-        flat = {k: _number(v) for k, v in value.items()}
-        p = flat.get("p_yes")
-        if p is not None and 0 <= p <= 1:
-            return {"yes": p, "no": 1.0 - p}
-        y, n = flat.get("yes"), flat.get("no", flat.get("n"))
-        if y is not None:
-            return {"yes": y, "no": 1.0 - y if n is None else n}
-        for v in value.values():
-            if isinstance(v, (dict, list)) or isinstance(v, str) and v[:1] in "[{":
-                got = soft_labels(v)
-                if got:
-                    return got
-        if flat and all(v is not None for v in flat.values()):
-            return flat
+        value = {str(i): x for i, x in enumerate(value)}
+    if not isinstance(value, dict):
+        return None
+    flat = {k: _number(v) for k, v in value.items()}
+    return flat if flat and all(v is not None for v in flat.values()) else None
+
+
+def soft_labels(value: object) -> dict[str, float] | None:
+    """The label distribution of a soft value of any of its shapes: lists by position (options, levels), p_yes, a
+    distribution (map, list or share of yes), yes and no, a map of labels that sum to 1, one number, a JSON text of any
+    of these. It is read from the field that is named for it, never from one that describes it. None if there is none."""
+    value = _parsed(value)
+    if not isinstance(value, dict):
+        return None if isinstance(value, str) else _values(value, True)
+    for k in (*EITHER, *POSITIONS, *SHARES):
+        if value.get(k) is not None:
+            got = _values(value[k], k not in POSITIONS)
+            if got:
+                return got
+    y, n = _number(value.get("yes")), _number(value.get("no"))
+    if y is not None:
+        return {"yes": y, "no": 1.0 - y if n is None else n}
+    if DESCRIBING.isdisjoint(value):
+        got = _values(value, False)
+        if got and abs(sum(got.values()) - 1) <= 0.02 and all(v >= 0 for v in got.values()):
+            return got
     return None
 
 
+def under_first_names(fields: dict[str, object], back: dict[str, str]) -> dict[str, object]:
+    """The fields under the names they had first. Where another field has that name by now, it keeps its place if the
+    renamed one is null, else both stay, each under a name of its own."""
+    out: dict[str, object] = {}
+    for k in sorted(fields, key=lambda k: k not in back):
+        c = back.get(k, k)
+        if out.get(c) is None:
+            out[c] = fields[k]
+        elif fields[k] is not None:
+            own = k
+            while own in out:
+                own += "_"
+            out[own] = fields[k]
+    return out
+
+
 def _number(v: object) -> float | None:
     if isinstance(v, bool):
         return None
@@ -241,8 +274,8 @@ _TABLE = "raw_no long, feed string, file_name string, line_no int, readable bool
 
 
 def consistent_table(raw: DataFrame, changes: DataFrame) -> DataFrame:
-    """All lines in one schema (see _TABLE): strings as they are, other values as JSON text, each field under the name it
-    had in the feed's first file; what belongs to no canonical column is kept in `extra` (JSON); unreadable lines stay,
+    """All lines in one schema (see _TABLE): strings as they are, other values as JSON text, each field, those of soft
+    included, under the name it had in the feed's first file; what belongs to no canonical column is kept in `extra` (JSON); unreadable lines stay,
     with readable = false. The chains of renamings are one small array per file, joined with salted keys so that a file
     or feed with most of the lines is spread."""
     renames = canonical_names(changes)
@@ -254,23 +287,22 @@ def consistent_table(raw: DataFrame, changes: DataFrame) -> DataFrame:
     rows = salted_join(raw.select("raw_no", "feed", "file_name", "line_no", "payload").withColumn("_file", F.struct("feed", "file_name")), chain, "_file", F.col("raw_no"), "left")
 
     def unify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, dict[str, str]] = {}
+        memo: dict[str, tuple[dict[str, str], dict[str, str]]] = {}
         for b in batches:
             cols: list[list] = [[] for _ in range(14)]
             for no, feed, name, line, payload, chain in zip(*(b.column(i).to_pylist() for i in range(6))):
-                back = memo.get(chain)
-                if back is None:
-                    back = {}
+                if chain not in memo:
+                    memo[chain] = ({}, {})
                     for s in json.loads(chain or "[]"):
-                        if not s["old_field"].startswith("soft."):
-                            back[s["new_field"]] = back.pop(s["old_field"], s["old_field"])
-                    memo[chain] = back
+                        soft = s["old_field"].startswith("soft.")
+                        old, new = (s[k].removeprefix("soft.") if soft else s[k] for k in ("old_field", "new_field"))
+                        memo[chain][soft][new] = memo[chain][soft].pop(old, old)
+                back, soft_back = memo[chain]
                 got = readable(payload)
-                named: dict[str, object] = {}
-                for k, v in (got or {}).items():
-                    c = back.get(k, k)
-                    if named.get(c) is None:
-                        named[c] = v
+                named = under_first_names(got or {}, back)
+                inner = _parsed(named.get("soft"))
+                if isinstance(inner, dict) and not soft_back.keys().isdisjoint(inner):
+                    named["soft"] = under_first_names(inner, soft_back)
                 text = lambda v: v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False)
                 extra = {k: v for k, v in named.items() if k not in CANONICAL}
                 soft = named.get("soft")
