@@ -318,6 +318,16 @@ def test_overlap_against_brute_force(spark):
     assert overlap.cross_split_pairs(spark.createDataFrame([], HF)).count() == 0
 
 
+@pytest.mark.parametrize("lines", [4, 5, 6])
+def test_overlap_of_repeated_lines(spark, lines):
+    """Edits of early repetitions shift which repetition the later ones are."""
+    line = [f"w{i}" for i in range(10)]
+    edited = [w if n >= lines or i % 3 else f"x{n}y{i}" for n in range(20) for i, w in enumerate(line)]
+    q = '{"type": "boolean", "instructions": "Is it so?"}'
+    rows = [(1, None, "s", "train", " ".join(line * 20), q, 0), (2, None, "s", "dev", " ".join(edited), q, 0)]
+    assert [(r["record_lo"], r["record_hi"], r["distance"]) for r in overlap.cross_split_pairs(spark.createDataFrame(rows, HF)).collect()] == [(1, 2, 4 * lines)]
+
+
 # ---- 7: encoding ----
 
 

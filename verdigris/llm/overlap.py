@@ -226,11 +226,12 @@ def near_classes(classes: DataFrame) -> DataFrame:
     for r in sparse_suffixes(classes, None).groupBy("slot").agg(F.sum("n").alias("n")).collect():  # a fixed number of counters
         counts[r["slot"]] = r["n"]
     suffixes = stored(sparse_suffixes(classes, counts), "suffixes")
-    t = suffixes.filter("in_train").drop("in_train", "in_eval").toDF("t_cls", "h3", "t6", "t12", "t24", "t_pos", "t_n")
+    t = suffixes.filter("in_train").drop("in_train", "in_eval", "pos").toDF("t_cls", "h3", "t6", "t12", "t24", "t_n")
     e = suffixes.filter("in_eval").drop("in_train", "in_eval").toDF("e_cls", "h3", "e6", "e12", "e24", "e_pos", "e_n")
     longest = F.greatest("t_n", "e_n")
     k = F.floor(longest / ONE_IN)
-    pairs = t.join(e, "h3").filter((F.col("t_cls") != F.col("e_cls")) & (F.abs(F.col("t_n") - F.col("e_n")) <= k) & (F.abs(F.col("t_pos") - F.col("e_pos")) <= k))
+    # where a beginning stands says nothing: if an early repetition is edited, the n-th of one text is a later one of the other
+    pairs = t.join(e, "h3").filter((F.col("t_cls") != F.col("e_cls")) & (F.abs(F.col("t_n") - F.col("e_n")) <= k))
     span = F.when(F.col("t24") == F.col("e24"), 24).when(F.col("t12") == F.col("e12"), 12).when(F.col("t6") == F.col("e6"), 6).otherwise(3)
     # the spans of a pair, merged: each reaches from its start as far as the levels agree
     spans = pairs.groupBy("t_cls", "e_cls").agg(F.max("e_n").alias("n"), F.sort_array(F.collect_list(F.struct(F.col("e_pos").alias("at"), span.alias("len")))).alias("spans"))
