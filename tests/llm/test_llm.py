@@ -455,3 +455,31 @@ def test_abuse_tables(spark):
     r = abuse.score_documents(docs, m)
     assert r.count() == 4 and r.filter("flagged").count() == 0 and abuse.rates(r).count() == 2
     assert abuse.score_documents(docs.limit(0), m).count() == 0
+
+
+LABELS = "doc_id long, abusive int, hateful int, sexual int"
+
+
+def test_prior_is_that_of_all_documents(spark):
+    """Reviewed documents are abusive far more often than others; how many of either are drawn changes no estimate."""
+    rnd = random.Random(4)
+    texts, truth = fake(rnd, 3000)
+    bad, good = ([t for t, y in zip(texts, truth) if y is x] for x in (True, False))
+    reviewed, others = bad[:150] + good[:150], bad[150:170] + good[150:1400]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(reviewed + others)], "doc_id long, text string").withColumn("source", F.lit("s"))
+    labels = spark.createDataFrame([(i, int(i < 150), 0, 0) for i in range(300)], LABELS)
+    every = [s for t in reviewed + others for s in abuse.passages(t)]
+    want = sum("you" in s.split() for s in every) / len(every)
+    small, whole = (abuse.fit_model(docs, labels, max_others=most) for most in (40, 10_000))
+    # a round may pass over some wordings; the share among those drawn is about four times as high
+    assert want / 2 < small.prior < want * 1.5 and want / 2 < whole.prior < want * 1.5
+    assert abuse.passages_above(docs.limit(0), whole.weights, whole.bias, whole.weights != 0) == 0
+
+
+def test_drawn_parts_have_their_true_weights(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"Text {chr(97 + i % 26)}.") for i in range(500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, 0, 0) for i in range(100)], LABELS)
+    seen = {}
+    monkeypatch.setattr(abuse, "train", lambda texts, votes, **k: seen.update(k, votes=votes))
+    abuse.fit_model(docs, labels, max_reviewed=50, max_others=20)
+    assert sorted({(v is None, w) for v, w in zip(seen["votes"], seen["stands_for"])}) == [(False, 2.0), (True, 20.0)] and len(seen["votes"]) == 70

@@ -13,7 +13,7 @@ import html
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -186,22 +186,30 @@ def fit_nnpu(x: Rows, positive: np.ndarray, unlabelled: np.ndarray, prior: float
     return w, b
 
 
-def train(texts: list[str], votes: list[float | None], rounds: int = 3, seed: int = 17) -> Model:
+def passages(text: str | None) -> list[str]:
+    """The distinct sentences of a text, with digits folded."""
+    return [re.sub(r"\d+", "0", s) for s in dict.fromkeys(sentences(text))]
+
+
+def train(texts: list[str], votes: list[float | None], rounds: int = 3, seed: int = 17, stands_for: list[float] | None = None, share_above: Callable[[np.ndarray, float, np.ndarray], float] | None = None) -> Model:
     """A model from documents with the share of reviewers who confirmed them (None: not reviewed).
 
-    Equal sentences (numbers apart) are one row with a weight. The class prior of sentences is estimated from the
-    round before; the threshold is the score that agrees best with the reviews, leaving them out of no step but the
+    Equal sentences (numbers apart) are one row with a weight. Each document counts in the unlabelled risk as the
+    documents it stands for (one by default). The class prior of sentences is the share that the round before scores
+    above 0: of all that share_above(weights, bias, features in use) sees, of the given texts without it; the threshold is the score that agrees best with the reviews, leaving them out of no step but the
     choice among confirmed sentences.
     """
     index: dict[str, int] = {}
     docs: list[list[int]] = []
     for t in texts:
-        docs.append([index.setdefault(re.sub(r"\d+", "0", s), len(index)) for s in dict.fromkeys(sentences(t))])
+        docs.append([index.setdefault(s, len(index)) for s in passages(t)])
     rows = [features(s) for s in index]
     often = np.bincount(np.concatenate(rows) if rows else np.empty(0, np.int64), minlength=DIM) > 1
     x = Rows([f[often[f]] for f in rows])  # what occurs in one sentence only can teach nothing about others
     n = len(index)
-    u = np.bincount(np.fromiter((i for d in docs for i in d), np.int64, sum(map(len, docs))), minlength=max(n, 1)).astype(float)[:n]
+    lens = np.fromiter(map(len, docs), np.int64, len(docs))
+    each = np.repeat(np.ones(len(docs)) if stands_for is None else np.array(stands_for, float), lens)
+    u = np.bincount(np.fromiter((i for d in docs for i in d), np.int64, int(lens.sum())), each, minlength=max(n, 1))[:n]
     bags = [d for d, v in zip(docs, votes) if v is not None and v >= 0.5 and d]
     if not bags or not n:
         return Model(np.zeros(DIM), -30.0, 0.5, 0.0, {"positive": 0, "sentences": n})
@@ -230,8 +238,9 @@ def train(texts: list[str], votes: list[float | None], rounds: int = 3, seed: in
             cutoff = float(np.sort(s[np.unique(np.concatenate([np.array(d) for d in bags]))])[::-1][min(len(bags) - 1, n - 1)])
             s = s - max(cutoff, float(np.quantile(s, 0.9)))
             cutoff = 0.0
-        else:
-            prior = float(min(0.3, max(0.003, u @ (s > 0))))
+        elif r < rounds - 1:
+            above = u @ (s > 0) if share_above is None else share_above(w, b, often)
+            prior = float(min(0.3, max(0.003, above)))
     best, threshold = -1.0, 0.5
     reviewed = [(max((float(s[i]) for i in d), default=-30.0), v >= 0.5) for d, v in zip(docs, votes) if v is not None]
     if reviewed:
@@ -248,21 +257,47 @@ def train(texts: list[str], votes: list[float | None], rounds: int = 3, seed: in
 MAX_REVIEWED, MAX_OTHERS, MAX_FIT_CHARS = 12_000, 4_000, 20_000
 
 
+def passages_above(documents: DataFrame, w: np.ndarray, b: float, used: np.ndarray) -> float:
+    """The share of the passages of all documents that score above 0, summed in the tasks; 0 if there are none. Only
+    the features in use count, as in the fit."""
+    shared = documents.sparkSession.sparkContext.broadcast((w, b, used))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, b, used = shared.value
+        above = n = 0
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                rows = [f[used[f]] for t in batch.column(0).slice(i, 512).to_pylist() for f in map(features, passages(t))]
+                above += int((Rows(rows).dot(w, b) > 0).sum())
+                n += len(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([above], pa.int64()), pa.array([n], pa.int64())], names=["above", "n"])
+
+    got = spread(documents.select(F.col("text").cast("string").alias("text"))).mapInArrow(run, "above long, n long").agg(F.sum("above").alias("above"), F.sum("n").alias("n")).first()
+    return got["above"] / got["n"] if got["n"] else 0.0
+
+
 def fit_model(documents: DataFrame, labels: DataFrame, max_reviewed: int = MAX_REVIEWED, max_others: int = MAX_OTHERS, seed: int = 17) -> Model:
-    """Fits on a bounded sample: reviews are averaged per document over all reviewers who gave a verdict."""
+    """Fits on a bounded sample: reviews are averaged per document over all reviewers who gave a verdict.
+
+    Reviewed and other documents are sampled apart, and each part has the weight in the unlabelled risk that it has
+    among all documents. The class prior is counted over all documents.
+    """
     yes = F.greatest("abusive", "hateful", "sexual")  # nulls are passed over; null if all are
     votes = labels.filter("doc_id is not null").select("doc_id", F.when(yes >= 1, 1.0).when(yes == 0, 0.0).alias("v")).groupBy("doc_id").agg(F.avg("v").alias("vote")).filter("vote is not null")
     docs = documents.select("doc_id", "text").filter("text is not null and doc_id is not null").withColumn("h", F.xxhash64("doc_id", F.lit(seed)))
     some = votes.withColumn("h", F.xxhash64("doc_id", F.lit(seed))).orderBy("h", "doc_id").limit(max_reviewed).select("doc_id", "vote")
     reviewed = docs.join(F.broadcast(some), "doc_id").select("doc_id", F.substring("text", 1, MAX_FIT_CHARS).alias("text"), "vote")
     # ids are chosen before any text is moved
-    chosen = docs.select("h", "doc_id").orderBy("h", "doc_id").limit(max_others).select("doc_id").distinct()
+    ids = docs.select("h", "doc_id")
+    without = ids.join(votes.select("doc_id"), "doc_id", "left_anti")
+    chosen = without.select("h", "doc_id").orderBy("h", "doc_id").limit(max_others).select("doc_id").distinct()
     others = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", F.substring("text", 1, MAX_FIT_CHARS).alias("text"), F.lit(None).cast("double").alias("vote"))
-    got = reviewed.toArrow().to_pylist()
-    seen = {r["doc_id"] for r in got}
-    got += [r for r in others.toArrow().to_pylist() if r["doc_id"] not in seen]
+    got = reviewed.toArrow().to_pylist() + others.toArrow().to_pylist()
     got.sort(key=lambda r: r["doc_id"])
-    return train([r["text"] for r in got], [r["vote"] for r in got], seed=seed)
+    n, rest = ids.count(), without.count()
+    drawn = sum(r["vote"] is None for r in got)
+    stand = {True: rest / max(1, drawn), False: (n - rest) / max(1, len(got) - drawn)}
+    return train([r["text"] for r in got], [r["vote"] for r in got], seed=seed, stands_for=[stand[r["vote"] is None] for r in got], share_above=lambda w, b, used: passages_above(documents, w, b, used))
 
 
 def score_documents(documents: DataFrame, model: Model) -> DataFrame:
