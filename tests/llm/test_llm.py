@@ -172,6 +172,17 @@ def test_allot_with_units(monkeypatch):
     assert size["dev"] == size["holdout"] == round(total / 10)
 
 
+@pytest.mark.parametrize("counts", [{1: 50_000_000}, {1: 500_000_000}, {1: 3_000_000, 3: 20_000_000, 11: 5_000_000, 5_000_000: 9}, {2: 60_000_000}])
+def test_allot_fills_large_splits(counts):
+    plan = grouped.allot(counts, [("train", 0.8), ("dev", 0.1), ("holdout", 0.1)])
+    total, size = sum(s * n for s, n in counts.items()), {}
+    for s, got in plan.items():
+        assert sum(n for _, n in got) == counts[s] and all(n > 0 for _, n in got)
+        for k, n in got:
+            size[k] = size.get(k, 0) + s * n
+    assert size["dev"] == size["holdout"] == round(total / 10)
+
+
 def test_splits(spark):
     rows = [(i, f"i{i // 3}", f"s{i // 3 % 40}") for i in range(600)]
     df = spark.createDataFrame([(*r, None, None, None, 0) for r in rows], HF)
