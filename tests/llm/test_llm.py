@@ -329,6 +329,56 @@ def test_overlap_against_brute_force(spark):
     assert overlap.cross_split_pairs(spark.createDataFrame([], HF)).count() == 0
 
 
+def test_distance_of_long_texts_is_quick():
+    a = [f"w{i % 977}" for i in range(20_000)]
+    b = a[:5000] + ["x"] + a[5000:9000] + a[9005:] + ["y"] * 3
+    assert overlap.word_distance(a, b, 2500) == 9
+
+
+def test_hot_intervals_meet_in_blocks(spark, monkeypatch):
+    """Records of one boilerplate: every pair is found although an interval is cut into many blocks."""
+    rows = []
+    for i in range(60):
+        state = "the report says that pump seven at the old mill lost pressure in the night of the flood again " + f"w{i} " * (1 + i % 2)
+        rows.append((i, None, "c", "train" if i % 3 else "dev", state, '{"type": "boolean", "instructions": "a?"}', 0))
+    want = {(r["record_lo"], r["record_hi"]) for r in overlap.cross_split_pairs(spark.createDataFrame(rows, HF)).collect()}
+    monkeypatch.setattr(overlap, "BLOCK", 7)
+    monkeypatch.setattr(overlap, "AT_ONCE", 5)
+    got = {(r["record_lo"], r["record_hi"]) for r in overlap.cross_split_pairs(spark.createDataFrame(rows, HF)).collect()}
+    assert got == want and len(got) == 20 * 40
+
+
+@pytest.mark.parametrize("block", [8192, 3])
+def test_coverage_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(overlap, "BLOCK", block)
+    rng = random.Random(5)
+    vocab = [f"v{i}" for i in range(40)]
+    stock = [" ".join(rng.choice(vocab) for _ in range(rng.randint(5, 30))) for _ in range(6)]
+    rows = []
+    for i in range(80):
+        state = " ".join(rng.choice([*stock, rng.choice(vocab)]) for _ in range(rng.randint(0, 4)))
+        rows.append((i, None, rng.choice("ab"), rng.choice(["train", "dev", "holdout"]), state, rng.choice(['{"type": "boolean", "instructions": "a?"}', "b"]), 0))
+    rows.append((80, None, None, "dev", None, "b", 0))
+    got = {r["record_no"]: (r["words"], r["covered"], r["twin"]) for r in overlap.record_coverage(spark.createDataFrame(rows, HF)).collect()}
+    grams = {}
+    for no, _, _, split, state, q, _ in rows:
+        if split == "train":
+            w = overlap.state_words(state)
+            for i in range(len(w) - 5):
+                grams.setdefault((q, tuple(w[i : i + 6])), set()).add(no)
+    for no, _, _, split, state, q, _ in rows[:-1]:
+        if split == "train":
+            assert no not in got
+            continue
+        w = overlap.state_words(state)
+        hits = [i for i in range(len(w) - 5) if (q, tuple(w[i : i + 6])) in grams]
+        assert got[no][:2] == (len(w), len({j for i in hits for j in range(i, i + 6)}))
+        assert (got[no][2] is None) == (not hits)
+        assert not hits or any(got[no][2] in grams[(q, tuple(w[i : i + 6]))] for i in hits)
+    assert 80 not in got
+    assert overlap.record_coverage(spark.createDataFrame([], HF)).count() == 0
+
+
 @pytest.mark.parametrize("lines", [4, 5, 6])
 def test_overlap_of_repeated_lines(spark, lines):
     """Edits of early repetitions shift which repetition the later ones are."""

@@ -1,22 +1,26 @@
 """Problem 5: the same or nearly the same records in evaluation splits and in the training split.
 
-Method: a sparse suffix array over the texts of both sides, partitioned by what the suffixes begin with. Every suffix
-that is kept carries the hashes of its first 3, 6, 12 and 24 words (prefix doubling); in the order of these hashes
-suffixes with a long common prefix are adjacent, and the suffixes of one 3-word prefix form one interval of the array,
-which lies in one partition. Cross-split pairs within an interval reveal shared spans; their spans are merged into the
-share of a record that is covered, and the pairs are then compared word by word.
-
-Which suffixes are kept loses no pair. If at most k = n/8 of n words differ, at most 3k of the n - 2 three-word
-prefixes do; so with any order of prefixes common to both sides the two records agree in at least one of their
-3k + 1 first ones. Ordering by rarity makes those first ones rare, and boilerplate never starts an interval unless a
-record consists of it. The rarity is read from a table of a fixed number of counters.
+Method: a suffix array over the texts of both sides, partitioned by what the suffixes begin with. A suffix carries the
+hashes of its first 3, 6, 12 and 24 words (prefix doubling). Within a partition suffixes are sorted by them, so those
+with a long common prefix are adjacent, and the suffixes with one common prefix form one interval of the array.
+
+* `cross_split_pairs` reads the pairs of the intervals. The suffixes it sorts are a sparse choice that loses no pair: if
+  at most k = n/8 of n words differ, at most 3k of the n - 2 three-word beginnings do, so with any order of beginnings
+  common to both sides the two records agree in one of their 3k + 1 first ones. Ordering by rarity makes those rare, and
+  boilerplate never starts an interval unless a record consists of it. An exact word edit distance decides.
+* `record_coverage` sorts all suffixes, takes for each one of an evaluation record its nearest training neighbours in the
+  array, and merges the common prefixes into the share of the record that also stands in training records.
+
+The rarity is read from a table of a fixed number of counters. It also says into how many blocks a hot interval must be
+cut: its training suffixes are dealt to the rows and its evaluation suffixes to the columns of a square of blocks, so
+that every pair meets in exactly one task of bounded size.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +28,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.llm.leakage import WORD
-from verdigris.operators.joins import salted_join
+from verdigris.operators.joins import checked_join, salted_join
 from verdigris.session import stored
 
 Q = 3  # words that begin an interval
 ONE_IN = 8  # one word in so many may differ
 COUNTERS = 1 << 18
+#: Suffixes of an interval that one block holds of each side; a larger interval is cut into more blocks.
+BLOCK = 8192
+#: Pairs written at once.
+AT_ONCE = 1 << 19
+#: Words of a common prefix that make a shared span.
+SPAN = 6
 LEVELS = (3, 6, 12, 24)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -155,92 +165,183 @@ def suffixes(questions: list[bytes], texts: list[str]) -> tuple[np.ndarray, np.n
     return row, pos, lens, np.stack(out, 1) if len(row) else np.empty((0, len(LEVELS)), np.uint64)
 
 
-def sparse_suffixes(classes: DataFrame, counts: np.ndarray | None) -> DataFrame:
-    """Kept suffixes of (cls, question, words, in_train, in_eval): h3, h6, h12, h24, pos, n of the 3k+1 rarest; with
-    counts = None the counters of all beginnings instead, as (slot, n)."""
-    shared = None if counts is None else classes.sparkSession.sparkContext.broadcast(counts)
+def _of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    row, pos, lens, h = suffixes(b.column("question").to_pylist(), b.column("words").to_pylist())
+    return row, pos, lens, h, (h[:, 0] % np.uint64(COUNTERS)).astype(np.int64)
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 2000):
-                yield b.slice(i, 2000)
 
-    def of(b: pa.RecordBatch):
-        row, pos, lens, h = suffixes(b.column("question").to_pylist(), b.column("words").to_pylist())
-        return row, pos, lens, h, (h[:, 0] % np.uint64(COUNTERS)).astype(np.int64)
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(0, b.num_rows, 2000):
+            yield b.slice(i, 2000)
+
+
+def rarity(classes: DataFrame) -> np.ndarray:
+    """How many texts hold a beginning, by slots of a table of fixed size, which is all that reaches the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
-        for b in parts(batches):
-            total += np.bincount(of(b)[4], minlength=COUNTERS)
+        for b in _parts(batches):
+            total += np.bincount(_of(b)[4], minlength=COUNTERS)
         slot = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(total[slot], pa.int64())], names=["slot", "n"])
 
+    counts = np.zeros(COUNTERS, np.int64)
+    for r in classes.select("question", "words").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+        counts[r["slot"]] = r["n"]
+    return counts
+
+
+def sparse_suffixes(classes: DataFrame, counts: np.ndarray) -> DataFrame:
+    """cls, side (true: training), h3, h6, h12, h24, n, parts of the 3k+1 rarest suffixes of (cls, question, words,
+    in_train, in_eval), a class on both sides standing on each; parts: blocks a side of the suffix's interval is cut into."""
+    shared = classes.sparkSession.sparkContext.broadcast(counts)
+
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rarity = shared.value
-        for b in parts(batches):
-            row, pos, lens, h, slot = of(b)
-            order = np.lexsort((h[:, 0], rarity[slot], row))
+        seen = shared.value
+        for b in _parts(batches):
+            row, _, lens, h, slot = _of(b)
+            order = np.lexsort((h[:, 0], seen[slot], row))
             # k: words that may differ from the longest text a row can pair with; without any, only equal texts match,
             # which are one class already
             k = (ONE_IN * lens // (ONE_IN - 1)) // ONE_IN
             want = np.where(k > 0, Q * k + 1, 0)
             start = np.searchsorted(row, np.arange(len(lens)))
             order = order[np.arange(len(row)) - start[row] < want[row]]
+            train, test = (b.column(c).to_numpy(zero_copy_only=False)[row[order]] for c in ("in_train", "in_eval"))
+            side = np.concatenate((np.ones(int(train.sum()), bool), np.zeros(int(test.sum()), bool)))
+            order = np.concatenate((order[train], order[test]))
             g, r = h[order].view(np.int64), row[order]
-            take = pa.array(r)
             levels = [pa.array(np.ascontiguousarray(g[:, 0])), *(pa.array(g[:, i].astype(np.int32)) for i in range(1, len(LEVELS)))]
-            yield pa.RecordBatch.from_arrays([b.column("cls").take(take), b.column("in_train").take(take), b.column("in_eval").take(take), *levels, pa.array(pos[order].astype(np.int32)), pa.array(lens[r].astype(np.int32))], names=["cls", "in_train", "in_eval", "h3", "h6", "h12", "h24", "pos", "n"])
+            parts = -(-seen[slot[order]] // BLOCK)
+            yield pa.RecordBatch.from_arrays([b.column("cls").take(pa.array(r)), pa.array(side), *levels, pa.array(lens[r].astype(np.int32)), pa.array(np.maximum(parts, 1).astype(np.int32))], names=["cls", "side", "h3", "h6", "h12", "h24", "n", "parts"])
+
+    return classes.select("cls", "in_train", "in_eval", "question", "words").mapInArrow(keep, "cls long, side boolean, h3 long, h6 int, h12 int, h24 int, n int, parts int")
+
+
+def all_suffixes(classes: DataFrame) -> DataFrame:
+    """cls, train_no, in_eval, h6, h12, h24, pos of every suffix of at least SPAN words. The last bit of h12 and h24 says
+    whether the text has that many words left."""
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _parts(batches):
+            row, pos, lens, h, _ = _of(b)
+            at = np.flatnonzero(pos + SPAN <= lens[row])
+            g, r = h[at].view(np.int64), row[at]
+            cols = [b.column(x).take(pa.array(r)) for x in ("cls", "train_no", "in_eval")]
+            cols += [pa.array(np.ascontiguousarray(g[:, 1])), *(pa.array(g[:, i].astype(np.int32) & ~1 | (pos[at] + LEVELS[i] <= lens[r])) for i in (2, 3)), pa.array(pos[at].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, names=["cls", "train_no", "in_eval", "h6", "h12", "h24", "pos"])
+
+    return classes.select("cls", "train_no", "in_eval", "question", "words").mapInArrow(every, "cls long, train_no long, in_eval boolean, h6 long, h12 int, h24 int, pos int")
+
+
+Columns = dict[str, np.ndarray]
+
 
-    if counts is None:
-        return classes.select("question", "words").mapInArrow(count, "slot int, n long")
-    return classes.select("cls", "in_train", "in_eval", "question", "words").mapInArrow(keep, "cls long, in_train boolean, in_eval boolean, h3 long, h6 int, h12 int, h24 int, pos int, n int")
+def scanned(array: DataFrame, key: list[str], read: Callable[[Columns, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Reads the sorted partitions of a suffix array interval by interval: read(columns, starts of the intervals in them).
+
+    An interval is a run of rows with equal `key`; runs that batches cut are put together first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Columns = {}
+        for b in batches:
+            new = {c: b.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(b.schema.names)}
+            rows = {c: np.concatenate((held[c], v)) for c, v in new.items()} if held else new
+            n = len(rows[key[0]])
+            change = np.zeros(max(0, n - 1), bool)
+            for c in key:
+                change |= rows[c][1:] != rows[c][:-1]
+            starts = np.concatenate(([0], np.flatnonzero(change) + 1))
+            cut = int(starts[-1])
+            held = {c: v[cut:] for c, v in rows.items()}
+            if cut:
+                yield from read({c: v[:cut] for c, v in rows.items()}, starts[:-1])
+        if held and len(held[key[0]]):
+            yield from read(held, np.zeros(1, np.int64))
+
+    return array.mapInArrow(run, schema)
+
+
+def interval_pairs(suffixes: DataFrame) -> DataFrame:
+    """(t_cls, e_cls) of the training and evaluation suffixes that lie in one interval of the array and whose texts' lengths
+    allow a match, each pair once."""
+    at = F.pmod(F.xxhash64("cls"), F.col("parts"))
+    blocks = F.when(F.col("parts") == 1, F.array(F.lit(0).cast("long")))
+    blocks = blocks.when(F.col("side"), F.sequence(at * F.col("parts"), (at + 1) * F.col("parts") - 1)).otherwise(F.sequence(at, at + F.col("parts") * (F.col("parts") - 1), F.col("parts").cast("long")))
+    array = suffixes.withColumn("block", F.explode(blocks)).drop("parts").repartition("h3", "block").sortWithinPartitions("h3", "block", "h6", "h12", "h24", "side")
+
+    def read(x: Columns, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        t, e = np.flatnonzero(x["side"]), np.flatnonzero(~x["side"])
+        if not len(t) or not len(e):
+            return
+        ends = np.append(starts[1:], len(x["side"]))
+        of = np.searchsorted(starts, e, "right") - 1
+        lo, hi = np.searchsorted(t, starts)[of], np.searchsorted(t, ends)[of]
+        e, lo, many = e[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+        total = np.cumsum(many)
+        i = 0
+        while i < len(e):  # so many evaluation suffixes that their pairs fit in memory
+            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + AT_ONCE, "right")))
+            m = many[i:j]
+            b = np.repeat(e[i:j], m)
+            a = t[np.arange(len(b)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(lo[i:j], m)]
+            i = j
+            na, nb = x["n"][a], x["n"][b]
+            fit = (x["cls"][a] != x["cls"][b]) & (np.abs(na - nb) <= np.maximum(na, nb) // ONE_IN)
+            pair = np.unique(np.stack((x["cls"][a[fit]], x["cls"][b[fit]]), 1), axis=0)
+            if len(pair):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, 0])), pa.array(np.ascontiguousarray(pair[:, 1]))], names=["t_cls", "e_cls"])
+
+    return scanned(array, ["h3", "block"], read, "t_cls long, e_cls long").distinct()
 
 
 def word_distance(a: list[str], b: list[str], most: int) -> int:
-    """Words added, missing or replaced between a and b, or most + 1 if that is more than `most`."""
-    while a and b and a[0] == b[0]:
-        i = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-        a, b = a[i:], b[i:]
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
+    """Words added, missing or replaced between a and b, or most + 1 if that is more than `most`.
+
+    Bit-parallel dynamic programming: a column of the table is two integers of len(a) bits that say where it rises and
+    falls, so a word of b costs a few operations on whole integers."""
+    i = 0
+    while i < min(len(a), len(b)) and a[i] == b[i]:
+        i += 1
+    a, b = a[i:], b[i:]
+    i = 0
+    while i < min(len(a), len(b)) and a[-1 - i] == b[-1 - i]:
+        i += 1
+    a, b = a[: len(a) - i], b[: len(b) - i]
     if abs(len(a) - len(b)) > most:
         return most + 1
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        lo, hi = max(1, i - most), min(len(b), i + most)
-        prev, row = row, [most + 1] * (len(b) + 1)
-        if lo == 1:
-            row[0] = i
-        for j in range(lo, hi + 1):
-            row[j] = prev[j - 1] if x == b[j - 1] else 1 + min(prev[j - 1], prev[j], row[j - 1])
-        if min(row[lo - 1 : hi + 1]) > most:
+    if not a or not b:
+        return max(len(a), len(b))
+    where: dict[str, int] = {}
+    for i, w in enumerate(a):
+        where[w] = where.get(w, 0) | 1 << i
+    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    rise, fall, score = full, 0, len(a)
+    for j, w in enumerate(b, 1):
+        eq = where.get(w, 0)
+        diagonal = ((((eq & rise) + rise) ^ rise) | eq | fall) & full
+        up = fall | (full & ~(diagonal | rise))
+        down = rise & diagonal
+        score += bool(up & last) - bool(down & last)
+        if score - (len(b) - j) > most:
             return most + 1
-    return min(row[len(b)], most + 1)
+        up, down = (up << 1 | 1) & full, (down << 1) & full
+        rise = down | (full & ~(diagonal | up))
+        fall = up & diagonal
+    return min(score, most + 1)
 
 
 def near_classes(classes: DataFrame) -> DataFrame:
-    """(a, b, coverage, distance): pairs of different classes, one with training and the other with evaluation records,
-    of the same question, whose words differ in at most one of ONE_IN of the longer text."""
-    counts = np.zeros(COUNTERS, np.int64)
-    for r in sparse_suffixes(classes, None).groupBy("slot").agg(F.sum("n").alias("n")).collect():  # a fixed number of counters
-        counts[r["slot"]] = r["n"]
-    suffixes = stored(sparse_suffixes(classes, counts), "suffixes")
-    t = suffixes.filter("in_train").drop("in_train", "in_eval", "pos").toDF("t_cls", "h3", "t6", "t12", "t24", "t_n")
-    e = suffixes.filter("in_eval").drop("in_train", "in_eval").toDF("e_cls", "h3", "e6", "e12", "e24", "e_pos", "e_n")
-    longest = F.greatest("t_n", "e_n")
-    k = F.floor(longest / ONE_IN)
-    # where a beginning stands says nothing: if an early repetition is edited, the n-th of one text is a later one of the other
-    pairs = t.join(e, "h3").filter((F.col("t_cls") != F.col("e_cls")) & (F.abs(F.col("t_n") - F.col("e_n")) <= k))
-    span = F.when(F.col("t24") == F.col("e24"), 24).when(F.col("t12") == F.col("e12"), 12).when(F.col("t6") == F.col("e6"), 6).otherwise(3)
-    # the spans of a pair, merged: each reaches from its start as far as the levels agree
-    spans = pairs.groupBy("t_cls", "e_cls").agg(F.max("e_n").alias("n"), F.sort_array(F.collect_list(F.struct(F.col("e_pos").alias("at"), span.alias("len")))).alias("spans"))
-    start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("sum"))
-    reach = lambda s, x: F.greatest(s["end"], x["at"] + x["len"])
-    merged = F.aggregate("spans", start, lambda s, x: F.struct(reach(s, x).alias("end"), (s["sum"] + reach(s, x) - F.greatest(s["end"], F.least(x["at"], reach(s, x)))).alias("sum")))["sum"]
-    cand = stored(spans.select("t_cls", "e_cls", F.least(F.lit(1.0), merged / F.col("n")).alias("coverage")), "candidates")
-    text = classes.select("cls", "words")
-    both = cand.join(text.toDF("t_cls", "t_words"), "t_cls").join(text.toDF("e_cls", "e_words"), "e_cls")
+    """(t_cls, e_cls, distance): pairs of different classes, one with training and the other with evaluation records, of
+    the same question, whose words differ in at most one of ONE_IN of the longer text."""
+    suffixes = sparse_suffixes(classes, rarity(classes))
+    cand = stored(interval_pairs(suffixes), "candidates")
+    # only the texts of candidates are moved, and to several places where one has many partners
+    named = stored(cand.select(F.col("t_cls").alias("cls")).union(cand.select("e_cls")).distinct(), "compared")
+    text = stored(checked_join(classes.select("cls", "words"), named, ["cls"], "left_semi"), "texts")
+    both = salted_join(cand, text.toDF("t_cls", "t_words"), "t_cls", F.col("e_cls"), salts=4)
+    both = salted_join(both, text.toDF("e_cls", "e_words"), "e_cls", F.col("t_cls"), salts=4)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -250,14 +351,25 @@ def near_classes(classes: DataFrame) -> DataFrame:
                 most = max(len(x), len(y)) // ONE_IN
                 d = word_distance(x, y, most)
                 dist.append(d if d <= most else -1)
-            yield pa.RecordBatch.from_arrays([b.column("t_cls"), b.column("e_cls"), b.column("coverage"), pa.array(dist, pa.int32())], names=["t_cls", "e_cls", "coverage", "distance"])
+            yield pa.RecordBatch.from_arrays([b.column("t_cls"), b.column("e_cls"), pa.array(dist, pa.int32())], names=["t_cls", "e_cls", "distance"])
 
-    return both.select("t_cls", "e_cls", "coverage", "t_words", "e_words").mapInArrow(compare, "t_cls long, e_cls long, coverage double, distance int").filter("distance >= 0")
+    return both.select("t_cls", "e_cls", "t_words", "e_words").mapInArrow(compare, "t_cls long, e_cls long, distance int").filter("distance >= 0")
+
+
+def text_classes(rows: DataFrame) -> DataFrame:
+    """cls (smallest record_no), train_no (that of training records), text_key, in_train, in_eval, question, words: rows of `normalised` alike in question and
+    words are one class."""
+    return rows.groupBy("text_key").agg(F.min("record_no").alias("cls"), F.min(F.when(F.col("side"), F.col("record_no"))).alias("train_no"), F.max("side").alias("in_train"), F.max(~F.col("side")).alias("in_eval"), F.first("question").alias("question"), F.first("words").alias("words"))
+
+
+def members(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """record_no, source, split, side, cls of every row."""
+    return salted_join(rows.select("record_no", "source", "split", "side", "text_key"), classes.select("text_key", "cls"), "text_key", F.col("record_no")).drop("text_key")
 
 
 def cross_split_pairs(df: DataFrame, train: str = "train") -> DataFrame:
-    """record_lo, record_hi, split, source, distance, coverage: pairs of records, one in the training split and one in
-    another (whose split and source are given), with the same question and the same or nearly the same state.
+    """record_lo, record_hi, split, source, distance, eval_no: pairs of records, one in the training split and one in
+    another (whose number, split and source are given), with the same question and the same or nearly the same state.
 
     Records with null split, state or question are no cases, null sources stay null. Records alike in question and
     words are one class (states without words are alike); classes are compared, and only what is found is expanded to
@@ -265,19 +377,86 @@ def cross_split_pairs(df: DataFrame, train: str = "train") -> DataFrame:
     ignored.
     """
     rows = stored(normalised(df, train), "normalised")
-    classes = rows.groupBy("text_key").agg(F.min("record_no").alias("cls"), F.max("side").alias("in_train"), F.max(~F.col("side")).alias("in_eval"), F.first("question").alias("question"), F.first("words").alias("words"))
-    classes = stored(classes, "classes")
-    near = near_classes(classes)
-    same = classes.filter("in_train and in_eval").select(F.col("cls").alias("t_cls"), F.col("cls").alias("e_cls"), F.lit(1.0).alias("coverage"), F.lit(0).alias("distance"))
-    links = stored(same.unionByName(near).select("t_cls", "e_cls", "coverage", "distance"), "links")
-    member = salted_join(rows.select("record_no", "source", "split", "side", "text_key"), classes.select("text_key", "cls"), "text_key", F.col("record_no"))
-    member = stored(member.drop("text_key"), "member")
+    classes = stored(text_classes(rows), "classes")
+    same = classes.filter("in_train and in_eval").select(F.col("cls").alias("t_cls"), F.col("cls").alias("e_cls"), F.lit(0).alias("distance"))
+    links = stored(same.unionByName(near_classes(classes)), "links")
+    member = stored(members(rows, classes), "member")
     t = member.filter("side").select(F.col("cls").alias("t_cls"), F.col("record_no").alias("t_no"))
     e = member.filter("not side").select(F.col("cls").alias("e_cls"), F.col("record_no").alias("e_no"), "split", "source")
-    out = salted_join(t, links, "t_cls", F.col("t_no")).join(e, "e_cls")
-    return out.select(F.least("t_no", "e_no").alias("record_lo"), F.greatest("t_no", "e_no").alias("record_hi"), "split", "source", "distance", "coverage")
+    e = checked_join(e, stored(links.select("e_cls").distinct(), "found"), ["e_cls"], "left_semi")
+    out = salted_join(salted_join(t, links, "t_cls", F.col("t_no")), e, "e_cls", F.col("t_no"))
+    return out.select(F.least("t_no", "e_no").alias("record_lo"), F.greatest("t_no", "e_no").alias("record_hi"), "split", "source", "distance", F.col("e_no").alias("eval_no"))
+
+
+def nearest_spans(suffixes: DataFrame) -> DataFrame:
+    """h6, h12, h24, length, partner: of the suffixes of evaluation classes those whose nearest training neighbour in the
+    sorted array shares a prefix of SPAN words or more; how many words by level, and the neighbour's
+    training record.
+
+    Equal suffixes are one before they are moved, so boilerplate is no hot interval; its remaining continuations are dealt
+    to several blocks where an interval has more than BLOCK of them."""
+    level = ["h6", "h12", "h24"]
+    keys = suffixes.groupBy(*level).agg(F.min("train_no").alias("partner"), F.max("in_eval").alias("wanted"))
+    keys = stored(keys, "suffix-keys")
+    hot = stored(keys.groupBy("h6").agg(F.count("*").alias("k")).filter(F.col("k") > BLOCK).select("h6", F.ceil(F.col("k") / BLOCK).cast("int").alias("parts")), "hot")
+    keys = checked_join(keys, hot, ["h6"], "left")
+    at = F.pmod(F.xxhash64("h12", "h24"), F.coalesce("parts", F.lit(1))).cast("int")
+    # an evaluation suffix goes to one block, a training suffix to all
+    block = F.when(F.col("parts").isNull(), F.array(F.lit(0))).when(F.col("partner").isNotNull(), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(at))
+    array = keys.withColumn("at", at).withColumn("block", F.explode(block)).drop("parts").repartition("h6", "block").sortWithinPartitions("h6", "block", "h12", "h24")
+    array = array.select(*level, "block", F.coalesce("partner", F.lit(-1)).alias("partner"), F.col("partner").isNotNull().alias("train"), (F.col("wanted") & (F.col("at") == F.col("block"))).alias("wanted"))
+
+    def read(x: Columns, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n = len(x["h6"])
+        i = np.flatnonzero(x["wanted"])
+        first = starts[np.searchsorted(starts, i, "right") - 1]
+        last = np.append(starts[1:], n)[np.searchsorted(starts, i, "right") - 1]
+        above = np.maximum.accumulate(np.where(x["train"], np.arange(n), -1))[i]
+        below = np.minimum.accumulate(np.where(x["train"], np.arange(n), n)[::-1])[::-1][i]
+
+        def common(j: np.ndarray, ok: np.ndarray) -> np.ndarray:
+            j = np.where(ok, j, 0)
+            same12, same24 = ((x[c][i] == x[c][j]) & (x[c][i] & 1 == 1) for c in ("h12", "h24"))
+            return np.where(ok, np.where(same12 & same24, LEVELS[3], np.where(same12, LEVELS[2], LEVELS[1])), 0)
+
+        up, down = common(above, above >= first), common(below, below < last)
+        got = np.maximum(up, down)
+        j = np.where(up >= down, above, below)
+        hit = got > 0
+        i, j, got = i[hit], j[hit], got[hit]
+        yield pa.RecordBatch.from_arrays([*(pa.array(x[c][i]) for c in level), pa.array(got.astype(np.int32)), pa.array(x["partner"][j])], names=[*level, "length", "partner"])
+
+    return scanned(array, ["h6", "block"], read, "h6 long, h12 int, h24 int, length int, partner long")
+
+
+def record_coverage(df: DataFrame, train: str = "train") -> DataFrame:
+    """record_no, split, source, words, covered, coverage, twin: of every evaluation record how many of its words lie in
+    spans of SPAN words or more that also stand in a training record with the same question, and a training record that
+    shares the longest one (null if none does).
+
+    Records with null split, state or question are no cases; records without words are covered by nothing; repeated
+    deliveries are records of their own; an empty table gives an empty table; other columns are ignored.
+    """
+    rows = stored(normalised(df, train), "normalised")
+    classes = stored(text_classes(rows), "classes")
+    suffixes = stored(all_suffixes(classes), "suffix-array")
+    level = ["h6", "h12", "h24"]
+    key = lambda d: d.withColumn("_key", F.struct(*level)).drop(*level)
+    found = key(stored(nearest_spans(suffixes), "spans"))
+    spans = salted_join(key(suffixes.filter("in_eval").select("cls", "pos", *level)), found, "_key", F.col("cls"), salts=4)
+    start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("sum"))
+    reach = lambda s, x: F.greatest(s["end"], x["at"] + x["len"])
+    merged = lambda a: F.aggregate(a, start, lambda s, x: F.struct(reach(s, x).alias("end"), (s["sum"] + reach(s, x) - F.greatest(s["end"], F.least(x["at"], reach(s, x)))).alias("sum")))["sum"]
+    per = spans.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct(F.col("pos").alias("at"), F.col("length").alias("len")))).alias("spans"), F.max(F.struct("length", (-F.col("partner")).alias("p"))).alias("best"))
+    per = per.select("cls", merged("spans").alias("covered"), (-F.col("best.p")).alias("twin"))
+    sized = classes.filter("in_eval").select("cls", F.when(F.col("words") == "", 0).otherwise(F.size(F.split("words", " "))).alias("words"))
+    sized = stored(sized.join(per, "cls", "left").select("cls", "words", F.coalesce("covered", F.lit(0)).alias("covered"), "twin"), "coverage")
+    out = salted_join(members(rows.filter("not side"), classes), sized, "cls", F.col("record_no"))
+    return out.select("record_no", "split", "source", "words", "covered", F.when(F.col("words") > 0, F.col("covered") / F.col("words")).otherwise(0.0).alias("coverage"), "twin")
 
 
 def overlap_report(pairs: DataFrame) -> DataFrame:
-    """Per split and source of the evaluation records: overlapping pairs, records with a twin, and exact ones."""
-    return pairs.groupBy("split", "source").agg(F.count("*").alias("pairs"), F.sum((F.col("distance") == 0).cast("int")).alias("exact_pairs"), F.max("distance").alias("largest_distance"))
+    """Per split and source of the evaluation records: overlapping pairs, records with a twin, exact pairs, and the largest
+    distance. Pairs are first counted per record, so that one record or source with most pairs is spread."""
+    per = pairs.groupBy("split", "source", "eval_no").agg(F.count("*").alias("pairs"), F.sum((F.col("distance") == 0).cast("int")).alias("exact"), F.max("distance").alias("far"))
+    return per.groupBy("split", "source").agg(F.sum("pairs").alias("pairs"), F.count("*").alias("records_with_twin"), F.sum("exact").alias("exact_pairs"), F.sum((F.col("exact") > 0).cast("int")).alias("records_with_exact_twin"), F.max("far").alias("largest_distance"))

@@ -56,13 +56,21 @@ def p4_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_cases(table(spark, d, "documents"), table(spark, d, "typed_decisions"))
 
 
+def _splits(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "convert_hf").filter("lower(trim(split)) in ('train', 'dev', 'holdout')")
+
+
+def p5_method(spark: SparkSession, d: str) -> DataFrame:
+    """What neighbours in the array of all suffixes say by themselves: the covered share of each evaluation record."""
+    return overlap.record_coverage(_splits(spark, d))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_pairs(spark, d).select("record_lo", "record_hi")
 
 
 def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "convert_hf").filter("lower(trim(split)) in ('train', 'dev', 'holdout')")
-    return overlap.cross_split_pairs(rows)
+    return overlap.cross_split_pairs(_splits(spark, d))
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
@@ -107,7 +115,7 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_splits, p2_shares, p3_found, p3_scores, p4_found, p4_leaks, p5_found, p5_pairs, p5_report, p7_ids, p7_sizes, p8_mix, p8_shares, p8_tempered, p9_found, p9_scores, p9_rates)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_splits, p2_shares, p3_found, p3_scores, p4_found, p4_leaks, p5_method, p5_found, p5_pairs, p5_report, p7_ids, p7_sizes, p8_mix, p8_shares, p8_tempered, p9_found, p9_scores, p9_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
