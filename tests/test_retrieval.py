@@ -239,29 +239,69 @@ def test_drift_cases(spark):
     assert drift.drift_report(raw(spark, [])).count() == 0
 
 
-def test_consistent_table(spark):
+def day(k):
     import datetime as dt
 
-    rows = [(1, "f", "a", dt.datetime(2025, 1, 1), 1, '{"id": "1", "lic": "mit", "soft": {"p_yes": 0.25}}'), (2, "f", "b", dt.datetime(2025, 1, 2), 1, '{"id": "2", "license": "x", "soft": {"yes": "0.5"}, "k": 1}'), (3, "f", "b", dt.datetime(2025, 1, 2), 2, "oops")]
-    r = raw(spark, rows)
-    t = {x["raw_no"]: x for x in drift.consistent_table(r, drift.drift_report(r)).collect()}
-    assert len(t) == 3 and not t[3]["readable"] and t[1]["soft_labels"] == '{"no": 0.75, "yes": 0.25}' and t[2]["soft_labels"] == '{"no": 0.5, "yes": 0.5}'
-    assert json.loads(t[1]["extra"]) == {"lic": "mit"} and json.loads(t[2]["extra"])["lic"] == "x"
+    return dt.datetime(2025, 1, k)
 
 
-def test_consistent_table_follows_soft_renames(spark):
-    import datetime as dt
+def unite(spark, feeds):
+    """The table's rows by id, of feeds given as lists of files, each a list of lines."""
+    rows = [(1000 * i + 10 * f + j, feed, f"f{f}", day(f + 1), j, p if isinstance(p, str) else json.dumps(p)) for i, (feed, files) in enumerate(feeds.items()) for f, ps in enumerate(files) for j, p in enumerate(ps)]
+    return {x["id"]: x for x in drift.consistent_table(raw(spark, rows)).collect()}
+
+
+def test_consistent_table(spark):
+    rows = [(1, "f", "a", day(1), 1, '{"id": "1", "lic": "mit", "soft": {"p_yes": 0.25}}'), (2, "f", "b", day(2), 1, '{"id": "2", "license": "x", "soft": {"yes": "0.5"}, "k": 1}'), (3, "f", "b", day(2), 2, "oops"), (4, None, None, None, None, '{"id": "4", "lic": "y"}'), (5, None, None, None, None, None)]
+    t = {x["raw_no"]: x for x in drift.consistent_table(raw(spark, rows)).collect()}
+    assert len(t) == 5 and not t[3]["readable"] and not t[5]["readable"] and t[1]["soft_labels"] == {"no": 0.75, "yes": 0.25} and t[2]["soft_labels"] == {"no": 0.5, "yes": 0.5}
+    assert [t[i]["license"] for i in (1, 2, 4)] == ["mit", "x", "y"] and t[1]["extra"] is None and json.loads(t[2]["extra"]) == {"k": 1}
+    assert drift.consistent_table(raw(spark, [])).count() == 0
+
+
+def test_first_name_comes_back(spark):
+    text = "a text of a length that no short name or label ever has in these files"
+    t = unite(spark, {"f": [[{"id": "1", "state": text}], [{"id": "2", "body": text}], [{"id": "3", "body": text, "state": "new " + text}]]})
+    assert t["1"]["state"] == t["2"]["state"] == t["3"]["state"] == text and json.loads(t["3"]["extra"]) == {"state_": "new " + text}
+
+
+def test_feeds_agree_on_names(spark):
+    full = lambda i, **k: {"id": i, "state": "a text of a length that no short name or label ever has", "question": {"type": "boolean"}, "expect": {"boolean": True}, **k}
+    t = unite(spark, {"f": [[full("1", source="a/b", license="mit")]], "g": [[full("2", origin="a/b", licence="mit", mark="red"), full("3", origin="a/c", licence="mit")]]})
+    assert t["2"]["source"] == t["1"]["source"] == "a/b" and t["2"]["license"] == "mit" and json.loads(t["2"]["extra"]) == {"mark": "red"}
+
 
+def test_soft_renames_give_one_vocabulary(spark):
+    t = unite(spark, {"f": [[{"id": "1", "soft": {"yes": 0.25, "no": 0.75}}], [{"id": "2", "soft": {"positive": 0.25, "no": 0.75}}]]})
+    assert t["1"]["soft_labels"] == t["2"]["soft_labels"] == {"yes": 0.25, "no": 0.75} and json.loads(t["2"]["soft"]) == {"yes": 0.25, "no": 0.75}
+
+
+def test_two_fields_renamed_at_once(spark):
+    """By the rule neither is renamed; flooding tells them apart."""
+    files = [[{"id": "1", "source": "s", "license": "mit"}], [{"id": "2", "src": "t", "licence": "x"}]]
+    t = unite(spark, {"f": files})
+    assert t["2"]["source"] == "t" and t["2"]["license"] == "x"
+    rows = [(f, "f", f"f{f}", day(f + 1), 0, json.dumps(ps[0])) for f, ps in enumerate(files)]
+    assert {(r["change_kind"], r["old_field"], r["new_field"]) for r in drift.flooded_report(raw(spark, rows)).collect()} == {("renamed", "source", "src"), ("renamed", "license", "licence")}
+    assert {r["change_kind"] for r in drift.drift_report(raw(spark, rows)).collect()} == {"removed", "added"}
+    assert drift.flooded_report(raw(spark, [])).count() == 0
+
+
+def test_casts_lose_nothing(spark):
+    t = unite(spark, {"f": [[{"id": 7, "votes": "3", "reviewed": "true", "tags": "a", "meta": '{"k": 1}', "note": False}, {"id": "8", "votes": [1], "reviewed": ["x"], "tags": ["a", 1], "meta": "none"}]]})
+    assert (t["7"]["votes"], t["7"]["reviewed"], t["7"]["tags"], t["7"]["meta"], t["7"]["note"], t["7"]["extra"]) == (3.0, True, ["a"], '{"k":1}', "false", None)
+    assert t["8"]["tags"] == ["a", "1"] and json.loads(t["8"]["extra"]) == {"votes": [1], "reviewed": ["x"], "meta": "none"}
+
+
+def test_consistent_table_follows_soft_renames(spark):
     lines = [
-        ["{\"id\": \"1\", \"soft\": {\"p_yes\": 0.25}}"],
-        ["{\"id\": \"2\", \"soft\": {\"odds\": 0.229}}", "{\"id\": \"3\", \"soft\": {\"odds\": 0.229, \"rater\": \"r1\"}}"],
-        ["{\"id\": \"4\", \"soft\": {\"chance\": 0.5, \"rater\": \"r1\", \"window\": {\"x\": 1}}}", "{\"id\": \"5\", \"soft\": {\"chance\": null, \"window\": {\"x\": 1}}}"],
+        [{"id": "1", "soft": {"p_yes": 0.25}}],
+        [{"id": "2", "soft": {"odds": 0.229}}, {"id": "3", "soft": {"odds": 0.229, "rater": "r1"}}],
+        [{"id": "4", "soft": {"chance": 0.5, "rater": "r1", "window": {"x": 1}}}, {"id": "5", "soft": {"chance": None, "window": {"x": 1}}}],
     ]
-    rows = [(10 * f + i, "f", f"f{f}", dt.datetime(2025, 1, f + 1), i, p) for f, ps in enumerate(lines) for i, p in enumerate(ps)]
-    r = raw(spark, rows)
-    t = {x["id"]: x for x in drift.consistent_table(r, drift.drift_report(r)).collect()}
-    assert t["2"]["soft_labels"] == t["3"]["soft_labels"] == '{"no": 0.771, "yes": 0.229}' and json.loads(t["3"]["soft"]) == {"p_yes": 0.229, "rater": "r1"}
-    assert t["4"]["soft_labels"] == '{"no": 0.5, "yes": 0.5}' and json.loads(t["4"]["soft"])["p_yes"] == 0.5 and t["5"]["soft_labels"] is None
+    t = unite(spark, {"f": lines})
+    assert t["2"]["soft_labels"] == t["3"]["soft_labels"] == {"no": 0.771, "yes": 0.229} and json.loads(t["3"]["soft"]) == {"p_yes": 0.229, "rater": "r1"}
+    assert t["4"]["soft_labels"] == {"no": 0.5, "yes": 0.5} and json.loads(t["4"]["soft"])["p_yes"] == 0.5 and t["5"]["soft_labels"] is None
 
 
 def test_soft_labels_read_the_named_field():
@@ -277,9 +317,27 @@ def test_two_fields_of_one_first_name_both_stay():
     assert drift.under_first_names({"options": 1, "probs": None}, {"probs": "options"}) == {"options": 1}
 
 
-def test_flooding_prefers_like_names():
-    s = drift.flood({"licence": 16, "note": 16}, {"license": 16, "votes": 16}, ["licence", "note"], ["license", "votes"])
-    assert s[("licence", "license")] > s[("licence", "votes")] and drift.select_renames({"licence": 16, "note": 16}, {"license": 16, "votes": 16}, s) == {}
+def test_flooding_selects_by_score():
+    word, text, often = ("string",), ("long",), ("always",)
+    old = (("licence", (word, ("short",), often)), ("note", (word, ("short",), ("sometimes",))), ("state", (word, text, often)))
+    new = (("license", (word, ("short",), often)), ("body", (word, text, often)), ("votes", (("number",), (), often)))
+    s = drift.flood(old, new)
+    assert s[("licence", "license")] > s[("note", "license")] and s[("state", "body")] > s[("note", "body")]
+    assert drift.select(old, new, s) == {"licence": "license", "state": "body"}
+    # what decides is the score: with all scores equal nothing is selected
+    assert drift.select(old, new, dict.fromkeys(s, 1.0)) == {}
+    assert drift.flood((), new) == {} and drift.select((), new, {}) == {}
+
+
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", "soft", "soft.x", "soft.y", "state"]), st.sets(st.sampled_from(list(drift.BITS)), min_size=1)), unique_by=lambda x: x[0], max_size=6), st.lists(st.tuples(st.sampled_from(["a", "c", "soft", "soft.x", "soft.z", "text"]), st.sets(st.sampled_from(list(drift.BITS)), min_size=1)), unique_by=lambda x: x[0], max_size=6))
+@settings(max_examples=150, deadline=None)
+def test_flooding_converges_and_is_consistent(a, b):
+    old, new = (tuple((k, (tuple(sorted(t)), ("short",) if "string" in t else (), ("always",))) for k, t in x) for x in (a, b))
+    s = drift.flood(old, new)
+    assert all(0 < v <= 1 for v in s.values())
+    got = drift.select(old, new, s)
+    assert len(set(got.values())) == len(got) and all(k == v for k, v in got.items() if k in dict(new))
+    assert drift.flood(old, new, eps=1e-12) == pytest.approx(s, rel=1e-5)
 
 
 # ---- streams ----

@@ -1,29 +1,33 @@
 """Problem 6: files whose fields drift, read into one table, with every change reported.
 
-Method: similarity flooding. The schemas of a file and of the file before it in its feed are small graphs of level,
-field and type nodes. Pairs of nodes start with the similarity of their names, pass their score on along equal edges
-(is a field of this level, has this type) until nothing changes, and the correspondences that contradict no other one
-are selected. Where a leaving and a coming field are each other's only partner the selection is a renaming.
+Two reports. `drift_report` follows the rule of the task, in which a renaming is a pair of fields that are alone with one
+set of types; no score can decide that. `flooded_report` follows the method: the whole schema of a file and that of the
+file before it in its feed become graphs of levels, fields and properties (types, length, presence); pairs of nodes start
+with the similarity of their names and pass their score along equal edges until nothing changes; the correspondences of
+highest score that contradict no other one are selected. `consistent_table` uses the selected correspondences, between the
+files of a feed and between a feed and the target schema, then casts and unites.
 """
 
 from __future__ import annotations
 
 import json
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from verdigris.operators.joins import salted_join
 from verdigris.session import stored
 
 KINDS = {str: "string", bool: "boolean", int: "number", float: "number", list: "array", dict: "object"}
 BITS = {"array": 1, "boolean": 2, "number": 4, "object": 8, "string": 16}
+#: Mean length from which the strings of a field count as texts.
+LONG = 40
 
 
 def readable(payload: str | None) -> dict | None:
@@ -37,13 +41,12 @@ def readable(payload: str | None) -> dict | None:
     return v if isinstance(v, dict) else None
 
 
-def field_types(line: dict) -> list[tuple[str, int]]:
-    """(field, type bit) of the values other than null: top-level keys, and soft.x where soft is an object."""
-    out = [(k, BITS[KINDS[type(v)]]) for k, v in line.items() if v is not None]
+def fields_of(line: dict) -> Iterator[tuple[str, object]]:
+    """(field, value) of the values other than null: top-level keys, and soft.x where soft is an object."""
+    yield from ((k, v) for k, v in line.items() if v is not None)
     soft = line.get("soft")
     if isinstance(soft, dict):
-        out += [(f"soft.{k}", BITS[KINDS[type(v)]]) for k, v in soft.items() if v is not None]
-    return out
+        yield from ((f"soft.{k}", v) for k, v in soft.items() if v is not None)
 
 
 def type_names(bits: int) -> list[str]:
@@ -51,121 +54,218 @@ def type_names(bits: int) -> list[str]:
 
 
 def file_schemas(raw: DataFrame) -> DataFrame:
-    """feed, file_name, written_at, schema (JSON object field -> type bits): one row per file, a file without a readable
-    line having an empty schema. Lines are reduced to schemas inside each task, so one feed or file with most of the
-    lines moves no more than the others. A file's time is its earliest."""
+    """feed, file_name, written_at, lines, schema (array of field, type bits, lines that have it, characters of its
+    strings): one row per file, a file without a readable line having an empty schema. Lines are reduced to schemas
+    inside each task, so one feed or file with most of the lines moves no more than the others. A file's time is its
+    earliest."""
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple, dict[str, int]] = defaultdict(dict)
+        seen: dict[tuple, dict[str | None, list[int]]] = defaultdict(dict)
 
         def rows() -> pa.RecordBatch:
-            flat = [(f, n, t, k, b) for (f, n, t), fs in seen.items() for k, b in (fs.items() or [(None, 0)])]
-            cols = list(zip(*flat)) if flat else [[], [], [], [], []]
-            kinds = (pa.string(), pa.string(), pa.timestamp("us", "UTC"), pa.string(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["feed", "file_name", "written_at", "field", "bits"])
+            flat = [(f, n, t, k, *x) for (f, n, t), fs in seen.items() for k, x in fs.items()]
+            cols = list(zip(*flat)) if flat else [[] for _ in range(7)]
+            kinds = (pa.string(), pa.string(), pa.timestamp("us", "UTC"), pa.string(), pa.int32(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["feed", "file_name", "written_at", "field", "bits", "n", "chars"])
 
         for b in batches:
             for feed, name, at, payload in zip(*(b.column(i).to_pylist() for i in range(4))):
                 fields = seen[(feed, name, at)]
-                for k, bit in field_types(readable(payload) or {}):
-                    fields[k] = fields.get(k, 0) | bit
+                line = readable(payload)
+                fields.setdefault(None, [0, 0, 0])[1] += line is not None
+                for k, v in fields_of(line or {}):
+                    x = fields.setdefault(k, [0, 0, 0])
+                    x[0] |= BITS[KINDS[type(v)]]
+                    x[1] += 1
+                    x[2] += len(v) if isinstance(v, str) else 0
             if len(seen) > 20_000:
                 yield rows()
                 seen.clear()
         yield rows()
 
-    parts = raw.select("feed", "file_name", "written_at", "payload").mapInArrow(reduce, "feed string, file_name string, written_at timestamp, field string, bits int")
-    per = parts.groupBy("feed", "file_name", "field").agg(F.bit_or("bits").alias("bits"), F.min("written_at").alias("written_at"))
-    entry = F.when(F.col("field").isNotNull(), F.struct("field", "bits"))
-    return per.groupBy("feed", "file_name").agg(F.min("written_at").alias("written_at"), F.sort_array(F.collect_list(entry)).alias("schema"))
+    parts = raw.select("feed", "file_name", "written_at", "payload").mapInArrow(reduce, "feed string, file_name string, written_at timestamp, field string, bits int, n long, chars long")
+    per = parts.groupBy("feed", "file_name", "field").agg(F.bit_or("bits").alias("bits"), F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.min("written_at").alias("written_at"))
+    entry = F.when(F.col("field").isNotNull(), F.struct("field", "bits", "n", "chars"))
+    return per.groupBy("feed", "file_name").agg(F.min("written_at").alias("written_at"), F.max(F.when(F.col("field").isNull(), F.col("n"))).alias("lines"), F.sort_array(F.collect_list(entry)).alias("schema"))
+
+
+# ---- the rule ----
+
+
+def level(field: str) -> str:
+    return "soft" if field.startswith("soft.") else "top"
+
+
+def schema_changes(old: dict[str, int], new: dict[str, int]) -> list[tuple[str, str, str]]:
+    """(kind, old field, new field) from one file (field: type bits) to the next: retyped; renamed, where of the fields with
+    one set of types on one level exactly one leaves and one comes; removed; added."""
+    ways: dict[tuple[str, int], tuple[list[str], list[str]]] = defaultdict(lambda: ([], []))
+    for k in sorted(set(old) ^ set(new)):
+        gone = k in old
+        ways[(level(k), old[k] if gone else new[k])][not gone].append(k)
+    out = [("retyped", k, k) for k in old if k in new and old[k] != new[k]]
+    for leaving, coming in ways.values():
+        if len(leaving) == len(coming) == 1:
+            out.append(("renamed", leaving[0], coming[0]))
+        else:
+            out += [("removed", k, "") for k in leaving] + [("added", "", k) for k in coming]
+    return out
+
+
+# ---- the method ----
+
+#: A field's properties by kind: its types, the length of its strings, whether all lines have it.
+Properties = tuple[tuple[str, ...], tuple[str, ...], tuple[str, ...]]
+Schema = tuple[tuple[str, Properties], ...]
+#: Where every similarity starts at least; it also makes the fixpoint unique.
+FLOOR = 0.01
+#: A pair of different names is selected if its score is at least this share of the best score of either field, and if
+#: no other pair of unmatched fields that would contradict it comes closer than MARGIN to it.
+SELECT, MARGIN = 0.5, 0.99
+#: Likeness of the names from which a field of a feed is taken for one of the target schema that needs not be there.
+LIKE = 0.5
 
 
-def flood(old: dict[str, int], new: dict[str, int], leaving: list[str], coming: list[str], rounds: int = 30, eps: float = 1e-4) -> dict[tuple[str, str], float]:
-    """Scores of pairs (leaving, coming) of fields on one level after similarity flooding.
+def schema_of(rows: list[dict], lines: int) -> Schema:
+    """The schema as properties, from the array of file_schemas."""
+    out = []
+    for x in rows:
+        types = tuple(type_names(x["bits"]))
+        length = ("long" if x["chars"] >= LONG * x["n"] else "short",) if "string" in types else ()
+        out.append((x["field"], (types, length, ("always" if x["n"] >= lines else "sometimes",))))
+    return tuple(out)
 
-    Node pairs: (level, level), (field, field) of the same level, (type, type). A field pair exchanges score with its
-    level pair and with the pairs of the types both have; each pair hands out its score in equal parts per edge label.
+
+def likeness(a: str, b: str) -> float:
+    return SequenceMatcher(None, a.removeprefix("soft."), b.removeprefix("soft.")).ratio()
+
+
+@lru_cache(maxsize=50_000)
+def flood(old: Schema, new: Schema, eps: float = 1e-9) -> dict[tuple[str, str], float]:
+    """Scores of all pairs of fields on one level after similarity flooding.
+
+    Nodes are pairs of levels, of fields on one level, and of properties of one kind; a field hangs on its level and has its
+    properties, and the soft level hangs on the field soft. Each round a node takes its start value, its score, and what
+    its neighbours hand out in equal parts per kind of edge and direction; scores are divided by the largest. With start
+    values above 0 this map is a contraction, so the rounds end, whatever the graphs.
     """
-    level = lambda f: "soft" if f.startswith("soft.") else "top"
-    pairs = {(a, b): 0.1 + SequenceMatcher(None, a, b).ratio() for a in leaving for b in coming if level(a) == level(b)}
+    a, b = dict(old), dict(new)
+    at: dict[tuple, int] = {}
+    start: list[float] = []
+    edges: list[tuple[int, int, int]] = []
+
+    def node(*key: object, value: float = 1.0) -> int:
+        if key not in at:
+            at[key] = len(start)
+            start.append(value)
+        return at[key]
+
+    pairs = [(x, y) for x in a for y in b if level(x) == level(y)]
     if not pairs:
         return {}
-    sigma: dict[tuple, float] = {("f", *p): v for p, v in pairs.items()}
-    edges: list[tuple[tuple, tuple]] = []
-    for a, b in pairs:
-        edges.append((("f", a, b), ("l", level(a), level(b))))
-        for x in type_names(old[a]):
-            for y in type_names(new[b]):
-                if x == y:
-                    edges.append((("f", a, b), ("t", x, y)))
-    for _, q in edges:
-        sigma.setdefault(q, 1.0)
-    fan: dict[tuple, int] = defaultdict(int)
-    for p, q in edges:
-        fan[(p, q[0])] += 1
-        fan[(q, p[0])] += 1
-    start = dict(sigma)
-    for _ in range(rounds):
-        nxt = {k: start[k] + v for k, v in sigma.items()}
-        for p, q in edges:
-            nxt[q] += sigma[p] / fan[(p, q[0])]
-            nxt[p] += sigma[q] / fan[(q, p[0])]
-        top = max(nxt.values())
-        nxt = {k: v / top for k, v in nxt.items()}
-        moved = max(abs(nxt[k] - sigma[k]) for k in nxt)
-        sigma = nxt
+    for x, y in pairs:
+        f = node("field", x, y, value=FLOOR + likeness(x, y))
+        edges.append((node("level", level(x)), f, 0))
+        if x == y == "soft":
+            edges.append((f, node("level", "soft"), 1))
+        for kind, (p, q) in enumerate(zip(a[x], b[y]), 2):
+            edges += [(f, node(kind, u, v, value=1.0 if u == v else FLOOR), kind) for u in p for v in q]
+    src, dst, kind = np.array(edges).T
+    n, kinds = len(start), int(kind.max()) + 1
+    down = 1.0 / np.bincount(src * kinds + kind, minlength=n * kinds)[src * kinds + kind]
+    up = 1.0 / np.bincount(dst * kinds + kind, minlength=n * kinds)[dst * kinds + kind]
+    first = np.array(start)
+    score = first / first.max()
+    while True:
+        x = first + score
+        nxt = x + np.bincount(dst, down * x[src], n) + np.bincount(src, up * x[dst], n)
+        nxt /= nxt.max()
+        moved = float(np.abs(nxt - score).max())
+        score = nxt
         if moved < eps:
-            break
-    return {p: sigma[("f", *p)] for p in pairs}
-
-
-def select_renames(old: dict[str, int], new: dict[str, int], scores: dict[tuple[str, str], float]) -> dict[str, str]:
-    """Consistent correspondences: pairs with one and the same set of types that no other flooded pair of such fields
-    contradicts, each field being the other's best and only partner."""
-    fit = {p: s for p, s in scores.items() if old[p[0]] == new[p[1]] and s > 0}
-    ways: dict[tuple[str, str], int] = defaultdict(int)
-    for a, b in fit:
-        ways[("a", a)] += 1
-        ways[("b", b)] += 1
-    return {a: b for a, b in fit if ways[("a", a)] == 1 and ways[("b", b)] == 1}
-
-
-def schema_changes(old: dict[str, int], new: dict[str, int]) -> list[tuple[str, str, str, float]]:
-    """(kind, old field, new field, score) from one file to the next: retyped, renamed, removed, added."""
-    out = [("retyped", k, k, 1.0) for k in old if k in new and old[k] != new[k]]
-    leaving, coming = sorted(set(old) - set(new)), sorted(set(new) - set(old))
-    scores = flood(old, new, leaving, coming)
-    names = select_renames(old, new, scores)
-    out += [("renamed", a, b, scores[(a, b)]) for a, b in names.items()]
-    taken = set(names.values())
-    out += [("removed", k, "", 0.0) for k in leaving if k not in names]
-    out += [("added", "", k, 0.0) for k in coming if k not in taken]
-    return out
+            return {p: float(score[at[("field", *p)]]) for p in pairs}
+
+
+def select(old: Schema, new: Schema, scores: dict[tuple[str, str], float]) -> dict[str, str]:
+    """Consistent correspondences old field -> new field, each field in at most one, taken by falling score.
+
+    A field that keeps its name corresponds to itself. Others must share a type, come close to the best score of both
+    fields (SELECT), and be clearly better than any pair of free fields that contradicts them (MARGIN).
+    """
+    a, b = dict(old), dict(new)
+    best_a: dict[str, float] = defaultdict(float)
+    best_b: dict[str, float] = defaultdict(float)
+    for (x, y), v in scores.items():
+        best_a[x], best_b[y] = max(best_a[x], v), max(best_b[y], v)
+    got = {x: x for x in a if x in b}
+    free = {p: v for p, v in scores.items() if p[0] not in b and p[1] not in a and set(a[p[0]][0]) & set(b[p[1]][0])}
+    for (x, y), v in sorted(free.items(), key=lambda e: (-e[1], e[0])):
+        rival = max((w for (p, q), w in free.items() if (p == x) != (q == y) and p not in got and q not in got.values()), default=0.0)
+        if x not in got and y not in got.values() and v >= SELECT * min(best_a[x], best_b[y]) and rival <= MARGIN * v:
+            got[x] = y
+    return got
+
 
+@lru_cache(maxsize=50_000)
+def correspond(old: Schema, new: Schema) -> tuple[tuple[str, str, float], ...]:
+    scores = flood(old, new)
+    return tuple((x, y, scores[(x, y)]) for x, y in select(old, new, scores).items())
 
-_CHANGE = "feed string, file_name string, written_at timestamp, change_kind string, old_field string, new_field string, old_types string, new_types string, score double"
+
+def flooded_changes(old: Schema, new: Schema) -> list[tuple[str, str, str, float]]:
+    """(kind, old field, new field, score) by the selected correspondences; removed and added fields have score 0."""
+    a, b = dict(old), dict(new)
+    got = correspond(old, new)
+    out = [("renamed" if x != y else "retyped", x, y, s) for x, y, s in got if x != y or a[x][0] != b[y][0]]
+    there = {y for _, y, _ in got}
+    return out + [("removed", x, "", 0.0) for x in a if x not in {g[0] for g in got}] + [("added", "", y, 0.0) for y in b if y not in there]
+
+
+# ---- the reports ----
+
+_CHANGE = "feed string, file_name string, written_at timestamp, change_kind string, old_field string, new_field string, old_types string, new_types string"
+
+
+def file_by_file(schemas: DataFrame, step: Callable[[dict, dict | None, dict], list[tuple]], schema: str) -> DataFrame:
+    """The rows of step(file, file before it in its feed or None, a dict that lasts as long as the feed), over the files of
+    every feed by time, then name. Files are small rows that stream through sorted partitions; a feed's memory is one
+    schema and what step keeps, however many files it has. Null feeds are one feed."""
+    ordered = schemas.select("feed", "file_name", "written_at", "lines", "schema").repartition("feed").sortWithinPartitions("feed", "written_at", "file_name")
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"string": pa.string(), "timestamp": pa.timestamp("us", "UTC"), "double": pa.float64()}
+        before: dict | None = None
+        kept: dict = {}
+        for batch in batches:
+            out: list[tuple] = []
+            for row in batch.to_pylist():
+                if before is None or before["feed"] != row["feed"]:
+                    before, kept = None, {}
+                out += step(row, before, kept)
+                before = row
+            cols = list(zip(*out)) if out else [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kinds[x.split()[1]]) for c, x in zip(cols, schema.split(", "))], names=names)
+
+    return ordered.mapInArrow(run, schema)
 
 
 def file_changes(schemas: DataFrame) -> DataFrame:
-    """Changes of every file against the file of its feed written just before it (by time, then name; the first file of a
-    feed has none). Only schemas, one row per file, are ordered. Types are names joined by commas."""
-    w = Window.partitionBy("feed").orderBy("written_at", "file_name")
-    both = schemas.withColumn("before", F.lag("schema").over(w)).filter("before is not null and before <> schema")
+    """Changes of every file against the file of its feed written just before it, by the rule (see _CHANGE). The first file
+    of a feed has none. Types are names joined by commas."""
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                old, new = ({x["field"]: x["bits"] for x in s} for s in (r.before, r.schema))
-                for kind, a, b, score in schema_changes(old, new):
-                    out.append((r.feed, r.file_name, r.written_at, kind, a, b, ",".join(type_names(old.get(a, 0))), ",".join(type_names(new.get(b, 0))), score))
-            yield pd.DataFrame(out, columns=["feed", "file_name", "written_at", "change_kind", "old_field", "new_field", "old_types", "new_types", "score"])
+    def step(row: dict, before: dict | None, _: dict) -> list[tuple]:
+        if before is None:
+            return []
+        old, new = ({x["field"]: x["bits"] for x in r["schema"]} for r in (before, row))
+        types = lambda s, k: ",".join(type_names(s.get(k, 0)))
+        return [(row["feed"], row["file_name"], row["written_at"], kind, a, b, types(old, a), types(new, b)) for kind, a, b in (schema_changes(old, new) if old != new else [])]
 
-    return both.select("feed", "file_name", "written_at", "schema", "before").mapInPandas(compare, _CHANGE)
+    return file_by_file(schemas, step, _CHANGE)
 
 
 def drift_report(raw: DataFrame) -> DataFrame:
-    """Every change of the fields of (feed, file_name, written_at, payload) from file to file (see _CHANGE).
+    """Every change of the fields of (feed, file_name, written_at, payload) from file to file, by the rule (see _CHANGE).
 
     Unreadable lines and null values are no evidence; a repeated line or file changes nothing; null feeds are one feed,
     null file names one file of each feed; an empty table gives an empty report; other columns are ignored.
@@ -173,14 +273,57 @@ def drift_report(raw: DataFrame) -> DataFrame:
     return file_changes(stored(file_schemas(raw), "schemas"))
 
 
-# The fields of the consistent table.
-CANONICAL = ("id", "source", "license", "state", "question", "expect", "soft")
+def flooded_report(raw: DataFrame) -> DataFrame:
+    """Every change from file to file by similarity flooding (see _CHANGE, with the score of each correspondence); the same
+    cases as in drift_report. Fields that leave and come together may be renamed although others of their types do."""
+
+    def step(row: dict, before: dict | None, _: dict) -> list[tuple]:
+        if before is None:
+            return []
+        old, new = (schema_of(r["schema"], r["lines"] or 0) for r in (before, row))
+        types = lambda s, k: ",".join(dict(s)[k][0]) if k else ""
+        return [(row["feed"], row["file_name"], row["written_at"], kind, a, b, types(old, a), types(new, b), score) for kind, a, b, score in (flooded_changes(old, new) if old != new else [])]
+
+    return file_by_file(stored(file_schemas(raw), "schemas"), step, _CHANGE + ", score double")
 
 
-def canonical_names(changes: DataFrame) -> DataFrame:
-    """feed, written_at, file_name, old_field, new_field of the renamings, from which a file's fields are traced back to
-    the names they had first."""
-    return changes.filter("change_kind = 'renamed'").select("feed", "written_at", "file_name", "old_field", "new_field")
+# ---- the table ----
+
+_STRING, _TEXT, _OBJECT = (("string",), ("short",)), (("string",), ("long",)), (("object",), ())
+_NUMBER, _ARRAY, _BOOLEAN = (("number",), ()), (("array",), ()), (("boolean",), ())
+#: The fields of the table that every record has, and those that it may have.
+REQUIRED = {"id": _STRING, "source": _STRING, "state": _TEXT, "question": _OBJECT, "expect": _OBJECT}
+OPTIONAL = {"license": _STRING, "soft": _OBJECT, "lang": _STRING, "note": _STRING, "votes": _NUMBER, "difficulty": _NUMBER, "tags": _ARRAY, "reviewed": _BOOLEAN, "meta": _OBJECT} | {
+    f"soft.{k}": v for k, v in {"options": _ARRAY, "levels": _ARRAY, "distribution": _OBJECT, "p_yes": _NUMBER, "yes": _NUMBER, "no": _NUMBER, "n": _NUMBER, "agreement": _NUMBER, "rater": _STRING, "contested": _BOOLEAN, "window": _OBJECT, "by_voice": _ARRAY}.items()
+}
+TARGET: Schema = tuple((k, (*v, ("always",))) for k, v in REQUIRED.items()) + tuple((k, (*v, ("sometimes",))) for k, v in OPTIONAL.items())
+OWN = frozenset(k for k, _ in TARGET)
+
+
+@lru_cache(maxsize=50_000)
+def target_names(schema: Schema, taken: frozenset[str], asked: tuple[str, ...]) -> tuple[tuple[str, str], ...]:
+    """(field, target field) of the asked fields of a schema that correspond to one of the target schema not taken. The names
+    must be alike, unless records can't be without the target field; a field with a name of the target schema is no other."""
+    known = {k for k, _ in schema if k not in asked}
+    target = tuple((k, v) for k, v in TARGET if k not in taken or k in known)
+    got = select(schema, target, flood(schema, target))
+    return tuple((x, y) for x, y in got.items() if x in asked and y not in taken and (x == y or x not in OWN and (y in REQUIRED or likeness(x, y) >= LIKE)))
+
+
+def first_names(row: dict, before: dict | None, kept: dict) -> list[tuple]:
+    """A step of file_by_file: (feed, file_name, names), names being a JSON object of the fields that go by another name in
+    the table. `kept` holds the table's name of each field of the file before."""
+    schema = schema_of(row["schema"], row["lines"] or 0)
+    names: dict[str, str] = {}
+    if before is not None:
+        for old, new, _ in correspond(schema_of(before["schema"], before["lines"] or 0), schema):
+            if old == new or new not in OWN:  # a name of the target schema means what it says
+                names[new] = kept["names"].get(old, old)
+    new = tuple(k for k, _ in schema if k not in names)
+    names |= dict(target_names(schema, frozenset(names.values()), new))
+    kept["names"] = names
+    other = {k: v for k, v in names.items() if k != v}
+    return [(row["feed"], row["file_name"], json.dumps(other))] if other else []
 
 
 # The soft fields that hold a distribution, with the names they are known by; all others only describe it.
@@ -229,7 +372,7 @@ def soft_labels(value: object) -> dict[str, float] | None:
     y, n = _number(value.get("yes")), _number(value.get("no"))
     if y is not None:
         return {"yes": y, "no": 1.0 - y if n is None else n}
-    if DESCRIBING.isdisjoint(value):
+    if DESCRIBING.isdisjoint(value) and not {*EITHER, *POSITIONS, *SHARES} & value.keys():
         got = _values(value, False)
         if got and abs(sum(got.values()) - 1) <= 0.02 and all(v >= 0 for v in got.values()):
             return got
@@ -237,18 +380,21 @@ def soft_labels(value: object) -> dict[str, float] | None:
 
 
 def under_first_names(fields: dict[str, object], back: dict[str, str]) -> dict[str, object]:
-    """The fields under the names they had first. Where another field has that name by now, it keeps its place if the
-    renamed one is null, else both stay, each under a name of its own."""
+    """The fields, in their order, under the names they had first. Where another field has that name by now, it keeps its
+    place if the renamed one is null, else both stay, each under a name of its own."""
     out: dict[str, object] = {}
-    for k in sorted(fields, key=lambda k: k not in back):
+    first = {back[k] for k, v in fields.items() if k in back and v is not None}
+    for k, v in fields.items():
         c = back.get(k, k)
-        if out.get(c) is None:
-            out[c] = fields[k]
-        elif fields[k] is not None:
-            own = k
-            while own in out:
+        if k in back or c not in first:
+            if out.get(c) is None:
+                out[c] = v
+            continue
+        if v is not None:
+            own = k + "_"
+            while own in fields or own in out:
                 own += "_"
-            out[own] = fields[k]
+            out[own] = v
     return out
 
 
@@ -265,53 +411,79 @@ def _number(v: object) -> float | None:
     return None
 
 
-def soft_text(value: object) -> str | None:
+def rounded_labels(value: object) -> list[tuple[str, float]] | None:
     got = soft_labels(value)
-    return None if got is None else json.dumps({k: round(v, 6) for k, v in sorted(got.items())})
+    return None if got is None else sorted((k, round(v, 6)) for k, v in got.items())
 
 
-_TABLE = "raw_no long, feed string, file_name string, line_no int, readable boolean, id string, source string, license string, state string, question string, expect string, soft string, soft_labels string, extra string"
+#: The columns of the table by the kind of value they hold. Objects are JSON texts.
+COLUMNS = {"id": "string", "source": "string", "license": "string", "state": "string", "question": "object", "expect": "object", "soft": "any", "lang": "string", "note": "string", "votes": "number", "difficulty": "number", "tags": "array", "reviewed": "boolean", "meta": "object"}
+_SQL = {"string": "string", "object": "string", "any": "string", "number": "double", "array": "array<string>", "boolean": "boolean"}
+_ARROW = {"string": pa.string(), "object": pa.string(), "any": pa.string(), "number": pa.float64(), "array": pa.list_(pa.string()), "boolean": pa.bool_()}
+_TABLE = "raw_no long, feed string, file_name string, line_no int, readable boolean, " + ", ".join(f"{k} {_SQL[v]}" for k, v in COLUMNS.items()) + ", soft_labels map<string,double>, extra string"
+
+
+def compact(v: object) -> str:
+    return json.dumps(v, ensure_ascii=False, separators=(",", ":"))
+
+
+def cast(value: object, kind: str) -> object:
+    """A value as one of the column's kind, or None if it is none: numbers and booleans are read from texts, a single value is
+    an array of one, objects are read from JSON texts."""
+    if kind == "string":
+        return value if isinstance(value, str) else None if isinstance(value, (dict, list)) else compact(value)
+    if kind == "any":
+        return value if isinstance(value, str) else compact(value)
+    if kind == "number":
+        return _number(value)
+    if kind == "boolean":
+        return value if isinstance(value, bool) else {"true": True, "false": False}.get(str(value).strip().lower())
+    if kind == "array":
+        return [x if isinstance(x, str) else compact(x) for x in value if x is not None] if isinstance(value, list) else None if isinstance(value, dict) else [value if isinstance(value, str) else compact(value)]
+    value = _parsed(value)
+    return compact(value) if isinstance(value, dict) else None
 
 
-def consistent_table(raw: DataFrame, changes: DataFrame) -> DataFrame:
-    """All lines in one schema (see _TABLE): strings as they are, other values as JSON text, each field, those of soft
-    included, under the name it had in the feed's first file; what belongs to no canonical column is kept in `extra` (JSON); unreadable lines stay,
-    with readable = false. The chains of renamings are one small array per file, joined with salted keys so that a file
-    or feed with most of the lines is spread."""
-    renames = canonical_names(changes)
-    files = raw.select("feed", "file_name", "written_at").groupBy("feed", "file_name").agg(F.min("written_at").alias("written_at"))
-    w = Window.partitionBy("feed").orderBy("written_at", "file_name").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    steps = renames.groupBy("feed", "file_name").agg(F.sort_array(F.collect_list(F.struct("old_field", "new_field"))).alias("step"))
-    chain = files.join(steps, ["feed", "file_name"], "left").withColumn("chain", F.flatten(F.collect_list(F.coalesce("step", F.array().cast("array<struct<old_field:string,new_field:string>>"))).over(w)))
-    chain = stored(chain.select(F.struct("feed", "file_name").alias("_file"), F.to_json("chain").alias("chain")), "chains")
-    rows = salted_join(raw.select("raw_no", "feed", "file_name", "line_no", "payload").withColumn("_file", F.struct("feed", "file_name")), chain, "_file", F.col("raw_no"), "left")
+def consistent_table(raw: DataFrame) -> DataFrame:
+    """All lines in one typed schema (see _TABLE): each field, those of soft included, goes by the name of the target field it
+    corresponds to, through all files of its feed; values are cast to the column's type. What belongs to no column, or
+    can't be cast, is kept in `extra` (JSON), so nothing is lost; a field that comes under the first name of a renamed one
+    stays there too. Unreadable lines stay, with readable = false; repeated lines are rows of their own; an empty table
+    gives an empty table; other columns are ignored. The other names of a file are one short text, joined with salted
+    keys so that a file or feed with most of the lines is spread."""
+    names = stored(file_by_file(stored(file_schemas(raw), "schemas"), first_names, "feed string, file_name string, names string"), "names")
+    # null feeds are one feed, and null file names one file of each: the text of the pair, with its nulls, is the key
+    key = lambda d: d.withColumn("_file", F.to_json(F.struct("feed", "file_name")))
+    rows = salted_join(key(raw.select("raw_no", "feed", "file_name", "line_no", "payload")), key(names).select("_file", "names"), "_file", F.col("raw_no"), "left")
 
     def unify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, tuple[dict[str, str], dict[str, str]]] = {}
+        memo: dict[str | None, tuple[dict[str, str], dict[str, str]]] = {}
+        fields = [x.split()[0] for x in _TABLE.split(", ")]
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.bool_(), *(_ARROW[v] for v in COLUMNS.values()), pa.map_(pa.string(), pa.float64()), pa.string())
         for b in batches:
-            cols: list[list] = [[] for _ in range(14)]
-            for no, feed, name, line, payload, chain in zip(*(b.column(i).to_pylist() for i in range(6))):
-                if chain not in memo:
-                    memo[chain] = ({}, {})
-                    for s in json.loads(chain or "[]"):
-                        soft = s["old_field"].startswith("soft.")
-                        old, new = (s[k].removeprefix("soft.") if soft else s[k] for k in ("old_field", "new_field"))
-                        memo[chain][soft][new] = memo[chain][soft].pop(old, old)
-                back, soft_back = memo[chain]
+            cols: list[list] = [[] for _ in fields]
+            for no, feed, name, line, payload, other in zip(*(b.column(i).to_pylist() for i in range(6))):
+                if other not in memo:
+                    found = json.loads(other or "{}")
+                    memo[other] = ({k: v for k, v in found.items() if level(k) == "top"}, {k[5:]: v[5:] for k, v in found.items() if level(k) == "soft"})
+                back, soft_back = memo[other]
                 got = readable(payload)
                 named = under_first_names(got or {}, back)
                 inner = _parsed(named.get("soft"))
                 if isinstance(inner, dict) and not soft_back.keys().isdisjoint(inner):
                     named["soft"] = under_first_names(inner, soft_back)
-                text = lambda v: v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False)
-                extra = {k: v for k, v in named.items() if k not in CANONICAL}
-                soft = named.get("soft")
-                for c, v in zip(cols, (no, feed, name, line, got is not None, *(text(named.get(k)) for k in CANONICAL), soft_text(soft), json.dumps(extra, ensure_ascii=False) if extra else None)):
+                values, extra = [], {k: v for k, v in named.items() if k not in COLUMNS}
+                for k, kind in COLUMNS.items():
+                    v = named.get(k)
+                    values.append(None if v is None else cast(v, kind))
+                    if v is not None and values[-1] is None:
+                        extra[k] = v
+                row = (no, feed, name, line, got is not None, *values, rounded_labels(named.get("soft")), compact(extra) if extra else None)
+                for c, v in zip(cols, row):
                     c.append(v)
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.bool_(), *[pa.string()] * 9)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in _TABLE.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=fields)
 
-    return rows.select("raw_no", "feed", "file_name", "line_no", "payload", "chain").mapInArrow(unify, _TABLE)
+    return rows.select("raw_no", "feed", "file_name", "line_no", "payload", "names").mapInArrow(unify, _TABLE)
 
 
 def soft_column(df: DataFrame, key: str = "record_no") -> DataFrame:
@@ -319,6 +491,6 @@ def soft_column(df: DataFrame, key: str = "record_no") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([soft_text(x) for x in b.column(1).to_pylist()], pa.string())], names=[key, "soft_labels"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([rounded_labels(x) for x in b.column(1).to_pylist()], pa.map_(pa.string(), pa.float64()))], names=[key, "soft_labels"])
 
-    return df.select(F.col(key).cast("long").alias(key), "soft").mapInArrow(run, f"{key} long, soft_labels string")
+    return df.select(F.col(key).cast("long").alias(key), "soft").mapInArrow(run, f"{key} long, soft_labels map<string,double>")
