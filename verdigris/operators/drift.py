@@ -230,7 +230,8 @@ def file_by_file(schemas: DataFrame, step: Callable[[dict, dict | None, dict], l
     """The rows of step(file, file before it in its feed or None, a dict that lasts as long as the feed), over the files of
     every feed by time, then name. Files are small rows that stream through sorted partitions; a feed's memory is one
     schema and what step keeps, however many files it has. Null feeds are one feed."""
-    ordered = schemas.select("feed", "file_name", "written_at", "lines", "schema").repartition("feed").sortWithinPartitions("feed", "written_at", "file_name")
+    parts = int(schemas.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = schemas.select("feed", "file_name", "written_at", "lines", "schema").repartition(parts, "feed").sortWithinPartitions("feed", "written_at", "file_name")
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

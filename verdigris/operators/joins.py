@@ -28,8 +28,20 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, spread: Column, how:
 def checked_join(big: DataFrame, small: DataFrame, on: list[str], how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
     """big JOIN small where small is already materialised: it is broadcast if a count proves at most `limit` rows, else
     both sides are shuffled (and AQE splits skewed partitions)."""
-    few = small.limit(limit + 1).count() <= limit
-    return big.join(F.broadcast(small) if few else small.hint("shuffle_hash") if how == "left_anti" else small, on, how)
+    return big.join(F.broadcast(small) if is_few(small, limit) else small.hint("shuffle_hash") if how == "left_anti" else small, on, how)
+
+
+def is_few(small: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    """Whether a materialised table is small enough to be broadcast."""
+    return small.limit(limit + 1).count() <= limit
+
+
+def hot_join(big: DataFrame, small: DataFrame, key: str, spread: Column, how: str = "inner", few: bool | None = None) -> DataFrame:
+    """big JOIN small ON key, where one key may own most of big's rows and small, materialised, has one row per key: small is
+    broadcast if it is few (counted if that isn't said), else both are salted."""
+    if is_few(small) if few is None else few:
+        return big.join(F.broadcast(small), key, how)
+    return salted_join(big, small, key, spread, how)
 
 
 def running(df: DataFrame, order: list[str], value: str | None = None, name: str = "before") -> DataFrame:
