@@ -72,12 +72,25 @@ def test_pieces(lines, end, last, limits):
             before = text[got[k - 1][0] : got[k - 1][2]]
             assert piece.startswith(before[len(before) - (f - s) :]) and f == got[k - 1][2]
             tail = before.split("\n")[-3:] if before.endswith("\n") else None
-            if tail and len("\n".join(tail)) <= chars - 2 * kw["overlap_chars"] and rows > 3:
+            if tail and len("\n".join(tail)) <= chars - 2 and rows > 2:
                 assert piece.startswith("\n".join(tail))
             elif tail is None:
                 assert f - s == min(kw["overlap_chars"], got[k - 1][2] - got[k - 1][0])
 
 
+@pytest.mark.parametrize("width", [100, 500, 740, 798])
+def test_two_lines_overlap_whenever_they_fit(width):
+    text = "\n".join(f"{i:03d}" + "x" * (width - 3) for i in range(40))
+    got = oversized.split_text(text)
+    assert "".join(text[f:e] for _, f, e in got) == text
+    for (s, f, e), (s0, _, e0) in zip(got[1:], got):
+        before = text[s0:e0]
+        if before.endswith("\n"):
+            assert text[s:f] == "".join(before.splitlines(True)[-2:])
+        else:
+            assert f - s == 80
+
+
 def test_oversized_rows(spark):
     long = "\n".join(f"def f{i}():\n    return {i}\n" for i in range(40))
     rows = [(1, "a.py", 10, 3, "sym", long, 0), (2, "a.py", 10, 3, "sym", long, 0), (3, None, None, None, None, "x" * 2000, 0), (4, "b", 1, 1, None, None, 0), (5, "b", 1, 1, "s", "", 0), (6, "b", 1, 60, "s", "\n" * 60, 0), (7, "b", 1, 61, "s", "\n" * 61, 0), (8, "b", 1, 1, "s", "y" * 1600, 0)]
@@ -159,6 +172,33 @@ def test_closest_subset(counts, target):
     assert abs(sum(s * n for s, n in got.items()) - target) == abs(best - target)
 
 
+def test_subset_of_many_sizes_keeps_one_array():
+    import tracemalloc
+
+    counts = {s: 1 for s in range(3, 5001, 2)}
+    tracemalloc.start()
+    got = grouped.closest_subset(counts, 1_000_001)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(s * n for s, n in got.items()) == 1_000_001 and peak < 60e6
+
+
+def test_shares_of_very_many_single_groups():
+    plan = grouped.allot({1: 100_000_000}, [("train", 0.8), ("dev", 0.1), ("holdout", 0.1)])
+    assert dict(plan[1]) == {"train": 80_000_000, "dev": 10_000_000, "holdout": 10_000_000}
+
+
+def test_components_with_salted_hooks(spark, monkeypatch):
+    from verdigris.operators import joins
+
+    rows = [(0, i) for i in range(1, 200)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5), (7, None)]
+    edges = spark.createDataFrame(rows, "a long, b long")
+    want = {(r["node"], r["root"]) for r in grouped.components(edges).collect()}
+    monkeypatch.setattr(grouped, "is_few", lambda d: False)
+    assert {(r["node"], r["root"]) for r in grouped.components(edges).collect()} == want == {(i, 0) for i in range(200)} | {(1000 + i, 1000) for i in range(41)}
+    assert joins.is_few(edges) and not joins.is_few(edges, 10)
+
+
 def test_allot_with_units(monkeypatch):
     monkeypatch.setattr(grouped, "MAX_BITS", 500)
     counts = {1: 3000, 7: 400, 120: 30, 2500: 1}
@@ -241,7 +281,7 @@ def test_distinctive_joins_agree(spark, small, monkeypatch):
 # ---- 4: leakage ----
 
 
-def test_leakage_against_brute_force(spark):
+def test_leakage_against_brute_force(spark, monkeypatch):
     rnd = random.Random(4)
     w = lambda n: [rnd.choice("ab cd Ef gh3 ij kl mn".split()) for _ in range(n)]
     states = [" ".join(w(40)) for _ in range(6)]
@@ -263,6 +303,11 @@ def test_leakage_against_brute_force(spark):
     assert set(got) == want and want
     assert got[(902, "c6")]["tiles"] == 2 and got[(902, "c6")]["longest"] >= 20  # reordered halves are covered
     assert leakage.leaked_cases(d.limit(0), c).count() == 0 and leakage.leaked_cases(d, c.limit(0)).count() == 0
+    half = {k for k, r in got.items() if r["share"] >= 0.5}
+    assert {(r["doc_id"], r["case_id"]) for r in leakage.leaked_cases(d, c, min_share=0.5).collect()} == half and half < want
+    # cases in blocks: the same rows
+    monkeypatch.setattr(leakage, "BLOCK_CHARS", 250)
+    assert {(r["doc_id"], r["case_id"]): r for r in leakage.leaked_cases(d, c).collect()} == got
 
 
 def test_tiles_do_not_overlap():

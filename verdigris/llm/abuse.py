@@ -253,8 +253,9 @@ def train(texts: list[str], votes: list[float | None], rounds: int = 3, seed: in
     return Model(w, b, threshold, prior, {"positive": len(bags), "kept": kept, "sentences": n, "agreement_f1": best})
 
 
-#: The classifier is fitted on at most so many reviewed and so many other documents, chosen by a hash of their ids.
-MAX_REVIEWED, MAX_OTHERS, MAX_FIT_CHARS = 12_000, 4_000, 20_000
+#: The classifier is fitted on at most so many reviewed and so many other documents, chosen by a hash of their ids, with
+#: their whole texts.
+MAX_REVIEWED, MAX_OTHERS = 12_000, 4_000
 
 
 def passages_above(documents: DataFrame, w: np.ndarray, b: float, used: np.ndarray) -> float:
@@ -286,12 +287,12 @@ def fit_model(documents: DataFrame, labels: DataFrame, max_reviewed: int = MAX_R
     votes = labels.filter("doc_id is not null").select("doc_id", F.when(yes >= 1, 1.0).when(yes == 0, 0.0).alias("v")).groupBy("doc_id").agg(F.avg("v").alias("vote")).filter("vote is not null")
     docs = documents.select("doc_id", "text").filter("text is not null and doc_id is not null").withColumn("h", F.xxhash64("doc_id", F.lit(seed)))
     some = votes.withColumn("h", F.xxhash64("doc_id", F.lit(seed))).orderBy("h", "doc_id").limit(max_reviewed).select("doc_id", "vote")
-    reviewed = docs.join(F.broadcast(some), "doc_id").select("doc_id", F.substring("text", 1, MAX_FIT_CHARS).alias("text"), "vote")
+    reviewed = docs.join(F.broadcast(some), "doc_id").select("doc_id", "text", "vote")
     # ids are chosen before any text is moved
     ids = docs.select("h", "doc_id")
     without = ids.join(votes.select("doc_id"), "doc_id", "left_anti")
     chosen = without.select("h", "doc_id").orderBy("h", "doc_id").limit(max_others).select("doc_id").distinct()
-    others = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", F.substring("text", 1, MAX_FIT_CHARS).alias("text"), F.lit(None).cast("double").alias("vote"))
+    others = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.lit(None).cast("double").alias("vote"))
     got = reviewed.toArrow().to_pylist() + others.toArrow().to_pylist()
     got.sort(key=lambda r: r["doc_id"])
     n, rest = ids.count(), without.count()

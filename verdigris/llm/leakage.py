@@ -11,15 +11,19 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdigris.operators.joins import running
+from verdigris.session import stored
+
 MIN_WORDS = 12
-#: Most cases' words that are broadcast; more would need the passages themselves partitioned, so it's an error.
-MAX_PASSAGE_WORDS = 20_000_000
+#: Most characters of cases that are broadcast at once; more cases are taken in blocks, each against all documents.
+BLOCK_CHARS = 120_000_000
 WORD = re.compile(r"[^\W_]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -149,17 +153,28 @@ def leaked_cases(documents: DataFrame, cases: DataFrame, split: str = "test", mi
     away, and how much of each.
 
     A pair comes out if the document holds min_words or more consecutive words of one text value of the case's state,
-    and the tiles cover at least min_share of the words of the case's text values. The cases are a table of bounded
-    size (its words are counted against MAX_PASSAGE_WORDS) that is broadcast; the documents aren't shuffled. Null and
-    empty texts and states match nothing; an id delivered twice is one case with the texts of both; null ids are
-    ignored; without documents or cases the result is empty; other columns are ignored.
+    and the tiles cover at least min_share of the words of the case's text values. The cases are broadcast in blocks of at
+    most BLOCK_CHARS characters (a case larger than that is a block of its own), so what a task holds is bounded however
+    many there are; the documents aren't shuffled, and read once per block. Null and empty texts and states match
+    nothing; an id delivered twice is one case with the texts of both; null ids are ignored; without documents or cases
+    the result is empty; other columns are ignored.
     """
-    spark: SparkSession = documents.sparkSession
     held = cases.filter((F.col("split") == split) & F.col("id").isNotNull() & F.col("state").isNotNull()).select("id", "state")
     size = held.select(F.coalesce(F.sum(F.char_length("state")), F.lit(0))).first()[0]
-    if size > 6 * MAX_PASSAGE_WORDS:
-        raise ValueError(f"the held-out cases have {size} characters; at most {6 * MAX_PASSAGE_WORDS} are broadcast")
-    passages = spark.sparkContext.broadcast(Passages([(r["id"], r["state"]) for r in held.distinct().collect()], min_words))
+    if size <= BLOCK_CHARS:
+        return _matches(documents, held, min_words, min_share)
+    sized = held.groupBy("id").agg(F.sum(F.char_length("state")).alias("value"))
+    # whole cases by the characters before them
+    block = running(sized, ["id"], "value").select("id", F.floor(F.col("before") / BLOCK_CHARS).alias("block"))
+    placed = stored(held.join(block, "id"), "cases")
+    blocks = [r["block"] for r in placed.select("block").distinct().orderBy("block").collect()]
+    return reduce(DataFrame.unionByName, [_matches(documents, placed.filter(F.col("block") == b), min_words, min_share) for b in blocks])
+
+
+def _matches(documents: DataFrame, held: DataFrame, min_words: int, min_share: float) -> DataFrame:
+    """leaked_cases for one block of cases."""
+    spark: SparkSession = documents.sparkSession
+    passages = spark.sparkContext.broadcast(Passages([(r["id"], r["state"]) for r in held.select("id", "state").distinct().collect()], min_words))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = passages.value

@@ -74,8 +74,8 @@ def split_text(text: str, max_chars: int = MAX_CHARS, max_lines: int = MAX_LINES
     """Pieces as (start, fresh, end): text[start:fresh] repeats the tail of the piece before, text[fresh:end] is new.
 
     The new parts tile the text without gap. Every piece fits both limits. After a cut at a line end the overlap is the
-    last `overlap_lines` lines of the piece, or fewer where they would leave no room; after a cut within a line it is
-    the last `overlap_chars` characters.
+    last `overlap_lines` lines of the piece, or fewer only where they fill the limits by themselves; after a cut within a
+    line it is the last `overlap_chars` characters.
     """
     if not text:
         return []
@@ -91,7 +91,7 @@ def split_text(text: str, max_chars: int = MAX_CHARS, max_lines: int = MAX_LINES
             last = t.line(at - 1)
             for keep in range(overlap_lines, 0, -1):
                 s = max(start, t.starts[max(0, last - keep + 1)])
-                if at - s <= max_chars - 2 * overlap_chars and keep < max_lines:
+                if at - s <= max_chars - 2 and keep < max_lines:
                     tail = s
                     break
         start, fresh = max(tail, start, 0), at

@@ -56,6 +56,11 @@ def p4_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_cases(table(spark, d, "documents"), table(spark, d, "typed_decisions"))
 
 
+def p4_covered(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that give away half of a case's words or more, in whatever order its passages stand."""
+    return leakage.leaked_cases(table(spark, d, "documents"), table(spark, d, "typed_decisions"), min_share=0.5)
+
+
 def _splits(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "convert_hf").filter("lower(trim(split)) in ('train', 'dev', 'holdout')")
 
@@ -115,7 +120,7 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_splits, p2_shares, p3_found, p3_scores, p4_found, p4_leaks, p5_method, p5_found, p5_pairs, p5_report, p7_ids, p7_sizes, p8_mix, p8_shares, p8_tempered, p9_found, p9_scores, p9_rates)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_splits, p2_shares, p3_found, p3_scores, p4_found, p4_leaks, p4_covered, p5_method, p5_found, p5_pairs, p5_report, p7_ids, p7_sizes, p8_mix, p8_shares, p8_tempered, p9_found, p9_scores, p9_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
