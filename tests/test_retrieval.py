@@ -14,7 +14,12 @@ from verdigris.sources import readers, sinks
 
 @pytest.mark.parametrize(
     "word, stem",
-    [("policies", "polici"), ("policy", "polici"), ("closed", "close"), ("removes", "remov"), ("removed", "remov"), ("running", "run"), ("status", "status"), ("added", "add"), ("agreed", "agre"), ("state", "state"), ("cache", "cach"), ("controll", "control"), ("rs", "rs"), ("exceeded", "exce"), ("classes", "class")],
+    [
+        ("berries", "berri"), ("berry", "berri"), ("glasses", "glass"), ("virus", "virus"), ("basis", "basis"), ("lamps", "lamp"), ("os", "os"),  # plurals and y
+        ("planned", "plan"), ("planning", "plan"), ("grated", "grate"), ("enabling", "enabl"), ("sizing", "size"), ("hoping", "hope"), ("mixing", "mix"),  # past, mended
+        ("fizzed", "fizz"), ("spelled", "spell"), ("bring", "bring"), ("sing", "sing"), ("freed", "freed"), ("succeeded", "succe"), ("decreed", "decre"),  # what stays, what goes on
+        ("fable", "fabl"), ("motive", "motiv"), ("tune", "tune"), ("toe", "toe"), ("patroll", "patrol"), ("hill", "hill"), ("sky", "sky"), ("yoyo", "yoyo"),  # final e, ll, y
+    ],
 )
 def test_stem(word, stem):
     assert tx.stem(word) == stem
@@ -53,6 +58,57 @@ def test_chunk_invariants(lines, path):
     assert {i + 1 for i, x in enumerate(lines) if x.strip()} <= set(seen)
 
 
+@pytest.mark.parametrize(
+    "line, want",
+    [
+        ("pub(in crate) async unsafe fn poll_all(&self)", ("poll_all", True)), ("impl<'a, T: Clone> fmt::Display for net::Peer<'a, T> {", ("Peer", True)), ("impl Shelf {", ("Shelf", True)),
+        ("func (s *Shelf) Lend(b Book) error {", ("Lend", True)), ("func Lend(b Book)", ("Lend", True)), ("export default async function* pages() {", ("pages", True)), ("  def self.borrow(x)", ("borrow", True)),
+        ("macro_rules! shelf {", ("shelf", True)), ("static mut COUNT: u8 = 3;", ("COUNT", False)), ("  let mut total = 0;", ("total", False)), ("export const rows = [", ("rows", False)), ("static const int = 1", ("int", False)),
+        ("extern \"C\" fn f()", ("f", True)), ("data class Point(", ("Point", True)), ("type Row = u8", ("Row", True)), ("return fn", None), ("x = define(y)", None), ("let x", None), ("", None), ("const", None), ("publish fn a", None),
+    ],
+)
+def test_declarations(line, want):
+    assert chunks.declared(line) == want
+
+
+def test_declarations_as_column(spark):
+    lines = ["pub struct Shelf;", "  lend();", None, "static A: u8", "def a():", "the fn of it"]
+    got = [r["n"] for r in spark.createDataFrame([(x,) for x in lines], "line string").select(chunks.declared_column(F.col("line")).alias("n")).collect()]
+    assert got == [None if x is None or not chunks.declared(x) else chunks.declared(x)[0] for x in lines] == ["Shelf", None, None, "A", "a", None]
+
+
+def test_parts_of_a_large_unit_are_named():
+    """An item declared in the part, else the item that the part goes on with, else the unit."""
+    body = ["        step();"] * 70
+    lines = ["impl Machine {", "    fn start(&self) {", *body, "", *body, "    }", "", "    let x = 1;", *["    y();"] * 55, "", "    fn stop() {", "    }", "}"]
+    got = [(s, e, n) for s, e, n, _ in chunks.split_file("m.rs", "\n".join(lines))]
+    assert [n for _, _, n in got] == ["Machine", "start", "start", "start", "stop"]
+    assert got[0][0] == 1 and got[-1][1] == len(lines) and all(e - s < 60 for s, e, _ in got)
+
+
+def test_sections_close_chunks_with_a_body():
+    short = "# A\n\none\n\n# B\n\ntwo\n"
+    assert [(n, s, e) for s, e, n, _ in chunks.split_file("a.md", short)] == [("A", 1, 7)]
+    long = "# A\n\none\n\ntwo\n\n# B\n\nthree\n"
+    assert [(n, s, e) for s, e, n, _ in chunks.split_file("a.md", long)] == [("A", 1, 5), ("B", 7, 9)]
+    assert chunks.split_file("a.md", "") == [] and chunks.split_file("a.py", "\n \n") == [] and chunks.split_file("x", "a\r\nb\r\n") == [(1, 2, None, "a\nb")]
+
+
+def test_headings_of_all_kinds():
+    h = lambda ext, *lines: [(i, x) for i, x in enumerate(chunks.headings(ext, list(lines))) if x]
+    assert h("rst", "=====", "Name", "=====", "text", "Part", "---") == [(0, "Name"), (4, "Part")]
+    assert h("org", "* One", "******** Deep", "Two", "---") == [(0, "One"), (1, "Deep")] and h("adoc", "= One", "====== Six", "======= Seven", "T", "----") == [(0, "One"), (1, "Six")]
+    assert h("md", "---", "# in front", "...", "# Yes", "~~~", "# no", "~~~", "####### seven") == [(3, "Yes")] and h("md", "---", "# Open") == [(1, "Open")] and h("txt", "```", "# Yes", "#no") == [(1, "Yes")]
+
+
+def test_previews_repeat_nothing():
+    cs = [("a/queue.rs", "retry_queue", "//! Keeps what failed.\n// retry queue\nfn retry_queue() { push(); }"), ("a/queue.rs", None, "// retry queue\nfn other() {}"), ("a/queue.rs", "drain", "fn drain() { push(); }")]
+    assert descend.file_preview(cs).split("\n") == ["keeps what failed", "retry queue", "drain", "retry queue push", "other", "drain push"]
+    assert descend.group_preview(cs[1:]).split("\n") == ["drain", "other", "drain push"]  # a comment without a name counts as said
+    assert descend.file_line("a/queue.rs", cs[0][2]) == "queue: keeps what failed" and descend.file_line("a/.hidden", "") == "hidden"
+    assert descend.folder_preview(["a/b"], ["queue: x"], ["A", "retry_queue", "a"]) == "b/\nqueue: x\na\nretry queue"
+
+
 def test_headings():
     h = chunks.headings("md", ["---", "a: b", "---", "Title", "=====", "```", "# no", "```", "## Yes ##"])
     assert [x for x in h if x] == ["Title", "Yes ##"]
