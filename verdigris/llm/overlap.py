@@ -127,8 +127,9 @@ def hash_word(w: str) -> int:
     return h
 
 
-def suffixes(questions: list[bytes], texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, pos, words of the row, hashes) of the suffixes of three or more words of all texts, row by row.
+def suffixes(questions: list[bytes], texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, pos, words of the row, hashes, parities of the row) of the suffixes of three or more words of all texts, row by
+    row. The parities are 64 bits, each saying whether the words that hash to it are odd in number.
 
     The hashes are of the first 3, 6, 12 and 24 words, by doubling: that of 2m words is that of two hashes of m words, m
     apart; where a text ends earlier it is of what is there. The text's question goes into all of them, so suffixes of
@@ -162,12 +163,16 @@ def suffixes(questions: list[bytes], texts: list[str]) -> tuple[np.ndarray, np.n
     nth = np.arange(len(r)) - np.maximum.accumulate(np.where(new, np.arange(len(r)), 0))
     out[0] = begin.copy()
     out[0][order] = b + nth.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
-    return row, pos, lens, np.stack(out, 1) if len(row) else np.empty((0, len(LEVELS)), np.uint64)
+    odd = np.zeros(len(texts), np.uint64)
+    full = lens > 0
+    if full.any():
+        odd[full] = np.bitwise_xor.reduceat(np.uint64(1) << (code >> np.uint64(58)), (np.cumsum(lens) - lens)[full])
+    return row, pos, lens, np.stack(out, 1) if len(row) else np.empty((0, len(LEVELS)), np.uint64), odd
 
 
-def _of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    row, pos, lens, h = suffixes(b.column("question").to_pylist(), b.column("words").to_pylist())
-    return row, pos, lens, h, (h[:, 0] % np.uint64(COUNTERS)).astype(np.int64)
+def _of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    row, pos, lens, h, odd = suffixes(b.column("question").to_pylist(), b.column("words").to_pylist())
+    return row, pos, lens, h, odd, (h[:, 0] % np.uint64(COUNTERS)).astype(np.int64)
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +187,7 @@ def rarity(classes: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
         for b in _parts(batches):
-            total += np.bincount(_of(b)[4], minlength=COUNTERS)
+            total += np.bincount(_of(b)[5], minlength=COUNTERS)
         slot = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(total[slot], pa.int64())], names=["slot", "n"])
 
@@ -193,14 +198,14 @@ def rarity(classes: DataFrame) -> np.ndarray:
 
 
 def sparse_suffixes(classes: DataFrame, counts: np.ndarray) -> DataFrame:
-    """cls, side (true: training), h3, h6, h12, h24, n, parts of the 3k+1 rarest suffixes of (cls, question, words,
+    """cls, side (true: training), h3, h6, h12, n, odd, parts of the 3k+1 rarest suffixes of (cls, question, words,
     in_train, in_eval), a class on both sides standing on each; parts: blocks a side of the suffix's interval is cut into."""
     shared = classes.sparkSession.sparkContext.broadcast(counts)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = shared.value
         for b in _parts(batches):
-            row, _, lens, h, slot = _of(b)
+            row, _, lens, h, odd, slot = _of(b)
             order = np.lexsort((h[:, 0], seen[slot], row))
             # k: words that may differ from the longest text a row can pair with; without any, only equal texts match,
             # which are one class already
@@ -212,11 +217,11 @@ def sparse_suffixes(classes: DataFrame, counts: np.ndarray) -> DataFrame:
             side = np.concatenate((np.ones(int(train.sum()), bool), np.zeros(int(test.sum()), bool)))
             order = np.concatenate((order[train], order[test]))
             g, r = h[order].view(np.int64), row[order]
-            levels = [pa.array(np.ascontiguousarray(g[:, 0])), *(pa.array(g[:, i].astype(np.int32)) for i in range(1, len(LEVELS)))]
+            levels = [pa.array(np.ascontiguousarray(g[:, 0])), *(pa.array(g[:, i].astype(np.int32)) for i in (1, 2))]
             parts = -(-seen[slot[order]] // BLOCK)
-            yield pa.RecordBatch.from_arrays([b.column("cls").take(pa.array(r)), pa.array(side), *levels, pa.array(lens[r].astype(np.int32)), pa.array(np.maximum(parts, 1).astype(np.int32))], names=["cls", "side", "h3", "h6", "h12", "h24", "n", "parts"])
+            yield pa.RecordBatch.from_arrays([b.column("cls").take(pa.array(r)), pa.array(side), *levels, pa.array(lens[r].astype(np.int32)), pa.array(odd[r].view(np.int64)), pa.array(np.maximum(parts, 1).astype(np.int32))], names=["cls", "side", "h3", "h6", "h12", "n", "odd", "parts"])
 
-    return classes.select("cls", "in_train", "in_eval", "question", "words").mapInArrow(keep, "cls long, side boolean, h3 long, h6 int, h12 int, h24 int, n int, parts int")
+    return classes.select("cls", "in_train", "in_eval", "question", "words").mapInArrow(keep, "cls long, side boolean, h3 long, h6 int, h12 int, n int, odd long, parts int")
 
 
 def all_suffixes(classes: DataFrame) -> DataFrame:
@@ -225,7 +230,7 @@ def all_suffixes(classes: DataFrame) -> DataFrame:
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _parts(batches):
-            row, pos, lens, h, _ = _of(b)
+            row, pos, lens, h, _, _ = _of(b)
             at = np.flatnonzero(pos + SPAN <= lens[row])
             g, r = h[at].view(np.int64), row[at]
             cols = [b.column(x).take(pa.array(r)) for x in ("cls", "train_no", "in_eval")]
@@ -265,11 +270,11 @@ def scanned(array: DataFrame, key: list[str], read: Callable[[Columns, np.ndarra
 
 def interval_pairs(suffixes: DataFrame) -> DataFrame:
     """(t_cls, e_cls) of the training and evaluation suffixes that lie in one interval of the array and whose texts' lengths
-    allow a match, each pair once."""
+    and parities of words allow a match, each pair once."""
     at = F.pmod(F.xxhash64("cls"), F.col("parts"))
     blocks = F.when(F.col("parts") == 1, F.array(F.lit(0).cast("long")))
     blocks = blocks.when(F.col("side"), F.sequence(at * F.col("parts"), (at + 1) * F.col("parts") - 1)).otherwise(F.sequence(at, at + F.col("parts") * (F.col("parts") - 1), F.col("parts").cast("long")))
-    array = suffixes.withColumn("block", F.explode(blocks)).drop("parts").repartition("h3", "block").sortWithinPartitions("h3", "block", "h6", "h12", "h24", "side")
+    array = suffixes.withColumn("block", F.explode(blocks)).drop("parts").repartition("h3", "block").sortWithinPartitions("h3", "block", "h6", "h12", "side")
 
     def read(x: Columns, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         t, e = np.flatnonzero(x["side"]), np.flatnonzero(~x["side"])
@@ -288,7 +293,9 @@ def interval_pairs(suffixes: DataFrame) -> DataFrame:
             a = t[np.arange(len(b)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(lo[i:j], m)]
             i = j
             na, nb = x["n"][a], x["n"][b]
-            fit = (x["cls"][a] != x["cls"][b]) & (np.abs(na - nb) <= np.maximum(na, nb) // ONE_IN)
+            k = np.maximum(na, nb) // ONE_IN
+            # a word added or missing turns one parity, a replaced one two
+            fit = (x["cls"][a] != x["cls"][b]) & (np.abs(na - nb) <= k) & (np.bitwise_count(x["odd"][a].view(np.uint64) ^ x["odd"][b].view(np.uint64)) <= 2 * k)
             pair = np.unique(np.stack((x["cls"][a[fit]], x["cls"][b[fit]]), 1), axis=0)
             if len(pair):
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, 0])), pa.array(np.ascontiguousarray(pair[:, 1]))], names=["t_cls", "e_cls"])
