@@ -14,6 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from verdigris.operators import intervals
 from verdigris.llm import abuse, distinctive, encode, grouped, leakage, mix, overlap, oversized, queries
 
 CORPUS = "chunk_id long, path string, start_line int, end_line int, symbol string, text string, n int"
@@ -189,12 +190,13 @@ def test_shares_of_very_many_single_groups():
 
 
 def test_components_with_salted_hooks(spark, monkeypatch):
+    from verdigris.operators import components as comps
     from verdigris.operators import joins
 
     rows = [(0, i) for i in range(1, 200)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5), (7, None)]
     edges = spark.createDataFrame(rows, "a long, b long")
     want = {(r["node"], r["root"]) for r in grouped.components(edges).collect()}
-    monkeypatch.setattr(grouped, "is_few", lambda d: False)
+    monkeypatch.setattr(comps, "is_few", lambda d: False)
     assert {(r["node"], r["root"]) for r in grouped.components(edges).collect()} == want == {(i, 0) for i in range(200)} | {(1000 + i, 1000) for i in range(41)}
     assert joins.is_few(edges) and not joins.is_few(edges, 10)
 
@@ -387,15 +389,15 @@ def test_hot_intervals_meet_in_blocks(spark, monkeypatch):
         state = "the report says that pump seven at the old mill lost pressure in the night of the flood again " + f"w{i} " * (1 + i % 2)
         rows.append((i, None, "c", "train" if i % 3 else "dev", state, '{"type": "boolean", "instructions": "a?"}', 0))
     want = {(r["record_lo"], r["record_hi"]) for r in overlap.cross_split_pairs(spark.createDataFrame(rows, HF)).collect()}
-    monkeypatch.setattr(overlap, "BLOCK", 7)
-    monkeypatch.setattr(overlap, "AT_ONCE", 5)
+    monkeypatch.setattr(intervals, "BLOCK", 7)
+    monkeypatch.setattr(intervals, "AT_ONCE", 5)
     got = {(r["record_lo"], r["record_hi"]) for r in overlap.cross_split_pairs(spark.createDataFrame(rows, HF)).collect()}
     assert got == want and len(got) == 20 * 40
 
 
 @pytest.mark.parametrize("block", [8192, 3])
 def test_coverage_against_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(overlap, "BLOCK", block)
+    monkeypatch.setattr(intervals, "BLOCK", block)
     rng = random.Random(5)
     vocab = [f"v{i}" for i in range(40)]
     stock = [" ".join(rng.choice(vocab) for _ in range(rng.randint(5, 30))) for _ in range(6)]

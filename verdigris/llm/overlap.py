@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.llm.leakage import WORD
+from verdigris.operators import intervals
+from verdigris.operators.intervals import COUNTERS, Columns, counted, pairs_in_intervals, scanned
 from verdigris.operators.joins import checked_join, salted_join
 from verdigris.session import stored
 
 Q = 3  # words that begin an interval
 ONE_IN = 8  # one word in so many may differ
-COUNTERS = 1 << 18
-#: Suffixes of an interval that one block holds of each side; a larger interval is cut into more blocks.
-BLOCK = 8192
-#: Pairs written at once.
-AT_ONCE = 1 << 19
 #: Words of a common prefix that make a shared span.
 SPAN = 6
 LEVELS = (3, 6, 12, 24)
@@ -175,26 +172,15 @@ def _of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return row, pos, lens, h, odd, (h[:, 0] % np.uint64(COUNTERS)).astype(np.int64)
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(0, b.num_rows, 2000):
             yield b.slice(i, 2000)
 
 
 def rarity(classes: DataFrame) -> np.ndarray:
-    """How many texts hold a beginning, by slots of a table of fixed size, which is all that reaches the driver."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
-        for b in _parts(batches):
-            total += np.bincount(_of(b)[5], minlength=COUNTERS)
-        slot = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(total[slot], pa.int64())], names=["slot", "n"])
-
-    counts = np.zeros(COUNTERS, np.int64)
-    for r in classes.select("question", "words").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
-        counts[r["slot"]] = r["n"]
-    return counts
+    """How many texts hold a beginning, by slots of a table of fixed size."""
+    return counted(classes.select("question", "words"), lambda b: (x for part in _parts([b]) for x in [_of(part)[3][:, 0]]))
 
 
 def sparse_suffixes(classes: DataFrame, counts: np.ndarray) -> DataFrame:
@@ -218,8 +204,8 @@ def sparse_suffixes(classes: DataFrame, counts: np.ndarray) -> DataFrame:
             order = np.concatenate((order[train], order[test]))
             g, r = h[order].view(np.int64), row[order]
             levels = [pa.array(np.ascontiguousarray(g[:, 0])), *(pa.array(g[:, i].astype(np.int32)) for i in (1, 2))]
-            parts = -(-seen[slot[order]] // BLOCK)
-            yield pa.RecordBatch.from_arrays([b.column("cls").take(pa.array(r)), pa.array(side), *levels, pa.array(lens[r].astype(np.int32)), pa.array(odd[r].view(np.int64)), pa.array(np.maximum(parts, 1).astype(np.int32))], names=["cls", "side", "h3", "h6", "h12", "n", "odd", "parts"])
+            parts = intervals.blocks_of(seen[slot[order]])
+            yield pa.RecordBatch.from_arrays([b.column("cls").take(pa.array(r)), pa.array(side), *levels, pa.array(lens[r].astype(np.int32)), pa.array(odd[r].view(np.int64)), pa.array(parts)], names=["cls", "side", "h3", "h6", "h12", "n", "odd", "parts"])
 
     return classes.select("cls", "in_train", "in_eval", "question", "words").mapInArrow(keep, "cls long, side boolean, h3 long, h6 int, h12 int, n int, odd long, parts int")
 
@@ -240,67 +226,17 @@ def all_suffixes(classes: DataFrame) -> DataFrame:
     return classes.select("cls", "train_no", "in_eval", "question", "words").mapInArrow(every, "cls long, train_no long, in_eval boolean, h6 long, h12 int, h24 int, pos int")
 
 
-Columns = dict[str, np.ndarray]
-
-
-def scanned(array: DataFrame, key: list[str], read: Callable[[Columns, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Reads the sorted partitions of a suffix array interval by interval: read(columns, starts of the intervals in them).
-
-    An interval is a run of rows with equal `key`; runs that batches cut are put together first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Columns = {}
-        for b in batches:
-            new = {c: b.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(b.schema.names)}
-            rows = {c: np.concatenate((held[c], v)) for c, v in new.items()} if held else new
-            n = len(rows[key[0]])
-            change = np.zeros(max(0, n - 1), bool)
-            for c in key:
-                change |= rows[c][1:] != rows[c][:-1]
-            starts = np.concatenate(([0], np.flatnonzero(change) + 1))
-            cut = int(starts[-1])
-            held = {c: v[cut:] for c, v in rows.items()}
-            if cut:
-                yield from read({c: v[:cut] for c, v in rows.items()}, starts[:-1])
-        if held and len(held[key[0]]):
-            yield from read(held, np.zeros(1, np.int64))
-
-    return array.mapInArrow(run, schema)
-
-
 def interval_pairs(suffixes: DataFrame) -> DataFrame:
     """(t_cls, e_cls) of the training and evaluation suffixes that lie in one interval of the array and whose texts' lengths
     and parities of words allow a match, each pair once."""
-    at = F.pmod(F.xxhash64("cls"), F.col("parts"))
-    blocks = F.when(F.col("parts") == 1, F.array(F.lit(0).cast("long")))
-    blocks = blocks.when(F.col("side"), F.sequence(at * F.col("parts"), (at + 1) * F.col("parts") - 1)).otherwise(F.sequence(at, at + F.col("parts") * (F.col("parts") - 1), F.col("parts").cast("long")))
-    array = suffixes.withColumn("block", F.explode(blocks)).drop("parts").repartition("h3", "block").sortWithinPartitions("h3", "block", "h6", "h12", "side")
 
-    def read(x: Columns, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        t, e = np.flatnonzero(x["side"]), np.flatnonzero(~x["side"])
-        if not len(t) or not len(e):
-            return
-        ends = np.append(starts[1:], len(x["side"]))
-        of = np.searchsorted(starts, e, "right") - 1
-        lo, hi = np.searchsorted(t, starts)[of], np.searchsorted(t, ends)[of]
-        e, lo, many = e[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-        total = np.cumsum(many)
-        i = 0
-        while i < len(e):  # so many evaluation suffixes that their pairs fit in memory
-            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + AT_ONCE, "right")))
-            m = many[i:j]
-            b = np.repeat(e[i:j], m)
-            a = t[np.arange(len(b)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(lo[i:j], m)]
-            i = j
-            na, nb = x["n"][a], x["n"][b]
-            k = np.maximum(na, nb) // ONE_IN
-            # a word added or missing turns one parity, a replaced one two
-            fit = (x["cls"][a] != x["cls"][b]) & (np.abs(na - nb) <= k) & (np.bitwise_count(x["odd"][a].view(np.uint64) ^ x["odd"][b].view(np.uint64)) <= 2 * k)
-            pair = np.unique(np.stack((x["cls"][a[fit]], x["cls"][b[fit]]), 1), axis=0)
-            if len(pair):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, 0])), pa.array(np.ascontiguousarray(pair[:, 1]))], names=["t_cls", "e_cls"])
-
-    return scanned(array, ["h3", "block"], read, "t_cls long, e_cls long").distinct()
+    def fit(x: Columns, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        na, nb = x["n"][a], x["n"][b]
+        k = np.maximum(na, nb) // ONE_IN
+        # a word added or missing turns one parity, a replaced one two
+        return (x["id"][a] != x["id"][b]) & (np.abs(na - nb) <= k) & (np.bitwise_count(x["odd"][a].view(np.uint64) ^ x["odd"][b].view(np.uint64)) <= 2 * k)
+
+    return pairs_in_intervals(suffixes.withColumnRenamed("cls", "id"), "h3", ["h6", "h12"], fit).toDF("t_cls", "e_cls")
 
 
 def word_distance(a: list[str], b: list[str], most: int) -> int:
@@ -401,11 +337,11 @@ def nearest_spans(suffixes: DataFrame) -> DataFrame:
     training record.
 
     Equal suffixes are one before they are moved, so boilerplate is no hot interval; its remaining continuations are dealt
-    to several blocks where an interval has more than BLOCK of them."""
+    to several blocks where an interval has more than intervals.BLOCK of them."""
     level = ["h6", "h12", "h24"]
     keys = suffixes.groupBy(*level).agg(F.min("train_no").alias("partner"), F.max("in_eval").alias("wanted"))
     keys = stored(keys, "suffix-keys")
-    hot = stored(keys.groupBy("h6").agg(F.count("*").alias("k")).filter(F.col("k") > BLOCK).select("h6", F.ceil(F.col("k") / BLOCK).cast("int").alias("parts")), "hot")
+    hot = stored(keys.groupBy("h6").agg(F.count("*").alias("k")).filter(F.col("k") > intervals.BLOCK).select("h6", F.ceil(F.col("k") / intervals.BLOCK).cast("int").alias("parts")), "hot")
     keys = checked_join(keys, hot, ["h6"], "left")
     at = F.pmod(F.xxhash64("h12", "h24"), F.coalesce("parts", F.lit(1))).cast("int")
     # an evaluation suffix goes to one block, a training suffix to all
