@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from verdigris.functions import text as tx
-from verdigris.operators import chunks, descend, drift, lexical, prepare, search
+from verdigris.operators import chunks, descend, drift, intervals, joins, lexical, metrics, prepare, search
 from verdigris.sources import readers, sinks
 
 
@@ -182,9 +182,12 @@ def test_case_files(spark, tmp_path):
     assert readers.read_request(spark, '{"state": "s", "questions": {"q": {"type": "boolean"}}, "x": 1}').first()["temperature"] == 1.0
 
 
-def test_near_duplicates_lose_no_link(spark):
+@pytest.mark.parametrize("block", [8192, 4])
+def test_near_duplicates_lose_no_link(spark, monkeypatch, block):
     import random
 
+    monkeypatch.setattr(intervals, "BLOCK", block)
+
     rnd = random.Random(5)
     vocab = [f"w{i}" for i in range(300)]
     base = [[rnd.choice(vocab) for _ in range(60)] for _ in range(12)]
@@ -232,9 +235,12 @@ def test_near_duplicates_of_nothing(spark):
     assert prepare.near_duplicates(spark.createDataFrame([], "id long, text string"), "id", "text").count() == 0
 
 
-def test_contamination_against_brute_force(spark):
+@pytest.mark.parametrize("chars", [1_000_000, 300])
+def test_contamination_against_brute_force(spark, monkeypatch, chars):
     import random
 
+    monkeypatch.setattr(prepare, "EVAL_CHARS", chars)
+
     rnd = random.Random(2)
     w = lambda n: " ".join(rnd.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split()) + str(rnd.randrange(30)) for _ in range(n))
     evals = [(f"e{i}", w(rnd.choice([3, 6, 20]))) for i in range(25)] + [("e_short", "internationalisation")]
@@ -268,6 +274,27 @@ def test_splits_hold_groups(spark, small):
     assert again == {tuple(x) for x in s.collect()}
 
 
+# ---- hot groups ----
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_numbers_within_hot_groups(spark, monkeypatch, few):
+    """Range by range or in one window: the same numbers, null groups included."""
+    rows = [(None if i % 7 == 0 else "hot" if i % 3 else f"g{i % 5}", (i * 37) % 101, i) for i in range(400)]
+    monkeypatch.setattr(joins, "is_few", lambda d, limit=0: few)
+    df = spark.createDataFrame(rows, "g string, v int, id int").repartition(3)
+    got = {(r["g"], r["id"]): r["rank"] for r in joins.numbered(df, ["g"], ["v", "id"]).collect()}
+    want = {}
+    for g in {r[0] for r in rows}:
+        want |= {(g, i): k + 1 for k, (_, _, i) in enumerate(sorted((x for x in rows if x[0] == g), key=lambda x: x[1:]))}
+    assert got == want
+    lat = {r["g"]: (r["n"], r["p50"], r["p95"]) for r in metrics.latency(df, ["g"], "v").collect()}
+    for g in {r[0] for r in rows}:
+        v = sorted(x[1] for x in rows if x[0] == g)
+        assert lat[g] == (len(v), v[len(v) // 2], v[min(len(v) - 1, int(len(v) * 0.95))])
+    assert joins.numbered(df.limit(0), ["g"], ["v"]).count() == 0
+
+
 # ---- drift ----
 
 

@@ -77,33 +77,56 @@ class XorShift:
 
 
 def loss_table(samples: DataFrame, temps: DataFrame, by: list[str]) -> DataFrame:
-    """Summed -ln p_T[y] of samples (by..., p, y) at the temperatures (by..., t): partial sums per task. temps has a few rows
-    per bucket."""
-    j = samples.join(F.broadcast(temps), by)
-    return j.groupBy(*by, "t").agg(F.sum(nll(powered(F.col("p"), F.col("t")), F.col("y"))).alias("loss"))
+    """Summed -ln p_T[y] of samples (bucket, by..., p, y) at the temperatures (bucket, t), and their number: one row per
+    bucket, by and t, formed by partial sums per task. temps has a few rows per bucket."""
+    j = samples.join(F.broadcast(temps), "bucket")
+    return j.groupBy("bucket", *by, "t").agg(F.sum(nll(powered(F.col("p"), F.col("t")), F.col("y"))).alias("loss"), F.count("*").alias("n"))
 
 
-def fit_temperatures(samples: DataFrame, by: list[str], rounds: int = 6, points: int = 17, least: int = MIN_SAMPLES) -> DataFrame:
-    """(by..., temperature, n): the temperature that minimises the log-loss over ln T in [ln .05, ln 20], by a grid that is
-    narrowed around its best point `rounds` times (to a relative 1e-6); 1 for fewer than `least` samples. The loss has one
-    minimum in ln T, so this is the golden-section answer within that width. What the driver sees is a grid per bucket."""
+def fit_temperatures(samples: DataFrame, points: int = 33, passes: int = 3, least: int = 2) -> dict[tuple[str, int], tuple[float, int]]:
+    """(bucket, fold left out, -1 for none) to (temperature, samples fitted on), of samples (bucket, fold, p, y): the
+    temperature that minimises the log-loss over ln T in [ln .05, ln 20]; 1 for fewer than `least` samples.
+
+    A pass sums the losses per bucket, fold and temperature once; what a fold's absence leaves is the total less the fold. The
+    loss has one minimum in ln T: each pass narrows a grid around the best point, and a parabola through the last three
+    points gives the answer to a relative 1e-6. What the driver sees is a grid per bucket and fold."""
     spark = samples.sparkSession
-    n = {tuple(r[b] for b in by): r["n"] for r in samples.groupBy(*by).agg(F.count("*").alias("n")).collect()}
-    fields = samples.select(*by).schema
-    span = {k: (math.log(LOW), math.log(HIGH)) for k, c in n.items() if c >= least}
-    for _ in range(rounds if span else 0):
-        grid = [(*k, math.exp(a + (b - a) * i / (points - 1))) for k, (a, b) in span.items() for i in range(points)]
-        temps = spark.createDataFrame(grid, fields.add("t", "double") if "t" not in fields.names else fields)
-        best: dict[tuple, tuple[float, float]] = {}
-        for r in loss_table(samples, temps, by).collect():
-            k = tuple(r[b] for b in by)
-            best[k] = min(best.get(k, (math.inf, 0.0)), (r["loss"], math.log(r["t"])))
-        for k, (a, b) in span.items():
-            w = (b - a) / (points - 1)
-            span[k] = (max(math.log(LOW), best[k][1] - w), min(math.log(HIGH), best[k][1] + w))
-        fields = samples.select(*by).schema
-    rows = [(*k, math.exp(sum(span[k]) / 2) if k in span else 1.0, c) for k, c in n.items()]
-    return spark.createDataFrame(rows, samples.select(*by).schema.add("temperature", "double").add("n", "long"))
+    seen: dict[tuple[str, int], dict[float, float]] = {}
+    many: dict[tuple[str, int], int] = {}
+    spans: dict[tuple[str, int], tuple[float, float]] = {}
+    low, high = math.log(LOW), math.log(HIGH)
+    grid = {r["bucket"]: {low + (high - low) * i / (points - 1) for i in range(points)} for r in samples.select("bucket").distinct().collect()}
+    for _ in range(passes):
+        temps = spark.createDataFrame([(b, math.exp(x)) for b, xs in grid.items() for x in sorted(xs)], "bucket string, t double")
+        at = {(b, math.exp(x)): x for b, xs in grid.items() for x in xs}
+        losses: dict[tuple[str, float], dict[int, float]] = {}
+        for r in loss_table(samples, temps, ["fold"]).collect() if grid else []:
+            losses.setdefault((r["bucket"], at[(r["bucket"], r["t"])]), {})[r["fold"]] = r["loss"]
+            many[(r["bucket"], r["fold"])] = r["n"]
+        for (b, x), per in losses.items():
+            total = math.fsum(per.values())
+            for held, loss in ((-1, total), *((f, total - per.get(f, 0.0)) for f in range(FOLDS))):
+                seen.setdefault((b, held), {})[x] = loss
+        grid = {b: set() for b in grid}
+        for k, found in seen.items():
+            xs = sorted(found)
+            i = min(range(len(xs)), key=lambda i: (found[xs[i]], xs[i]))
+            a, z = xs[max(0, i - 1)], xs[min(len(xs) - 1, i + 1)]
+            spans[k] = (a, z)
+            grid[k[0]] |= {a + (z - a) * j / (points - 1) for j in range(1, points - 1)}
+    out = {}
+    for (b, held), found in seen.items():
+        n = sum(c for (x, f), c in many.items() if x == b and f != held)
+        xs = sorted(found)
+        i = min(range(len(xs)), key=lambda i: (found[xs[i]], xs[i]))
+        x = xs[i]
+        if 0 < i < len(xs) - 1:
+            d, e = xs[i] - xs[i - 1], xs[i + 1] - xs[i]
+            f0, f1, f2 = (found[xs[j]] for j in (i - 1, i, i + 1))
+            bend = d * (f2 - f1) + e * (f0 - f1)
+            x += (d * d * (f1 - f2) + e * e * (f0 - f1)) / (2 * bend) if bend > 0 else 0.0
+        out[(b, held)] = (math.exp(min(high, max(low, x))) if n >= least else 1.0, n)
+    return out
 
 
 def ece_of(rows: DataFrame, by: list[str], weight: Column | None = None, bins: int = 10) -> DataFrame:
@@ -157,14 +180,13 @@ def fit(samples: DataFrame, resamples: int = RESAMPLES) -> tuple[DataFrame, Data
     and out-of-fold with intervals and whether they are apart. Folds are by case; a fold with fewer than two other samples is
     left out; pooled over buckets."""
     s = stored(samples.select("case_id", "bucket", "p", "y").withColumn("fold", fold_udf("case_id")), "samples")
-    # fitted on all (held = -1) and, for each fold, on the others: one loop for all of them
-    held = F.array_union(F.array(F.lit(-1)), F.filter(F.sequence(F.lit(0), F.lit(FOLDS - 1)), lambda f: f != F.col("fold")))
-    each = stored(s.withColumn("held", F.explode(held)).drop("fold"), "folds")
-    fits = fit_temperatures(each, ["bucket", "held"], least=2)
-    temps = fits.filter("held = -1").withColumn("temperature", F.when(F.col("n") >= MIN_SAMPLES, F.col("temperature")).otherwise(1.0)).drop("held")
+    fits = fit_temperatures(s)
+    spark = samples.sparkSession
+    temps = spark.createDataFrame([(b, t if n >= MIN_SAMPLES else 1.0, n) for (b, held), (t, n) in sorted(fits.items()) if held < 0], "bucket string, temperature double, n long")
+    others = spark.createDataFrame([(b, held, t, n) for (b, held), (t, n) in sorted(fits.items()) if held >= 0 and n >= 2], "bucket string, fold int, temperature double, n long")
     after = calibrated(s, temps, ["bucket"])
     before = calibrated(s, temps.withColumn("temperature", F.lit(1.0)), ["bucket"])
-    oof = calibrated(s, fits.filter("held >= 0 and n >= 2").withColumnRenamed("held", "fold"), ["bucket", "fold"])
+    oof = calibrated(s, others, ["bucket", "fold"])
     used = after if oof.isEmpty() else oof
     cols = ["case_id", "conf", "ok"]
     ci_b, ci_o = bootstrap_ece(before.select(*cols), resamples=resamples).first(), bootstrap_ece(used.select(*cols), resamples=resamples).first()

@@ -57,22 +57,20 @@ def running(df: DataFrame, order: list[str], value: str | None = None, name: str
     return out.withColumn(name, (F.col("_o") + F.coalesce(F.sum(one).over(w), F.lit(0))).cast("long")).drop("_range", "_o")
 
 
-def numbered(df: DataFrame, by: list[str], order: list[str | Column], name: str = "rank") -> DataFrame:
+def numbered(df: DataFrame, by: list[str], order: list[str], name: str = "rank") -> DataFrame:
     """df with the number of each row, from 1, within its group `by` in the order, which must be total; a group may hold most
-    rows. Rows are range-partitioned by group and order, sorted and written once with their place in the range; where a
-    group's rows begin in a range, one small row for each range and group, is added up and joined."""
+    rows. df is written once. If it proves to be few rows a window numbers them; else they are range-partitioned by group
+    and order, sorted and written with their place in the range, and where a group's rows begin in a range, one small row
+    for each range and group, is added up and joined."""
+    df = stored(df, "numbered")
+    if is_few(df):
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
     keys = [*by, *order]
-    place = F.monotonically_increasing_id()
-    placed = stored(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_place", place), "numbered")
+    placed = stored(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_place", F.monotonically_increasing_id()), "placed")
     placed = placed.withColumn("_range", F.shiftright("_place", 33)).withColumn("_place", F.col("_place").bitwiseAND((1 << 33) - 1))
-    per = placed.groupBy(*by, "_range").agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
-    w = Window.partitionBy(*(by or [F.lit(1)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per.select(*by, "_range", (F.coalesce(F.sum("_n").over(w), F.lit(0)) - F.col("_first") + 1).alias("_add"))
-    # groups may be null, so they are matched with eqNullSafe
-    offsets = stored(offsets, "offsets")
-    small = offsets.select(F.col("_range").alias("_r"), "_add", *(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)))
-    on = F.col("_range") == F.col("_r")
-    for i, c in enumerate(by):
-        on = on & F.col(c).eqNullSafe(F.col(f"_by{i}"))
-    out = placed.join(F.broadcast(small) if is_few(offsets) else small, on)
-    return out.withColumn(name, F.col("_place") + F.col("_add")).drop("_place", "_range", "_r", "_add", *(f"_by{i}" for i in range(len(by))))
+    key = F.struct(F.lit(0).alias("_"), *by)  # groups may be null
+    per = placed.groupBy(key.alias("_nkey"), "_range").agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+    w = Window.partitionBy("_nkey").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = stored(per.select("_nkey", "_range", (F.coalesce(F.sum("_n").over(w), F.lit(0)) - F.col("_first") + 1).alias("_add")), "offsets")
+    out = checked_join(placed.withColumn("_nkey", key), offsets, ["_nkey", "_range"], "inner")
+    return out.withColumn(name, F.col("_place") + F.col("_add")).drop("_place", "_range", "_nkey", "_add")

@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from verdigris.functions.text import run_terms, terms, terms_udf, word_runs
 from verdigris.operators.chunks import is_doc
-from verdigris.operators.joins import BROADCAST_ROWS
+from verdigris.operators.joins import BROADCAST_ROWS, checked_join, hot_join, numbered
 from verdigris.session import spread
 
 WEIGHTS = {"path": 2.0, "symbol": 3.0, "body": 1.0}
@@ -126,19 +126,40 @@ def file_counts(counts: DataFrame, chunks: DataFrame) -> DataFrame:
     return per.join(first, "path").select(F.col("file").alias("doc"), "path", "term", "tf_path", "tf_symbol", "tf_body")
 
 
-def search(index: Index, queries: DataFrame, k: int | None = None, analyse=terms_udf) -> DataFrame:
-    """(query_id, doc, score, rank) of the documents that share a term with a query (query_id, query): the sum over distinct
-    query terms of idf tf* / (k1 + tf*), best first, the smaller doc on ties; at most k per query."""
-    q = queries.select("query_id", F.explode(F.array_distinct(analyse("query"))).alias("term"))
-    # only the terms asked for are weighted; so many terms as queries have at most are counted before they are broadcast
+def query_terms(queries: DataFrame, analyse=terms_udf) -> DataFrame:
+    """(query_id, term) of queries (query_id, query), each term once."""
+    return queries.select("query_id", F.explode(F.array_distinct(analyse("query"))).alias("term"))
+
+
+def held_terms(counts: DataFrame, q: DataFrame) -> DataFrame:
+    """The counts of the terms asked for; so many terms as queries have at most are counted before they are broadcast."""
     asked = q.select("term").distinct()
     few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    held = index.counts.join(F.broadcast(asked) if few else asked, "term", "left_semi")
+    return counts.join(F.broadcast(asked) if few else asked, "term", "left_semi")
+
+
+def scores(index: Index, queries: DataFrame, analyse=terms_udf) -> DataFrame:
+    """(query_id, doc, score) of the documents that share a term with a query (query_id, query): the sum over distinct query
+    terms of idf tf* / (k1 + tf*), to nine places, so that the order in which sums were formed decides no rank."""
+    q = query_terms(queries, analyse)
+    return scored(index, q, held_terms(index.counts, q))
+
+
+def scored(index: Index, q: DataFrame, held: DataFrame) -> DataFrame:
+    """scores of analysed queries, from the counts of the terms asked for."""
     hit = q.join(index.rarity(held).select("term", "idf"), "term").join(index.weighted(held).select("term", "doc", "weight"), "term")
-    scored = hit.groupBy("query_id", "doc").agg(F.sum(F.col("idf") * F.col("weight") / (K1 + F.col("weight"))).alias("score")).filter("score > 0")
+    total = hit.groupBy("query_id", "doc").agg(F.sum(F.col("idf") * F.col("weight") / (K1 + F.col("weight"))).alias("total")).filter("total > 0")
+    return total.select("query_id", "doc", (F.floor(F.col("total") * 1e9 + 0.5) / 1e9).alias("score"))
+
+
+def search(index: Index, queries: DataFrame, k: int | None = None, analyse=terms_udf) -> DataFrame:
+    """(query_id, doc, score, rank) of `scores`, best first, the smaller doc on ties; at most k per query. Without k all are
+    ranked, by ranges, so that a common word gathers nothing in one task."""
+    found = scores(index, queries, analyse)
+    if k is None:
+        return numbered(found.withColumn("_o", -F.col("score")), ["query_id"], ["_o", "doc"]).drop("_o")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc")
-    out = scored.withColumn("rank", F.row_number().over(w))
-    return out if k is None else out.filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def rrf(rankings: DataFrame, k: float = RRF_K, by: list[str] | None = None) -> DataFrame:
@@ -170,25 +191,42 @@ def file_documents(chunks: DataFrame) -> DataFrame:
 def recall(chunks: DataFrame, queries: DataFrame, candidates: int = 64, analyse=terms_udf, keep=lambda df: df) -> DataFrame:
     """(query_id, doc, path, position): candidates of each query. Chunks ranked by their own score are fused with files
     ranked by theirs, each opened into its chunks by their own score; then code and documents alternate. candidates = 0
-    keeps all, the chunks that no ranking holds in order at the end."""
+    keeps all, the chunks that no ranking holds in order at the end.
+
+    Both rankings are numbered by ranges, since a common word ranks most of the corpus; of the fused one only the first
+    `candidates` of either kind are kept, and these are dropped task by task before they are gathered."""
+    where = keep(chunks.select("doc", "path"))
+    of_file = keep(where.groupBy("path").agg(F.min("doc").alias("file"), F.count("*").alias("n")))
+    n = of_file.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("chunks"), F.count("*").alias("files")).first()
     counts = keep(term_counts(chunks, analyse))
-    by_chunk = keep(search(index_of(counts, chunks.count()), queries, analyse=analyse))
-    of_files = keep(file_counts(counts, chunks))
-    files = search(index_of(of_files, chunks.select("path").distinct().count()), queries, analyse=analyse)
-    where = chunks.select("doc", "path")
-    of_file = where.groupBy("path").agg(F.min("doc").alias("file"))
-    ranked = files.select("query_id", F.col("doc").alias("file"), F.col("rank").alias("file_rank")).join(of_file, "file").join(where, "path")
-    ranked = ranked.join(by_chunk.select("query_id", "doc", "score"), ["query_id", "doc"], "left")
-    w = Window.partitionBy("query_id").orderBy("file_rank", F.desc(F.coalesce("score", F.lit(0.0))), "doc")
-    expanded = ranked.select("query_id", "doc", F.row_number().over(w).alias("rank"))
-    both = by_chunk.select("query_id", "doc", "rank", F.lit(1).alias("ranking")).unionByName(expanded.withColumn("ranking", F.lit(2)))
-    fused = rrf(both, by=["query_id"]).join(where, "doc")
-    out = alternate(fused.select("query_id", "doc", "path", "rank"), is_doc(F.col("path")), ["query_id"])
+    q = keep(query_terms(queries, analyse))
+    held = keep(held_terms(counts, q))
+    # lengths of chunks, and of files: symbols and bodies add up, the path counts once
+    lens = keep(counts.groupBy("doc", "path").agg(*(F.sum(f"tf_{f}").alias(f"len_{f}") for f in WEIGHTS)))
+    of_files = keep(lens.groupBy("path").agg(F.max("len_path").alias("len_path"), F.sum("len_symbol").alias("len_symbol"), F.sum("len_body").alias("len_body")).join(of_file, "path").select(F.col("file").alias("doc"), *(f"len_{f}" for f in WEIGHTS)))
+    index = lambda c, x, total: Index(c, x, {f: v / total if total else 0.0 for f, v in zip(WEIGHTS, x.agg(*(F.coalesce(F.sum(f"len_{f}"), F.lit(0)) for f in WEIGHTS)).first())}, total)
+    by_chunk = scored(index(held, lens.drop("path"), n["chunks"]), q, held).withColumn("_o", -F.col("score"))
+    by_chunk = numbered(by_chunk, ["query_id"], ["_o", "doc"]).select("query_id", "doc", "score", F.col("rank").alias("own_rank"))
+    held_files = file_counts(held, where)
+    files = scored(index(held_files, of_files, n["files"]), q, held_files).withColumn("_o", -F.col("score"))
+    files = numbered(files.withColumnRenamed("doc", "file"), ["query_id"], ["_o", "file"], "file_rank").select("query_id", "file", "file_rank")
+    ranked = keep(files.join(of_file.select("path", "file"), "file").select("query_id", "file_rank", "path"))
+    opened = hot_join(where, ranked, "path", F.col("doc")).join(by_chunk, ["query_id", "doc"], "left").withColumn("_o", -F.coalesce("score", F.lit(0.0)))
+    opened = numbered(opened, ["query_id"], ["file_rank", "_o", "doc"]).select("query_id", "doc", "path", "own_rank", "rank")
+    # a chunk that matches is in a file that matches; ranks are added from the better one on, so equal ranks give equal sums
+    one = lambda r: 1.0 / (F.lit(RRF_K) + r)
+    fused = opened.select("query_id", "doc", "path", is_doc(F.col("path")).alias("second"), F.when(F.col("own_rank").isNull(), one(F.col("rank"))).otherwise(one(F.least("own_rank", "rank")) + one(F.greatest("own_rank", "rank"))).alias("score"))
     if candidates:
-        return out.filter(F.col("position") <= candidates).select("query_id", "doc", "path", "position")
-    rest = queries.select("query_id").crossJoin(where).join(out.select("query_id", "doc", "position"), ["query_id", "doc"], "left")
-    order = Window.partitionBy("query_id").orderBy(F.coalesce("position", F.lit(2**31 - 1)), "doc")
-    return rest.select("query_id", "doc", "path", F.row_number().over(order).alias("position"))
+        w = Window.partitionBy("query_id", "second").orderBy(F.desc("score"), "doc")
+        first = fused.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= candidates)
+        return alternate(first, F.col("second"), ["query_id"]).filter(F.col("position") <= candidates).select("query_id", "doc", "path", "position")
+    of_kind = keep(numbered(fused.withColumn("_o", -F.col("score")), ["query_id", "second"], ["_o", "doc"]))
+    many = of_kind.groupBy("query_id").agg(F.sum(F.col("second").cast("long")).alias("n2"), F.sum((~F.col("second")).cast("long")).alias("n1"))
+    # the r-th of a kind comes after r - 1 pairs, as far as the other kind reaches
+    place = F.when(F.col("second"), F.col("rank") + F.least("rank", "n1")).otherwise(F.col("rank") + F.least(F.col("rank") - 1, "n2"))
+    out = checked_join(of_kind, keep(many), ["query_id"], "inner").select("query_id", "doc", place.alias("place"))
+    rest = queries.select("query_id").crossJoin(where).join(out, ["query_id", "doc"], "left").withColumn("place", F.coalesce("place", F.lit(2**62)))
+    return numbered(rest, ["query_id"], ["place", "doc"], "position").select("query_id", "doc", "path", "position")
 
 
 def union_candidates(lexical: DataFrame, tree: DataFrame, most: int = TREE_CHUNKS) -> DataFrame:

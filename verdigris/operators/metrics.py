@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from verdigris.functions.once import once
 from verdigris.functions.prob import argmax_first, argmax_last, asum, brier, ece_bin, expected_level, half_up, kl_floor, mcnemar, r4, squared, total_variation
+from verdigris.operators.joins import checked_join, numbered
 from verdigris.operators.questions import ABOVE, ABSTAIN, BELOW
 from verdigris.session import stored
 
@@ -158,20 +159,24 @@ def failures(scored: DataFrame) -> DataFrame:
 
 
 def consistency(answers: DataFrame) -> DataFrame:
-    """Agreement and mean drift of variants with their base: (case_id, kind, answer) to one row per kind and one for all."""
-    base = answers.filter("kind = 'base'").select("case_id", F.col("answer").alias("b"))
-    v = answers.filter("kind <> 'base'").join(base, "case_id")
+    """Agreement and mean drift of variants with their base: (case_id, kind, answer) to one row per kind and one for all. A
+    case's answers, its base among them, come together once; they are as few as a case has variants."""
+    per = answers.groupBy("case_id").agg(F.max(F.when(F.col("kind") == "base", F.col("answer"))).alias("b"), F.collect_list(F.when(F.col("kind") != "base", F.struct("kind", "answer"))).alias("vs"))
+    v = per.filter(F.col("b").isNotNull()).select("b", F.explode("vs").alias("v")).select("b", "v.kind", "v.answer")
     rows = v.select(F.explode(F.array(F.lit("all"), F.col("kind"))).alias("kind"), F.coalesce(pick(F.col("answer")).eqNullSafe(pick(F.col("b"))), F.lit(False)).cast("double").alias("same"), drift(F.col("b.probabilities"), F.col("answer.probabilities")).alias("d"))
     return rows.groupBy("kind").agg(F.count("*").alias("n"), r4(F.avg("same")).alias("agreement"), r4(F.avg("d")).alias("mean_drift"))
 
 
 def latency(rows: DataFrame, by: list[str], ms: str = "ms") -> DataFrame:
-    """n, p50 (upper median), p95 (floor index), mean, requests per second. One row number per group and time."""
-    w = Window.partitionBy(*by).orderBy(ms)
-    n = Window.partitionBy(*by)
-    r = rows.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(n))
-    at = lambda i: F.max(F.when(F.col("_i") == i, F.col(ms)))
-    return r.groupBy(*by).agg(F.count("*").alias("n"), at(F.floor(F.col("_n") / 2)).alias("p50"), at(F.least(F.col("_n") - 1, F.floor(F.col("_n") * 0.95))).alias("p95"), F.avg(ms).alias("mean"), (F.count("*") / (F.sum(ms) / 1000)).alias("req_s"))
+    """n, p50 (upper median), p95 (floor index), mean, requests per second. Times are first counted, then numbered by ranges,
+    so that no group comes together in one task."""
+    rows = rows.select(F.struct(*by).alias("_g"), F.col(ms).alias("_ms"))  # null groups are groups
+    per = stored(rows.groupBy("_g").agg(F.count("_ms").alias("n"), F.avg("_ms").alias("mean"), (F.count("_ms") / (F.sum("_ms") / 1000)).alias("req_s")), "latency")
+    ranked = numbered(rows.filter("_ms is not null"), ["_g"], ["_ms"], "_i")
+    at = checked_join(ranked, per.select("_g", "n"), ["_g"], "inner").withColumn("_i", F.col("_i") - 1)
+    here = lambda i: F.max(F.when(F.col("_i") == i, F.col("_ms")))
+    found = at.groupBy("_g").agg(here(F.floor(F.col("n") / 2)).alias("p50"), here(F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95))).alias("p95"))
+    return per.join(found, "_g", "left").select(*(F.col(f"_g.{c}").alias(c) for c in by), "n", "p50", "p95", "mean", "req_s")
 
 
 # ---- agreement of predicted and gold distributions ----

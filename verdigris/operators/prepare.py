@@ -2,21 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from verdigris.functions.once import let, once
 from verdigris.functions.prob import asum
 from verdigris.functions.text import norm_text, shingles
+from verdigris.operators import intervals
+from verdigris.operators.components import components
 from verdigris.operators.drift import soft_labels
-from verdigris.operators.joins import running
+from verdigris.operators.joins import checked_join, hot_join, running, salted_join
 from verdigris.operators.metrics import parse_expect
 from verdigris.operators.questions import ABOVE, ABSTAIN, BELOW, MAX_SLOTS, anchors, float_text, parse_question, slots
 from verdigris.session import spread, stored
 
 BANDS, BAND, JACCARD, CONTAMINATED, SMOOTHING = 16, 4, 0.8, 0.5, 0.10
-MAX_EVALS = 50_000
+#: Characters of the shortest text that can contaminate, of a long one, and of one that a long one may hold.
+GRAM, LONG_TEXT, HELD_TEXT = 15, 60, 30
+#: Characters of evaluation texts that are broadcast at once.
+EVAL_CHARS = 1_000_000
 # Licenses that allow use, what their text may not contain, and the uses that are left out (fixed values).
 PERMISSIVE = "cc0-1.0 cc-by-4.0 cc-by-3.0 cc-by-2.5 cc-by-sa-4.0 cc-by-sa-3.0 apache-2.0 mit odc-by pddl bsd gpl-3.0 lgpl-3.0 unlicense unspecified other unknown".split()
 DENIED = ("non-commercial", "noncommercial", "non commercial", "research use", "research only", "research purposes", "academic")
@@ -79,23 +90,62 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.size(F.array_union(a, b)))
 
 
+def shingle_hashes(texts: DataFrame) -> DataFrame:
+    """(id, hs): the sorted distinct hashes of the 5-word shingles of texts (rep, norm). Similarities are of these; two
+    shingles of one text that share a 64-bit hash would count as one."""
+    return texts.select(F.col("rep").alias("id"), F.array_sort(F.array_distinct(F.transform(shingles(F.col("norm")), lambda s: F.xxhash64(s)))).alias("hs"))
+
+
+def _lists(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of the hashes of a batch (..., hs)."""
+    col = b.column("hs")
+    lens = np.diff(col.offsets.to_numpy())
+    return np.repeat(np.arange(b.num_rows), lens), col.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """(id, side, h, n, parts) of the rarest n - ceil(t n) + 1 of the n hashes of (id, hs), on either side; parts says how a
+    common hash is cut into blocks. Rarity is counted in a table of fixed size; a hash that no other text has starts no
+    pair, and is left out where the table shows it."""
+    counts = intervals.counted(sets.select("hs"), lambda b: [_lists(b)[1]])
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = shared.value
+        for b in batches:
+            row, h = _lists(b)
+            n = np.bincount(row, minlength=b.num_rows)
+            often = seen[(h % np.uint64(intervals.COUNTERS)).astype(np.int64)]
+            order = np.lexsort((h, often, row))
+            want = np.maximum(1, n - np.ceil(n * threshold - 1e-9).astype(np.int64) + 1)
+            start = np.cumsum(n) - n
+            order = order[np.arange(len(row)) - start[row] < want[row]]
+            order = order[often[order] > 1]
+            both, r = np.concatenate((order, order)), np.concatenate((row[order], row[order]))
+            side = np.arange(len(both)) < len(order)
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(r)), pa.array(side), pa.array(h[both].view(np.int64)), pa.array(n[r].astype(np.int32)), pa.array(intervals.blocks_of(often[both]))], names=["id", "side", "h", "n", "parts"])
+
+    return sets.mapInArrow(keep, "id long, side boolean, h long, n int, parts int")
+
+
 def similar_pairs(texts: DataFrame, threshold: float) -> DataFrame:
     """(a, b) of texts (rep, norm), a < b, whose sets of 5-word shingles have a Jaccard similarity >= threshold; all of them.
 
     Prefix filter: with shingles in order of rarity, two sets of n shingles that are similar share one of their first
-    n - ceil(t n) + 1. Only those prefixes are joined, so boilerplate starts no pair unless a text consists of it; sizes
-    that differ too much are left out before texts are compared.
-    """
-    sh = texts.select("rep", shingles(F.col("norm")).alias("sh")).withColumn("n", F.size("sh"))
-    each = sh.select("rep", "n", F.explode(F.transform("sh", lambda s: F.xxhash64(s))).alias("h"))
-    df = each.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")  # a shingle of one text starts no pair, but counts
-    ranked = each.join(df, "h", "left").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "h"))).alias("hs"))
-    first = F.slice("hs", F.lit(1), F.greatest(F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")))
-    pre = stored(ranked.select("rep", "n", F.explode(first).alias("x")).filter("x.df > 1").select("rep", "n", F.col("x.h").alias("h")), "prefixes")
-    a, b = pre.toDF("a", "na", "h"), pre.toDF("b", "nb", "h")
-    pairs = a.join(b, "h").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)).select("a", "b").distinct()
-    j = pairs.join(sh.select(F.col("rep").alias("a"), F.col("sh").alias("sa")), "a").join(sh.select(F.col("rep").alias("b"), F.col("sh").alias("sb")), "b")
-    return j.filter(jaccard(F.col("sa"), F.col("sb")) >= threshold).select("a", "b")
+    n - ceil(t n) + 1. Only those prefixes meet, so boilerplate starts no pair unless a text consists of it; then its
+    interval is cut into blocks. Sizes that differ too much are left out before sets are compared."""
+    sets = stored(shingle_hashes(texts), "shingles")
+
+    def fit(x: intervals.Columns, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        na, nb = x["n"][a], x["n"][b]
+        return (x["id"][a] < x["id"][b]) & (np.minimum(na, nb) >= np.maximum(na, nb) * threshold - 1e-9)
+
+    pairs = stored(intervals.pairs_in_intervals(prefixes(sets, threshold), "h", [], fit), "candidates")
+    named = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "compared")
+    some = stored(checked_join(sets, named, ["id"], "left_semi"), "sets")
+    j = salted_join(salted_join(pairs, some.toDF("a", "sa"), "a", F.col("b"), salts=4), some.toDF("b", "sb"), "b", F.col("a"), salts=4)
+    common = F.size(F.array_intersect("sa", "sb"))
+    return j.filter(common / (F.size("sa") + F.size("sb") - common) >= threshold).select("a", "b")
 
 
 def near_duplicates(df: DataFrame, id_: str, text: str, threshold: float = JACCARD, ascii_only: bool = False) -> DataFrame:
@@ -103,70 +153,112 @@ def near_duplicates(df: DataFrame, id_: str, text: str, threshold: float = JACCA
     it is directly linked to. Texts equal after normalisation are one; different ones are linked by a Jaccard similarity of
     5-word shingles at or above the threshold, and classes are connected components. Null and empty texts stand alone."""
     base = spread(df.select(id_, text)).select(F.col(id_).cast("long").alias("id"), norm_text(F.coalesce(F.col(text), F.lit("")), ascii_only).alias("norm"))
-    base = base.withColumn("h", F.when(F.col("norm") != "", F.sha2("norm", 256)))
+    base = stored(base.withColumn("h", F.when(F.col("norm") != "", F.sha2("norm", 256))), "normalised")
     firsts = stored(base.filter("h is not null").groupBy("h").agg(F.min("id").alias("rep"), F.first("norm").alias("norm")), "texts")
     edges = stored(similar_pairs(firsts, threshold), "links")
-    roots = label_components(edges)
+    roots = components(edges).withColumnRenamed("node", "rep")
     links = edges.select(F.col("a").alias("rep")).union(edges.select("b")).groupBy("rep").agg(F.count("*").alias("links"))
-    reps = firsts.select("h", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(links, "rep", "left").select("h", F.coalesce("root", "rep").alias("keep"), F.coalesce("links", F.lit(0)).alias("links"))
-    out = base.select("id", "h").join(reps, "h", "left")
+    linked = stored(roots.join(links, "rep"), "linked")
+    reps = checked_join(firsts.select("h", "rep"), linked, ["rep"], "left").select("h", F.coalesce("root", "rep").alias("keep"), F.coalesce("links", F.lit(0)).alias("links"))
+    out = hot_join(base.select("id", "h"), stored(reps, "classes"), "h", F.col("id"), "left")
     return out.select("id", F.coalesce("keep", "id").alias("keep"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
-def label_components(edges: DataFrame) -> DataFrame:
-    """(node, root): smallest node reachable over (a, b). Each round every node takes the smallest label around it and then
-    the label of that label, so chains halve."""
-    e = stored(edges.union(edges.select("b", "a")).distinct().toDF("x", "y"), "edges")
-    lab = stored(e.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("root")), "labels")
-    while True:
-        around = e.join(lab.toDF("y", "r"), "y").groupBy(F.col("x").alias("node")).agg(F.min("r").alias("r"))
-        step = lab.join(around, "node").select("node", "root", F.least("root", "r").alias("r"))
-        jump = lab.toDF("r", "rr")
-        nxt = stored(step.join(jump, "r", "left").select("node", F.least("r", "rr").alias("new"), F.col("root")), "labels")
-        moved = nxt.filter("new <> root").isEmpty()
-        lab = nxt.select("node", F.col("new").alias("root"))
-        if moved:
-            return lab
-
-
 def dedup_text(state: Column, q: Column) -> Column:
     """What makes a case a duplicate: state, instructions and criteria."""
     return F.concat(F.coalesce(state, F.lit("")), F.lit(" || "), F.coalesce(q["instructions"], F.lit("")), F.coalesce(q["criteria_json"], F.lit("")))
 
 
+class EvalTexts:
+    """A block of evaluation texts, to be found in other texts and to find them in.
+
+    A text of GRAM characters or more that contains another holds the other's first GRAM characters; both kinds of
+    candidates come from sorted hashes of them, and are then compared."""
+
+    def __init__(self, rows: list[tuple[str, str]]):
+        self.ids = [i for i, _ in rows]
+        self.texts = [t for _, t in rows]
+        self.sets = [word_runs_of(t) for t in self.texts]
+        self.having: dict[tuple[str, ...], list[int]] = {}
+        for k, s in enumerate(self.sets):
+            for g in s:
+                self.having.setdefault(g, []).append(k)
+        grams = [gram_hashes(t) for t in self.texts]
+        of = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+        at = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.empty(0, np.int64)
+        every = np.concatenate(grams) if grams else np.empty(0, np.uint64)
+        order = np.argsort(every, kind="stable")
+        self.every, self.of, self.at = every[order], of[order], at[order]
+        first = np.array([g[0] for g in grams], np.uint64)
+        self.by_first = np.argsort(first, kind="stable")
+        self.first = first[self.by_first]
+
+    def matches(self, text: str) -> set[int]:
+        """The evaluation texts that a text of GRAM characters or more repeats."""
+        found: set[int] = set()
+        if len(text) >= LONG_TEXT:
+            mine = word_runs_of(text)
+            shared: dict[int, int] = {}
+            for g in mine:
+                for k in self.having.get(g, ()):
+                    shared[k] = shared.get(k, 0) + 1
+            found |= {k for k, n in shared.items() if n / (len(mine) + len(self.sets[k]) - n) >= CONTAMINATED}
+        grams = gram_hashes(text)
+        lo, hi = np.searchsorted(self.every, grams[0], "left"), np.searchsorted(self.every, grams[0], "right")
+        found |= {int(k) for k, i in zip(self.of[lo:hi], self.at[lo:hi]) if self.texts[k].startswith(text, int(i))}
+        lo = np.searchsorted(self.first, grams, "left")
+        for i in np.flatnonzero((lo < len(self.first)) & (self.first[np.minimum(lo, len(self.first) - 1)] == grams)):
+            j = int(lo[i])
+            while j < len(self.first) and self.first[j] == grams[i]:
+                k = int(self.by_first[j])
+                if k not in found and (len(text) < LONG_TEXT or len(self.texts[k]) >= HELD_TEXT) and text.startswith(self.texts[k], int(i)):
+                    found.add(k)
+                j += 1
+        return found
+
+
+def word_runs_of(text: str) -> set[tuple[str, ...]]:
+    """Runs of five words of a normalised text; the whole text if it is shorter."""
+    w = text.split(" ")
+    return set(zip(*(w[i:] for i in range(5)))) or {tuple(w)}
+
+
+def gram_hashes(text: str) -> np.ndarray:
+    """Hashes of every GRAM consecutive characters."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = np.zeros(len(c) - GRAM + 1, np.uint64)
+    for i in range(GRAM):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + c[i : i + len(h)]
+    return h
+
+
 def contaminated(cases: DataFrame, evals: DataFrame, ascii_only: bool = False) -> DataFrame:
     """(id, eval_id) of cases (id, state) that repeat an evaluation state (eval_id, state): long normalised texts (60
     characters and more) by Jaccard >= .5 of 5-word shingles or by containment either way (an evaluation text of 30
-    characters at least); shorter ones (15 at least) by containment either way. Candidates are found by shared shingles and
-    by shared single words of the shorter text, never by comparing all with all: a text that contains another holds its
-    rarest word. The evaluation set is taken to fit in memory (MAX_EVALS states at most, which is checked)."""
-    if evals.limit(MAX_EVALS + 1).count() > MAX_EVALS:
-        raise ValueError(f"more than {MAX_EVALS} evaluation states")
-    norm = lambda d, i: d.select(F.col(i).alias(i), norm_text(F.coalesce("state", F.lit("")), ascii_only).alias("t"))
-    c = stored(norm(cases, "id").filter(F.char_length("t") >= 15), "norm-cases")
-    e = stored(norm(evals, "eval_id").filter(F.char_length("t") >= 15), "norm-evals")
-    long_c = c.filter(F.char_length("t") >= 60).select("id", shingles(F.col("t")).alias("s")).select("id", F.size("s").alias("n"), F.explode("s").alias("g"))
-    long_e = e.select("eval_id", shingles(F.col("t")).alias("s")).select("eval_id", F.size("s").alias("m"), F.explode("s").alias("g"))
-    shared = long_c.join(long_e, "g").groupBy("id", "eval_id", "n", "m").agg(F.count("*").alias("k"))
-    near = shared.filter(F.col("k") / (F.col("n") + F.col("m") - F.col("k")) >= CONTAMINATED).select("id", "eval_id")
-    # containment: the contained text's rarest inner word is a word of the other text
-    inner = lambda d: F.array_distinct(F.slice(F.split("t", " "), F.lit(2), F.greatest(F.size(F.split("t", " ")) - 2, F.lit(0))))
-    df = c.select(F.explode(F.array_distinct(F.split("t", " "))).alias("w")).union(e.select(F.explode(F.array_distinct(F.split("t", " "))).alias("w"))).groupBy("w").agg(F.count("*").alias("df"))
-
-    def within(small: DataFrame, sid: str, big: DataFrame, bid: str) -> DataFrame:
-        key = small.select(sid, F.explode(inner(small)).alias("w")).join(df, "w").groupBy(sid).agg(F.min(F.struct("df", "w")).alias("k")).select(sid, F.col("k.w").alias("w"))
-        words = big.select(bid, F.explode(F.array_distinct(F.split("t", " "))).alias("w"))
-        cand = key.join(words, "w").select(sid, bid)
-        return cand.join(small.toDF(sid, "small"), sid).join(big.toDF(bid, "big"), bid).filter(F.contains(F.col("big"), F.col("small")))
-
-    e_in_c = within(e, "eval_id", c, "id").filter((F.char_length("big") < 60) | (F.char_length("small") >= 30)).select("id", "eval_id")
-    c_in_e = within(c, "id", e, "eval_id").select("id", "eval_id")
-    # texts of one or two words have no inner word: these few are looked for one by one, the evaluation side being broadcast
-    brief = F.size(F.split("t", " ")) <= 2
-    short_e = c.withColumnRenamed("t", "tc").join(F.broadcast(e.filter(brief).withColumnRenamed("t", "te")), F.contains(F.col("tc"), F.col("te")) & ((F.char_length("tc") < 60) | (F.char_length("te") >= 30))).select("id", "eval_id")
-    short_c = c.filter(brief).withColumnRenamed("t", "tc").join(F.broadcast(e.withColumnRenamed("t", "te")), F.contains(F.col("te"), F.col("tc"))).select("id", "eval_id")
-    short = short_e.union(short_c)
-    return near.union(e_in_c).union(c_in_e).union(short).distinct()
+    characters at least); shorter ones (15 at least) by containment either way. The evaluation texts are broadcast in blocks
+    of EVAL_CHARS characters, each against all cases, which aren't shuffled; null texts match nothing."""
+    norm = lambda d, i: d.select(F.col(i).alias(i), norm_text(F.coalesce("state", F.lit("")), ascii_only).alias("t")).filter(F.char_length("t") >= GRAM)
+    c = stored(norm(spread(cases.select("id", "state")), "id"), "norm-cases")
+    e = norm(evals, "eval_id").withColumn("value", F.char_length("t"))
+    e = stored(running(e, ["eval_id", "t"], "value").withColumn("block", F.floor(F.col("before") / EVAL_CHARS)), "norm-evals")
+    kind, arrow = (dict(c.dtypes)["id"], dict(e.dtypes)["eval_id"]), to_arrow_type(e.schema["eval_id"].dataType)
+
+    def against(block: int) -> DataFrame:
+        shared = cases.sparkSession.sparkContext.broadcast(EvalTexts([(r["eval_id"], r["t"]) for r in e.filter(F.col("block") == block).select("eval_id", "t").collect()]))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = shared.value
+            ids = pa.array(held.ids, arrow)
+            for b in batches:
+                pairs = [(i, k) for i, t in enumerate(b.column("t").to_pylist()) for k in sorted(held.matches(t))]
+                row, which = (np.array([x[j] for x in pairs], np.int64) for j in (0, 1))
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row)), ids.take(pa.array(which))], names=["id", "eval_id"])
+
+        return c.mapInArrow(run, f"id {kind[0]}, eval_id {kind[1]}")
+
+    blocks = [r["block"] for r in e.select("block").distinct().orderBy("block").collect()]
+    none = c.limit(0).crossJoin(e.limit(0).select("eval_id")).select("id", "eval_id")
+    return reduce(DataFrame.union, [against(b) for b in blocks], none).distinct()
 
 
 def verdicts(cases: DataFrame, evals: DataFrame | None = None, ascii_only: bool = False) -> DataFrame:

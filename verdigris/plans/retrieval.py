@@ -135,7 +135,7 @@ tf AS (SELECT doc, term, sum((f = 1)::INT) AS p, sum((f = 2)::INT) AS s, sum((f
 po AS (SELECT tf.doc, tf.term, tf.p, tf.s, tf.b, tf.p * 2.0::DOUBLE / (0.5 + 0.5 * len(tp) / ap) + tf.s * 3.0::DOUBLE / (0.5 + 0.5 * len(ts) / as_) + tf.b * 1.0::DOUBLE / (0.25 + 0.75 * len(tb) / ab) AS w FROM tf JOIN dt USING (doc), st),
 df AS (SELECT term, count(*) AS df, ln(1 + ((SELECT n FROM st) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM po GROUP BY term),
 qt AS (SELECT query_id, unnest(list_distinct({_T('query')})) AS term FROM q),
-sc AS (SELECT query_id, doc, sum(idf * w / (1.2::DOUBLE + w)) AS score FROM qt JOIN df USING (term) JOIN po USING (term) GROUP BY query_id, doc)"""
+sc AS (SELECT query_id, doc, floor(sum(idf * w / (1.2::DOUBLE + w)) * 1e9 + 0.5) / 1e9 AS score FROM qt JOIN df USING (term) JOIN po USING (term) GROUP BY query_id, doc)"""
 
 
 def _index(spark: SparkSession, d: str) -> lexical.Index:
@@ -156,7 +156,7 @@ def lex_13_postings(spark: SparkSession, d: str) -> DataFrame:
 @add(f"WITH {_Q}, {_INDEX}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score * 1e9) DESC, doc) AS rank FROM sc) SELECT query_id, doc, round(score * 1e6) / 1e6 AS score FROM r")
 def lex_14_search(spark: SparkSession, d: str) -> DataFrame:
     """BM25F of every chunk for each question."""
-    s = lexical.search(_index(spark, d), asked(spark), analyse=lexical.simple_terms)
+    s = lexical.scores(_index(spark, d), asked(spark), lexical.simple_terms)
     return s.select("query_id", "doc", r6(F.col("score")).alias("score"))
 
 
