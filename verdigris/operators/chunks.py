@@ -108,12 +108,12 @@ def is_doc(path: Column) -> Column:
 
 
 def indent_column(line: Column) -> Column:
-    """Width of the leading white space, a tab counting 4."""
-    return F.char_length(F.regexp_replace(F.regexp_extract(line, r"^(\s*)", 1), "\t", "    "))
+    """Width of the leading white space, of whatever script, a tab counting 4."""
+    return F.char_length(F.regexp_replace(F.regexp_extract(line, r"(?U)^(\s*)", 1), "\t", "    "))
 
 
 def closes_column(line: Column) -> Column:
-    return line.rlike(rf"^\s*(?:{CLOSING})")
+    return line.rlike(rf"(?U)^\s*(?:{CLOSING})")
 
 
 def rule_column(line: Column) -> Column:

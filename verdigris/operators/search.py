@@ -150,14 +150,14 @@ def render_hits(shown_: DataFrame, chunks: DataFrame) -> DataFrame:
     return j.select("query_id", "rank", F.concat(head, F.lit("\n"), F.array_join(F.transform(F.slice(F.split("body", "\n"), 1, 6), lambda x: F.concat(F.lit("  | "), x)), "\n")).alias("text"))
 
 
-def search(chunks: DataFrame, queries: DataFrame, score: Callable[[DataFrame], DataFrame], top: int = 10, candidates: int = 64, threshold: float = 0.5, beam: int = 3, wave: int = 64) -> DataFrame:
+def search(chunks: DataFrame, queries: DataFrame, score: Callable[[DataFrame], DataFrame], top: int = 10, candidates: int = 64, threshold: float = 0.5, beam: int = 3, wave: int = 64, analyse: Callable | None = None) -> DataFrame:
     """The whole search: lexical recall, descent, their union, reranking with early stop, and what is shown: (query_id, doc,
     position, p, rank, hit). score adds p to (query_id, text)."""
     from verdigris.operators import descend, lexical
     from verdigris.operators.questions import check_search
 
     check_search(top, threshold)
-    lex = stored(lexical.recall(chunks, queries, candidates, keep=lambda x: stored(x, "recall")).select("query_id", "doc", "position"), "lexical")
+    lex = stored(lexical.recall(chunks, queries, candidates, analyse or lexical.terms_udf, keep=lambda x: stored(x, "recall")).select("query_id", "doc", "position"), "lexical")
     node = lambda p: score(p.withColumnRenamed("preview", "text")).select("query_id", "key", "p")
     cand = lexical.union_candidates(lex, descend.descend(chunks, queries, node, beam)) if candidates else lex
     body = chunks.select("doc", probe_state(F.col("path"), F.col("body")).alias("text"))
@@ -165,13 +165,13 @@ def search(chunks: DataFrame, queries: DataFrame, score: Callable[[DataFrame], D
     return shown(stored(read, "read"), top, threshold)
 
 
-def run_eval(chunks: DataFrame, cases: DataFrame, anchors: DataFrame, score: Callable[[DataFrame], DataFrame], own_paths: list[str] = [], candidates: int = 64, threshold: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame]:
+def run_eval(chunks: DataFrame, cases: DataFrame, anchors: DataFrame, score: Callable[[DataFrame], DataFrame], own_paths: list[str] = [], candidates: int = 64, threshold: float = 0.5, analyse: Callable | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(per case, summary, stale anchors) of retrieval cases (query_id, query, kind) with anchors (query_id, anchor, path,
     contains); the cases' own files stay out of the corpus; every candidate is read."""
     from verdigris.operators import lexical
 
     c = chunks.filter(~F.col("path").isin(*own_paths)) if own_paths else chunks
-    cand = stored(lexical.recall(c, cases.select("query_id", "query"), candidates, keep=lambda x: stored(x, "recall")).select("query_id", "doc", "position"), "candidates")
+    cand = stored(lexical.recall(c, cases.select("query_id", "query"), candidates, analyse or lexical.terms_udf, keep=lambda x: stored(x, "recall")).select("query_id", "doc", "position"), "candidates")
     body = c.select("doc", probe_state(F.col("path"), F.col("body")).alias("text"))
     read = stored(score(cand.join(body, "doc")).select("query_id", "doc", "position", "p"), "read")
     ranked = read.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("p"), "position")))

@@ -241,24 +241,12 @@ def srt_08_batches(spark: SparkSession, d: str) -> DataFrame:
     return prepare.length_batches(t, 32, "n", "doc_id").select("doc_id", "batch")
 
 
-@add("SELECT c_custkey, c_nationkey, rank FROM (SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer) WHERE rank <= 5")
-def win_02_top_k(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey")
-    return table(spark, d, "customer").withColumn("rank", F.row_number().over(w)).filter("rank <= 5").select("c_custkey", "c_nationkey", "rank")
-
-
 @add("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def anti_02_drop_list(spark: SparkSession, d: str) -> DataFrame:
     drop = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
     return table(spark, d, "orders").join(drop, "o_orderkey", "left_anti").select("o_orderkey")
 
 
-@add("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
-def semi_01_live(spark: SparkSession, d: str) -> DataFrame:
-    live = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, d, "customer").join(live, "c_custkey", "left_semi").select("c_custkey")
-
-
 @add("SELECT p_brand, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)) * 1e2) / 1e2 AS revenue FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand")
 def join_04_brand_revenue(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem").select("l_partkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("r"))

@@ -36,13 +36,15 @@ def lex_01_terms(spark: SparkSession, d: str) -> DataFrame:
     return corpus(spark, d).select("doc", F.explode(tx.terms_udf("body")).alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.count_distinct("doc").alias("docs"))
 
 
-_CUT = r"regexp_replace(regexp_replace(s, '(\p{Lu})(\p{Lu}\p{Ll})', '\1 \2', 'g'), '([^\p{Lu} ])(\p{Lu})', '\1 \2', 'g')"
+_CUT = r"regexp_replace(regexp_replace(s, '(\p{Lu})(\p{Lu}\p{Ll})', '\1' || chr(1) || '\2', 'g'), '([^\p{Lu}' || chr(1) || '])(\p{Lu})', '\1' || chr(1) || '\2', 'g')"
 
 
-@add(r"SELECT chunk_id AS doc, symbol, array_to_string(list_filter(string_split(" + _CUT.replace("(s,", "(symbol,") + r", ' '), lambda x: x <> ''), '|') AS parts FROM corpus WHERE regexp_full_match(symbol, '[A-Za-z0-9]+')")
+@add(r"SELECT chunk_id AS doc, symbol, array_to_string(list_filter(flatten(list_transform(string_split(symbol, '_'), lambda s: string_split(" + _CUT + r", chr(1)))), lambda x: x <> ''), '|') AS parts FROM corpus WHERE symbol IS NOT NULL")
 def lex_06_humps(spark: SparkSession, d: str) -> DataFrame:
-    c = corpus(spark, d).filter(F.col("symbol").rlike("^[A-Za-z0-9]+$"))
-    return c.select("doc", "symbol", F.array_join(tx.humps_column(F.col("symbol")), "|").alias("parts"))
+    """Parts of every symbol."""
+    c = corpus(spark, d).filter("symbol is not null")
+    parts = F.flatten(F.transform(F.split("symbol", "_"), lambda s: tx.humps_column(s)))
+    return c.select("doc", "symbol", F.array_join(parts, "|").alias("parts"))
 
 
 @add("SELECT c_custkey, array_to_string(list_transform(range(1, length(c_mktsegment)), lambda i: substring(c_mktsegment, i, 2)), '|') AS pairs FROM customer")
@@ -50,11 +52,14 @@ def lex_05_bigrams(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", F.array_join(tx.bigrams_column(F.col("c_mktsegment")), "|").alias("pairs"))
 
 
-@add(r"SELECT doc_id, len(regexp_extract_all(text, '[\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{ac00}-\x{d7a3}]+')) > 0 AS cjk FROM documents WHERE text IS NOT NULL")
+_CJK = r"\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{ac00}-\x{d7a3}"
+
+
+@add(rf"WITH r AS (SELECT doc_id, regexp_extract_all(regexp_replace(text, '([{_CJK}]+)', chr(1) || '\1' || chr(1), 'g'), '[\p{{L}}\p{{N}}_]+') AS r FROM documents WHERE text IS NOT NULL) SELECT doc_id, len(r)::INT AS runs, md5(array_to_string(r, '|')) AS said, len(list_filter(r, lambda x: regexp_matches(x, '^[{_CJK}]')))::INT AS cjk FROM r")
 def lex_03_runs(spark: SparkSession, d: str) -> DataFrame:
-    """Which texts have a run of CJK characters."""
-    runs = tx.runs_column(F.col("text"))
-    return table(spark, d, "documents").filter("text is not null").select("doc_id", F.exists(runs, lambda r: r.rlike(f"^[{tx.CJK}]")).alias("cjk"))
+    """Word runs of every text, cut where CJK meets other scripts."""
+    r = table(spark, d, "documents").filter("text is not null").select("doc_id", tx.runs_column(F.col("text")).alias("r"))
+    return r.select("doc_id", F.size("r").alias("runs"), F.md5(F.array_join("r", "|")).alias("said"), F.size(F.filter("r", lambda x: x.rlike(f"^[{tx.CJK}]"))).alias("cjk"))
 
 
 @add()
@@ -64,12 +69,11 @@ def lex_08_stems(spark: SparkSession, d: str) -> DataFrame:
     return w.select("word", tx.stem_udf("word").alias("stem"))
 
 
-@add(r"""WITH w AS (SELECT chunk_id, regexp_extract_all(lower(text), '[a-z0-9àèéìòù]+') AS w FROM corpus WHERE text IS NOT NULL AND regexp_full_match(text, '[\x00-\x7f]*'))
-SELECT chunk_id AS doc, CASE WHEN len(w) = 0 THEN 0 WHEN len(w) < 5 THEN 1 ELSE len(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END::INT AS shingles FROM w""")
+@add()
 def lex_22_shingles(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct 5-word shingles of the texts in ASCII, which need no decomposition."""
-    c = corpus(spark, d).filter(F.col("body").rlike(r"^[\x00-\x7f]*\z"))
-    return c.select("doc", F.size(tx.shingles(tx.norm_text(F.col("body"), ascii_only=True))).alias("shingles"))
+    """Distinct 5-word shingles of every text in its decomposed form, which SQL lacks."""
+    c = corpus(spark, d).filter("body is not null")
+    return c.select("doc", F.size(tx.shingles(tx.norm_text(F.col("body")))).alias("shingles"))
 
 
 @add()
@@ -80,10 +84,11 @@ def txt_01_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
-    return corpus(spark, d).filter("body is not null").select("doc", F.posexplode(F.split("body", "\n")).alias("i", "line"))
+    return corpus(spark, d).filter("body is not null").select("doc", F.posexplode(F.split(F.replace("body", F.lit("\r\n"), F.lit("\n")), "\n")).alias("i", "line"))
 
 
-_LINES = "l AS (SELECT chunk_id AS doc, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, unnest(string_split(text, chr(10))) AS line FROM corpus WHERE text IS NOT NULL)"
+_LINES = "l AS (SELECT chunk_id AS doc, generate_subscripts(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), 1) - 1 AS i, unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) AS line FROM corpus WHERE text IS NOT NULL)"
+_BLANK = r"[\t\n\v\f\r\x{85}\p{Z}]"
 
 
 @add(f"WITH {_LINES} SELECT doc, sum(length(line))::BIGINT AS chars, count(*) AS lines, max(run)::BIGINT AS last FROM (SELECT *, sum(length(line)) OVER (PARTITION BY doc ORDER BY i) AS run FROM l) GROUP BY doc")
@@ -93,11 +98,10 @@ def txt_05_prefix_sums(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("doc").agg(F.sum("n").alias("chars"), F.count("*").alias("lines"), F.max("run").alias("last"))
 
 
-@add(rf"WITH {_LINES} SELECT doc, i::INT AS i, length(regexp_replace(regexp_extract(line, '^[ \t]*'), '\t', '    ', 'g')) AS indent, regexp_matches(ltrim(line, ' ' || chr(9)), '^([}})\]]|</|(end|fi|done|esac)\b)') AS closes, regexp_matches(line, '^(={{3,}}|-{{3,}})\s*$') AS rule FROM l WHERE NOT contains(line, chr(13)) AND NOT regexp_matches(line, '^[ \t]*[^\x00-\x7f]')")
+@add(rf"WITH {_LINES} SELECT doc, i::INT AS i, length(replace(regexp_extract(line, '^{_BLANK}*'), chr(9), '    ')) AS indent, regexp_matches(line, '^{_BLANK}*([}})\]]|</|(end|fi|done|esac)($|[^\p{{L}}\p{{N}}\p{{M}}_]))') AS closes, regexp_matches(line, '^(={{3,}}|-{{3,}})\s*$') AS rule FROM l")
 def txt_08_line_facts(spark: SparkSession, d: str) -> DataFrame:
-    """Indentation, closing tokens and rules of the lines that end in LF and start in ASCII."""
-    x = _lines(spark, d).filter(~F.contains("line", F.lit("\r")) & ~F.col("line").rlike(r"^[ \t]*[^\x00-\x7f]"))
-    return x.select("doc", "i", chunks.indent_column(F.col("line")).alias("indent"), chunks.closes_column(F.col("line")).alias("closes"), chunks.rule_column(F.col("line")).alias("rule"))
+    """Indentation, closing tokens and rules of all lines."""
+    return _lines(spark, d).select("doc", "i", chunks.indent_column(F.col("line")).alias("indent"), chunks.closes_column(F.col("line")).alias("closes"), chunks.rule_column(F.col("line")).alias("rule"))
 
 
 @add()
@@ -119,9 +123,11 @@ def txt_18_grep(spark: SparkSession, d: str) -> DataFrame:
     return corpus(spark, d).filter(tx.smart_match(F.col("body"), "^.*retry queue")).select("doc")
 
 
-@add("SELECT * FROM (VALUES ('a\\Sb', false), ('aBc', true), ('x', false)) v(p, upper)")
+@add(r"SELECT chunk_id AS doc, regexp_matches(regexp_replace(p, '\\.', '', 'g'), '\p{Lu}') AS upper FROM (SELECT chunk_id, coalesce(symbol, '') || '\S' || left(coalesce(text, ''), 12) AS p FROM corpus)")
 def txt_19_has_upper(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([("a\\Sb",), ("aBc",), ("x",)], "p string").select("p", tx.has_upper(F.col("p")).alias("upper"))
+    """Whether patterns, of symbols, an escape and beginnings of texts, have an uppercase letter."""
+    p = F.concat(F.coalesce("symbol", F.lit("")), F.lit(r"\S"), F.substring(F.coalesce("body", F.lit("")), 1, 12))
+    return corpus(spark, d).select("doc", tx.has_upper(p).alias("upper"))
 
 
 # ---- index and search ----
@@ -178,12 +184,52 @@ def lex_16_files(spark: SparkSession, d: str) -> DataFrame:
     return f.groupBy("doc").agg(F.count("*").alias("terms"), *(F.sum(f"tf_{x}").alias(f"tf_{x}") for x in lexical.WEIGHTS))
 
 
+_IS_DOC = r"lower(regexp_extract(path, '[^/]\.([^./]+)$', 1)) IN ('md', 'markdown', 'mdx', 'rst', 'adoc', 'txt', 'org', 'html', 'htm', 'xml', 'yaml', 'yml', 'json', 'jsonl', 'toml', 'csv')"
+_RECALL = f"""{_Q}, {_INDEX},
+fi AS (SELECT path, min(chunk_id) AS f FROM corpus GROUP BY path),
+fc AS (SELECT c.path, term, max(p) AS p, sum(s) AS s, sum(b) AS b FROM po JOIN corpus c ON c.chunk_id = po.doc GROUP BY c.path, term),
+fl AS (SELECT path, sum(p) AS lp, sum(s) AS ls, sum(b) AS lb FROM fc GROUP BY path),
+fn AS (SELECT count(*) AS n FROM fi),
+fa AS (SELECT sum(lp) / (SELECT n FROM fn) AS ap, sum(ls) / (SELECT n FROM fn) AS as_, sum(lb) / (SELECT n FROM fn) AS ab FROM fl),
+fw AS (SELECT path, term, p * 2.0::DOUBLE / (0.5 + 0.5 * lp / ap) + s * 3.0::DOUBLE / (0.5 + 0.5 * ls / as_) + b * 1.0::DOUBLE / (0.25 + 0.75 * lb / ab) AS w FROM fc JOIN fl USING (path), fa),
+fd AS (SELECT term, ln(1 + ((SELECT n FROM fn) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM fc GROUP BY term),
+fs AS (SELECT query_id, path, floor(sum(idf * w / (1.2::DOUBLE + w)) * 1e9 + 0.5) / 1e9 AS score FROM qt JOIN fd USING (term) JOIN fw USING (term) GROUP BY query_id, path),
+fr AS (SELECT query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, f) AS file_rank FROM fs JOIN fi USING (path)),
+ra AS (SELECT query_id, doc, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS r1 FROM sc),
+op AS (SELECT fr.query_id, c.chunk_id AS doc, c.path, r1, row_number() OVER (PARTITION BY fr.query_id ORDER BY file_rank, coalesce(score, 0) DESC, c.chunk_id) AS r2 FROM fr JOIN corpus c USING (path) LEFT JOIN ra ON ra.query_id = fr.query_id AND ra.doc = c.chunk_id),
+fu AS (SELECT query_id, doc, path, {_IS_DOC} AS second, CASE WHEN r1 IS NULL THEN 1.0::DOUBLE / (60 + r2) ELSE 1.0::DOUBLE / (60 + least(r1, r2)) + 1.0::DOUBLE / (60 + greatest(r1, r2)) END AS score FROM op),
+al AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r, second) AS position FROM (SELECT *, row_number() OVER (PARTITION BY query_id, second ORDER BY score DESC, doc) AS r FROM fu)),
+rc AS (SELECT query_id, doc, path, position FROM al WHERE position <= 64)"""
+
+
 @add()
 def lex_17_recall(spark: SparkSession, d: str) -> DataFrame:
     """Candidates of each question with the full analyser."""
     return lexical.recall(corpus(spark, d), asked(spark), 64, keep=lambda x: stored(x, "recall")).select("query_id", "doc", "path", "position")
 
 
+def _recalled(spark: SparkSession, d: str, n: int = 64) -> DataFrame:
+    return lexical.recall(corpus(spark, d), asked(spark), n, lexical.simple_terms, lambda x: stored(x, "recall"))
+
+
+@add(f"WITH {_RECALL} SELECT query_id, doc, path, position FROM rc")
+def lex_17_recall_words(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates of each question by plain words."""
+    return _recalled(spark, d).select("query_id", "doc", "path", "position")
+
+
+@add(f"WITH {_RECALL} SELECT query_id, chunk_id AS doc, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(position, 9223372036854775807), chunk_id) AS position FROM (SELECT query_id, chunk_id FROM q, corpus) LEFT JOIN (SELECT query_id, doc AS chunk_id, position FROM al) USING (query_id, chunk_id)")
+def srt_03_all_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk in recall order, those of no ranking at the end."""
+    return _recalled(spark, d, 0).select("query_id", "doc", "position")
+
+
+@add(f"WITH {_Q}, {_INDEX} SELECT query_id, doc, rank FROM (SELECT query_id, doc, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM sc) WHERE rank <= 5")
+def win_02_top_k(spark: SparkSession, d: str) -> DataFrame:
+    """The best five chunks of each question."""
+    return lexical.search(_index(spark, d), asked(spark), 5, lexical.simple_terms).select("query_id", "doc", "rank")
+
+
 @add("""WITH a AS (SELECT o_orderkey AS doc, o_orderpriority = '1-URGENT' AS second, o_orderstatus AS g, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice, o_orderkey) AS rank FROM orders),
 b AS (SELECT *, row_number() OVER (PARTITION BY g, second ORDER BY rank) AS r FROM a) SELECT g, doc, row_number() OVER (PARTITION BY g ORDER BY r, second) AS position FROM b""")
 def win_03_alternate(spark: SparkSession, d: str) -> DataFrame:
@@ -220,13 +266,42 @@ def tre_01_descend(spark: SparkSession, d: str) -> DataFrame:
     return descend.descend(stored(corpus(spark, d), "chunks"), asked(spark), score, beam=3)
 
 
-@add()
+_TREE = f"""{_Q}, RECURSIVE_MARK
+fl AS (SELECT path, count(*) AS n, regexp_replace(regexp_extract(path, '^(.*/)[^/]*$', 1), '/$', '') AS dir FROM corpus GROUP BY path),
+fo AS (SELECT dir, regexp_replace(regexp_extract(dir, '^(.*/)[^/]*$', 1), '/$', '') AS parent FROM (SELECT DISTINCT unnest(list_transform(range(1, len(x) + 1), lambda i: array_to_string(x[1:i], '/'))) AS dir FROM (SELECT string_split(dir, '/') AS x FROM fl WHERE dir <> ''))),
+fr(query_id, kind, key, path, first, n) AS (
+  SELECT query_id, 'dir', dir, NULL::VARCHAR, 0::BIGINT, 0::BIGINT FROM q, fo WHERE parent = '' UNION ALL SELECT query_id, 'file', path, path, 0, n FROM q, fl WHERE dir = ''
+  UNION ALL
+  SELECT query_id, k.kind, k.key, k.path, k.first, k.n FROM (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY {_PAIR.format("query_id || ':' || key")} DESC, key) AS r FROM fr WHERE kind = 'dir' OR n > 4) o,
+    LATERAL (SELECT 'dir' AS kind, dir AS key, NULL::VARCHAR AS path, 0::BIGINT AS first, 0::BIGINT AS n FROM fo WHERE o.kind = 'dir' AND fo.parent = o.key
+      UNION ALL SELECT 'file', fl.path, fl.path, 0, fl.n FROM fl WHERE o.kind = 'dir' AND fl.dir = o.key
+      UNION ALL SELECT 'group', o.path || chr(1) || lpad((o.first + g.i * o.n // 4)::VARCHAR, 9, '0'), o.path, o.first + g.i * o.n // 4, (g.i + 1) * o.n // 4 - g.i * o.n // 4 FROM generate_series(0, 3) g(i) WHERE o.kind <> 'dir') k
+  WHERE o.r <= 3),
+pl AS (SELECT chunk_id AS doc, path, row_number() OVER (PARTITION BY path ORDER BY chunk_id) - 1 AS at FROM corpus),
+rd0 AS (SELECT fr.query_id, fr.key, {_PAIR.format("fr.query_id || ':' || fr.key")} AS p, pl.doc, min(pl.doc) OVER (PARTITION BY fr.query_id, fr.key) AS lo FROM fr JOIN pl ON pl.path = fr.path AND pl.at >= fr.first AND pl.at < fr.first + fr.n WHERE fr.kind <> 'dir' AND fr.n <= 4),
+td AS (SELECT query_id, doc, p, row_number() OVER (PARTITION BY query_id ORDER BY p DESC, lo, doc) AS position FROM rd0)"""
+
+
+def _by_key(p: DataFrame) -> DataFrame:
+    """A stand-in score that doesn't depend on previews."""
+    return _score(p.withColumn("text", F.replace("key", F.lit("\x00"), F.lit("\x01"))), "key", "text").select("query_id", "key", "p")
+
+
+@add(f"WITH RECURSIVE {_TREE.replace('RECURSIVE_MARK', '')} SELECT query_id, doc, round(p * 1e6) / 1e6 AS p, position::INT AS position FROM td")
+def tre_01_descend_by_key(spark: SparkSession, d: str) -> DataFrame:
+    t = descend.descend(stored(corpus(spark, d), "chunks"), asked(spark), _by_key, beam=3)
+    return t.select("query_id", "doc", r6(F.col("p")).alias("p"), "position")
+
+
+@add(f"""WITH RECURSIVE {_TREE.replace('RECURSIVE_MARK', '')}, {_RECALL[len(_Q) + 2:].replace("fl AS (", "fl2 AS (").replace("JOIN fl USING", "JOIN fl2 USING").replace("FROM fl)", "FROM fl2)").replace("fr AS (", "fr2 AS (").replace("fr.query_id", "fr2.query_id").replace("FROM fr JOIN corpus", "FROM fr2 JOIN corpus")},
+ex2 AS (SELECT query_id, doc, row_number() OVER (PARTITION BY query_id ORDER BY position, doc) AS r FROM td WHERE NOT EXISTS (SELECT 1 FROM rc WHERE rc.query_id = td.query_id AND rc.doc = td.doc)),
+bo AS (SELECT query_id, doc, position AS r, false AS t FROM rc UNION ALL SELECT query_id, doc, r, true FROM ex2 WHERE r <= 24)
+SELECT query_id, doc, row_number() OVER (PARTITION BY query_id ORDER BY r, t)::INT AS position FROM bo""")
 def tre_15_reach(spark: SparkSession, d: str) -> DataFrame:
     """Lexical candidates united with what the descent reaches."""
     c = stored(corpus(spark, d), "chunks")
-    lex = stored(lexical.recall(c, asked(spark), 64, keep=lambda x: stored(x, "recall")), "lexical")
-    score = lambda p: _score(p, "key", "preview").select("query_id", "key", "p")
-    return lexical.union_candidates(lex, descend.descend(c, asked(spark), score, beam=3))
+    lex = stored(_recalled(spark, d).select("query_id", "doc", "path", "position"), "lexical")
+    return lexical.union_candidates(lex, descend.descend(c, asked(spark), _by_key, beam=3))
 
 
 @add("SELECT lo, n, unnest(list_transform([0, 1, 2, 3], lambda i: lo + (i * n // 4))) AS part FROM (SELECT p_partkey AS lo, p_size + 4 AS n FROM part)")
@@ -235,7 +310,7 @@ def tre_03_split(spark: SparkSession, d: str) -> DataFrame:
     return p.select("lo", "n", F.explode(descend.split_range(F.col("lo"), F.col("n"))).alias("g")).select("lo", "n", F.col("g.lo").alias("part"))
 
 
-@add()
+@add(f"WITH l AS (SELECT chunk_id AS doc, generate_subscripts(string_split(text, chr(10)), 1) AS i, left(unnest(string_split(text, chr(10))), 1200) AS line FROM corpus WHERE text IS NOT NULL), c AS (SELECT doc, i, line, sum(length(line) + CASE WHEN fresh THEN 0 ELSE 1 END) OVER (PARTITION BY doc ORDER BY i) AS n FROM (SELECT *, coalesce(bool_and(line = '') OVER (PARTITION BY doc ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS fresh FROM l)), s AS (SELECT doc, i, line, max(n) OVER (PARTITION BY doc ORDER BY i) AS m FROM c) SELECT doc, ltrim(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE m <= 1200), ''), chr(10)) AS preview FROM s GROUP BY doc")
 def tre_04_previews(spark: SparkSession, d: str) -> DataFrame:
     """Lines of every chunk packed to a preview."""
     c = corpus(spark, d).filter("body is not null")
@@ -269,15 +344,13 @@ def tre_14_symbols(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "symbol"))), lambda x: x["symbol"]), "|").alias("symbols"))
 
 
-_READ = f"""{_Q}, rd AS (SELECT query_id, chunk_id AS doc, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS position, {_PAIR.format("query_id || ':' || chunk_id")} AS p FROM q, corpus)"""
+_READ = f"""{_RECALL}, rd AS (SELECT query_id, doc, position, {_PAIR.format("query_id || ':' || doc")} AS p FROM rc)"""
 
 
 def _read(spark: SparkSession, d: str) -> DataFrame:
-    """Every chunk read for every question, with stand-in scores."""
-    c = corpus(spark, d).select("doc", F.col("doc").cast("string").alias("text"))
-    r = F.broadcast(asked(spark).select("query_id")).join(c)
-    r = _score(r, "doc", "text").withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy("doc")))
-    return r.select("query_id", "doc", "position", "p")
+    """The candidates of every question, read with stand-in scores."""
+    r = _recalled(spark, d).select("query_id", "doc", "position", F.col("doc").cast("string").alias("text"))
+    return stored(_score(r, "doc", "text").select("query_id", "doc", "position", "p"), "read")
 
 
 @add(f"WITH {_READ} SELECT query_id, doc, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p DESC, position) AS rank FROM rd WHERE p >= 0.9::DOUBLE) WHERE rank <= 10")
@@ -291,28 +364,39 @@ def rnk_06_shown(spark: SparkSession, d: str) -> DataFrame:
     return search.shown(_read(spark, d), 10, 0.99).select("query_id", "doc", "rank", "hit")
 
 
-@add()
+@add(f"""WITH {_RECALL}, rd AS (SELECT query_id, doc, position, (position - 1) // 16 AS wave, {_PAIR.format("query_id || ':' || coalesce(text, '')")} AS p FROM rc JOIN corpus c ON c.chunk_id = rc.doc),
+wv AS (SELECT query_id, wave, sum((p >= 0.5)::INT) AS added FROM rd GROUP BY query_id, wave),
+cu AS (SELECT *, sum(added) OVER (PARTITION BY query_id ORDER BY wave) AS hits FROM wv),
+en AS (SELECT query_id, min(wave) AS last FROM cu WHERE added = 0 AND hits >= 3 GROUP BY query_id)
+SELECT query_id, doc, position, round(p * 1e6) / 1e6 AS p FROM rd LEFT JOIN en USING (query_id) WHERE wave <= coalesce(last, 99)""")
 def rnk_01_rerank(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates read wave by wave until ten hits are in and a wave adds none."""
+    """Candidates read wave by wave until three hits are in and a wave adds none."""
     c = corpus(spark, d).select("doc", "body")
-    cand = lexical.recall(corpus(spark, d), asked(spark), 64, keep=lambda x: stored(x, "recall")).select("query_id", "doc", "position")
+    cand = _recalled(spark, d).select("query_id", "doc", "position")
     score = lambda x: _score(x.join(c, "doc").withColumn("text", F.coalesce("body", F.lit(""))), "doc", "text").select("query_id", "doc", "position", "p")
-    return search.rerank(cand, score, 10, 0.5, wave=16)
+    return search.rerank(cand, score, 3, 0.5, wave=16).select("query_id", "doc", "position", r6(F.col("p")).alias("p"))
 
 
-@add("SELECT * FROM (VALUES ('0,0,1,1,2,3')) v(waves)")
+_WAVES = """WITH s AS (SELECT path, list({'n': length(text)::BIGINT, 'w': 0::BIGINT, 'l': (4000 - length(text))::BIGINT} ORDER BY chunk_id) AS x FROM corpus WHERE text IS NOT NULL GROUP BY path),
+z AS (SELECT path, list_reduce(x, lambda a, b: CASE WHEN b.n > a.l THEN {'n': b.n, 'w': a.w + 1, 'l': 4000 - b.n} ELSE {'n': b.n, 'w': a.w, 'l': a.l - b.n} END) AS e FROM s)
+SELECT path, (e.w + 1)::INT AS waves FROM z"""
+
+
+@add(_WAVES)
 def rnk_03_waves(spark: SparkSession, d: str) -> DataFrame:
-    one = spark.createDataFrame([([4, 5, 6, 4, 20, 3],)], "sizes array<int>")
-    return one.select(F.array_join(F.transform(search.waves(F.col("sizes"), 10), lambda x: x.cast("string")), ",").alias("waves"))
+    """Waves that the chunks of each file take when 4000 characters fit one."""
+    sizes = F.transform(F.sort_array(F.collect_list(F.struct("doc", F.char_length("body").alias("n")))), lambda x: x["n"])
+    one = corpus(spark, d).filter("body is not null").groupBy("path").agg(sizes.alias("sizes"))
+    return one.select("path", (F.array_max(search.waves(F.col("sizes"), 4000)) + 1).alias("waves"))
 
 
-_ANCHORS = "anc AS (SELECT query_id, generate_subscripts(paths, 1) AS anchor, unnest(paths) AS path, 'the' AS contains FROM (SELECT query_id, (SELECT list(path ORDER BY path) FROM (SELECT DISTINCT path FROM corpus ORDER BY path LIMIT 3)) AS paths FROM q))"
+_ANCHORS = "anc AS (SELECT query_id, ('0x' || substr(md5(path), 1, 8))::BIGINT AS anchor, path, 'the' AS contains FROM q, (SELECT DISTINCT path FROM corpus))"
 
 
 def _anchors(spark: SparkSession, d: str) -> DataFrame:
-    p = corpus(spark, d).select("path").distinct().orderBy("path").limit(3)
-    w = Window.orderBy("path")  # three rows
-    return F.broadcast(asked(spark).select("query_id")).join(p.select(F.row_number().over(w).cast("long").alias("anchor"), "path")).withColumn("contains", F.lit("the"))
+    """For each question any chunk of each path that holds "the"."""
+    p = corpus(spark, d).select("path").distinct().withColumn("anchor", F.conv(F.substring(F.md5("path"), 1, 8), 16, 10).cast("long"))
+    return F.broadcast(asked(spark).select("query_id")).join(p).select("query_id", "anchor", "path", F.lit("the").alias("contains"))
 
 
 _RANKS = f"WITH {_READ}, {_ANCHORS}, rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p DESC, position) AS rank FROM rd), ar AS (SELECT a.query_id, a.anchor, min(CASE WHEN contains(c.text, a.contains) THEN r.rank END) AS rank FROM anc a LEFT JOIN (rk r JOIN corpus c ON c.chunk_id = r.doc) ON r.query_id = a.query_id AND c.path = a.path GROUP BY ALL)"
@@ -337,26 +421,49 @@ def rnk_11_metrics(spark: SparkSession, d: str) -> DataFrame:
     return m.select("query_id", "anchors", *(r6(F.col(f"recall_{k}")).alias(f"recall_{k}") for k in search.KS), r6(F.col("rr")).alias("rr"))
 
 
-@add()
+_SUMMARY = "kd AS (SELECT unnest(['all', CASE WHEN query_id % 2 = 0 THEN 'concept' ELSE 'lexical' END]) AS kind, * FROM pq) SELECT kind, count(*) AS n, round(avg((coalesce(first, 0) = 1)::INT) * 1e6) / 1e6 AS hit_1, " + ", ".join(f"round(avg(k{k}) * 1e6) / 1e6 AS recall_{k}" for k in (1, 5, 10, 64)) + ", round(avg(coalesce(1.0::DOUBLE / first, 0)) * 1e6) / 1e6 AS mrr, round(avg((k64 >= 1)::INT) * 1e6) / 1e6 AS all_met FROM kd GROUP BY kind"
+_PER_QUERY = "pq AS (SELECT query_id, min(rank) AS first, " + ", ".join(f"avg((coalesce(rank, 2147483647) <= {k})::INT) AS k{k}" for k in (1, 5, 10, 64)) + " FROM ar GROUP BY query_id)"
+
+
+def _summed(m: DataFrame) -> DataFrame:
+    return m.select("kind", "n", *(r6(F.col(c)).alias(c) for c in ("hit_1", *(f"recall_{k}" for k in search.KS), "mrr", "all_met")))
+
+
+@add(f"{_RANKS}, {_PER_QUERY}, {_SUMMARY}")
 def rnk_12_summary(spark: SparkSession, d: str) -> DataFrame:
     m = search.retrieval_metrics(search.anchor_ranks(_ranked(spark, d), _anchors(spark, d), corpus(spark, d)))
-    return search.retrieval_summary(m.withColumn("kind", F.when(F.col("query_id") % 2 == 0, "concept").otherwise("lexical")))
+    return _summed(search.retrieval_summary(m.withColumn("kind", F.when(F.col("query_id") % 2 == 0, "concept").otherwise("lexical"))))
 
 
-@add("SELECT chunk_id AS doc, substr(sha256(path || chr(10) || coalesce(text, '')), 1, 32) AS key FROM corpus WHERE length(path || coalesce(text, '')) < 3199")
+@add("SELECT chunk_id AS doc, substr(sha256(substr(path || chr(10) || coalesce(text, ''), 1, 3200)), 1, 32) AS key FROM corpus")
 def rnk_14_content_key(spark: SparkSession, d: str) -> DataFrame:
-    """Content addresses of what a probe reads, for the chunks that it reads whole."""
-    c = corpus(spark, d).filter(F.char_length(F.concat("path", F.coalesce("body", F.lit("")))) < search.STATE_CHARS - 1)
-    return c.select("doc", search.content_key(search.probe_state(F.col("path"), F.col("body"))).alias("key"))
+    """Content addresses of what a probe reads of every chunk."""
+    return corpus(spark, d).select("doc", search.content_key(search.probe_state(F.col("path"), F.col("body"))).alias("key"))
+
 
+_KEYS = "ky AS (SELECT chunk_id, substr(sha256(substr(path || chr(10) || coalesce(text, ''), 1, 3200)), 1, 32) AS key FROM corpus)"
 
-@add("SELECT (SELECT count(DISTINCT c_mktsegment) FROM customer) AS wanted, 2::BIGINT AS held, 1::BIGINT AS stale")
+
+def _store(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A store of a third of the chunks and of some documents, and the keys of all chunks."""
+    k = corpus(spark, d).select("doc", search.content_key(search.probe_state(F.col("path"), F.col("body"))).alias("key"))
+    old = table(spark, d, "documents").filter("doc_id % 5 = 0").select(F.md5(F.coalesce("text", F.lit(""))).alias("key"), F.lit(1).alias("v")).distinct()
+    return search.store_put(old, k.filter("doc % 3 = 0").select("key", F.lit(2).alias("v"))), k.select("key")
+
+
+_STORE = f"{_KEYS}, od AS (SELECT DISTINCT md5(coalesce(text, '')) AS key FROM documents WHERE doc_id % 5 = 0), stt AS (SELECT key, 1 AS v FROM od UNION ALL SELECT DISTINCT key, 2 FROM ky WHERE chunk_id % 3 = 0 AND key NOT IN (SELECT key FROM od))"
+
+
+@add(f"WITH {_STORE} SELECT (SELECT count(DISTINCT key) FROM ky) AS wanted, (SELECT count(*) FROM stt WHERE key IN (SELECT key FROM ky)) AS held, (SELECT count(*) FROM stt WHERE key NOT IN (SELECT key FROM ky)) AS stale")
 def rnk_16_store(spark: SparkSession, d: str) -> DataFrame:
-    """Coverage of a store of two live keys and a stale one."""
-    seg = table(spark, d, "customer").select(F.col("c_mktsegment").alias("key")).distinct()
-    two = seg.orderBy("key").limit(2).withColumn("v", F.lit(1))
-    store = search.store_put(two, spark.createDataFrame([("old", 2)], "key string, v int"))
-    return search.store_coverage(store, seg)
+    """How much of the corpus a store holds, and what of it is stale."""
+    return search.store_coverage(*_store(spark, d))
+
+
+@add(f"WITH {_STORE} SELECT key, v FROM stt WHERE key IN (SELECT key FROM ky)")
+def semi_01_live(spark: SparkSession, d: str) -> DataFrame:
+    """The store after compaction."""
+    return search.store_compact(*_store(spark, d)).select("key", "v")
 
 
 @add(f"WITH {_READ} SELECT query_id, path, min(rank) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p DESC, position) AS rank FROM rd WHERE p >= 0.9::DOUBLE) r JOIN corpus c ON c.chunk_id = r.doc WHERE rank <= 10 GROUP BY query_id, path")
@@ -375,7 +482,10 @@ def rnk_07_search(spark: SparkSession, d: str) -> DataFrame:
     return search.search(stored(corpus(spark, d), "chunks"), asked(spark), lambda x: _score(x, "query_id", "text"), wave=32)
 
 
-@add()
+_EVAL = _RANKS.replace(_PAIR.format("query_id || ':' || doc"), _PAIR.format("query_id || ':' || (SELECT substr(path || chr(10) || coalesce(text, ''), 1, 3200) FROM corpus cc WHERE cc.chunk_id = doc)"))
+
+
+@add(f"{_EVAL}, {_PER_QUERY}, {_SUMMARY}")
 def rnk_13_eval(spark: SparkSession, d: str) -> DataFrame:
     cases = asked(spark).withColumn("kind", F.when(F.col("query_id") % 2 == 0, "concept").otherwise("lexical"))
-    return search.run_eval(stored(corpus(spark, d), "chunks"), cases, _anchors(spark, d), lambda x: _score(x, "query_id", "text"))[1]
+    return _summed(search.run_eval(stored(corpus(spark, d), "chunks"), cases, _anchors(spark, d), lambda x: _score(x, "query_id", "text"), analyse=lexical.simple_terms)[1])
