@@ -473,6 +473,28 @@ def test_vocabulary_and_verification(bpe, reference):
     assert bytes(b for i in bpe.encode_batch([texts[3]])[0] for b in next(k for k, v in bpe.id.items() if v == i)) == texts[3].encode()
 
 
+def test_merging_by_heap(bpe):
+    """Merges in the order of a plain scan, and long words in about linear time."""
+    import time
+
+    def plain(word):
+        ids = [bpe.byte[b] for b in word]
+        while True:
+            ranked = [(bpe.merge[p][0], i) for i, p in enumerate(zip(ids, ids[1:])) if p in bpe.merge]
+            if not ranked:
+                return ids
+            i = min(ranked)[1]
+            ids[i : i + 2] = [bpe.merge[(ids[i], ids[i + 1])][1]]
+
+    rng = random.Random(8)
+    for _ in range(300):
+        w = "".join(rng.choice("abeinorst漢é") for _ in range(rng.randint(0, 60))).encode()
+        assert bpe.exact(w) == plain(w)
+    t = time.time()
+    bpe.exact("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000)).encode())
+    assert time.time() - t < 5
+
+
 def test_encode_table(spark):
     df = spark.createDataFrame([(1, "Hello world", 0), (1, None, 0), (None, "", 0), (2, "  ", 0)], "doc_id long, text string, ids int")
     got = sorted((r["doc_id"] or 0, len(r["ids"])) for r in encode.encode(df).collect())

@@ -8,6 +8,7 @@ merged exactly.
 
 from __future__ import annotations
 
+import heapq
 import json
 import os
 from collections.abc import Iterable, Iterator
@@ -82,23 +83,33 @@ class Bpe:
         return out
 
     def exact(self, word: bytes) -> list[int]:
-        """Merges the pair of the lowest rank, the leftmost first, until no pair can be merged."""
+        """Merges the pair of the lowest rank, the leftmost first, until no pair can be merged. Pairs wait in a heap over a
+        linked list, so a word of n bytes takes n log n steps, however long it is."""
+        n = len(word)
         ids = [self.byte[b] for b in word]
-        while len(ids) > 1:
-            best = min(((self.merge.get(p, (1 << 60, 0))[0], i) for i, p in enumerate(zip(ids, ids[1:]))), default=(1 << 60, 0))
-            if best[0] == 1 << 60:
-                break
-            new, out, i = self.merge[(ids[best[1]], ids[best[1] + 1])][1], [], 0
-            pair = (ids[best[1]], ids[best[1] + 1])
-            while i < len(ids):
-                if i + 1 < len(ids) and (ids[i], ids[i + 1]) == pair:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
-        return ids
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap: list[tuple[int, int, int, int]] = []
+
+        def offer(i: int) -> None:
+            if i >= 0 and after[i] < n:
+                m = self.merge.get((ids[i], ids[after[i]]))
+                if m is not None:
+                    heapq.heappush(heap, (m[0], i, ids[i], ids[after[i]]))
+
+        for i in range(n - 1):
+            offer(i)
+        while heap:
+            _, i, x, y = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] != x or j >= n or ids[j] != y:
+                continue  # one of them was merged meanwhile
+            ids[i], ids[j] = self.merge[(x, y)][1], -1
+            after[i] = after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            offer(before[i])
+            offer(i)
+        return [x for x in ids if x >= 0]
 
     def pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the merge of a and b, or a huge number."""

@@ -77,7 +77,7 @@ def sized_texts(documents: DataFrame, targets: DataFrame, tokenizers: str = TOKE
     rows = checked_join(rows, wanted, ["source"], "left_semi")
     first = rows.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("d")).agg(F.min(F.struct("doc_id", "source")).alias("x")).select("x.*")
     first = stored(first, "texts")
-    tokens = token_counts(documents.select("doc_id", "text").filter("text is not null and text <> ''"), "doc_id", "text", tokenizers, name).filter("tokens > 0")
+    tokens = token_counts(rows.select("doc_id", "text"), "doc_id", "text", tokenizers, name).filter("tokens > 0")
     return first.join(tokens, "doc_id")
 
 
@@ -113,7 +113,8 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, targ
     per = part.groupBy("source", "block").agg(F.sum("tokens").alias("t"))
     w = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("before", F.coalesce(F.sum("t").over(w), F.lit(0))).drop("t")  # MAX_BLOCKS rows per source at most
-    part = part.join(F.broadcast(per), ["source", "block"]).filter("before < rest")
+    per = stored(per, "blocks")
+    part = checked_join(part, per, ["source", "block"], "inner").filter("before < rest")
     last = per.join(cut, "source").filter("before < rest").groupBy("source").agg(F.max("block").alias("last"))
     part = part.join(F.broadcast(last), "source")
     cols = ["source", "doc_id", "repetition", "tokens"]
