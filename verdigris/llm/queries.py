@@ -67,6 +67,11 @@ def _splits(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_method(spark: SparkSession, d: str) -> DataFrame:
     """What neighbours in the array of all suffixes say by themselves: the covered share of each evaluation record."""
+    return p5_twins(spark, d).drop("twin")
+
+
+def p5_twins(spark: SparkSession, d: str) -> DataFrame:
+    """The same with a training record for each that shares its longest span."""
     return overlap.record_coverage(_splits(spark, d))
 
 
@@ -120,7 +125,7 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_splits, p2_shares, p3_found, p3_scores, p4_found, p4_leaks, p4_covered, p5_method, p5_found, p5_pairs, p5_report, p7_ids, p7_sizes, p8_mix, p8_shares, p8_tempered, p9_found, p9_scores, p9_rates)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_splits, p2_shares, p3_found, p3_scores, p4_found, p4_leaks, p4_covered, p5_method, p5_twins, p5_found, p5_pairs, p5_report, p7_ids, p7_sizes, p8_mix, p8_shares, p8_tempered, p9_found, p9_scores, p9_rates)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,7 +9,39 @@ rows AS (
     nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(id), '\s+', '', 'g'), '[_‐-―]', '-', 'g'), '(~p[0-9]+)+$', ''), '^(tdc-[^-]+)-[0-9]+$', '\1'), '') AS b
   FROM convert_hf WHERE record_no IS NOT NULL)"""
 
+_ALIKE = r"regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', '', 'g')"
+
+# Records with split, state and question: w, the words of the state's text and number values, keys in order; q, the question
+# by type, range, options in order, and instructions.
+_P5_RECORDS = rf"""
+r0 AS (SELECT record_no, source, lower(trim(split)) AS sp, state, question FROM convert_hf WHERE split IS NOT NULL AND state IS NOT NULL AND question IS NOT NULL AND lower(trim(split)) IN ('train', 'dev', 'holdout')),
+js AS (SELECT record_no, state::JSON AS v FROM r0 WHERE json_valid(state) AND json_type(CASE WHEN json_valid(state) THEN state END) IN ('OBJECT', 'ARRAY', 'VARCHAR', 'DOUBLE', 'BIGINT', 'UBIGINT')),
+ato AS (SELECT record_no, j.atom->>'$' AS x, list_transform(regexp_extract_all(substr(j.fullkey, 2), '\."([^"\\]|\\.)*"|\.[^.\[]+|\[[0-9]+\]'), lambda k: CASE WHEN k[1] = '[' THEN lpad(k[2:-2], 12, '0') ELSE trim(k[2:], '"') END) AS place FROM js, json_tree(js.v) j WHERE j.type IN ('VARCHAR', 'DOUBLE', 'BIGINT', 'UBIGINT')),
+tx AS (SELECT record_no, string_agg(x, ' ' ORDER BY place) AS t FROM ato GROUP BY record_no UNION ALL SELECT record_no, '' FROM js WHERE record_no NOT IN (SELECT record_no FROM ato) UNION ALL SELECT record_no, state FROM r0 WHERE record_no NOT IN (SELECT record_no FROM js)),
+qj AS (SELECT record_no, sp, source, question::JSON AS j FROM r0 WHERE json_valid(question)),
+ck AS (SELECT record_no, j, CASE json_type(j->'criteria') WHEN 'OBJECT' THEN list_sort(list_transform(json_keys(j->'criteria'), lambda k: {_ALIKE.format("k")} || '=' || {_ALIKE.format("json_extract_string(j, '$.criteria.' || chr(34) || k || chr(34))")})) WHEN 'ARRAY' THEN list_sort(list_transform(json_extract_string(j, '$.criteria[*]'), lambda k: {_ALIKE.format("k")})) END AS options FROM qj),
+qk AS (SELECT record_no, {_ALIKE.format("coalesce(j->>'type', '')")} || '#' || coalesce(try_cast(j->>'min' AS DOUBLE)::VARCHAR, '') || '#' || coalesce(try_cast(j->>'max' AS DOUBLE)::VARCHAR, '') || '#' || coalesce(array_to_string(options, '|'), '') || '#' || {_ALIKE.format("coalesce(j->>'instructions', '')")} AS q FROM ck),
+rec AS (SELECT r0.record_no, r0.source, r0.sp, qk.q, regexp_extract_all(lower(tx.t), '[\p{{L}}\p{{N}}]+') AS w FROM r0 JOIN qk USING (record_no) JOIN tx USING (record_no))"""
+
 ORACLE = {
+    "p5_found": f"""
+WITH RECURSIVE {_P5_RECORDS},
+pr AS (SELECT a.record_no AS x, b.record_no AS y, a.w AS a, b.w AS b, greatest(len(a.w), len(b.w)) // 8 AS k FROM rec a JOIN rec b ON a.q = b.q AND a.sp = 'train' AND b.sp <> 'train' AND abs(len(a.w) - len(b.w)) <= greatest(len(a.w), len(b.w)) // 8),
+same AS (SELECT x, y FROM pr WHERE a = b),
+near AS (SELECT * FROM pr WHERE a <> b AND k > 0 AND len(list_filter(a, lambda v: NOT list_contains(b, v))) <= k AND len(list_filter(b, lambda v: NOT list_contains(a, v))) <= k),
+dp(x, y, i, col) AS (
+  SELECT x, y, 0::BIGINT, range(len(b) + 1) FROM near
+  UNION ALL
+  SELECT x, y, i + 1, list_transform(range(1, len(b) + 2), lambda j: list_min(list_transform(range(1, j + 1), lambda m: (CASE WHEN m = 1 THEN i + 1 ELSE least(col[m - 1] + (a[i + 1] <> b[m - 1])::INT, col[m] + 1) END) + j - m)))
+  FROM dp JOIN near USING (x, y) WHERE i < len(a))
+SELECT least(x, y) AS record_lo, greatest(x, y) AS record_hi FROM same
+UNION ALL SELECT least(x, y), greatest(x, y) FROM dp JOIN near USING (x, y) WHERE i = len(a) AND col[len(b) + 1] <= k""",
+    "p5_method": f"""
+WITH {_P5_RECORDS},
+g AS (SELECT record_no, sp, q, i, array_to_string(w[i:i + 5], ' ') AS g FROM rec, generate_series(1, greatest(0, len(w) - 5)) s(i)),
+tg AS (SELECT DISTINCT q, g FROM g WHERE sp = 'train'),
+cv AS (SELECT record_no, count(DISTINCT i + o) AS covered FROM g JOIN tg USING (q, g), generate_series(0, 5) s(o) WHERE sp <> 'train' GROUP BY record_no)
+SELECT record_no, sp AS split, source, len(w)::INT AS words, coalesce(covered, 0)::INT AS covered, CASE WHEN len(w) > 0 THEN coalesce(covered, 0)::DOUBLE / len(w) ELSE 0.0 END AS coverage FROM rec LEFT JOIN cv USING (record_no) WHERE sp <> 'train'""",
     "p1_found": f"SELECT chunk_id FROM corpus WHERE length(text) > 1600 OR {_LINES} > 60",
     "p2_found": f"""
 WITH RECURSIVE {_P2_KEYS},
