@@ -11,7 +11,7 @@ from verdigris.functions.once import once
 from verdigris.functions.text import numeric_like, toon_bare, toon_key, toon_string
 from verdigris.functions.toon import toon_udf
 from verdigris.operators import calibrate, decide, metrics, questions
-from verdigris.operators.logits import HashLogits, letter_variants, read_row
+from verdigris.operators.logits import ColumnLogits, HashLogits, letter_variants, read_row
 from verdigris.plans.common import CASES_SQL, HASHED_SQL, JUDGED_SQL, Registry, answered, cases, hashed
 from verdigris.session import stored, table
 
@@ -27,26 +27,26 @@ def emb(spark: SparkSession, d: str, k: int | None = None) -> DataFrame:
     return e if k is None else e.withColumn("l", F.slice("l", 1, k))
 
 
-@add(f"WITH {_EMB}, s AS (SELECT vec_id, i, exp((x - max(x) OVER w) / 0.05) AS z FROM e WHERE i < 4 WINDOW w AS (PARTITION BY vec_id)), p AS (SELECT vec_id, i, z / sum(z) OVER (PARTITION BY vec_id) AS p FROM s) SELECT vec_id, i::INT AS pos, round(p * 1e6) / 1e6 AS p FROM p")
+@add(f"WITH {_EMB}, s AS (SELECT vec_id, i, exp((x - max(x) OVER w) / 0.05) AS z FROM e WINDOW w AS (PARTITION BY vec_id)), p AS (SELECT vec_id, i, z / sum(z) OVER (PARTITION BY vec_id) AS p FROM s) SELECT vec_id, i::INT AS pos, round(p * 1e6) / 1e6 AS p FROM p")
 def dec_01_softmax(spark: SparkSession, d: str) -> DataFrame:
-    p = emb(spark, d, 4).select("vec_id", F.posexplode(prob.softmax(F.col("l"), 0.05)).alias("pos", "p"))
+    p = emb(spark, d).select("vec_id", F.posexplode(prob.softmax(F.col("l"), 0.05)).alias("pos", "p"))
     return p.select("vec_id", "pos", r6(F.col("p")).alias("p"))
 
 
-_P4 = f"{_EMB}, s AS (SELECT vec_id, label, i, exp((x - max(x) OVER w) / 0.05) AS z FROM e WHERE i < 4 WINDOW w AS (PARTITION BY vec_id)), p AS (SELECT vec_id, label % 4 AS y, i, z / sum(z) OVER (PARTITION BY vec_id) AS p FROM s)"
+_P = f"{_EMB}, s AS (SELECT vec_id, label, i, exp((x - max(x) OVER w) / 0.05) AS z FROM e WINDOW w AS (PARTITION BY vec_id)), p AS (SELECT vec_id, label AS y, i, z / sum(z) OVER (PARTITION BY vec_id) AS p FROM s)"
 
 
-@add(f"WITH {_P4} SELECT vec_id, round(greatest(0, (4 * max(p) - 1) / 3) * 1e6) / 1e6 AS confidence, arg_max(i, struct_pack(p := p, i := i))::INT AS best FROM p GROUP BY vec_id")
+@add(f"WITH {_P} SELECT vec_id, round(greatest(0, (64 * max(p) - 1) / 63) * 1e6) / 1e6 AS confidence, arg_max(i, struct_pack(p := p, i := i))::INT AS best FROM p GROUP BY vec_id")
 def dec_02_confidence(spark: SparkSession, d: str) -> DataFrame:
-    e = once(emb(spark, d, 4), p=prob.softmax(F.col("l"), 0.05))
+    e = once(emb(spark, d), p=prob.softmax(F.col("l"), 0.05))
     return e.select("vec_id", r6(prob.confidence(F.col("p"))).alias("confidence"), prob.argmax_last(F.col("p")).alias("best"))
 
 
-@add(f"""WITH {_P4}, v AS (SELECT vec_id, y, arg_max(i, struct_pack(p := p, i := i)) AS best, max(p) AS p1, list_sort(list(p), 'DESC')[2] AS p2, sum(power(p - CASE WHEN i = y THEN 1 ELSE 0 END, 2)) AS b FROM p GROUP BY vec_id, y)
-SELECT CASE WHEN p1 - p2 < 0.15::DOUBLE THEN 'contested' ELSE 'decided' END AS status, count(*) AS n, round(avg(CASE WHEN best = y THEN 1.0 ELSE 0.0 END) * 1e6) / 1e6 AS accuracy, round(avg(greatest(0, (4 * p1 - 1) / 3)) * 1e6) / 1e6 AS mean_confidence, round(avg(b) * 1e6) / 1e6 AS brier FROM v GROUP BY 1""")
+@add(f"""WITH {_P}, v AS (SELECT vec_id, y, arg_max(i, struct_pack(p := p, i := i)) AS best, max(p) AS p1, list_sort(list(p), 'DESC')[2] AS p2, sum(power(p - CASE WHEN i = y THEN 1 ELSE 0 END, 2)) AS b FROM p GROUP BY vec_id, y)
+SELECT CASE WHEN p1 - p2 < 0.15::DOUBLE THEN 'contested' ELSE 'decided' END AS status, count(*) AS n, round(avg(CASE WHEN best = y THEN 1.0 ELSE 0.0 END) * 1e6) / 1e6 AS accuracy, round(avg(greatest(0, (64 * p1 - 1) / 63)) * 1e6) / 1e6 AS mean_confidence, round(avg(b) * 1e6) / 1e6 AS brier FROM v GROUP BY 1""")
 def flagship_report(spark: SparkSession, d: str) -> DataFrame:
     """Logits to probabilities to typed answers to a report by status."""
-    e = once(emb(spark, d, 4), p=prob.softmax(F.col("l"), 0.05)).withColumn("y", (F.col("label") % 4).cast("int"))
+    e = once(emb(spark, d), p=prob.softmax(F.col("l"), 0.05)).withColumn("y", F.col("label").cast("int"))
     e = e.withColumn("status", F.when(prob.gap(F.col("p")) < decide.CONTESTED, "contested").otherwise("decided"))
     ok = (prob.argmax_last(F.col("p")) == F.col("y")).cast("double")
     return e.groupBy("status").agg(F.count("*").alias("n"), r6(F.avg(ok)).alias("accuracy"), r6(F.avg(prob.confidence(F.col("p")))).alias("mean_confidence"), r6(F.avg(prob.brier(F.col("p"), F.col("y")))).alias("brier"))
@@ -98,15 +98,21 @@ def dec_06_read_row(spark: SparkSession, d: str) -> DataFrame:
     return read_row(e, letters).select("unit_id", "letter", "logit", r6(F.col("coverage")).alias("coverage"))
 
 
-@add("SELECT * FROM (VALUES ('A', 1), ('A', 2), ('B', 3)) v(letter, token_id)")
+_VOCABULARY = r"vo AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[ \n]?[\p{L}\p{N}]+')) AS token FROM documents WHERE text IS NOT NULL)"
+
+
+@add(rf"WITH {_VOCABULARY} SELECT right(token, 1) AS letter, ('0x' || substr(md5(token), 1, 8))::BIGINT AS token_id FROM vo WHERE regexp_full_match(token, '[ \n]?[A-Z]')")
 def dec_07_letter_variants(spark: SparkSession, d: str) -> DataFrame:
-    v = spark.createDataFrame([("A", 1), (" A", 2), ("\nB", 3), ("AB", 4), ("a", 5)], "token string, token_id int")
-    return letter_variants(v)
+    """Tokens of a vocabulary, of all words of the documents with the space or line end before them, that are one letter."""
+    v = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"[ \n]?[\p{L}\p{N}]+"), F.lit(0))).alias("token")).distinct()
+    return letter_variants(v.withColumn("token_id", F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("long")))
 
 
-@add(f"WITH {_EMB} SELECT vec_id, round(1e6 / (1 + exp(max(CASE WHEN i = 1 THEN x END) - max(CASE WHEN i = 0 THEN x END)))) / 1e6 AS p FROM e WHERE i < 2 GROUP BY vec_id")
+@add(f"WITH {_EMB} SELECT vec_id, (i // 2)::INT AS pair, round(1e6 / (1 + exp(max(CASE WHEN i % 2 = 1 THEN x END) - max(CASE WHEN i % 2 = 0 THEN x END)))) / 1e6 AS p FROM e GROUP BY vec_id, i // 2")
 def dec_08_p_yes(spark: SparkSession, d: str) -> DataFrame:
-    return emb(spark, d, 2).select("vec_id", decide.p_yes(F.col("l")).alias("p"))
+    """P(yes) of each two neighbouring values."""
+    e = emb(spark, d).select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("pair"), "l")
+    return e.select("vec_id", "pair", decide.p_yes(F.slice("l", F.col("pair") * 2 + 1, F.lit(2))).alias("p"))
 
 
 def _requests(spark: SparkSession, d: str) -> DataFrame:
@@ -126,6 +132,21 @@ def dec_09_decide(spark: SparkSession, d: str) -> DataFrame:
     return a.select("req_id", "q_pos", "q_name", "qtype", "answer.status", "answer.confidence", metrics.pick(F.col("answer")).alias("pick"))
 
 
+_REQUESTS = CASES_SQL.replace(CASES_SQL[CASES_SQL.index("q0 AS ("):CASES_SQL.index("t AS (SELECT")], """
+rq AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY revised_at DESC, state) AS r FROM typed_decisions WHERE split = 'test' AND state IS NOT NULL) WHERE r = 1),
+q0 AS (SELECT id || ':' || (i - 1) AS record_no, state, json_extract(questions, '$."' || k || '"') AS qj, NULL::JSON AS ej FROM (SELECT id, state, questions::JSON AS questions, unnest(json_keys(questions)) AS k, generate_subscripts(json_keys(questions), 1) AS i FROM rq)),
+""").replace(HASHED_SQL.format("record_no || ':' || pos") + " AS l", HASHED_SQL.format("record_no || ':' || pos") + " / CASE WHEN qtype IN ('noul', 'boolean') THEN 0.8::DOUBLE WHEN qtype = 'choice' THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END AS l")
+
+
+@add(f"WITH {_REQUESTS} SELECT record_no AS unit, status, confidence, choice, boolean, score, level FROM an")
+def dec_09_decide_by_id(spark: SparkSession, d: str) -> DataFrame:
+    """Requests to answers, end to end, on logits that depend on the question's place only."""
+    unit = F.concat_ws(":", "req_id", F.col("q_pos").cast("string"))
+    units = ColumnLogits(F.transform("slots", lambda s: hashed(unit, s["pos"].cast("string")))).attach(questions.compile_units(_requests(spark, d)))
+    temps = spark.createDataFrame([("boolean", 0.8), ("choice", 1.2)], "bucket string, temperature double")
+    return decide.decide(units, temps).select(unit.alias("unit"), *(F.col(f"answer.{k}").alias(k) for k in ("status", "confidence", "choice", "boolean", "score", "level")))
+
+
 def _brands(spark: SparkSession, d: str) -> DataFrame:
     """A choice among all brand and type pairs of the parts: more options than letters."""
     p = table(spark, d, "part").select(F.concat_ws(" ", "p_brand", "p_type").alias("k")).distinct()
@@ -145,17 +166,32 @@ def prm_28_expand_pages(spark: SparkSession, d: str) -> DataFrame:
     return questions.compile_units(_brands(spark, d), expand="pages").groupBy("req_id").agg(F.count("*").alias("pages"), F.max(F.size("slots")).alias("largest"))
 
 
+_PROBES = f"""WITH k AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS i FROM (SELECT DISTINCT p_brand || ' ' || p_type AS k FROM part)),
+pb AS (SELECT s_suppkey::VARCHAR AS req_id, k, i, round(1e6 / (1 + exp({HASHED_SQL.format("s_suppkey || ':' || i || ':1'")} - {HASHED_SQL.format("s_suppkey || ':' || i || ':0'")}))) / 1e6 AS p FROM supplier, k),
+sh AS (SELECT *, p / sum(p) OVER (PARTITION BY req_id) AS s FROM pb)
+SELECT req_id, CASE WHEN max(p) < 0.5 THEN 'abstained' WHEN max(p) - list_sort(list(p), 'DESC')[2] < 0.15::DOUBLE THEN 'contested' ELSE 'decided' END AS status, arg_max(k, struct_pack(p := p, i := i)) AS choice, round(greatest(0, (count(*) * max(s) - 1) / (count(*) - 1)) * 1e4) / 1e4 AS confidence FROM sh GROUP BY req_id"""
+
+
+@add(_PROBES)
+def dec_09_probes_by_id(spark: SparkSession, d: str) -> DataFrame:
+    """A choice of too many options, asked option by option and folded."""
+    logits = F.transform("slots", lambda s: hashed(F.col("req_id"), F.col("sub_idx").cast("string"), s["pos"].cast("string")))
+    units = ColumnLogits(logits).attach(questions.compile_units(_brands(spark, d)))
+    return decide.decide(units).select("req_id", "answer.status", "answer.choice", "answer.confidence")
+
+
 @add()
 def dec_09_decide_expanded(spark: SparkSession, d: str) -> DataFrame:
     units = HashLogits().attach(questions.compile_units(_brands(spark, d)))
     return decide.decide(units).select("req_id", "answer.status", "answer.choice", "answer.confidence")
 
 
-@add("SELECT bucket, round(t * 2 * 1e6) / 1e6 AS t FROM (VALUES ('boolean', 0.5), ('choice', 1.0)) v(bucket, t)")
+@add(f"WITH {CASES_SQL}, f AS (SELECT * FROM (VALUES ('boolean', 0.5::DOUBLE), ('score', 30.0::DOUBLE)) v(bucket, f)) SELECT record_no, b AS bucket, round(2 * coalesce(f, 1) * 1e6) / 1e6 AS t FROM (SELECT record_no, CASE qtype WHEN 'noul' THEN 'boolean' ELSE qtype END AS b FROM t2) LEFT JOIN f ON bucket = b")
 def dec_10_temperature(spark: SparkSession, d: str) -> DataFrame:
-    b = spark.createDataFrame([("noul",), ("choice",)], "qtype string").select(decide.bucket(F.col("qtype")).alias("bucket"))
-    t = spark.createDataFrame([("boolean", 0.5)], "bucket string, f double")
-    return b.join(F.broadcast(t), "bucket", "left").select("bucket", r6(decide.temperature(F.lit(2.0), F.col("f"))).alias("t"))
+    """The temperature of every case: twice its bucket's, which some buckets lack."""
+    b = cases(spark, d).select("record_no", decide.bucket(F.col("q.qtype")).alias("bucket"))
+    t = spark.createDataFrame([("boolean", 0.5), ("score", 30.0)], "bucket string, f double")
+    return b.join(F.broadcast(t), "bucket", "left").select("record_no", "bucket", r6(decide.temperature(F.lit(2.0), F.col("f"))).alias("t"))
 
 
 @add(f"WITH {CASES_SQL} SELECT an.record_no, an.qtype AS type, CASE WHEN an.qtype = 'noul' THEN round(ag.py * 1e6) / 1e6 END AS noul, CASE WHEN an.qtype = 'score' THEN round(an.score * (ag.reals - 1) * 1e4) / 1e4 END AS score, CASE WHEN an.qtype = 'boolean' THEN an.boolean END AS boolean FROM an JOIN ag USING (record_no)")
@@ -197,18 +233,23 @@ def sch_04_explode(spark: SparkSession, d: str) -> DataFrame:
     return questions.explode_questions(t).groupBy("id", "split").agg(F.count("*").alias("n"))
 
 
-@add("SELECT 'state_first' AS layout, count(*) AS n FROM convert_hf")
+@add("SELECT record_no, CASE record_no % 3 WHEN 0 THEN 'state_first' WHEN 1 THEN 'auto' ELSE 'question_first' END AS by_case, 'auto' AS overridden FROM convert_hf")
 def sch_09_pins(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "convert_hf").withColumn("pin", F.when(F.col("record_no") < 0, "state_first"))
-    return c.select(questions.pinned(F.col("pin"), ("auto", "state_first"), "state_first").alias("layout")).groupBy("layout").agg(F.count("*").alias("n"))
+    """The layout of every case: its own pin, else the default; an override outranks both."""
+    pin = F.when(F.col("record_no") % 3 == 0, "state_first").when(F.col("record_no") % 3 == 1, "auto")
+    allowed = ("auto", "state_first", "question_first")
+    return table(spark, d, "convert_hf").select("record_no", questions.pinned(pin, allowed, default="question_first").alias("by_case"), questions.pinned(pin, allowed, "auto").alias("overridden"))
 
 
 # ---- prompts ----
 
 
-@add(f"WITH {CASES_SQL} SELECT record_no, pos::INT AS pos, chr((65 + pos)::INT) AS letter, key, text, special FROM sl WHERE qtype <> 'numeric'")
+_SLOTS = r"""nt AS (SELECT sl.record_no, sl.qtype, pos, CASE WHEN sl.qtype = 'numeric' AND NOT special THEN regexp_replace(v::VARCHAR, '\.0$', '') ELSE key END AS key, CASE WHEN sl.qtype <> 'numeric' OR key = '__abstain__' THEN text WHEN key = '__below__' THEN 'Below ' || regexp_replace(mn::VARCHAR, '\.0$', '') WHEN key = '__above__' THEN 'Above ' || regexp_replace(mx::VARCHAR, '\.0$', '') ELSE regexp_replace(v::VARCHAR, '\.0$', '') END AS text, special FROM sl JOIN t2 USING (record_no))"""
+
+
+@add(f"WITH {CASES_SQL}, {_SLOTS} SELECT record_no, pos::INT AS pos, chr((65 + pos)::INT) AS letter, key, text, special FROM nt")
 def prm_21_slots(spark: SparkSession, d: str) -> DataFrame:
-    return cases(spark, d).filter("q.qtype <> 'numeric'").select("record_no", F.explode("slots").alias("s")).select("record_no", "s.pos", "s.letter", "s.key", "s.text", "s.special")
+    return cases(spark, d).select("record_no", F.explode("slots").alias("s")).select("record_no", "s.pos", "s.letter", "s.key", "s.text", "s.special")
 
 
 @add(f"WITH {CASES_SQL} SELECT record_no, pos::INT AS pos, CASE WHEN special THEN key END AS key, round(v * 1e6) / 1e6 AS value, special FROM sl WHERE qtype = 'numeric'")
@@ -217,13 +258,13 @@ def prm_21_anchor_slots(spark: SparkSession, d: str) -> DataFrame:
     return s.select("record_no", "s.pos", F.when(F.col("s.special"), F.col("s.key")).alias("key"), r6(F.col("s.key").try_cast("double")).alias("value"), "s.special")
 
 
-_MSG = """o AS (SELECT record_no, string_agg(chr((65 + pos)::INT) || ') ' || text, chr(10) ORDER BY pos) AS lines FROM sl WHERE qtype <> 'numeric' GROUP BY record_no),
-b AS (SELECT t2.record_no, t2.state, 'QUESTION' || chr(10) || CASE WHEN instructions <> '' THEN instructions || chr(10) ELSE '' END || CASE WHEN qtype IN ('boolean', 'noul') THEN 'Answer yes or no.' || chr(10) ELSE '' END || chr(10) || 'OPTIONS' || chr(10) || o.lines AS block FROM t2 JOIN o USING (record_no) WHERE state IS NOT NULL)"""
+_MSG = _SLOTS + """, o AS (SELECT record_no, string_agg(chr((65 + pos)::INT) || ') ' || text, chr(10) ORDER BY pos) AS lines FROM nt GROUP BY record_no),
+b AS (SELECT t2.record_no, t2.state, 'QUESTION' || chr(10) || CASE WHEN instructions <> '' THEN instructions || chr(10) ELSE '' END || CASE WHEN qtype IN ('boolean', 'noul') THEN 'Answer yes or no.' || chr(10) WHEN qtype = 'numeric' THEN 'Pick the closest value in range [' || regexp_replace(mn::VARCHAR, '\\.0$', '') || ', ' || regexp_replace(mx::VARCHAR, '\\.0$', '') || '], or below/above the range.' || chr(10) ELSE '' END || chr(10) || 'OPTIONS' || chr(10) || o.lines AS block FROM t2 JOIN o USING (record_no) WHERE state IS NOT NULL)"""
 
 
 @add(f"WITH {CASES_SQL}, {_MSG} SELECT record_no, md5('STATE' || chr(10) || state || chr(10) || chr(10) || block || chr(10) || chr(10) || 'Reply with one letter only.') AS state_first, md5(block || chr(10) || chr(10) || 'STATE' || chr(10) || state || chr(10) || chr(10) || 'Reply with one letter only.') AS question_first FROM b")
 def prm_26_messages(spark: SparkSession, d: str) -> DataFrame:
-    c = cases(spark, d).filter("q.qtype <> 'numeric' and state is not null")
+    c = cases(spark, d).filter("state is not null")
     none = F.array().cast("array<string>")
     msg = lambda layout: F.md5(questions.user_message(F.col("state"), F.col("q"), F.col("slots"), F.lit(layout), none)).alias(layout)
     return c.select("record_no", msg("state_first"), msg("question_first"))
@@ -257,12 +298,46 @@ def prm_12_toon_scalars(spark: SparkSession, d: str) -> DataFrame:
     return c.select("c_custkey", toon_key(F.col("k")).alias("key"), numeric_like(F.col("v")).alias("numeric"), toon_bare(F.col("v")).alias("bare"))
 
 
-@add("SELECT event_id, CASE WHEN event_type = 'a:b' THEN NULL ELSE event_type END AS text FROM events")
+_NUMBERISH = r"[+-]?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?"
+
+
+def _toon_text(x: str) -> str:
+    """SQL of a string as TOON: bare, or quoted with escapes."""
+    e = f"replace(replace({x}, '\\', '\\\\'), '\"', '\\\"')"
+    for c, t in ((10, "\\n"), (13, "\\r"), (9, "\\t")):
+        e = f"replace({e}, chr({c}), '{t}')"
+    for i in range(1, 32):
+        if i not in (9, 10, 13):
+            e = f"replace({e}, chr({i}), '\\u{i:04x}')"
+    bare = f"{x} <> '' AND NOT regexp_matches({x}, '^[ \\t\\-#]|[ \\t]$') AND NOT regexp_matches({x}, '[:\"\\\\\\[\\]{{}},\\x00-\\x1f]') AND {x} NOT IN ('true', 'false', 'null') AND NOT regexp_full_match({x}, '{_NUMBERISH}')"
+    return f"CASE WHEN {bare} THEN {x} ELSE '\"' || {e} || '\"' END"
+
+
+@add(f"SELECT doc_id, md5({_toon_text('text')}) AS quoted, {_toon_text('source')} AS source FROM documents WHERE text IS NOT NULL")
 def prm_13_toon_strings(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", toon_string(F.col("event_type")).alias("text"))
+    """Every text as a TOON scalar."""
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", F.md5(toon_string(F.col("text"))).alias("quoted"), toon_string(F.col("source")).alias("source"))
 
 
-@add()
+def _toon_scalar(v: str) -> str:
+    return f"CASE json_type({v}) WHEN 'VARCHAR' THEN {_toon_text(f'({v})->>' + chr(39) + '$' + chr(39))} WHEN 'NULL' THEN 'null' ELSE regexp_replace(({v})->>'$', '\\.0$', '') END"
+
+
+# Objects of scalars, of objects of scalars, and of lists of like objects of scalars, which is all there is in the tables.
+_TOON = f"""WITH li AS (SELECT l_orderkey, to_json(list(struct_pack(no := l_linenumber, qty := l_quantity, flag := l_returnflag) ORDER BY l_linenumber, l_quantity, l_returnflag)) AS lines FROM lineitem GROUP BY l_orderkey),
+st AS (SELECT 'order' AS kind, o_orderkey AS id, json_object('status', o_orderstatus, 'total', o_totalprice, 'lines', lines)::VARCHAR AS state FROM orders JOIN li ON o_orderkey = l_orderkey UNION ALL SELECT 'case', record_no, state FROM convert_hf),
+ob AS (SELECT kind, id, state::JSON AS s FROM st WHERE json_valid(state) AND json_type(CASE WHEN json_valid(state) THEN state END) = 'OBJECT'),
+fi AS (SELECT kind, id, k, i, json_extract(s, '$."' || k || '"') AS v FROM (SELECT kind, id, s, unnest(json_keys(s)) AS k, generate_subscripts(json_keys(s), 1) AS i FROM ob)),
+sc AS (SELECT kind, id, i, 0 AS j, k || ': ' || {_toon_scalar("v")} AS line FROM fi WHERE json_type(v) NOT IN ('OBJECT', 'ARRAY')),
+su AS (SELECT kind, id, i, 0 AS j, k || ':' AS line FROM fi WHERE json_type(v) = 'OBJECT'
+  UNION ALL SELECT kind, id, i, j, '  ' || kk || ': ' || {_toon_scalar("x")} FROM (SELECT kind, id, i, j, kk, json_extract(v, '$."' || kk || '"') AS x FROM (SELECT kind, id, i, v, unnest(json_keys(v)) AS kk, generate_subscripts(json_keys(v), 1) AS j FROM fi WHERE json_type(v) = 'OBJECT'))),
+ar AS (SELECT kind, id, i, 0 AS j, k || '[' || json_array_length(v) || ']{{' || array_to_string(json_keys(v, '$[0]'), ',') || '}}:' AS line FROM fi WHERE json_type(v) = 'ARRAY'
+  UNION ALL SELECT kind, id, i, j, '  ' || string_agg({_toon_scalar("x")}, ',' ORDER BY c) FROM (SELECT kind, id, i, j, c, json_extract(r, '$."' || kk || '"') AS x FROM (SELECT kind, id, i, j, r, unnest(json_keys(r)) AS kk, generate_subscripts(json_keys(r), 1) AS c FROM (SELECT kind, id, i, unnest(json_extract(v, '$[*]')) AS r, generate_subscripts(json_extract(v, '$[*]'), 1) AS j FROM fi WHERE json_type(v) = 'ARRAY'))) GROUP BY ALL)
+SELECT kind, id, string_agg(line, chr(10) ORDER BY i, j) AS toon FROM (SELECT * FROM sc UNION ALL SELECT * FROM su UNION ALL SELECT * FROM ar) GROUP BY kind, id
+UNION ALL SELECT kind, id, state FROM st WHERE state IS NULL OR (kind, id) NOT IN (SELECT (kind, id) FROM ob)"""
+
+
+@add(_TOON)
 def prm_02_toon_states(spark: SparkSession, d: str) -> DataFrame:
     """Orders with their lines as nested states, and the cases' states, as TOON."""
     li = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").alias("no"), F.col("l_quantity").alias("qty"), F.col("l_returnflag").alias("flag")))).alias("lines"))
@@ -331,9 +406,9 @@ def evl_12_consistency(spark: SparkSession, d: str) -> DataFrame:
     return metrics.consistency(stored(a.select("case_id", "kind", "answer"), "answers"))
 
 
-@add(f"WITH {_P4}, z AS (SELECT vec_id, y, i, p, pow(p, 1 / 2.0) AS z FROM p), n AS (SELECT vec_id, y, i, z / sum(z) OVER (PARTITION BY vec_id) AS q FROM z) SELECT y::INT AS y, round(sum(-ln(greatest(q, 1e-15))) * 1e4) / 1e4 AS nll, count(*) AS n FROM n WHERE i = y GROUP BY y")
+@add(f"WITH {_P}, z AS (SELECT vec_id, y, i, p, pow(p, 1 / 2.0) AS z FROM p), n AS (SELECT vec_id, y, i, z / sum(z) OVER (PARTITION BY vec_id) AS q FROM z) SELECT y::INT AS y, round(sum(-ln(greatest(q, 1e-15))) * 1e4) / 1e4 AS nll, count(*) AS n FROM n WHERE i = y GROUP BY y")
 def stat_02_nll(spark: SparkSession, d: str) -> DataFrame:
-    e = once(emb(spark, d, 4), p=prob.softmax(F.col("l"), 0.05)).withColumn("y", (F.col("label") % 4).cast("int"))
+    e = once(emb(spark, d), p=prob.softmax(F.col("l"), 0.05)).withColumn("y", F.col("label").cast("int"))
     loss = prob.nll(prob.powered(F.col("p"), F.lit(2.0)), F.col("y"))
     return e.groupBy("y").agg(r4(F.sum(loss)).alias("nll"), F.count("*").alias("n"))
 
@@ -356,9 +431,24 @@ def stat_08_calibration(spark: SparkSession, d: str) -> DataFrame:
     return temps.select("bucket", r4(F.col("temperature")).alias("temperature"), "n").crossJoin(F.broadcast(fig))
 
 
-@add()
+@add("""WITH b AS (SELECT record_no, list_prepend(14695981039346656037::UHUGEINT, list_transform(string_split('case-fold/' || id, ''), lambda c: ord(c)::UHUGEINT)) AS x FROM convert_hf)
+SELECT record_no, (list_reduce(x, lambda h, c: (xor(h, c) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT) % 5)::INT AS fold FROM b""")
 def stat_06_folds(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "convert_hf").select("record_no", calibrate.fold_udf("id").alias("fold"), calibrate.fnv128_udf("id").alias("key"))
+    """The fold of every case."""
+    return table(spark, d, "convert_hf").select("record_no", calibrate.fold_udf("id").alias("fold"))
+
+
+@add("""WITH b AS (SELECT chunk_id, list_prepend(14695981039346656037::UHUGEINT, list_transform(string_split(md5(coalesce(text, '')), ''), lambda c: ord(c)::UHUGEINT)) AS x FROM corpus)
+SELECT chunk_id, lpad(lower(to_hex(list_reduce(x, lambda h, c: (xor(h, c) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT)), 16, '0') AS key FROM b""")
+def rnk_18_keys(spark: SparkSession, d: str) -> DataFrame:
+    """64-bit keys of what chunks hold."""
+    return table(spark, d, "corpus").select("chunk_id", calibrate.fnv64_udf(F.md5(F.coalesce("text", F.lit("")))).alias("key"))
+
+
+@add()
+def rnk_17_keys(spark: SparkSession, d: str) -> DataFrame:
+    """128-bit keys of ids."""
+    return table(spark, d, "convert_hf").select("record_no", calibrate.fnv128_udf("id").alias("key"))
 
 
 # ---- agreement ----
@@ -525,7 +615,6 @@ def evl_21_uniform(spark: SparkSession, d: str) -> DataFrame:
     return x.agg(F.count("*").alias("n"), *(r4(F.avg(c)).alias(n) for c, n in (("correct", "accuracy"), ("kl", "kl"), ("tv", "tv"), ("brier", "brier")))).select(F.lit("uniform").alias("baseline"), "*")
 
 
-@add(f"WITH {CASES_SQL} SELECT record_no, len(regexp_extract_all(state, '[\\p{{L}}\\p{{N}}]+|[^\\s\\p{{L}}\\p{{N}}]'))::INT AS tokens FROM t2 WHERE state IS NOT NULL AND regexp_full_match(state, '[\\x20-\\x7e\\n]*')")
+@add(f"WITH {CASES_SQL} SELECT record_no, len(regexp_extract_all(state, '[\\p{{L}}\\p{{N}}]+|[^ \\t\\n\\v\\f\\r\\p{{L}}\\p{{N}}]'))::INT AS tokens FROM t2")
 def dec_15_state_tokens(spark: SparkSession, d: str) -> DataFrame:
-    c = cases(spark, d).filter(F.col("state").rlike(r"^[\x20-\x7e\n]*\z"))
-    return c.select("record_no", questions.state_tokens(F.col("state")).alias("tokens"))
+    return cases(spark, d).select("record_no", F.when(F.col("state").isNotNull(), questions.state_tokens(F.col("state"))).alias("tokens"))
