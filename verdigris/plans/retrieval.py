@@ -31,11 +31,6 @@ def asked(spark: SparkSession) -> DataFrame:
 # ---- text ----
 
 
-@add()
-def lex_01_terms(spark: SparkSession, d: str) -> DataFrame:
-    return corpus(spark, d).select("doc", F.explode(tx.terms_udf("body")).alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.count_distinct("doc").alias("docs"))
-
-
 _CUT = r"regexp_replace(regexp_replace(s, '(\p{Lu})(\p{Lu}\p{Ll})', '\1' || chr(1) || '\2', 'g'), '([^\p{Lu}' || chr(1) || '])(\p{Lu})', '\1' || chr(1) || '\2', 'g')"
 
 
@@ -62,13 +57,70 @@ def lex_03_runs(spark: SparkSession, d: str) -> DataFrame:
     return r.select("doc_id", F.size("r").alias("runs"), F.md5(F.array_join("r", "|")).alias("said"), F.size(F.filter("r", lambda x: x.rlike(f"^[{tx.CJK}]"))).alias("cjk"))
 
 
-@add()
+# ---- stems in SQL: v marks vowels in the form of a word, c the other letters ----
+
+
+def _form(x: str) -> str:
+    """SQL of the form of a word. A y after a consonant is a vowel, another one a consonant; three rounds settle runs of them."""
+    f = f"translate({x}, 'aeiouvc', 'VVVVVbb')"
+    for _ in range(3):
+        f = f"regexp_replace(regexp_replace(regexp_replace({f}, '([^Vy])y', '\\1V', 'g'), 'Vy', 'VC', 'g'), '^y', 'C')"
+    return f"lower(regexp_replace({f}, '[^V]', 'c', 'g'))"
+
+
+def _vc(x: str, n: int) -> str:
+    return f"regexp_matches({_form(x)}, '{'.*'.join(['vc'] * n)}')"
+
+
+def _short(x: str) -> str:
+    return f"(regexp_matches({_form(x)}, 'cvc$') AND right({x}, 1) NOT IN ('w', 'x', 'y'))"
+
+
+def _stem_steps(words: str) -> str:
+    """SQL of steps z0 .. z9 from a table of words (word) to st (word, stem)."""
+    cut = lambda x, n: f"left({x}, length({x}) - {n})"
+    out = [f"""z0 AS (SELECT word, CASE WHEN ends_with(word, 'sses') OR ends_with(word, 'ies') THEN {cut('word', 2)} WHEN right(word, 1) = 's' AND right(word, 2) NOT IN ('ss', 'us', 'is') THEN {cut('word', 1)} ELSE word END AS w, true AS more FROM {words} WHERE length(word) >= 3)"""]
+    for i in range(4):
+        out.append(f"y{i} AS (SELECT word, w, more, CASE WHEN ends_with(w, 'ed') THEN {cut('w', 2)} WHEN ends_with(w, 'ing') THEN {cut('w', 3)} END AS b FROM z{i})")
+        out.append(f"""z{i + 1} AS (SELECT word, CASE
+    WHEN NOT more THEN w
+    WHEN ends_with(w, 'eed') THEN CASE WHEN {_vc(cut('w', 3), 1)} THEN {cut('w', 1)} ELSE w END
+    WHEN b IS NULL OR NOT contains({_form('b')}, 'v') THEN w
+    WHEN right(b, 2) IN ('at', 'bl', 'iz') THEN b || 'e'
+    WHEN length(b) > 3 AND right(b, 1) = substr(b, -2, 1) AND regexp_matches(b, '[a-z]$') AND right(b, 1) NOT IN ('a', 'e', 'i', 'o', 'u', 'l', 's', 'z', 'f') THEN {cut('b', 1)}
+    WHEN {_vc('b', 1)} AND NOT {_vc('b', 2)} AND {_short('b')} THEN b || 'e' ELSE b END AS w,
+  more AND NOT ends_with(w, 'eed') AND b IS NOT NULL AND contains({_form('b')}, 'v') AND right(b, 2) NOT IN ('at', 'bl', 'iz') AND ((length(b) > 3 AND right(b, 1) = substr(b, -2, 1) AND regexp_matches(b, '[a-z]$') AND right(b, 1) NOT IN ('a', 'e', 'i', 'o', 'u', 'l', 's', 'z', 'f')) OR ends_with(b, 'eed')) AS more FROM y{i})""")
+    out.append(f"z5 AS (SELECT word, CASE WHEN right(w, 1) = 'y' AND contains({_form(cut('w', 1))}, 'v') THEN {cut('w', 1)} || 'i' ELSE w END AS w FROM z4)")
+    e = cut("w", 1)
+    out.append(f"z6 AS (SELECT word, CASE WHEN right(w, 1) = 'e' AND ({_vc(e, 2)} OR ({_vc(e, 1)} AND NOT {_short(e)})) THEN {e} ELSE w END AS w FROM z5)")
+    out.append(f"st AS (SELECT word, CASE WHEN ends_with(w, 'll') AND {_vc('w', 2)} THEN {e} ELSE w END AS stem FROM z6 UNION ALL SELECT word, word FROM {words} WHERE length(word) < 3)")
+    return ",\n".join(out)
+
+
+@add(f"WITH wd AS (SELECT DISTINCT unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS word FROM corpus), {_stem_steps('wd')} SELECT word, stem FROM st")
 def lex_08_stems(spark: SparkSession, d: str) -> DataFrame:
     """Stems of the corpus' distinct lower-case words."""
     w = corpus(spark, d).select(F.explode(F.regexp_extract_all(F.lower(F.coalesce("body", F.lit(""))), F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
     return w.select("word", tx.stem_udf("word").alias("stem"))
 
 
+_STOPPED = ", ".join(f"'{w}'" for w in tx.STOPWORDS.split())
+
+
+@add(f"""WITH rn AS (SELECT doc, run, count(*) AS times FROM (SELECT chunk_id AS doc, unnest(regexp_extract_all(regexp_replace(text, '([{_CJK}]+)', chr(1) || '\\1' || chr(1), 'g'), '[\\p{{L}}\\p{{N}}_]+')) AS run FROM corpus WHERE text IS NOT NULL) GROUP BY doc, run),
+ru AS (SELECT DISTINCT run AS s FROM rn),
+pt AS (SELECT s AS run, list_filter(flatten(list_transform(string_split(s, '_'), lambda s: string_split({_CUT}, chr(1)))), lambda x: x <> '') AS parts FROM ru WHERE NOT regexp_matches(s, '^[{_CJK}]')),
+pa AS (SELECT run, i, lower(p) AS p FROM (SELECT run, unnest(parts) AS p, generate_subscripts(parts, 1) AS i FROM pt) WHERE strlen(p) >= 2 AND lower(p) NOT IN ({_STOPPED})),
+wd AS (SELECT DISTINCT p AS word FROM pa WHERE regexp_full_match(p, '[a-z0-9]+')), {_stem_steps('wd')},
+tm AS (SELECT run, coalesce(stem, p) AS term FROM pa LEFT JOIN st ON word = p
+  UNION ALL SELECT run, lower(array_to_string(parts, '')) FROM pt WHERE len(parts) > 1 AND length(array_to_string(parts, '')) >= 3
+  UNION ALL SELECT s, unnest(CASE WHEN length(s) = 1 THEN [s] ELSE list_transform(range(1, length(s)), lambda i: substr(s, i, 2)) END) FROM ru WHERE regexp_matches(s, '^[{_CJK}]'))
+SELECT term, sum(times)::BIGINT AS n, count(DISTINCT doc) AS docs FROM rn JOIN tm USING (run) GROUP BY term""")
+def lex_01_terms(spark: SparkSession, d: str) -> DataFrame:
+    """How often each term of the full analyser occurs, and in how many chunks."""
+    return corpus(spark, d).select("doc", F.explode(tx.terms_udf("body")).alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.count_distinct("doc").alias("docs"))
+
+
 @add()
 def lex_22_shingles(spark: SparkSession, d: str) -> DataFrame:
     """Distinct 5-word shingles of every text in its decomposed form, which SQL lacks."""
@@ -76,11 +128,45 @@ def lex_22_shingles(spark: SparkSession, d: str) -> DataFrame:
     return c.select("doc", F.size(tx.shingles(tx.norm_text(F.col("body")))).alias("shingles"))
 
 
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    """All documents as files: half of the sources are prose."""
+    return table(spark, d, "documents").select(F.concat_ws("", F.coalesce("source", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), F.when(F.col("source").isin("readme", "changelog", "howto", "glossary"), ".md").otherwise(".py")).alias("path"), "text")
+
+
+# A chunker in SQL: lines, headings (marked ones, and titles over a rule, outside fences), blocks, units, cells, and one pass
+# over the cells of a file. First and last lines count from 1.
+_SPANS = rf"""WITH dc AS (SELECT coalesce(source, 'none') || '/' || doc_id || CASE WHEN source IN ('readme', 'changelog', 'howto', 'glossary') THEN '.md' ELSE '.py' END AS path, source IN ('readme', 'changelog', 'howto', 'glossary') AND source IS NOT NULL AS prose, regexp_replace(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), chr(13) || '$', ''), '\n$', '') AS text FROM documents WHERE text IS NOT NULL AND text <> ''),
+l0 AS (SELECT path, prose, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line FROM dc),
+l1 AS (SELECT *, regexp_matches(line, '[^\t\n\v\f\r\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}]') AS full_, length(replace(regexp_extract(line, '^[\t\n\v\f\r\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}]*'), chr(9), '    ')) AS indent, prose AND regexp_matches(line, '^\s*(```|~~~)') AS fence, regexp_full_match(line, '(={{3,}}|-{{3,}})\s*') AS rule_, regexp_full_match(line, '#{{1,6}}[ \t]\s*\S.*') AS marked FROM l0),
+l2 AS (SELECT *, sum(fence::INT) OVER (PARTITION BY path ORDER BY i) AS fences, lead(rule_) OVER (PARTITION BY path ORDER BY i) AS next_rule, lag(rule_) OVER (PARTITION BY path ORDER BY i) AS last_rule, sum(length(line) + 1) OVER (PARTITION BY path ORDER BY i) AS ends FROM l1),
+l3 AS (SELECT *, prose AND full_ AND NOT fence AND fences % 2 = 0 AND (marked OR (NOT rule_ AND coalesce(next_rule, false))) AS head FROM l2),
+b0 AS (SELECT *, i - lag(i, 1, -9) OVER (PARTITION BY path ORDER BY i) > 1 OR head AS begins, min(indent) OVER (PARTITION BY path) AS least_ FROM l3 WHERE full_),
+b1 AS (SELECT *, sum(begins::INT) OVER (PARTITION BY path ORDER BY i) AS block FROM b0),
+b2 AS (SELECT path, prose, block, min(i) AS s, max(i) AS e, arg_min(head, i) AS head, arg_min(indent, i) AS indent, any_value(least_) AS least_, arg_min(regexp_matches(ltrim(line, ' ' || chr(9)), '^([}})\]]|</|(end|fi|done|esac)\b)'), i) AS closes FROM b1 GROUP BY path, prose, block),
+b3 AS (SELECT *, sum((block = 1 OR head OR (NOT prose AND indent = least_ AND NOT closes))::INT) OVER (PARTITION BY path ORDER BY block) AS unit FROM b2),
+sz AS (SELECT path, i, ends FROM l2 UNION ALL SELECT DISTINCT path, 0, 0 FROM l2),
+bz AS (SELECT b3.*, e.ends - 1 - s0.ends AS n FROM b3 JOIN sz e ON e.path = b3.path AND e.i = b3.e JOIN sz s0 ON s0.path = b3.path AND s0.i = b3.s - 1),
+uz AS (SELECT path, unit, min(s) AS us, max(e) AS ue, bool_or(head AND s = us0) AS uhead FROM (SELECT *, min(s) OVER (PARTITION BY path, unit) AS us0 FROM bz) GROUP BY path, unit),
+uf AS (SELECT uz.*, us = ue OR (ue - us < 60 AND e.ends - 1 - s0.ends <= 1600) AS fits FROM uz JOIN sz e ON e.path = uz.path AND e.i = ue JOIN sz s0 ON s0.path = uz.path AND s0.i = us - 1),
+ce AS (SELECT path, us AS s, ue AS e, NOT coalesce(lag(fits) OVER (PARTITION BY path ORDER BY unit), true) AS apart, uhead AS heads, fits FROM uf),
+c1 AS (SELECT path, s, e, apart, heads FROM ce WHERE fits
+  UNION ALL SELECT bz.path, bz.s, bz.e, bz.s = us, false FROM bz JOIN uf USING (path, unit) WHERE NOT fits AND bz.e - bz.s < 60 AND bz.n <= 1600
+  UNION ALL SELECT bz.path, g.i, g.i, g.i = bz.s, false FROM bz JOIN uf USING (path, unit), LATERAL (SELECT unnest(range(bz.s, bz.e + 1)) AS i) g WHERE NOT fits AND NOT (bz.e - bz.s < 60 AND bz.n <= 1600)),
+cl AS (SELECT c1.path, list({{'s': c1.s, 'e': c1.e, 'apart': apart, 'heads': heads, 'a': s0.ends, 'z': e.ends, 'out': []::STRUCT(s BIGINT, e BIGINT)[]}} ORDER BY c1.s) AS x FROM c1 JOIN sz e ON e.path = c1.path AND e.i = c1.e JOIN sz s0 ON s0.path = c1.path AND s0.i = c1.s - 1 GROUP BY c1.path),
+rd AS (SELECT path, list_reduce(x, lambda h, c: CASE WHEN NOT c.apart AND NOT (c.heads AND h.e - h.s + 1 >= 5) AND c.e - h.s < 60 AND c.z - 1 - h.a <= 1600 THEN {{'s': h.s, 'e': c.e, 'apart': h.apart, 'heads': h.heads, 'a': h.a, 'z': c.z, 'out': h.out}} ELSE {{'s': c.s, 'e': c.e, 'apart': c.apart, 'heads': c.heads, 'a': c.a, 'z': c.z, 'out': list_append(h.out, {{'s': h.s, 'e': h.e}})}} END) AS h FROM cl)
+SELECT path, u.s::INT AS start, u.e::INT AS "end" FROM (SELECT path, unnest(list_append(h.out, {{'s': h.s, 'e': h.e}})) AS u FROM rd)"""
+
+
+@add(_SPANS)
+def txt_01_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Where all documents, as files, are cut into chunks."""
+    return chunks.split_files(_files(spark, d)).select("path", "start", "end")
+
+
 @add()
 def txt_01_chunks(spark: SparkSession, d: str) -> DataFrame:
     """All documents as files, cut into chunks."""
-    f = table(spark, d, "documents").select(F.concat_ws("", F.coalesce("source", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), F.when(F.col("source").isin("readme", "changelog", "howto", "glossary"), ".md").otherwise(".py")).alias("path"), "text")
-    return chunks.split_files(f)
+    return chunks.split_files(_files(spark, d))
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
@@ -317,6 +403,17 @@ def tre_04_previews(spark: SparkSession, d: str) -> DataFrame:
     return c.select("doc", descend.pack_column(F.split("body", "\n")).alias("preview"))
 
 
+@add(r"SELECT chunk_id AS doc, md5(array_to_string(list_filter(list_transform(flatten(list_transform(flatten(list_transform(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_\x27]+'), lambda r: string_split(trim(r, chr(39)), '_'))), lambda s: string_split(" + _CUT + r", chr(1)))), lambda w: lower(w)), lambda w: w <> '' AND NOT regexp_full_match(w, '[0-9]+')), ' ')) AS words FROM corpus")
+def tre_12_words(spark: SparkSession, d: str) -> DataFrame:
+    """The plain words of every chunk."""
+
+    @F.pandas_udf(T.StringType())
+    def said(text):
+        return text.map(lambda t: " ".join(descend.words(t or "")))
+
+    return spread(corpus(spark, d)).select("doc", F.md5(said("body")).alias("words"))
+
+
 @add()
 def tre_10_scrub(spark: SparkSession, d: str) -> DataFrame:
     """Plain words of every chunk, and how many of its lines are only comment."""
