@@ -97,10 +97,11 @@ def join_11_shards(spark: SparkSession, d: str) -> DataFrame:
 # ---- duplicates and contamination ----
 
 
-@add("SELECT least_id AS keep, count(*) AS n FROM (SELECT min(record_no) OVER (PARTITION BY sha256(state)) AS least_id FROM convert_hf WHERE state IS NOT NULL) GROUP BY 1")
-def prp_01_exact_copies(spark: SparkSession, d: str) -> DataFrame:
-    g = hf(spark, d).filter("state is not null").groupBy(F.sha2("state", 256).alias("h")).agg(F.min("record_no").alias("keep"), F.count("*").alias("n"))
-    return g.select("keep", "n")
+@add("SELECT p_partkey AS id, min(p_partkey) OVER (PARTITION BY lower(p_brand || ' ' || p_type)) AS keep, 0::BIGINT AS links FROM part")
+def prp_01_short_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of fewer than five words are near-duplicates only if they are alike."""
+    p = table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_brand", "p_type").alias("text"))
+    return prepare.near_duplicates(p, "p_partkey", "text")
 
 
 @add()
@@ -241,10 +242,13 @@ def srt_08_batches(spark: SparkSession, d: str) -> DataFrame:
     return prepare.length_batches(t, 32, "n", "doc_id").select("doc_id", "batch")
 
 
-@add("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+@add(f"WITH {CASES_SQL} SELECT DISTINCT c.id, CASE WHEN t2.state IS NULL THEN 'noprompt' ELSE 'kept' END AS verdict FROM convert_hf c JOIN t2 USING (record_no) WHERE coalesce(c.id, '') NOT IN (SELECT coalesce(id, '-') FROM convert_hf WHERE record_no % 5 = 0) AND NOT starts_with(coalesce(c.source, ''), 'gen')")
 def anti_02_drop_list(spark: SparkSession, d: str) -> DataFrame:
-    drop = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, d, "orders").join(drop, "o_orderkey", "left_anti").select("o_orderkey")
+    """Rows to export without dropped ids and sources; a case without a state has no prompt."""
+    c = cases(spark, d)
+    drop = c.filter("record_no % 5 = 0").select("id")
+    prompts = c.filter("state is not null").select("id", F.col("state").alias("prompt")).dropDuplicates(["id"])
+    return prepare.export_rows(c, prompts, drop, ("gen",)).select("id", F.when(F.col("verdict") == "noprompt", "noprompt").otherwise("kept").alias("verdict")).distinct()
 
 
 @add("SELECT p_brand, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)) * 1e2) / 1e2 AS revenue FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand")

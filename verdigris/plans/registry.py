@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verdigris.plans import decide, drift, prepare, retrieval
+from verdigris.plans import decide, drift, files, prepare, retrieval
 
 
 def _parts() -> list:
-    return [decide.R, retrieval.R, prepare.R]
+    return [decide.R, retrieval.R, prepare.R, files.R]
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
