@@ -442,7 +442,7 @@ def stratified_splits(rows: DataFrame, share: float = 0.05, floor: int = 10, fro
             have = mine.join(assigned.filter(F.col("fold") == fold), "group_key", "left_semi").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
             if have >= quota:
                 continue
-            free = mine.join(assigned.select("group_key"), "group_key", "left_anti").withColumn("h", F.xxhash64("group_key", F.lit(seed), F.lit(fold)))
+            free = mine.join(assigned.select("group_key"), "group_key", "left_anti").withColumn("h", F.md5(F.concat_ws(":", "group_key", F.lit(str(seed)), F.lit(fold))))
             run = running(free, ["h", "group_key"], "n")
             new = run.filter(F.col("before") < quota - have).select("group_key", F.lit(fold).alias("fold"))
             assigned = stored(assigned.unionByName(new), "assigned")
@@ -464,7 +464,7 @@ def permuted(rows: DataFrame, n: int, seed: int = 17) -> DataFrame:
     """(id, copy, options): n copies of each case's options (array column) in different orders, hash-driven, distinct orders
     only; options with fewer than two entries give none."""
     c = rows.filter(F.size("options") > 1).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    order = F.sort_array(F.transform("options", lambda o, i: F.struct(F.xxhash64(F.lit(seed), "id", "copy", i).alias("h"), o.alias("o"))))
+    order = F.sort_array(F.transform("options", lambda o, i: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"), F.col("copy").cast("string"), i.cast("string"))).alias("h"), o.alias("o"))))
     return c.select("id", "copy", F.transform(order, lambda x: x["o"]).alias("options")).dropDuplicates(["id", "options"])
 
 

@@ -64,7 +64,7 @@ def src_10_options(spark: SparkSession, d: str) -> DataFrame:
     return readers.options_case(e).select("id", F.get_json_object("expect", "$.choice").alias("label"))
 
 
-@add()
+@add(f"SELECT record_no, license FROM convert_hf WHERE NOT regexp_matches(lower(license), '{'|'.join(prepare.DENIED)}') AND trim(string_split(lower(license), '(')[1]) IN ({_LICENSES}) ORDER BY md5('17:' || record_no), record_no LIMIT 100")
 def src_09_licensed_sample(spark: SparkSession, d: str) -> DataFrame:
     return readers.licensed_sample(hf(spark, d), 100, key="record_no").select("record_no", "license")
 
@@ -75,9 +75,13 @@ def src_11_capped(spark: SparkSession, d: str) -> DataFrame:
     return readers.capped(c, ["family"], 50, key="record_no").groupBy("family").agg(F.count("*").alias("n"))
 
 
-@add()
+_STATEMENTS = """WITH s AS (SELECT record_no, id, split_part(coalesce(source, 'none'), '/', 1) AS subset, coalesce((expect::JSON)->>'boolean', 'unknown') AS label FROM convert_hf WHERE state IS NOT NULL)
+SELECT record_no::VARCHAR AS id, 'trilemma/' || subset AS source, CASE label WHEN 'unknown' THEN '{"status": "abstained"}' ELSE '{"boolean": ' || label || '}' END AS expect FROM (SELECT *, row_number() OVER (PARTITION BY subset, label ORDER BY md5('17:' || record_no), record_no::VARCHAR) AS r FROM s) WHERE r <= 40"""
+
+
+@add(_STATEMENTS)
 def src_13_statements(spark: SparkSession, d: str) -> DataFrame:
-    s = hf(spark, d).filter("state is not null").select("id", F.split_part(F.coalesce("source", F.lit("none")), F.lit("/"), F.lit(1)).alias("subset"), F.col("state").alias("statement"), F.when(F.get_json_object("expect", "$.boolean").isNotNull(), F.get_json_object("expect", "$.boolean")).otherwise("unknown").alias("label"))
+    s = hf(spark, d).filter("state is not null").select(F.col("record_no").cast("string").alias("id"), F.split_part(F.coalesce("source", F.lit("none")), F.lit("/"), F.lit(1)).alias("subset"), F.col("state").alias("statement"), F.when(F.get_json_object("expect", "$.boolean").isNotNull(), F.get_json_object("expect", "$.boolean")).otherwise("unknown").alias("label"))
     return readers.statements(s, 40).select("id", "source", "expect")
 
 
@@ -131,7 +135,17 @@ def _evals(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "typed_decisions").filter("split = 'test'").select(F.col("id").alias("eval_id"), "state").dropDuplicates(["eval_id", "state"])
 
 
-@add()
+_NORM = "array_to_string(regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+'), ' ')"
+_GRAMS = "CASE WHEN len(string_split({0}, ' ')) < 5 THEN [{0}] ELSE list_distinct(list_transform(range(1, len(string_split({0}, ' ')) - 3), lambda i: array_to_string(string_split({0}, ' ')[i:i + 4], ' '))) END"
+_CONTAMINATED = f"""WITH c AS (SELECT * FROM (SELECT doc_id AS id, {_NORM.format('text')} AS t FROM documents) WHERE length(t) >= 15),
+e AS (SELECT * FROM (SELECT DISTINCT id AS eval_id, {_NORM.format('state')} AS t FROM typed_decisions WHERE split = 'test') WHERE length(t) >= 15),
+cg AS (SELECT id, unnest(s) AS g, len(s) AS n FROM (SELECT id, {_GRAMS.format('t')} AS s FROM c WHERE length(t) >= 60)),
+eg AS (SELECT eval_id, unnest(s) AS g, len(s) AS m FROM (SELECT eval_id, {_GRAMS.format('t')} AS s FROM e)),
+nr AS (SELECT id, eval_id FROM cg JOIN eg USING (g) GROUP BY id, eval_id, n, m HAVING count(*) / (n + m - count(*)) >= 0.5)
+SELECT id, eval_id FROM nr UNION SELECT id, eval_id FROM c, e WHERE contains(e.t, c.t) OR (contains(c.t, e.t) AND (length(c.t) < 60 OR length(e.t) >= 30))"""
+
+
+@add(_CONTAMINATED)
 def prp_04_contaminated(spark: SparkSession, d: str) -> DataFrame:
     """Documents that repeat a held-out state."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("state"))
@@ -183,13 +197,17 @@ def prp_23_question_first(spark: SparkSession, d: str) -> DataFrame:
     return hf(spark, d).filter("id is not null").select("record_no", prepare.wants_question_first(F.col("id"), 0.3, none).alias("chosen"))
 
 
-@add()
+@add("""WITH c AS (SELECT record_no AS id, CASE json_type(q->'criteria') WHEN 'OBJECT' THEN json_keys(q->'criteria') ELSE json_extract_string(q, '$.criteria[*]') END AS o FROM (SELECT record_no, question::JSON AS q FROM convert_hf WHERE json_valid(question)) WHERE q->>'type' = 'choice'),
+e AS (SELECT id, copy, unnest(o) AS x, generate_subscripts(o, 1) - 1 AS i FROM c, generate_series(1, 3) s(copy) WHERE len(o) > 1),
+p AS (SELECT id, copy, string_agg(x, '|' ORDER BY md5('17:' || id || ':' || copy || ':' || i), x) AS options FROM e GROUP BY id, copy)
+SELECT id, options, count(*) > 0 AS kept FROM p GROUP BY id, options""")
 def prp_21_permuted(spark: SparkSession, d: str) -> DataFrame:
     c = cases(spark, d).filter("q.qtype = 'choice'").select(F.col("record_no").alias("id"), F.transform("q.criteria", lambda x: F.coalesce(x["key"], x["text"])).alias("options"))
-    return prepare.permuted(c, 3).select("id", "copy", F.array_join("options", "|").alias("options"))
+    return prepare.permuted(c, 3).select("id", F.array_join("options", "|").alias("options"), F.lit(True).alias("kept"))
 
 
-@add()
+@add("""WITH v AS (SELECT doc_id AS case_id, greatest(abusive, hateful, sexual) AS y FROM review_labels)
+SELECT case_id, count(*) AS voices, min(y) = max(y) AS agree, CASE WHEN avg(y) >= 0.5 THEN 'yes' ELSE 'no' END AS label FROM v WHERE y IS NOT NULL AND case_id IS NOT NULL GROUP BY case_id""")
 def prp_25_labels(spark: SparkSession, d: str) -> DataFrame:
     """Reviewers of a document as voices, averaged."""
     y = F.greatest("abusive", "hateful", "sexual")
@@ -210,14 +228,29 @@ def prp_07_strata(spark: SparkSession, d: str) -> DataFrame:
     return _split_rows(spark, d).groupBy("stratum").agg(F.count("*").alias("n"))
 
 
-@add()
+def _split_steps() -> str:
+    """SQL of the folds: strata by size, dev and then holdout of each, groups in the order of a digest."""
+    out = ["""WITH rw AS (SELECT 'state:' || sha256(state) AS group_key, question::JSON->>'type' AS stratum FROM convert_hf WHERE state IS NOT NULL AND json_valid(question)),
+g AS (SELECT group_key, stratum, count(*) AS n FROM rw GROUP BY ALL),
+sr AS (SELECT stratum, greatest(1, floor(0.05 * sum(n) + 0.5)) AS quota, row_number() OVER (ORDER BY sum(n), stratum) AS k FROM g GROUP BY stratum HAVING sum(n) >= 10),
+a0 AS (SELECT group_key, '' AS fold FROM g WHERE false)"""]
+    for i in range(10):
+        fold = ("dev", "holdout")[i % 2]
+        out.append(f"""m{i} AS (SELECT g.*, quota FROM g JOIN sr USING (stratum) WHERE k = {i // 2 + 1}),
+f{i} AS (SELECT group_key, quota, coalesce(sum(n) OVER (ORDER BY md5(group_key || ':17:{fold}'), group_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM m{i} WHERE group_key NOT IN (SELECT group_key FROM a{i})),
+a{i + 1} AS (SELECT * FROM a{i} UNION ALL SELECT group_key, '{fold}' FROM f{i} WHERE before < quota - (SELECT coalesce(sum(n), 0) FROM m{i} WHERE group_key IN (SELECT group_key FROM a{i} WHERE fold = '{fold}')))""")
+    out.append("sp AS (SELECT b.group_key, coalesce(fold, 'train') AS fold FROM (SELECT DISTINCT group_key FROM g) b LEFT JOIN a10 USING (group_key))")
+    return ",\n".join(out)
+
+
+@add(f"{_split_steps()} SELECT * FROM sp")
 def prp_06_splits(spark: SparkSession, d: str) -> DataFrame:
     """Stratified splits over the type strata, whole states at a time."""
     rows = _split_rows(spark, d).withColumn("stratum", F.split_part("stratum", F.lit("|"), F.lit(2)))
     return prepare.stratified_splits(rows)
 
 
-@add()
+@add(f"{_split_steps()} SELECT sum((fold = 'train')::INT)::BIGINT AS train, sum((fold = 'dev')::INT)::BIGINT AS dev, sum((fold = 'holdout')::INT)::BIGINT AS holdout, count(*) AS rows, 0::BIGINT AS torn_groups FROM rw JOIN sp USING (group_key)")
 def prp_12_preflight(spark: SparkSession, d: str) -> DataFrame:
     rows = stored(_split_rows(spark, d).withColumn("stratum", F.split_part("stratum", F.lit("|"), F.lit(2))), "rows")
     s = prepare.stratified_splits(rows)

@@ -330,7 +330,9 @@ def lex_19_window(spark: SparkSession, d: str) -> DataFrame:
     return lexical.best_window(x, 6, ["doc"], "i").select("doc", "line", "marks")
 
 
-@add()
+@add(r"""WITH l AS (SELECT chunk_id AS doc, generate_subscripts(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), 1) AS i, unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) AS x FROM corpus WHERE text IS NOT NULL),
+f AS (SELECT *, min(CASE WHEN trim(x) <> '' THEN length(x) - length(ltrim(x)) END) OVER (PARTITION BY doc) AS pad FROM l WHERE i <= 6)
+SELECT doc, string_agg(lpad(i::VARCHAR, 5, ' ') || ' | ' || substr(x, coalesce(pad, 0) + 1), chr(10) ORDER BY i) AS snippet FROM f GROUP BY doc""")
 def lex_20_snippets(spark: SparkSession, d: str) -> DataFrame:
     c = corpus(spark, d).filter("body is not null")
     return c.select("doc", lexical.snippet(F.col("body"), F.lit(1), F.lit(1), 6).alias("snippet"))

@@ -237,14 +237,19 @@ def options_case(rows: DataFrame) -> DataFrame:
     return rows.select("id", "state", question.alias("question"), F.concat(F.lit('{"choice": '), json_text(F.get(kv, best)["k"]), F.lit("}")).alias("expect"), F.to_json(F.struct(normalise(F.col("target")).alias("options"))).alias("soft"))
 
 
+def drawn(seed: int, *keys: str) -> Column:
+    """An order that depends on nothing but the keys and the seed, in any engine."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys)))
+
+
 def licensed_sample(rows: DataFrame, n: int, seed: int = 17, key: str = "id") -> DataFrame:
     """n rows with a permissive license, chosen by a hash: a sample that doesn't depend on the order of files."""
-    return rows.filter(license_ok(F.col("license"))).orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    return rows.filter(license_ok(F.col("license"))).orderBy(drawn(seed, key), key).limit(n)
 
 
 def capped(rows: DataFrame, by: list[str], n: int, seed: int = 17, key: str = "id") -> DataFrame:
     """At most n rows per group, chosen by a hash."""
-    w = Window.partitionBy(*by).orderBy(F.xxhash64(F.lit(seed), key), key)
+    w = Window.partitionBy(*by).orderBy(drawn(seed, key), key)
     return rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
 
 
