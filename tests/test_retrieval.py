@@ -445,14 +445,75 @@ def test_stream_memo(spark, tmp_path):
     from verdigris.streaming import stream
 
     src, memo, out = (str(tmp_path / x) for x in ("in", "memo", "out"))
-    for k in range(2):
-        spark.createDataFrame([(k, "same"), (10 + k, "s" + str(k))], "event_id long, state string").coalesce(1).write.mode("append").json(src)
+    for k in range(4):
+        spark.createDataFrame([(k, "same" if k < 2 else "other"), (10 + k, "s" + str(k))], "event_id long, state string").coalesce(1).write.mode("append").json(src)
         s = spark.readStream.schema("event_id long, state string").json(src)
-        stream.decide_with_memo(s, plans._questions(spark), HashLogits(), memo, out, str(tmp_path / "c")).awaitTermination(120)
-    assert spark.read.parquet(out).count() == 8 and spark.read.parquet(memo).count() == 6
+        stream.decide_with_memo(s, plans._questions(spark), HashLogits(), memo, out, str(tmp_path / "c"), keep=1).awaitTermination(120)
+    assert spark.read.parquet(out).count() == 16
+    # the last batch and the one before it: what only older ones used is forgotten
+    held = spark.read.parquet(memo)
+    assert {r["batch"] for r in held.select("batch").distinct().collect()} == {2, 3} and held.select("key").distinct().count() == 6
 
 
 
+def serve(handler):
+    """A local HTTP server; answers of handler(path, body) are JSON, an int is an error code."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            out = handler(self.path, json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            if isinstance(out, int):
+                self.send_error(out)
+                return
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(out).encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    return server
+
+
+def test_evaluation_by_url(spark):
+    from verdigris.operators import remote
+
+    seen = []
+
+    def answer(path, body):
+        seen.append(body)
+        if len(seen) == 1:
+            return 503  # is asked again
+        yes = "late" in json.dumps(body["state"])
+        return {"answers": {"q": {"status": "decided", "confidence": 0.8, "boolean": yes, "choice": "yes" if yes else "no", "probabilities": {"yes": 0.9 if yes else 0.1, "no": 0.1 if yes else 0.9}}}} if path == "/v1/systemone" else 404
+
+    server = serve(answer)
+    q = '{"type": "boolean", "instructions": "Is it late?"}'
+    rows = [("a", "it came late", q, '{"boolean": true}', False), ("b", '{"text": "on time"}', q, '{"boolean": true}', None), ("c", "late too", q, '{"status": "abstained"}', True)]
+    cases = spark.createDataFrame(rows, "case_id string, state string, question string, expect string, requires_abstain boolean").coalesce(1)
+    url = f"http://127.0.0.1:{server.server_port}/"
+    rep, cons = remote.evaluate_url(cases, url, no_abstain=True)
+    got = {r["case_id"]: (r["ok"], r["answer"]) for r in rep.collect()}
+    assert got == {"a": (True, "yes"), "b": (False, "no"), "c": (None, "skipped")}
+    assert {"base", "all"} & {r["kind"] for r in cons.collect()} == {"all"} and cons.filter("kind = 'all'").first()["n"] == 4
+    assert any(b["state"] == {"text": "on time"} for b in seen) and all(b["layout"] == "auto" and b["mode"] == "shared" for b in seen)
+    with pytest.raises(Exception, match="404"):
+        remote.decide_url(spark.createDataFrame([("a", "s", q, "auto", "probes")], "req_id string, state string, question string, layout string, expand string"), url + "elsewhere").collect()
+    server.shutdown()
+
+
+def test_prefix_groups(spark):
+    from verdigris.operators import remote
+
+    rows = [("r", t) for t in ("state one question b", "state one question a", "state two", "other", "")] + [("s", "state one question a")]
+    got = {(r["g"], r["prompt"]): (r["place"], r["shared"], r["run"]) for r in remote.prefix_groups(spark.createDataFrame(rows, "g string, prompt string"), ["g"], least=8).collect()}
+    assert got == {("r", ""): (1, 0, 1), ("r", "other"): (2, 0, 2), ("r", "state one question a"): (3, 0, 3), ("r", "state one question b"): (4, 19, 3), ("r", "state two"): (5, 6, 4), ("s", "state one question a"): (1, 0, 1)}
+
+
 def test_sql_registration(spark):
     from verdigris.functions.register import register
 

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from verdigris.functions import text as tx
 from verdigris.functions.prob import r6
-from verdigris.operators import chunks, descend, lexical, search
+from verdigris.operators import chunks, descend, lexical, remote, search
 from verdigris.plans.common import HASHED_SQL, Registry, hashed
 from verdigris.session import spread, stored, table
 
@@ -588,3 +588,12 @@ _EVAL = _RANKS.replace(_PAIR.format("query_id || ':' || doc"), _PAIR.format("que
 def rnk_13_eval(spark: SparkSession, d: str) -> DataFrame:
     cases = asked(spark).withColumn("kind", F.when(F.col("query_id") % 2 == 0, "concept").otherwise("lexical"))
     return _summed(search.run_eval(stored(corpus(spark, d), "chunks"), cases, _anchors(spark, d), lambda x: _score(x, "query_id", "text"), analyse=lexical.simple_terms)[1])
+
+
+@add("""WITH p AS (SELECT chunk_id, path, path || '#' || lpad(chunk_id::VARCHAR, 12, '0') AS t FROM corpus), l AS (SELECT *, row_number() OVER w AS place, lag(t) OVER w AS b FROM p WINDOW w AS (PARTITION BY path ORDER BY t)),
+s AS (SELECT *, CASE WHEN b IS NULL THEN 0 ELSE list_max(list_filter(range(0, length(t) + 1), lambda i: left(t, i) = left(b, i))) END AS shared FROM l)
+SELECT chunk_id, place::INT AS place, shared::INT AS shared, sum((shared < 20)::INT) OVER (PARTITION BY path ORDER BY place)::BIGINT AS run FROM s""")
+def win_08_shared_prefixes(spark: SparkSession, d: str) -> DataFrame:
+    """What neighbouring texts, here the names of each file's chunks, have in common."""
+    c = corpus(spark, d).select(F.col("doc").alias("chunk_id"), "path", F.concat("path", F.lit("#"), F.lpad(F.col("doc").cast("string"), 12, "0")).alias("prompt"))
+    return remote.prefix_groups(c, ["path"], least=20).select("chunk_id", "place", "shared", "run")

@@ -11,6 +11,7 @@ from verdigris.operators.logits import LogitSource, memoised
 from verdigris.operators.questions import parse_question, slots, user_message
 from verdigris.functions.once import once
 from verdigris.functions.prob import softmax
+from verdigris.session import stored
 
 
 def units_of(states: DataFrame, questions: DataFrame) -> DataFrame:
@@ -29,19 +30,30 @@ def decide_stream(states: DataFrame, questions: DataFrame, source: LogitSource,
     return scored.select(*states.columns, "q_name", F.col("q.qtype").alias("qtype"), answer.alias("answer"))
 
 
-def decide_with_memo(states: DataFrame, questions: DataFrame, source: LogitSource, memo_path: str, out_path: str, checkpoint: str) -> StreamingQuery:
-    """Like decide_stream, per micro-batch: prompts that the memo table at memo_path holds aren't scored again."""
+def decide_with_memo(states: DataFrame, questions: DataFrame, source: LogitSource, memo_path: str, out_path: str, checkpoint: str, keep: int = 16) -> StreamingQuery:
+    """Like decide_stream, per micro-batch: prompts that the memo at memo_path holds aren't scored again.
+
+    The memo is one folder per micro-batch, of what that batch used, whether found or scored; the last `keep` folders are
+    read, older ones deleted. So a prompt is forgotten when no batch used it for so long, and the memo is bounded by `keep`
+    batches. Folders are overwritten, so a batch that is tried again leaves the same."""
 
     def batch(df: DataFrame, n: int) -> None:
         spark = df.sparkSession
-        try:
-            memo = spark.read.parquet(memo_path)
-        except Exception:  # the first batch
-            memo = spark.createDataFrame([], "key string, logits array<double>")
-        rows, fresh = memoised(source, units_of(df, questions), memo)
+        jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+        root = jvm.Path(memo_path)
+        fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        held = {int(x.getPath().getName().split("=")[1]): x.getPath() for x in (fs.listStatus(root) if fs.exists(root) else []) if x.getPath().getName().startswith("batch=")}
+        paths = [p.toString() for k, p in held.items() if n - keep <= k < n]
+        schema = "key string, logits array<double>"
+        memo = spark.read.schema(schema).parquet(*paths).dropDuplicates(["key"]) if paths else spark.createDataFrame([], schema)
+        rows, _ = memoised(source, units_of(df, questions), memo)
+        rows = stored(rows.select(*df.columns, "q_name", "q", "slots", "prompt", "logits"), "scored")
         answer = decode(F.col("q.qtype"), F.col("slots"), softmax(F.col("logits")))
-        rows.select(*df.columns, "q_name", F.col("q.qtype").alias("qtype"), answer.alias("answer")).write.mode("append").parquet(f"{out_path}/batch={n}")
-        fresh.write.mode("append").parquet(memo_path)
+        rows.select(*df.columns, "q_name", F.col("q.qtype").alias("qtype"), answer.alias("answer")).write.mode("overwrite").parquet(f"{out_path}/batch={n}")
+        rows.select(F.sha2("prompt", 256).alias("key"), "logits").dropDuplicates(["key"]).write.mode("overwrite").parquet(f"{memo_path}/batch={n}")
+        for k, p in held.items():
+            if k < n - keep:
+                fs.delete(p, True)
 
     return states.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
