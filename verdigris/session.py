@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -57,24 +58,53 @@ def shared_dir(spark: SparkSession) -> str:
     return got.rstrip("/")
 
 
+def session_dir(spark: SparkSession) -> str:
+    """This session's own folder within the shared one, which goes when the program ends."""
+    path = f"{shared_dir(spark)}/verdigris-{spark.sparkContext.applicationId}"
+    if path not in _folders:
+        _folders.add(path)
+        atexit.register(forget, spark)
+    return path
+
+
+_folders: set[str] = set()
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes the tables that this session stored; tables read from them are gone as well. Done at exit, if the session is
+    still running then; a long-lived session calls it between jobs."""
+    if spark.sparkContext._jsc is None:
+        return
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    path = jvm.Path(f"{shared_dir(spark)}/verdigris-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, name: str = "step") -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: the lineage ends there, the step is computed once,
     and a lost executor costs nothing but the running tasks. Unlike a checkpoint the table is compressed, columnar and
-    carries the statistics from which the planner picks join strategies."""
+    carries the statistics from which the planner picks join strategies. It stays until the session ends or forgets it."""
     spark = df.sparkSession
     importable(spark)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Nodes of a plan below which nothing is known of the partitions.
+_MOVES = re.compile(r"^[\s:+\-]*(?:Join|Aggregate|Sort|Window|Distinct|Repartition|Rebalance)", re.M)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A scan whose few files would keep most cores idle, dealt to all of them; for steps that cost far more than moving
-    their rows. Scans with enough splits are left as they are, so at scale nothing is moved."""
+    their rows. Scans with enough splits are left as they are, so at scale nothing is moved; so is what isn't a mere scan,
+    whose partitions can't be told without running it."""
     importable(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores) if 2 * splits < cores else df
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if _MOVES.search(plan.toString()):
+        return df
+    return df.repartition(cores) if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 def repo_root() -> str:
