@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +41,21 @@ def hashed(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("double") / F.lit(2.0**32) * 8 - 4
 
 
+def norm_sql(text: str) -> str:
+    """SQL of functions.text.norm_text: characters that decompose to an ASCII letter or digit and marks become that and a
+    separator, which is what the marks are. The sets come from the Unicode tables."""
+    t = f"lower({text})"
+    low = [c for c in map(chr, range(0xA0, 0xFFFF)) if c.lower() == c and not 0xD800 <= ord(c) < 0xE000]
+    forms = {c: unicodedata.normalize("NFKD", c).lower() for c in low}
+    for ch in "abcdefghijklmnopqrstuvwxyz0123456789":
+        alone = "".join(c for c, d in forms.items() if d == ch)
+        marked = "".join(c for c, d in forms.items() if d[0] == ch and len(d) > 1 and not any(x.isascii() and x.isalnum() for x in d[1:]))
+        for chars, to in ((alone, ch), (marked, ch + " ")):
+            if chars:
+                t = f"regexp_replace({t}, '[{chars}]', '{to}', 'g')"
+    return f"array_to_string(regexp_extract_all({t}, '[a-z0-9]+'), ' ')"
+
+
 HASHED_SQL = "(('0x' || substr(md5({0}), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE * 8 - 4)"
 
 
@@ -103,3 +119,6 @@ tk AS (SELECT jd.record_no, jd.qtype, CASE
     WHEN jd.qtype = 'numeric' AND x_value > mx THEN (SELECT min(i) FROM mp WHERE mp.record_no = jd.record_no AND key = '__above__')
     WHEN jd.qtype = 'numeric' THEN (SELECT arg_min(i, struct_pack(d := abs(mp.v - x_value), i := i)) FROM mp WHERE mp.record_no = jd.record_no AND mp.v IS NOT NULL) END AS y FROM jd JOIN t2 USING (record_no)),
 ds AS (SELECT tk.record_no, tk.qtype, tk.y, arg_max(mp.i, struct_pack(p := mp.p, i := mp.i)) AS top, max(mp.p) AS conf, sum(power(mp.p - CASE WHEN mp.i = tk.y THEN 1 ELSE 0 END, 2)) AS brier FROM tk JOIN mp USING (record_no) WHERE tk.y IS NOT NULL GROUP BY ALL)"""
+
+#: DuckDB: the slots with the texts of numbers (nt).
+SLOTS_SQL = r"""nt AS (SELECT sl.record_no, sl.qtype, pos, CASE WHEN sl.qtype = 'numeric' AND NOT special THEN regexp_replace(v::VARCHAR, '\.0$', '') ELSE key END AS key, CASE WHEN sl.qtype <> 'numeric' OR key = '__abstain__' THEN text WHEN key = '__below__' THEN 'Below ' || regexp_replace(mn::VARCHAR, '\.0$', '') WHEN key = '__above__' THEN 'Above ' || regexp_replace(mx::VARCHAR, '\.0$', '') ELSE regexp_replace(v::VARCHAR, '\.0$', '') END AS text, special FROM sl JOIN t2 USING (record_no))"""

@@ -12,7 +12,7 @@ from verdigris.functions.text import numeric_like, toon_bare, toon_key, toon_str
 from verdigris.functions.toon import toon_udf
 from verdigris.operators import calibrate, decide, metrics, questions
 from verdigris.operators.logits import ColumnLogits, HashLogits, letter_variants, read_row
-from verdigris.plans.common import CASES_SQL, HASHED_SQL, JUDGED_SQL, Registry, answered, cases, hashed
+from verdigris.plans.common import CASES_SQL, HASHED_SQL, JUDGED_SQL, SLOTS_SQL, Registry, answered, cases, hashed
 from verdigris.session import stored, table
 
 R = Registry()
@@ -244,10 +244,7 @@ def sch_09_pins(spark: SparkSession, d: str) -> DataFrame:
 # ---- prompts ----
 
 
-_SLOTS = r"""nt AS (SELECT sl.record_no, sl.qtype, pos, CASE WHEN sl.qtype = 'numeric' AND NOT special THEN regexp_replace(v::VARCHAR, '\.0$', '') ELSE key END AS key, CASE WHEN sl.qtype <> 'numeric' OR key = '__abstain__' THEN text WHEN key = '__below__' THEN 'Below ' || regexp_replace(mn::VARCHAR, '\.0$', '') WHEN key = '__above__' THEN 'Above ' || regexp_replace(mx::VARCHAR, '\.0$', '') ELSE regexp_replace(v::VARCHAR, '\.0$', '') END AS text, special FROM sl JOIN t2 USING (record_no))"""
-
-
-@add(f"WITH {CASES_SQL}, {_SLOTS} SELECT record_no, pos::INT AS pos, chr((65 + pos)::INT) AS letter, key, text, special FROM nt")
+@add(f"WITH {CASES_SQL}, {SLOTS_SQL} SELECT record_no, pos::INT AS pos, chr((65 + pos)::INT) AS letter, key, text, special FROM nt")
 def prm_21_slots(spark: SparkSession, d: str) -> DataFrame:
     return cases(spark, d).select("record_no", F.explode("slots").alias("s")).select("record_no", "s.pos", "s.letter", "s.key", "s.text", "s.special")
 
@@ -258,7 +255,7 @@ def prm_21_anchor_slots(spark: SparkSession, d: str) -> DataFrame:
     return s.select("record_no", "s.pos", F.when(F.col("s.special"), F.col("s.key")).alias("key"), r6(F.col("s.key").try_cast("double")).alias("value"), "s.special")
 
 
-_MSG = _SLOTS + """, o AS (SELECT record_no, string_agg(chr((65 + pos)::INT) || ') ' || text, chr(10) ORDER BY pos) AS lines FROM nt GROUP BY record_no),
+_MSG = SLOTS_SQL + """, o AS (SELECT record_no, string_agg(chr((65 + pos)::INT) || ') ' || text, chr(10) ORDER BY pos) AS lines FROM nt GROUP BY record_no),
 b AS (SELECT t2.record_no, t2.state, 'QUESTION' || chr(10) || CASE WHEN instructions <> '' THEN instructions || chr(10) ELSE '' END || CASE WHEN qtype IN ('boolean', 'noul') THEN 'Answer yes or no.' || chr(10) WHEN qtype = 'numeric' THEN 'Pick the closest value in range [' || regexp_replace(mn::VARCHAR, '\\.0$', '') || ', ' || regexp_replace(mx::VARCHAR, '\\.0$', '') || '], or below/above the range.' || chr(10) ELSE '' END || chr(10) || 'OPTIONS' || chr(10) || o.lines AS block FROM t2 JOIN o USING (record_no) WHERE state IS NOT NULL)"""
 
 

@@ -11,7 +11,8 @@ from verdigris.functions.prob import r6
 from verdigris.functions.text import norm_text, shingles
 from verdigris.operators import prepare
 from verdigris.operators.logits import HashLogits
-from verdigris.plans.common import CASES_SQL, Registry, cases
+from verdigris.operators.questions import FIELDS
+from verdigris.plans.common import CASES_SQL, SLOTS_SQL, Registry, cases, norm_sql
 from verdigris.session import spread, stored, table
 from verdigris.sources import readers
 from verdigris.streaming import stream
@@ -32,7 +33,24 @@ def sch_13_license(spark: SparkSession, d: str) -> DataFrame:
     return hf(spark, d).filter(prepare.license_ok(F.col("license"))).groupBy("license").agg(F.count("*").alias("n"))
 
 
-@add()
+_FIELDS = ", ".join(f"'{k}'" for k in FIELDS)
+_STATUSES = "'abstained', 'decided', 'contested', 'out_of_bounds'"
+_ERRORS = f"""WITH {CASES_SQL},
+b AS (SELECT t2.*, h.id, h.expect, CASE kind WHEN 'OBJECT' THEN len(json_keys(c)) WHEN 'ARRAY' THEN json_array_length(c) ELSE 0 END AS n, CASE kind WHEN 'OBJECT' THEN json_keys(c) WHEN 'ARRAY' THEN json_extract_string(c, '$[*]') END AS ks, ej->>'status' AS s, qtype = 'numeric' AS num, {norm_sql('t2.state')} AS norm FROM t2 JOIN convert_hf h USING (record_no)),
+e AS (SELECT record_no, list_filter([
+  CASE WHEN id IS NULL THEN 'missing id' END, CASE WHEN state IS NULL THEN 'missing state' END, CASE WHEN ej IS NULL OR json_type(ej) <> 'OBJECT' THEN 'expect is no object' END,
+  CASE WHEN qtype IS NULL OR qtype NOT IN ('boolean', 'noul', 'choice', 'score', 'numeric') THEN 'bad type' END, CASE WHEN len(list_filter(json_keys(qj), lambda k: k NOT IN ({_FIELDS}))) > 0 THEN 'extra keys' END,
+  CASE WHEN qtype = 'noul' AND ab THEN 'noul cannot abstain' END, CASE WHEN qtype IN ('choice', 'score') AND n < 2 THEN 'fewer than two criteria' END,
+  CASE WHEN qtype = 'score' AND kind <> 'ARRAY' THEN 'score needs a list' END, CASE WHEN qtype IN ('choice', 'score') AND n + ab::INT > 26 THEN 'too many slots' END,
+  CASE WHEN num AND NOT coalesce(mn < mx, false) THEN 'needs min below max' END, CASE WHEN num AND NOT gr BETWEEN 2 AND 24 THEN 'granularity' END, CASE WHEN num AND anchors + 2 + ab::INT > 26 THEN 'too many anchors' END,
+  CASE WHEN s NOT IN ({_STATUSES}) THEN 'bad status' END, CASE WHEN s = 'abstained' AND NOT ab THEN 'abstained without leave' END,
+  CASE WHEN s IS NULL AND qtype = 'choice' AND NOT coalesce(list_contains(ks, ej->>'choice'), false) THEN 'choice not in criteria' END, CASE WHEN s IS NULL AND qtype IN ('boolean', 'noul') AND ej->>'boolean' IS NULL THEN 'no boolean' END,
+  CASE WHEN s IS NULL AND qtype = 'score' AND NOT coalesce((ej->>'level')::INT >= 0 AND (ej->>'level')::INT < n, false) THEN 'level out of range' END, CASE WHEN s IS NULL AND num AND NOT coalesce((ej->>'value')::DOUBLE BETWEEN mn AND mx, false) THEN 'value out of range' END,
+  CASE WHEN norm = '' THEN 'empty state' END, CASE WHEN norm <> '' AND length(norm) < 15 THEN 'state too short' END], lambda x: x IS NOT NULL) AS errors FROM b)
+SELECT record_no, array_to_string(errors, '; ') AS errors FROM e"""
+
+
+@add(_ERRORS)
 def sch_07_case_errors(spark: SparkSession, d: str) -> DataFrame:
     c = cases(spark, d)
     return c.select("record_no", F.array_join(prepare.case_errors(F.col("q"), F.col("e"), F.col("state"), F.col("id")), "; ").alias("errors"))
@@ -135,10 +153,9 @@ def _evals(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "typed_decisions").filter("split = 'test'").select(F.col("id").alias("eval_id"), "state").dropDuplicates(["eval_id", "state"])
 
 
-_NORM = "array_to_string(regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+'), ' ')"
 _GRAMS = "CASE WHEN len(string_split({0}, ' ')) < 5 THEN [{0}] ELSE list_distinct(list_transform(range(1, len(string_split({0}, ' ')) - 3), lambda i: array_to_string(string_split({0}, ' ')[i:i + 4], ' '))) END"
-_CONTAMINATED = f"""WITH c AS (SELECT * FROM (SELECT doc_id AS id, {_NORM.format('text')} AS t FROM documents) WHERE length(t) >= 15),
-e AS (SELECT * FROM (SELECT DISTINCT id AS eval_id, {_NORM.format('state')} AS t FROM typed_decisions WHERE split = 'test') WHERE length(t) >= 15),
+_CONTAMINATED = f"""WITH c AS (SELECT * FROM (SELECT doc_id AS id, {norm_sql("coalesce(text, '')")} AS t FROM documents) WHERE length(t) >= 15),
+e AS (SELECT * FROM (SELECT DISTINCT id AS eval_id, {norm_sql("coalesce(state, '')")} AS t FROM typed_decisions WHERE split = 'test') WHERE length(t) >= 15),
 cg AS (SELECT id, unnest(s) AS g, len(s) AS n FROM (SELECT id, {_GRAMS.format('t')} AS s FROM c WHERE length(t) >= 60)),
 eg AS (SELECT eval_id, unnest(s) AS g, len(s) AS m FROM (SELECT eval_id, {_GRAMS.format('t')} AS s FROM e)),
 nr AS (SELECT id, eval_id FROM cg JOIN eg USING (g) GROUP BY id, eval_id, n, m HAVING count(*) / (n + m - count(*)) >= 0.5)
@@ -175,10 +192,40 @@ def prp_13_p_yes(spark: SparkSession, d: str) -> DataFrame:
     return c.select("record_no", r6(F.get("sm", F.lit(0))["p"]).alias("yes"))
 
 
-@add()
+_TARGETS = f"""WITH {CASES_SQL}, {SLOTS_SQL},
+x AS (SELECT record_no, qtype, mn, mx, ej->>'status' AS s, ej->>'choice' AS ch, (ej->>'boolean')::BOOLEAN AS bo, (ej->>'level')::INT AS lv, (ej->>'value')::DOUBLE AS va, c, kind FROM t2),
+ns AS (SELECT record_no, max(pos) + 1 AS n, sum((NOT special)::INT) AS reals FROM nt GROUP BY record_no),
+ek AS (SELECT record_no, CASE WHEN s = 'abstained' THEN '__abstain__' WHEN qtype = 'numeric' AND va < mn THEN '__below__' WHEN qtype = 'numeric' AND va > mx THEN '__above__' WHEN qtype IN ('boolean', 'noul') THEN CASE WHEN coalesce(bo, va <> 0) THEN 'yes' ELSE 'no' END WHEN qtype = 'choice' THEN ch END AS k FROM x),
+si AS (SELECT ek.record_no, coalesce(min(CASE WHEN nt.key = k OR nt.text = k THEN pos END), min(CASE WHEN try_cast(nt.key AS DOUBLE) = try_cast(k AS DOUBLE) OR try_cast(nt.text AS DOUBLE) = try_cast(k AS DOUBLE) THEN pos END)) AS i FROM ek JOIN nt USING (record_no) GROUP BY ek.record_no),
+ne AS (SELECT x.record_no, arg_min(pos, struct_pack(d := abs(try_cast(nt.key AS DOUBLE) - va), p := pos)) AS i FROM x JOIN nt USING (record_no) WHERE x.qtype = 'numeric' AND NOT special AND va IS NOT NULL GROUP BY x.record_no),
+go AS (SELECT x.record_no, x.qtype, CASE WHEN s = 'abstained' THEN si.i WHEN x.qtype = 'score' THEN CASE WHEN lv >= 0 AND lv < ns.n THEN lv END WHEN x.qtype = 'numeric' AND va BETWEEN mn AND mx THEN ne.i ELSE si.i END AS gold FROM x JOIN ns USING (record_no) LEFT JOIN si USING (record_no) LEFT JOIN ne USING (record_no)),
+so AS (SELECT x.record_no, x.qtype, h.soft::JSON AS o, CASE WHEN x.qtype IN ('boolean', 'noul') THEN ['yes', 'no'] WHEN kind = 'OBJECT' THEN json_keys(c) WHEN x.qtype = 'choice' AND kind = 'ARRAY' THEN json_extract_string(c, '$[*]') WHEN kind = 'ARRAY' THEN list_transform(range(json_array_length(c)::BIGINT), lambda i: i::VARCHAR) END AS ks FROM x JOIN convert_hf h USING (record_no) WHERE json_valid(h.soft) AND json_type(CASE WHEN json_valid(h.soft) THEN h.soft END) = 'OBJECT'),
+sf AS (SELECT *, nullif(o->'options', 'null'::JSON) AS so_, nullif(o->'levels', 'null'::JSON) AS sl_, nullif(o->'p_yes', 'null'::JSON) AS sp, nullif(o->'distribution', 'null'::JSON) AS sd FROM so),
+wh AS (SELECT record_no, qtype, ks, CASE WHEN so_ IS NOT NULL THEN so_ WHEN sl_ IS NOT NULL THEN sl_ WHEN sp IS NOT NULL THEN sp WHEN sd IS NOT NULL THEN sd ELSE o END AS v, CASE WHEN so_ IS NOT NULL OR sl_ IS NOT NULL THEN 'list' WHEN sp IS NOT NULL THEN 'yes' WHEN sd IS NOT NULL THEN CASE json_type(sd) WHEN 'OBJECT' THEN 'map' WHEN 'ARRAY' THEN 'list' ELSE CASE WHEN qtype IN ('boolean', 'noul') THEN 'yes' END END ELSE 'map' END AS how FROM sf),
+d0 AS (SELECT record_no, qtype, unnest(ks) AS k, unnest(json_extract_string(v, '$[*]')) AS p FROM wh WHERE how = 'list' AND json_type(v) = 'ARRAY' AND json_array_length(v) = len(ks)
+  UNION ALL SELECT record_no, qtype, unnest(['yes', 'no']), unnest([v->>'$', CASE WHEN try_cast(v->>'$' AS DOUBLE) IS NOT NULL THEN (1 - try_cast(v->>'$' AS DOUBLE))::VARCHAR END]) FROM wh WHERE how = 'yes'
+  UNION ALL SELECT record_no, qtype, k, json_extract_string(v, '$."' || k || '"') FROM (SELECT record_no, qtype, v, unnest(json_keys(v)) AS k FROM wh WHERE how = 'map')),
+d1 AS (SELECT record_no, qtype, CASE WHEN qtype IN ('boolean', 'noul') AND lower(k) = 'true' THEN 'yes' WHEN qtype IN ('boolean', 'noul') AND lower(k) = 'false' THEN 'no' ELSE k END AS k, try_cast(p AS DOUBLE) AS p, bool_and(try_cast(p AS DOUBLE) IS NOT NULL) OVER (PARTITION BY record_no) AS good FROM d0),
+us AS (SELECT record_no, max(p) < 0.99::DOUBLE AS use_, sum(p) AS all_ FROM d1 WHERE good GROUP BY record_no),
+ix AS (SELECT d.record_no, d.k, d.p, coalesce(min(CASE WHEN nt.key = d.k OR nt.text = d.k THEN pos END), min(CASE WHEN try_cast(nt.key AS DOUBLE) = try_cast(d.k AS DOUBLE) OR try_cast(nt.text AS DOUBLE) = try_cast(d.k AS DOUBLE) THEN pos END)) AS i FROM d1 d JOIN nt USING (record_no) WHERE good GROUP BY d.record_no, d.k, d.p),
+vv AS (SELECT nt.record_no, nt.pos, nt.special, coalesce((SELECT sum(p) FROM ix WHERE ix.record_no = nt.record_no AND ix.i = nt.pos), 0) AS v FROM nt),
+v2 AS (SELECT vv.*, gold, go.qtype, coalesce(use_, false) AS use_, all_, sum(v) OVER (PARTITION BY vv.record_no) AS t, reals FROM vv JOIN go USING (record_no) JOIN ns USING (record_no) LEFT JOIN us USING (record_no)),
+v3 AS (SELECT *, CASE WHEN t > 0 THEN v / t ELSE v END AS nn, CASE WHEN use_ THEN all_ - t ELSE 0 END AS un, max(CASE WHEN pos = gold THEN special END) OVER w AS gs, max(CASE WHEN pos = gold - 1 THEN NOT special END) OVER w AS before, max(CASE WHEN pos = gold + 1 THEN NOT special END) OVER w AS behind FROM v2 WINDOW w AS (PARTITION BY record_no)),
+v4 AS (SELECT *, nn + CASE WHEN un > 0.05 AND pos = gold THEN un ELSE 0 END AS f, coalesce(before, false)::INT + coalesce(behind, false)::INT AS nb FROM v3),
+v5 AS (SELECT *, sum(f) OVER (PARTITION BY record_no) AS fs FROM v4)
+SELECT record_no, pos::INT AS pos, gold::INT AS gold, CASE WHEN use_ THEN 'soft' WHEN gold IS NOT NULL THEN 'gold' END AS target_source, round(un::DOUBLE * 1e6) / 1e6 AS unmatched, round((CASE
+  WHEN use_ THEN CASE WHEN un > 0.05 AND fs > 0 THEN f / fs ELSE f END WHEN gold IS NULL THEN NULL
+  WHEN gs THEN CASE WHEN pos = gold THEN 0.9 WHEN NOT special THEN 0.1 / reals ELSE 0 END
+  WHEN qtype IN ('score', 'numeric') THEN CASE WHEN pos = gold THEN CASE WHEN nb > 0 THEN 1 - 0.05 * nb ELSE 1 END WHEN abs(pos - gold) = 1 AND NOT special THEN 0.05 ELSE 0 END
+  ELSE CASE WHEN pos = gold THEN 0.9 WHEN NOT special THEN 0.1 / (reals - 1) ELSE 0 END END)::DOUBLE * 1e6) / 1e6 AS p FROM v5"""
+
+
+@add(_TARGETS)
 def prp_20_targets(spark: SparkSession, d: str) -> DataFrame:
+    """The target of every slot of every case: votes of people where there are any, else the smoothed verified label."""
     c = prepare.with_target(cases(spark, d))
-    return c.select("record_no", "gold", "target_source", r6(F.col("unmatched")).alias("unmatched"), F.array_join(F.transform("target", lambda x: F.format_number(x, 4)), ",").alias("target"))
+    each = c.select("record_no", "gold", "target_source", "unmatched", "target", F.explode(F.transform("slots", lambda s: s["pos"])).alias("pos"))
+    return each.select("record_no", "pos", "gold", "target_source", r6(F.col("unmatched")).alias("unmatched"), r6(F.get("target", F.col("pos"))).alias("p"))
 
 
 @add(f"""WITH {CASES_SQL}, g AS (SELECT record_no, qtype, c, ej->>'choice' AS ch, (ej->>'boolean')::BOOLEAN AS bo, (ej->>'level')::INT AS lv, ej->>'status' AS s FROM t2 WHERE qtype IN ('boolean', 'noul', 'choice', 'score') AND NOT ab),

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from verdigris.functions import text as tx
 from verdigris.functions.prob import r6
 from verdigris.operators import chunks, descend, lexical, remote, search
-from verdigris.plans.common import HASHED_SQL, Registry, hashed
+from verdigris.plans.common import HASHED_SQL, Registry, hashed, norm_sql
 from verdigris.session import spread, stored, table
 
 R = Registry()
@@ -121,9 +121,10 @@ def lex_01_terms(spark: SparkSession, d: str) -> DataFrame:
     return corpus(spark, d).select("doc", F.explode(tx.terms_udf("body")).alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.count_distinct("doc").alias("docs"))
 
 
-@add()
+@add(f"""WITH n AS (SELECT chunk_id, {norm_sql('text')} AS t FROM corpus WHERE text IS NOT NULL), w AS (SELECT chunk_id, t, string_split(t, ' ') AS w FROM n)
+SELECT chunk_id AS doc, CASE WHEN t = '' THEN 0 WHEN len(w) < 5 THEN 1 ELSE len(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END::INT AS shingles FROM w""")
 def lex_22_shingles(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct 5-word shingles of every text in its decomposed form, which SQL lacks."""
+    """Distinct 5-word shingles of every text in its decomposed form."""
     c = corpus(spark, d).filter("body is not null")
     return c.select("doc", F.size(tx.shingles(tx.norm_text(F.col("body")))).alias("shingles"))
 
