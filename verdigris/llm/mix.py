@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from verdigris.llm.encode import TOKENIZERS, VOCABULARY, token_counts
 from verdigris.operators.joins import checked_join
-from verdigris.session import stored
+from verdigris.session import spread, stored
 
 #: Texts of a source per block, about, and most blocks per source.
 PER_BLOCK, MAX_BLOCKS = 1000, 16_384
@@ -73,7 +73,7 @@ def sized_texts(documents: DataFrame, targets: DataFrame, tokenizers: str = TOKE
     """doc_id, source, tokens of the texts that can be used: in a source with a target, with a token at least, and each
     different text once, as its smallest doc_id (so copies don't get round the limit of repetitions)."""
     wanted = targets.filter("source is not null").select("source").distinct()
-    rows = documents.select("doc_id", "source", "text").filter("text is not null and text <> '' and source is not null")
+    rows = spread(documents.select("doc_id", "source", "text")).filter("text is not null and text <> '' and source is not null")
     rows = checked_join(rows, wanted, ["source"], "left_semi")
     first = rows.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("d")).agg(F.min(F.struct("doc_id", "source")).alias("x")).select("x.*")
     first = stored(first, "texts")
