@@ -378,7 +378,10 @@ def stm_05_sessions(spark: SparkSession, d: str) -> DataFrame:
     return stream.session_monitor(table(spark, d, "events")).select("user_id", F.col("session_window.start").alias("start"), "n", r6(F.col("mean_value")).alias("mean_value"))
 
 
-@add()
+@add(_TARGETS.split("\nSELECT record_no, pos::INT")[0] + """,
+tg AS (SELECT record_no, CASE WHEN bool_or(use_) THEN 'soft' WHEN max(gold) IS NOT NULL THEN 'gold' END AS target_source FROM v5 GROUP BY record_no),
+kp AS (SELECT tg.*, row_number() OVER (PARTITION BY h.source ORDER BY h.id, tg.record_no) AS r FROM tg JOIN convert_hf h USING (record_no) WHERE h.id IS NOT NULL AND h.state IS NOT NULL AND h.id NOT IN (SELECT id FROM convert_hf WHERE split = 'holdout' AND id IS NOT NULL) AND NOT starts_with(coalesce(h.source, ''), 'gen/'))
+SELECT CASE WHEN target_source IS NULL THEN 'nogold' ELSE 'ok' END AS verdict, target_source, count(*) AS n FROM kp WHERE r <= 200 GROUP BY ALL""")
 def prp_24_export(spark: SparkSession, d: str) -> DataFrame:
     """Training rows with prompts and targets: the drop list is the held-out split, sources are capped."""
     from verdigris.operators.questions import user_message
