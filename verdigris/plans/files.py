@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from verdigris.operators import calibrate, questions, search
 from verdigris.operators.chunks import readable_text
 from verdigris.plans.common import Registry
-from verdigris.session import shared_dir, table
+from verdigris.session import session_dir, table
 from verdigris.sources import readers, sinks
 
 R = Registry()
@@ -18,7 +18,7 @@ add = R.add
 
 
 def place(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @add("SELECT id, md5(state) AS state, md5(question) AS question, md5(expect) AS expect, source, license FROM convert_hf")

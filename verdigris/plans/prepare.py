@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,7 +15,7 @@ from verdigris.operators import prepare
 from verdigris.operators.logits import HashLogits
 from verdigris.operators.questions import FIELDS
 from verdigris.plans.common import CASES_SQL, SLOTS_SQL, Registry, cases, norm_sql
-from verdigris.session import spread, stored, table
+from verdigris.session import session_dir, spread, stored, table
 from verdigris.sources import readers
 from verdigris.streaming import stream
 
@@ -367,6 +369,42 @@ def stm_01_states(spark: SparkSession, d: str) -> DataFrame:
     return stm_decide(table(spark, d, "events").filter("props is not null").select("event_id", F.col("props").alias("state")), _questions(spark))
 
 
+def _streamed(df: DataFrame, parts: int = 4) -> DataFrame:
+    """df's rows as a stream of files; one file keeps the order of time, which files written side by side don't."""
+    spark = df.sparkSession
+    at = files_place(spark, "stream-in")
+    df.repartitionByRange(parts, df.columns[0]).write.parquet(at)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(at)
+
+
+def _drained(df: DataFrame, mode: str = "append") -> DataFrame:
+    """What a stream gives once all its input is there; in update mode the last of each row."""
+    spark = df.sparkSession
+    out, check = files_place(spark, "stream-out"), files_place(spark, "stream-state")
+    q = df.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(df.schema).parquet(out)
+
+
+def files_place(spark: SparkSession, name: str) -> str:
+    return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@add(R.sql["stm_01_states"])
+def stm_01_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same from a stream, micro-batch by micro-batch."""
+    e = table(spark, d, "events").filter("props is not null").select("event_id", F.col("props").alias("state"))
+    return _drained(stm_decide(_streamed(e), _questions(spark)))
+
+
+@add("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, count(*) AS n, round(avg(CASE WHEN event_type = 'click' THEN 1.0 ELSE 0 END) * 1e6) / 1e6 AS accuracy, round(avg(value) * 1e6) / 1e6 AS confidence FROM events WHERE ts < (SELECT time_bucket(INTERVAL '1 hour', max(ts) - INTERVAL '1 day') FROM events) GROUP BY 1")
+def stm_05_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The quality monitor on a stream: the hours that the watermark has closed."""
+    e = table(spark, d, "events").select("ts", F.lit("decided").alias("status"), F.col("value").alias("confidence"), (F.col("event_type") == "click").alias("ok"))
+    got = _drained(stream.quality_monitor(_streamed(e.withColumn("ts", F.col("ts").cast("timestamp")), 1)))
+    return got.select(F.col("window.start").alias("start"), "n", r6(F.col("accuracy")).alias("accuracy"), r6(F.col("confidence")).alias("confidence"))
+
+
 @add("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, count(*) AS n, round(avg(CASE WHEN event_type = 'click' THEN 1.0 ELSE 0 END) * 1e6) / 1e6 AS accuracy, round(avg(value) * 1e6) / 1e6 AS confidence FROM events GROUP BY 1")
 def stm_05_quality(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("ts", F.lit("decided").alias("status"), F.col("value").alias("confidence"), (F.col("event_type") == "click").alias("ok"))

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from verdigris.functions.prob import normalise
 from verdigris.operators.chunks import MAX_FILE_BYTES, readable_text, split_files
+from verdigris.operators.joins import checked_join, is_few
 from verdigris.operators.prepare import license_ok
 
 CASE = "id string, state string, question string, expect string, variants string, requires_abstain boolean, layout string, expand string, source string, license string, soft string, chain string, teacher string, target string"
@@ -273,7 +274,7 @@ def statements(rows: DataFrame, n: int, seed: int = 17) -> DataFrame:
 def attach_meta(rows: DataFrame, shards: DataFrame) -> DataFrame:
     """Rows (id, ...) with the fields of their shard (shard_id = what stands before the id's first dash) where they have none."""
     s = shards.select(F.col("shard_id").alias("_s"), *(F.col(c).alias(f"_{c}") for c in shards.columns if c != "shard_id"))
-    j = rows.withColumn("_k", F.split_part("id", F.lit("-"), F.lit(1))).join(F.broadcast(s), F.col("_k") == F.col("_s"), "left")
+    j = rows.withColumn("_k", F.split_part("id", F.lit("-"), F.lit(1))).join(F.broadcast(s) if is_few(s) else s, F.col("_k") == F.col("_s"), "left")
     keep = [F.coalesce(F.col(c), F.col(f"_{c}")).alias(c) if c in shards.columns else F.col(c) for c in rows.columns]
     new = [F.col(f"_{c}").alias(c) for c in shards.columns if c != "shard_id" and c not in rows.columns]
     return j.select(*keep, *new)
@@ -290,7 +291,7 @@ def nested_answers(raw: DataFrame) -> DataFrame:
 def assemble_cases(nodes: DataFrame, catalog: DataFrame) -> DataFrame:
     """(case_id, node, doc, question_no) with a catalog (question_no, qid, question) to one row per case: its documents, sorted and
     joined, and its questions in order."""
-    j = nodes.join(F.broadcast(catalog), "question_no")
+    j = checked_join(nodes, catalog, ["question_no"], "inner")
     return j.groupBy("case_id").agg(F.array_join(F.sort_array(F.collect_set("doc")), "\n\n").alias("state"), F.transform(F.sort_array(F.collect_set(F.struct("question_no", "qid"))), lambda x: x["qid"]).alias("questions"))
 
 

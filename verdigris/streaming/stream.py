@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from verdigris.operators.decide import decode
+from verdigris.operators.joins import is_few
 from verdigris.operators.logits import LogitSource, memoised
 from verdigris.operators.questions import parse_question, slots, user_message
 from verdigris.functions.once import once
@@ -15,10 +16,10 @@ from verdigris.session import stored
 
 
 def units_of(states: DataFrame, questions: DataFrame) -> DataFrame:
-    """Every state (state_id, state, ...) with every question (q_name, question) of a fixed set, which is broadcast; one unit
-    each. Stateless, so it works on batches and streams alike."""
+    """Every state (state_id, state, ...) with every question (q_name, question) of a fixed set, which is counted and broadcast;
+    one unit each. Stateless, so it works on batches and streams alike."""
     q = questions.select("q_name", parse_question(F.col("question")).alias("q"))
-    u = once(states.crossJoin(F.broadcast(q)), slots=slots(F.col("q")))
+    u = once(states.crossJoin(F.broadcast(q) if is_few(q) else q), slots=slots(F.col("q")))
     none = F.array().cast("array<string>")
     return once(u, prompt=user_message(F.col("state"), F.col("q"), F.col("slots"), F.lit("question_first"), none))
 
