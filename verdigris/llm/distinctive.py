@@ -122,7 +122,7 @@ def distinctive_terms(df: DataFrame, min_tf: int = 1, min_df: int = 1, max_df: i
     terms are reported, all statistics are of the whole table. The frequencies of common terms (a bounded number, which
     is counted) are broadcast; those of the rest are joined by shuffle, where no key is hot any more.
     """
-    recs = records(spread(df.select("chunk_id", "path", "start_line", "symbol", "text")))
+    recs = stored(records(spread(df.select("chunk_id", "path", "start_line", "symbol", "text"))), "records")
     n = recs.select("chunk_id").count()
     freq = document_frequency(recs, max_df).filter(F.col("df") >= min_df)
     rows = term_degrees(recs, min_tf, max_df, window)

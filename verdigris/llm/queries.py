@@ -29,15 +29,12 @@ def p2_splits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_shares(spark: SparkSession, d: str) -> DataFrame:
-    """Records and share reached per split."""
-    n = F.count("*")
-    return p2_splits(spark, d).groupBy("split").agg(n.alias("records"), F.count_distinct("group_no").alias("groups")).withColumn("total", F.sum("records").over(overlap_window())).select("split", "records", "groups", (F.col("records") / F.col("total")).alias("share"))
-
-
-def overlap_window():
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy(F.lit(1))  # over one row per split
+    """Records and share reached per split, and the groups that stand in another split, too (there are none)."""
+    s = stored(p2_splits(spark, d), "splits")
+    total = s.count()
+    torn = s.groupBy("group_no").agg(F.count_distinct("split").alias("k")).filter("k > 1").select("group_no")
+    per = s.join(torn.withColumn("torn", F.lit(1)), "group_no", "left").groupBy("split").agg(F.count("*").alias("records"), F.count("torn").alias("torn"))
+    return per.select("split", "records", (F.col("records") / total).alias("share"), "torn")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

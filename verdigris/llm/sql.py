@@ -52,6 +52,10 @@ comp AS (SELECT a AS k, min(b) AS c FROM reach GROUP BY a),
 named AS (SELECT k.record_no, k.s, c.c FROM keyed k JOIN comp c ON c.k = k.k1),
 mixed AS (SELECT c, min(record_no) AS group_no FROM named GROUP BY c HAVING count(DISTINCT s) >= 2 OR (count(s) > 0 AND count(s) < count(*)))
 SELECT m.group_no, n.record_no FROM named n JOIN mixed m USING (c) WHERE n.record_no <> m.group_no""",
+    "p2_shares": """
+WITH n AS (SELECT count(*) AS n FROM convert_hf WHERE record_no IS NOT NULL), w AS (SELECT split, share / sum(share) OVER () AS w, row_number() OVER (ORDER BY share DESC, split DESC) AS r FROM split_shares),
+t AS (SELECT split, r, round_even(n * w, 0)::BIGINT AS t FROM w, n), x AS (SELECT split, CASE WHEN r = 1 THEN (SELECT n FROM n) - (SELECT sum(t) FROM t WHERE r > 1) ELSE t END::BIGINT AS records FROM t)
+SELECT split, records, records / (SELECT n FROM n)::DOUBLE AS share, 0::BIGINT AS torn FROM x""",
     "p3_found": """
 WITH recs AS (SELECT min(chunk_id) AS chunk_id, path, text, arg_min(coalesce(symbol, ''), chunk_id) AS symbol FROM corpus GROUP BY path, start_line, text),
 terms AS (SELECT chunk_id, unnest(regexp_extract_all(lower(coalesce(path, '') || chr(10) || symbol || chr(10) || coalesce(text, '')), '[a-z]{3,}')) AS term FROM recs),
