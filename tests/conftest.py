@@ -12,11 +12,12 @@ DATA = "/root/testdata"
 
 @pytest.fixture(scope="session")
 def spark():
-    from verdigris.session import get_session
+    from verdigris.session import forget, get_session
 
     s = get_session("local[4]", 4)
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    forget(s)
     s.stop()
 
 

@@ -155,6 +155,17 @@ def test_calibration_finds_temperature(spark):
     f = fig.first()
     assert abs(temps.first()["temperature"] - 2) < 0.25
     assert f["ece_out_of_fold"] < f["ece_raw"] and f["raw_lo"] <= f["ece_raw"] <= f["raw_hi"] and f["separated"]
+    # the same temperature as a golden-section search over all samples, and with each fold left out
+    fits = calibrate.fit_temperatures(s.withColumn("fold", calibrate.fold_udf("case_id")))
+    for held in (-1, 0, 3):
+        kept = [(p, y) for c, _, p, y in rows if calibrate.fold_of(c) != held]
+        loss = lambda x: sum(-math.log(max(1e-15, p[y] ** math.exp(-x) / sum(q ** math.exp(-x) for q in p))) for p, y in kept)  # noqa: E731,B023
+        a, b, g = math.log(0.05), math.log(20), (math.sqrt(5) - 1) / 2
+        for _ in range(60):
+            c, d = b - g * (b - a), a + g * (b - a)
+            a, b = (a, d) if loss(c) < loss(d) else (c, b)
+        t, n = fits[("choice", held)]
+        assert n == len(kept) and abs(math.log(t) - (a + b) / 2) < 1e-5
     few, _ = calibrate.fit(s.limit(3), resamples=10)
     assert few.first()["temperature"] == 1.0
 

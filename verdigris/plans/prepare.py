@@ -128,7 +128,19 @@ def prp_01_short_texts(spark: SparkSession, d: str) -> DataFrame:
     return prepare.near_duplicates(p, "p_partkey", "text")
 
 
-@add()
+_NEAR = f"""WITH RECURSIVE b AS (SELECT record_no AS id, {norm_sql("coalesce(state, '') || ' || ' || CASE WHEN json_valid(question) THEN coalesce(question->>'instructions', '') || coalesce((question::JSON->'criteria')::VARCHAR, '') ELSE '' END")} AS t FROM convert_hf),
+f AS (SELECT t, min(id) AS rep FROM b WHERE t <> '' GROUP BY t),
+w AS (SELECT rep, t, string_split(t, ' ') AS w FROM f),
+g AS (SELECT rep, CASE WHEN len(w) < 5 THEN [t] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM w),
+x AS (SELECT rep, len(g) AS n, unnest(g) AS g FROM g),
+e AS (SELECT a.rep AS a, b.rep AS b FROM x a JOIN x b ON a.g = b.g AND a.rep <> b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING count(*)::DOUBLE / (a.n + b.n - count(*)) >= 0.8::DOUBLE),
+r(a, b) AS (SELECT rep, rep FROM f UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+k AS (SELECT a AS rep, min(b) AS keep FROM r GROUP BY a),
+l AS (SELECT a AS rep, count(*) AS links FROM e GROUP BY a)
+SELECT b.id, coalesce(k.keep, b.id) AS keep, coalesce(l.links, 0) AS links FROM b LEFT JOIN f USING (t) LEFT JOIN k USING (rep) LEFT JOIN l USING (rep)"""
+
+
+@add(_NEAR)
 def prp_01_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     """Each case with its class of near-duplicates."""
     c = hf(spark, d).select("record_no", prepare.dedup_text(F.col("state"), F.struct(F.get_json_object("question", "$.instructions").alias("instructions"), F.get_json_object("question", "$.criteria").alias("criteria_json"))).alias("text"))
@@ -411,7 +423,8 @@ def stm_05_quality(spark: SparkSession, d: str) -> DataFrame:
     return stream.quality_monitor(e).select(F.col("window.start").alias("start"), "n", r6(F.col("accuracy")).alias("accuracy"), r6(F.col("confidence")).alias("confidence"))
 
 
-@add()
+@add("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w >= INTERVAL '30 minutes' THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+SELECT user_id, min(ts) AS start, count(*) AS n, round(avg(value) * 1e6) / 1e6 AS mean_value FROM s GROUP BY user_id, k""")
 def stm_05_sessions(spark: SparkSession, d: str) -> DataFrame:
     return stream.session_monitor(table(spark, d, "events")).select("user_id", F.col("session_window.start").alias("start"), "n", r6(F.col("mean_value")).alias("mean_value"))
 
