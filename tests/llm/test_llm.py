@@ -579,7 +579,7 @@ def test_held_out_accuracy():
 
 def test_nnpu_risk_is_not_negative():
     """With as many parameters as rows plain PU risk falls below zero; the corrected one keeps negatives negative."""
-    x = abuse.Rows([np.array([i, 1000 + i % 7]) for i in range(300)])
+    x = abuse.Rows(np.repeat(np.arange(300), 2), np.array([c for i in range(300) for c in (i, 1000 + i % 7)]), 300)
     p, u = np.zeros(300), np.ones(300) / 300
     p[:20] = 1 / 20
     w, b = abuse.fit_nnpu(x, p, u, 20 / 300, steps=300)
