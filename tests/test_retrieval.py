@@ -489,20 +489,20 @@ def test_evaluation_by_url(spark):
         if len(seen) == 1:
             return 503  # is asked again
         yes = "late" in json.dumps(body["state"])
-        return {"answers": {"q": {"status": "decided", "confidence": 0.8, "boolean": yes, "choice": "yes" if yes else "no", "probabilities": {"yes": 0.9 if yes else 0.1, "no": 0.1 if yes else 0.9}}}} if path == "/v1/systemone" else 404
+        return {"answers": {"q": {"status": "decided", "confidence": 0.8, "boolean": yes, "choice": "yes" if yes else "no", "probabilities": {"yes": 0.9 if yes else 0.1, "no": 0.1 if yes else 0.9}}}} if path == "/decide" else 404
 
     server = serve(answer)
     q = '{"type": "boolean", "instructions": "Is it late?"}'
     rows = [("a", "it came late", q, '{"boolean": true}', False), ("b", '{"text": "on time"}', q, '{"boolean": true}', None), ("c", "late too", q, '{"status": "abstained"}', True)]
     cases = spark.createDataFrame(rows, "case_id string, state string, question string, expect string, requires_abstain boolean").coalesce(1)
-    url = f"http://127.0.0.1:{server.server_port}/"
+    url = f"http://127.0.0.1:{server.server_port}/decide"
     rep, cons = remote.evaluate_url(cases, url, no_abstain=True)
     got = {r["case_id"]: (r["ok"], r["answer"]) for r in rep.collect()}
     assert got == {"a": (True, "yes"), "b": (False, "no"), "c": (None, "skipped")}
     assert {"base", "all"} & {r["kind"] for r in cons.collect()} == {"all"} and cons.filter("kind = 'all'").first()["n"] == 4
     assert any(b["state"] == {"text": "on time"} for b in seen) and all(b["layout"] == "auto" and b["mode"] == "shared" for b in seen)
     with pytest.raises(Exception, match="404"):
-        remote.decide_url(spark.createDataFrame([("a", "s", q, "auto", "probes")], "req_id string, state string, question string, layout string, expand string"), url + "elsewhere").collect()
+        remote.decide_url(spark.createDataFrame([("a", "s", q, "auto", "probes")], "req_id string, state string, question string, layout string, expand string"), url + "/elsewhere").collect()
     server.shutdown()
 
 

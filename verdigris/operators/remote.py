@@ -31,17 +31,15 @@ def wire_answer(raw: Column) -> Column:
 
 def decide_url(requests: DataFrame, url: str, temperature: float = 1.0, timeout: float = 60.0, tries: int = 3) -> DataFrame:
     """Requests of questions.case_request (req_id, state, question, layout, expand, and other columns, which stay) with what
-    the service at `url` answers: raw (JSON text of the answer) and ms. Each request is one POST, tried again with growing
+    the service answers whose endpoint for requests is `url`: raw (JSON text of the answer) and ms. Each request is one POST, tried again with growing
     pauses where the service fails or is away; one that it refuses, or that fails every time, fails the task, which Spark
     retries. As many requests are under way as tasks run."""
-    target = url.rstrip("/") + "/v1/systemone"
-
     def post(state: str, question: str, layout: str, expand: str) -> tuple[str, float]:
         body = json.dumps({"state": _json(state), "questions": {"q": json.loads(question)}, "temperature": temperature, "mode": "shared", "layout": layout, "expand": expand}).encode()
         for k in range(tries):
             began = time.monotonic()
             try:
-                with urllib.request.urlopen(urllib.request.Request(target, body, {"Content-Type": "application/json"}), timeout=timeout) as r:
+                with urllib.request.urlopen(urllib.request.Request(url, body, {"Content-Type": "application/json"}), timeout=timeout) as r:
                     answer = json.load(r)["answers"]["q"]
                 return json.dumps(answer), (time.monotonic() - began) * 1000
             except urllib.error.HTTPError as e:
