@@ -595,6 +595,17 @@ def _runs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return one, two
 
 
+@add(f"""WITH {JUDGED_SQL}, r AS (SELECT record_no, ok AS x, ok OR record_no % 3 = 0 AS y, status = 'abstained' AS ab, (record_no % 97)::DOUBLE AS ms FROM jd),
+s AS (SELECT count(*) AS n, avg(x::INT) AS acc_a, avg(y::INT) AS acc_b, sum((x AND NOT y)::INT)::BIGINT AS b, sum((NOT x AND y)::INT)::BIGINT AS c, avg(ab::INT) AS ab, list_sort(list(ms), 'DESC')[ceil(count(*) / 2.0)::INT] AS ms FROM r),
+v AS (SELECT b, c, b + c AS m, least(b, c) AS k FROM s),
+p AS (SELECT CASE WHEN any_value(m) = 0 THEN 1.0 ELSE least(1.0, 2 * sum(exp(lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) - m * ln(2.0)))) END AS p FROM v, generate_series(0, 100000) g(i) WHERE i <= k)
+SELECT n, round(acc_a * 1e6) / 1e6 AS acc_a, round(acc_b * 1e6) / 1e6 AS acc_b, round((acc_b - acc_a) * 1e6) / 1e6 AS delta, b AS only_a, c AS only_b, round(p * 1e6) / 1e6 AS p_value, round(ab * 1e6) / 1e6 AS abstain_base, round(ab * 1e6) / 1e6 AS abstain_tuned, ms AS ms_base, ms + 1 AS ms_tuned FROM s, p""")
+def evl_26_paired_figures(spark: SparkSession, d: str) -> DataFrame:
+    """The report of two runs without its resampled interval."""
+    r = metrics.paired_report(*_runs(spark, d), resamples=10)
+    return r.select("n", *(r6(F.col(k)).alias(k) for k in ("acc_a", "acc_b", "delta")), "only_a", "only_b", *(r6(F.col(k)).alias(k) for k in ("p_value", "abstain_base", "abstain_tuned")), "ms_base", "ms_tuned")
+
+
 @add()
 def evl_26_paired_report(spark: SparkSession, d: str) -> DataFrame:
     return metrics.paired_report(*_runs(spark, d))
