@@ -595,6 +595,17 @@ def _runs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return one, two
 
 
+@add(f"""WITH {JUDGED_SQL}, r AS (SELECT qtype, ok, p1 AS conf, record_no % 10 / 10.0::DOUBLE AS ce, status = 'abstained' AS ab, coalesce(x_status = 'abstained', false) AS gold_ab FROM jd WHERE ok IS NOT NULL),
+b AS (SELECT qtype, least(14, floor(conf * 15)) AS bin, count(*) AS n, avg(conf) AS c, avg(ok::INT) AS a FROM r GROUP BY ALL), e AS (SELECT qtype, sum(n * abs(a - c)) / sum(n) AS ece FROM b GROUP BY qtype)
+SELECT qtype, round(avg(ok::INT) * 1e6) / 1e6 AS accuracy, round(avg(ce) * 1e6) / 1e6 AS ce, round(avg((ab AND NOT gold_ab)::INT) * 1e6) / 1e6 AS abstained_wrongly, round(any_value(ece) * 1e6) / 1e6 AS ece FROM r JOIN e USING (qtype) GROUP BY qtype""")
+def evl_33_committed(spark: SparkSession, d: str) -> DataFrame:
+    """Training-time figures per type."""
+    a = answered(spark, d)
+    rows = a.select(F.col("q.qtype").alias("qtype"), metrics.judge(F.col("e"), F.col("answer")).alias("ok"), F.array_max("p").alias("conf"), (F.col("record_no") % 10 / 10).alias("ce"), (F.col("answer.status") == "abstained").alias("abstained"), F.coalesce(F.col("e.status") == "abstained", F.lit(False)).alias("gold_abstains"))
+    m = metrics.committed_accuracy(rows.filter("ok is not null"), ["qtype"])
+    return m.select("qtype", *(r6(F.col(k)).alias(k) for k in ("accuracy", "ce", "abstained_wrongly", "ece")))
+
+
 @add(f"""WITH {JUDGED_SQL}, r AS (SELECT record_no, ok AS x, ok OR record_no % 3 = 0 AS y, status = 'abstained' AS ab, (record_no % 97)::DOUBLE AS ms FROM jd),
 s AS (SELECT count(*) AS n, avg(x::INT) AS acc_a, avg(y::INT) AS acc_b, sum((x AND NOT y)::INT)::BIGINT AS b, sum((NOT x AND y)::INT)::BIGINT AS c, avg(ab::INT) AS ab, list_sort(list(ms), 'DESC')[ceil(count(*) / 2.0)::INT] AS ms FROM r),
 v AS (SELECT b, c, b + c AS m, least(b, c) AS k FROM s),

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from verdigris.operators import calibrate, questions, search
 from verdigris.operators.chunks import readable_text
+from verdigris.operators.logits import HashLogits, memoised
 from verdigris.plans.common import Registry
-from verdigris.session import session_dir, table
+from verdigris.session import session_dir, stored, table
 from verdigris.sources import readers, sinks
 
 R = Registry()
@@ -154,3 +155,32 @@ def snk_08_rendered(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "corpus").filter("text is not null").select(F.col("chunk_id").alias("doc"), "path", F.col("start_line").alias("start"), F.col("end_line").alias("end"), "symbol", F.col("text").alias("body"))
     shown = c.select(F.col("doc").alias("query_id"), "doc", F.col("doc").alias("rank"), F.lit(0.5).alias("p"))
     return search.render_hits(shown, c).select("query_id", "rank", F.substring_index("text", "\n", 1).alias("head"))
+
+
+@add("""SELECT record_no AS req_id, CASE record_no % 4 WHEN 0 THEN 'catalog' ELSE 'auto' END AS layout, CASE record_no % 3 WHEN 0 THEN 'pages' ELSE 'probes' END AS expand, CASE (question::JSON)->>'allow_abstain' WHEN 'true' THEN 'false' ELSE (question::JSON)->>'allow_abstain' END AS abstain
+FROM convert_hf WHERE json_valid(question)""")
+def sch_08_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Cases as requests with their pins, without the option to abstain."""
+    c = table(spark, d, "convert_hf").filter("question is not null and get_json_object(question, '$.type') is not null")
+    c = c.select(F.col("record_no").alias("case_id"), "state", "question", F.when(F.col("record_no") % 4 == 0, "catalog").alias("layout"), F.when(F.col("record_no") % 3 == 0, "pages").alias("expand"))
+    r = questions.case_request(c, no_abstain=True)
+    return r.select("req_id", "layout", "expand", F.get_json_object("question", "$.allow_abstain").alias("abstain"))
+
+
+@add("SELECT chunk_id, path AS name FROM corpus")
+def prm_32_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names of units without the tag of their part."""
+    return table(spark, d, "corpus").select("chunk_id", questions.display_name(F.concat("path", F.lit("\u001f"), F.col("chunk_id").cast("string"))).alias("name"))
+
+
+@add("""WITH k AS (SELECT DISTINCT state FROM convert_hf WHERE state IS NOT NULL AND record_no % 3 = 0)
+SELECT count(*) AS rows, 0::BIGINT AS wrong, (SELECT count(DISTINCT state) FROM convert_hf WHERE state IS NOT NULL AND state NOT IN (SELECT state FROM k)) AS fresh FROM convert_hf WHERE state IS NOT NULL""")
+def join_15_memo(spark: SparkSession, d: str) -> DataFrame:
+    """Scores that a memo holds are taken from it, the others are scored and come out as new; all are what scoring gives."""
+    units = table(spark, d, "convert_hf").filter("state is not null").select("record_no", F.col("state").alias("prompt"), F.array(*(F.struct(F.lit(x).alias("letter")) for x in "AB")).alias("slots"))
+    source = HashLogits()
+    memo = source.attach(units.filter("record_no % 3 = 0")).select(F.sha2("prompt", 256).alias("key"), "logits").dropDuplicates(["key"])
+    rows, fresh = memoised(source, units, stored(memo, "memo"))
+    direct = source.attach(units).select("record_no", F.col("logits").alias("want"))
+    got = rows.join(direct, "record_no").agg(F.count("*").alias("rows"), F.sum((~F.col("logits").eqNullSafe(F.col("want"))).cast("long")).alias("wrong"))
+    return got.crossJoin(fresh.agg(F.count("*").alias("fresh")))

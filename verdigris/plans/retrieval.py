@@ -576,6 +576,16 @@ def snk_07_document(spark: SparkSession, d: str) -> DataFrame:
     return search.hits_document(search.pick(_read(spark, d), 10, 0.9), corpus(spark, d))
 
 
+@add(f"""WITH {_READ}, hi AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p DESC, position) AS rank FROM rd WHERE p >= 0.9::DOUBLE),
+h AS (SELECT query_id, rank, path, start_line, array_to_string(string_split(text, chr(10))[1:6], chr(10)) AS head FROM hi JOIN corpus c ON c.chunk_id = hi.doc WHERE rank <= 10)
+SELECT query_id, count(*)::INT AS hits, max(CASE WHEN rank = 1 THEN path END) AS path, max(CASE WHEN rank = 1 THEN start_line::VARCHAR END) AS start, md5(max(CASE WHEN rank = 2 THEN head END)) AS head FROM h GROUP BY query_id""")
+def snk_07_fields(spark: SparkSession, d: str) -> DataFrame:
+    """What the documents of hits say: how many, where the first is, and how the second begins."""
+    doc = snk_07_document(spark, d)
+    at = lambda path: F.get_json_object("document", path)
+    return doc.select("query_id", F.size(F.from_json(at("$.hits"), "array<string>")).alias("hits"), at("$.hits[0].path").alias("path"), at("$.hits[0].start").alias("start"), F.md5(at("$.hits[1].head")).alias("head"))
+
+
 @add()
 def rnk_07_search(spark: SparkSession, d: str) -> DataFrame:
     """Searches from question to shown hits on stand-in scores."""
