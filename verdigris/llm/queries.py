@@ -42,7 +42,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_scores(spark: SparkSession, d: str) -> DataFrame:
-    return distinctive.distinctive_terms(table(spark, d, "corpus"))
+    return distinctive.distinctive_terms(table(spark, d, "corpus")).withColumn("score", F.round(F.col("score") * 1e6) / 1e6)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

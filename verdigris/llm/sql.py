@@ -23,19 +23,21 @@ ck AS (SELECT record_no, j, CASE json_type(j->'criteria') WHEN 'OBJECT' THEN lis
 qk AS (SELECT record_no, {_ALIKE.format("coalesce(j->>'type', '')")} || '#' || coalesce(try_cast(j->>'min' AS DOUBLE)::VARCHAR, '') || '#' || coalesce(try_cast(j->>'max' AS DOUBLE)::VARCHAR, '') || '#' || coalesce(array_to_string(options, '|'), '') || '#' || {_ALIKE.format("coalesce(j->>'instructions', '')")} AS q FROM ck),
 rec AS (SELECT r0.record_no, r0.source, r0.sp, qk.q, regexp_extract_all(lower(tx.t), '[\p{{L}}\p{{N}}]+') AS w FROM r0 JOIN qk USING (record_no) JOIN tx USING (record_no))"""
 
-ORACLE = {
-    "p5_found": f"""
-WITH RECURSIVE {_P5_RECORDS},
-pr AS (SELECT a.record_no AS x, b.record_no AS y, a.w AS a, b.w AS b, greatest(len(a.w), len(b.w)) // 8 AS k FROM rec a JOIN rec b ON a.q = b.q AND a.sp = 'train' AND b.sp <> 'train' AND abs(len(a.w) - len(b.w)) <= greatest(len(a.w), len(b.w)) // 8),
-same AS (SELECT x, y FROM pr WHERE a = b),
+# Pairs of an evaluation record y and a training record x with the words that differ.
+_P5_PAIRS = f"""WITH RECURSIVE {_P5_RECORDS},
+pr AS (SELECT a.record_no AS x, b.record_no AS y, b.sp, b.source, a.w AS a, b.w AS b, greatest(len(a.w), len(b.w)) // 8 AS k FROM rec a JOIN rec b ON a.q = b.q AND a.sp = 'train' AND b.sp <> 'train' AND abs(len(a.w) - len(b.w)) <= greatest(len(a.w), len(b.w)) // 8),
 near AS (SELECT * FROM pr WHERE a <> b AND k > 0 AND len(list_filter(a, lambda v: NOT list_contains(b, v))) <= k AND len(list_filter(b, lambda v: NOT list_contains(a, v))) <= k),
 dp(x, y, i, col) AS (
   SELECT x, y, 0::BIGINT, range(len(b) + 1) FROM near
   UNION ALL
   SELECT x, y, i + 1, list_transform(range(1, len(b) + 2), lambda j: list_min(list_transform(range(1, j + 1), lambda m: (CASE WHEN m = 1 THEN i + 1 ELSE least(col[m - 1] + (a[i + 1] <> b[m - 1])::INT, col[m] + 1) END) + j - m)))
-  FROM dp JOIN near USING (x, y) WHERE i < len(a))
-SELECT least(x, y) AS record_lo, greatest(x, y) AS record_hi FROM same
-UNION ALL SELECT least(x, y), greatest(x, y) FROM dp JOIN near USING (x, y) WHERE i = len(a) AND col[len(b) + 1] <= k""",
+  FROM dp JOIN near USING (x, y) WHERE i < len(a)),
+pairs AS (SELECT x, y, sp, source, 0 AS distance FROM pr WHERE a = b UNION ALL SELECT x, y, sp, source, col[len(b) + 1] FROM dp JOIN near USING (x, y) WHERE i = len(a) AND col[len(b) + 1] <= k)"""
+
+ORACLE = {
+    "p5_found": f"{_P5_PAIRS} SELECT least(x, y) AS record_lo, greatest(x, y) AS record_hi FROM pairs",
+    "p5_pairs": f"{_P5_PAIRS} SELECT least(x, y) AS record_lo, greatest(x, y) AS record_hi, sp AS split, source, distance::INT AS distance, y AS eval_no FROM pairs",
+    "p5_report": f"{_P5_PAIRS}, per AS (SELECT sp, source, y, count(*) AS n, sum((distance = 0)::INT) AS exact, max(distance) AS far FROM pairs GROUP BY ALL) SELECT sp AS split, source, sum(n)::BIGINT AS pairs, count(*) AS records_with_twin, sum(exact)::BIGINT AS exact_pairs, sum((exact > 0)::INT)::BIGINT AS records_with_exact_twin, max(far)::INT AS largest_distance FROM per GROUP BY ALL",
     "p5_method": f"""
 WITH {_P5_RECORDS},
 g AS (SELECT record_no, sp, q, i, array_to_string(w[i:i + 5], ' ') AS g FROM rec, generate_series(1, greatest(0, len(w) - 5)) s(i)),
@@ -62,6 +64,14 @@ terms AS (SELECT chunk_id, unnest(regexp_extract_all(lower(coalesce(path, '') ||
 tf AS (SELECT chunk_id, term, count(*) AS tf FROM terms GROUP BY chunk_id, term),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
 SELECT chunk_id, term FROM tf JOIN df USING (term) WHERE tf >= 3 AND df BETWEEN 2 AND 5""",
+    "p3_scores": """
+WITH recs AS (SELECT min(chunk_id) AS chunk_id, path, text, arg_min(coalesce(symbol, ''), chunk_id) AS symbol FROM corpus GROUP BY path, start_line, text),
+ws AS (SELECT chunk_id, regexp_extract_all(lower(coalesce(path, '') || chr(10) || symbol || chr(10) || coalesce(text, '')), '[a-z]{3,}') AS w FROM recs),
+po AS (SELECT chunk_id, unnest(w) AS term, generate_subscripts(w, 1) AS i FROM ws),
+tf AS (SELECT chunk_id, term, count(*) AS tf FROM po GROUP BY chunk_id, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+dg AS (SELECT a.chunk_id, a.term, count(DISTINCT b.term) AS degree FROM po a JOIN po b ON a.chunk_id = b.chunk_id AND b.i BETWEEN a.i - 3 AND a.i + 3 AND a.term <> b.term GROUP BY a.chunk_id, a.term)
+SELECT chunk_id, term, tf, coalesce(degree, 0) AS degree, df, round(coalesce(degree, 0) * ln((SELECT count(*) FROM recs)::DOUBLE / df) * 1e6) / 1e6 AS score FROM tf JOIN df USING (term) LEFT JOIN dg USING (chunk_id, term)""",
     "p4_found": r"""
 WITH tv AS (SELECT id, state FROM typed_decisions WHERE split = 'test' AND state IS NOT NULL AND id IS NOT NULL),
 va AS (SELECT id, state AS v FROM tv WHERE NOT json_valid(state) OR json_type(CASE WHEN json_valid(state) THEN state END) NOT IN ('OBJECT', 'ARRAY', 'VARCHAR')
