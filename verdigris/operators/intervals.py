@@ -59,8 +59,8 @@ def counted(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterable[np.ndar
         yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(total[slot], pa.int64())], names=["slot", "n"])
 
     counts = np.zeros(COUNTERS, np.int64)
-    for r in rows.mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
-        counts[r["slot"]] = r["n"]
+    got = rows.mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts[got["slot"].to_numpy()] = got["n"].to_numpy()
     return counts
 
 
