@@ -63,10 +63,17 @@ def session_dir(spark: SparkSession) -> str:
     path = f"{shared_dir(spark)}/verdigris-{spark.sparkContext.applicationId}"
     if path not in _folders:
         _folders.add(path)
-        atexit.register(forget, spark)
+        atexit.register(_at_exit, spark)
     return path
 
 
+def _at_exit(spark: SparkSession) -> None:
+    try:
+        forget(spark)
+    except Exception:  # the JVM is gone, and nothing can be done about it here
+        pass
+
+
 _folders: set[str] = set()
 
 
