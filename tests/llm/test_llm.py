@@ -210,6 +210,20 @@ def test_components_with_salted_hooks(spark, monkeypatch):
     assert joins.is_few(edges) and not joins.is_few(edges, 10)
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_salted_join_broadcasts_nothing(spark, how):
+    """The small side's files are far below the limit for broadcasts, its repeated rows needn't be."""
+    from verdigris.operators import joins
+    from verdigris.session import stored
+
+    big = stored(spark.range(5000).select((F.col("id") % 400).alias("k"), F.col("id").alias("n")), "big")
+    small = stored(spark.range(300).select(F.col("id").alias("k"), (-F.col("id")).alias("v")), "small")
+    got = joins.salted_join(big, small, "k", F.col("n"), how)
+    want = {(n % 400, n, -(n % 400) if n % 400 < 300 else None) for n in range(5000)}
+    assert {tuple(r) for r in got.collect()} == {r for r in want if how == "left" or r[2] is not None}
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_allot_with_units(monkeypatch):
     monkeypatch.setattr(grouped, "MAX_BITS", 500)
     counts = {1: 3000, 7: 400, 120: 30, 2500: 1}
