@@ -248,6 +248,22 @@ def test_allot_fills_large_splits(counts):
     assert size["dev"] == size["holdout"] == round(total / 10)
 
 
+def test_large_totals_are_searched_like_small_ones(monkeypatch):
+    """Dev comes as close as brute force does over all subsets, above 4 million records as below, whatever MAX_BITS says."""
+    shares = [("train", 0.9), ("dev", 0.1)]
+    dev = lambda c: sum(s * n for s, got in grouped.allot(c, shares).items() for k, n in got if k == "dev")
+    for unit in (1, 1000, 1_000_000):
+        counts = {6 * unit + 1: 1, 4 * unit + 1: 1, 5 * unit + 1: 2, 20 * unit: 4}
+        target, sums = round(sum(s * n for s, n in counts.items()) / 10), {0}
+        for s, n in counts.items():
+            sums = {a + s * k for a in sums for k in range(n + 1)}
+        assert dev(counts) == min(sums, key=lambda x: (abs(x - target), x))
+    few = {3: 40, 7: 11, 50: 3, 120: 1}
+    want = grouped.allot(few, shares)
+    monkeypatch.setattr(grouped, "MAX_BITS", 10)
+    assert grouped.allot(few, shares) == want
+
+
 def test_splits(spark):
     rows = [(i, f"i{i // 3}", f"s{i // 3 % 40}") for i in range(600)]
     df = spark.createDataFrame([(*r, None, None, None, 0) for r in rows], HF)

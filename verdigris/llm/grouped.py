@@ -7,7 +7,8 @@ groups make each split come closest to its share.
 
 from __future__ import annotations
 
-import numpy as np
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,88 +68,74 @@ def mixed_groups(groups: DataFrame) -> DataFrame:
 
 
 def closest_subset(counts: dict[int, int], target: int) -> dict[int, int]:
-    """How many items of each size (size: number) to take so that the sum comes closest to target, the smaller on ties.
+    """How many items of each size (size: number) to take so that the sum comes closest to target, the smaller on ties;
+    exact for targets of any size.
 
     Bitset subset-sum: bit s of a big integer says that the sum s can be reached; a multiplicity is taken in powers of
-    two. Sums above twice the target can't be closer than none at all. For each sum the step that reached it first is
-    kept, which is enough to walk back, however many steps there are; a step whose sums reach the target is the last.
+    two. Sums above twice the target can't be closer than none at all. All sums are multiples of the sizes' common
+    divisor, so a step that reaches the multiple nearest to the target is the last. Only the steps are kept, not what
+    each of them reached: the way back halves them again and again and repeats the first half up to the sum it looks
+    for, so there are never more bitsets than the logarithm of the number of steps.
     """
     if target <= 0 or not counts:
         return {}
     width = min(target + max(counts), 2 * target) + 1
-    mask, reach = (1 << width) - 1, 1
-    first = np.full(width, -1, np.int32)
+    mask, reach, unit = (1 << width) - 1, 1, math.gcd(*counts)
+    goal = target - target % unit + (unit if 2 * (target % unit) > unit else 0)
     steps: list[tuple[int, int]] = []
     for size in sorted(counts, reverse=True):
         left, k = min(counts[size], width // size + 1), 1
-        while left > 0 and not reach >> target & 1:
+        while left > 0 and not reach >> goal & 1:
             k = min(k, left)
-            new = (reach << (size * k)) & mask & ~reach
-            if new:
-                bits = np.unpackbits(np.frombuffer(new.to_bytes(width // 8 + 1, "little"), np.uint8), bitorder="little")
-                first[np.flatnonzero(bits)] = len(steps)
-                reach |= new
-            steps.append((size, k))
+            wider = reach | (reach << (size * k)) & mask
+            if wider != reach:
+                reach = wider
+                steps.append((size, k))
             left -= k
             k *= 2
-    low = reach & ((1 << (target + 1)) - 1)
-    at = low.bit_length() - 1
+    at = (reach & ((1 << (target + 1)) - 1)).bit_length() - 1
     high = reach >> (target + 1)
     if high:
         above = target + 1 + (high & -high).bit_length() - 1
         if above - target < target - at:
             at = above
     taken: dict[int, int] = {}
-    while at > 0:
-        size, k = steps[first[at]]
-        taken[size] = taken.get(size, 0) + k
-        at -= size * k
+    _walk_back(steps, 0, len(steps), 1, at, taken)
     return taken
 
 
-#: Sums of more records than this are searched in coarser units first, then filled up in bulk; the last MAX_BITS records
-#: are searched exactly.
+def _walk_back(steps: list[tuple[int, int]], lo: int, hi: int, reach: int, at: int, taken: dict[int, int]) -> int:
+    """Adds to `taken` the steps from lo to hi that lead from one of the sums in `reach` to the sum `at`; that sum."""
+    if reach >> at & 1:
+        return at
+    if hi - lo == 1:
+        size, k = steps[lo]
+        taken[size] = taken.get(size, 0) + k
+        return at - size * k
+    mid, mask = (lo + hi) // 2, (1 << (at + 1)) - 1
+    half = reach & mask
+    for size, k in steps[lo:mid]:
+        half |= (half << (size * k)) & mask
+    return _walk_back(steps, lo, mid, reach, _walk_back(steps, mid, hi, half, at, taken), taken)
+
+
+#: Once the number of records above which the search gave up being exact. Nothing reads it: every total is searched alike.
 MAX_BITS = 1 << 22
 
 
 def allot(counts: dict[int, int], shares: list[tuple[str, float]]) -> dict[int, list[tuple[str, int]]]:
     """For each size the splits and how many groups of that size each gets. The largest split takes what the others,
-    smallest first, leave. Shares are normalised; negative and null ones count as 0."""
+    smallest first, leave; each of these comes as close to its share as the groups that are left allow. Shares are
+    normalised; negative and null ones count as 0."""
     total = sum(s * n for s, n in counts.items())
     w = {k: max(0.0, float(v or 0)) for k, v in shares}
     norm = sum(w.values()) or 1.0
     order = sorted(w, key=lambda k: (w[k], k))
     left, out = dict(counts), {s: [] for s in counts}
     for k in order[:-1]:
-        target = round(total * w[k] / norm)
-        unit, got = -(-target // MAX_BITS), {}
-        if unit > 1:
-            coarse: dict[int, int] = {}
-            for s, n in left.items():
-                if s >= unit:
-                    coarse[s // unit] = coarse.get(s // unit, 0) + n
-            for u, n in closest_subset(coarse, target // unit).items():
-                for s in sorted((s for s in left if s >= unit and s // unit == u), reverse=True):
-                    got[s] = min(n, left[s])
-                    n -= got[s]
-            # rounding units down can overshoot: give back the smallest until the rest is a lack, not an excess
-            for s in sorted(got):
-                back = min(got[s], max(0, -(-(sum(a * b for a, b in got.items()) - target) // s)))
-                got[s] -= back
-        rest = target - sum(s * n for s, n in got.items())
-        # what exceeds the search is taken in bulk, large groups first, so that small ones are left for the exact search
-        for s in sorted(left, reverse=True):
-            bulk = min(left[s] - got.get(s, 0), -(-(rest - MAX_BITS) // s), rest // s) if rest > MAX_BITS else 0
-            if bulk > 0:
-                got[s] = got.get(s, 0) + bulk
-                rest -= s * bulk
-        fine = {s: n - got.get(s, 0) for s, n in left.items() if s <= max(1, rest) or unit == 1}
-        for s, n in closest_subset({s: n for s, n in fine.items() if n > 0}, min(rest, MAX_BITS)).items():
-            got[s] = got.get(s, 0) + n
-        for s, n in got.items():
-            if n > 0:
-                left[s] -= n
-                out[s].append((k, n))
+        for s, n in closest_subset({s: n for s, n in left.items() if n > 0}, round(total * w[k] / norm)).items():
+            left[s] -= n
+            out[s].append((k, n))
     for s, n in left.items():
         if n > 0:
             out[s].append((order[-1], n))
